@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, stage_table
 
 #: Source weights by code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -74,6 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     # 4096 sub-groups for each source and size keep hot groups apart
+    slim = stage_table(slim)  # the texts are read once
     slim = slim.withColumn("_md", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))).withColumn("_h", F.substring("_md", 1, 3))
     cells = slim.groupBy("source", "size", "_h").agg(F.count("*").alias("n"))
     sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))

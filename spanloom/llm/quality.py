@@ -23,8 +23,8 @@ REPEAT_WINDOW = 8
 MIN_WORDS_JUDGED = 100
 MIN_CHARS_JUDGED = 400
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) that is kept.
-MAX_CHAR_DISTANCE = 0.35
-MAX_WORD_DISTANCE = 0.60
+MAX_CHAR_DISTANCE = 0.25
+MAX_WORD_DISTANCE = 0.25
 #: Fixed: frequent function words of English, French, German and Spanish.
 COMMON_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "for", "with", "was",
