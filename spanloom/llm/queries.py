@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, secrets
+import corpus_pipeline
+
+from . import chat, decontaminate, html, language, mixing, nearjoin, quality, secrets, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_chat_hmm": chat.op1_chat_hmm,
+        "op2_ngram_jaccard_join": nearjoin.op2_ngram_jaccard_join,
+        "op3_warc_round_trip": warc.op3_warc_round_trip,
         "op4_entropy_mix": mixing.op4_entropy_mix,
+        "op5_language_id": language.op5_language_id,
         "op6_secret_ledger": secrets.op6_secret_ledger,
+        "op7_url_model_ratio": urls.op7_url_model_ratio,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op9_quality_divergence": quality.op9_quality_divergence,
+        "op10_text_density": html.op10_text_density,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_entropy_mix": mixing.OP4_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL}
+    found = {
+        "op2_ngram_jaccard_join": nearjoin.OP2_SQL,
+        "op3_warc_round_trip": warc.OP3_SQL,
+        "op4_entropy_mix": mixing.OP4_SQL,
+        "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+    }
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
