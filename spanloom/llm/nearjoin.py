@@ -2,18 +2,22 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets form a
 class; only one text of each class is joined. All tokens have one global order: rare ones by hash, then
-frequent ones. Two sets with the wanted similarity share at least k tokens in their k-prefixes (the first
-n - t + k tokens, t the least overlap a set of n can link with), and those are their k first common ones. So
-
-* the first common token is rare: both index it as a single token of their 1-prefix;
-* it is frequent: then the first two common tokens come from the frequent class, and both index that
-  2-token combination of their 2-prefix. Larger sets, whose combinations would be too many, index frequent
-  single tokens instead; sizes that may link across that limit do both.
-
-Candidates are verified on the whole sets. Only components are asked for, so a pair that is connected
-already is not verified again: in each round every index key links its members to one of them (a star),
-until the pairs left between different components are few; those are then all verified. No candidate pair
-is ever dropped.
+frequent ones, then those that weren't counted. Two sets with the wanted similarity share at least k tokens in
+their k-prefixes (the first n - t + k tokens, t the least overlap a set of n can link with), and those are
+their k first common ones. So
+
+* the first common token is rare or uncounted: both index it as a single token of their 1-prefix;
+* it is frequent: then both index the combination of their first two common tokens (k = 2) of the 2-prefix.
+  Larger sets, whose combinations would be too many, index frequent single tokens instead; sizes that may
+  link across that limit do both.
+
+A pair meets only at keys from which on both sets hold enough tokens to link. Candidates are then verified in two
+steps: parity bitmaps give a lower bound of the symmetric difference, which rejects nearly all false pairs for
+a few bytes; the rest are compared on their whole sets. Only components are asked for, so a pair that is
+connected already is not verified again: in each round every index key links its members to one of them (a
+star); after some rounds the pairs left between different components are all verified. No
+candidate pair is ever dropped. Keys that still have many members are joined into clusters, whose members are
+compared by their bitmaps in blocks, each pair once instead of at every key; only the pairs that pass are made.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, stage_table
@@ -33,16 +37,26 @@ SHINGLE = 4
 PERCENT = 85
 #: Tokens are counted (and so can be frequent) if their hash is in this part of the range. Prefixes hold the
 #: smallest hashes, so larger ones matter only where a set is nearly all frequent; they come last in the order.
-COUNTED = 0.35
+COUNTED = 0.25
 #: Tokens in more sets than this are frequent; raised so that at most 2**20 of them can exist (8 MB to broadcast).
 FREQUENT = 48
 MAX_FREQUENT = 1 << 20
 #: Sets of at most so many tokens index combinations of frequent tokens.
 COMBINED_SIZE = 250
-#: Rounds of stars at most; cross-component pairs, as a multiple of postings, that are verified outright.
-STAR_ROUNDS, PAIR_FACTOR = 8, 2
+#: Rounds of stars before the pairs that are left between components are verified.
+STAR_ROUNDS = 2
+#: Keys of more members then are handled in blocks of so many members.
+LIGHT_MEMBERS, BLOCK = 64, 512
+#: So many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 2_000_000
+#: Bytes of a token in the sets that are compared (the hash's upper ones).
+SET_BYTES = 6
 
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE = 0x9E3779B97F4A7C55
+_LIMIT = np.uint64(int(COUNTED * 2**64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,120 +65,187 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _Memo(dict):
-    """Hash of a word; forgets all when it holds too many."""
+_CODES = _mix(np.arange(1, 257, dtype=np.uint64))
+_FACTORS = _mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
 
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2**64, as many as the longest text so far needs."""
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            step = np.full(n, _BASE, np.uint64)
+            back = np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+            step[0] = back[0] = 1
+            self.up, self.down = np.cumprod(step), np.cumprod(back)
 
 
-def tokens(text: bytes | None, memo: dict, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes: A-Z lower-cased, words split at ASCII white space; of fewer than k words
-    the whole sequence is the one shingle; none without words."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: bytes, powers: Powers) -> np.ndarray:
+    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) of a text, by differences of one
+    running polynomial hash."""
+    b = np.frombuffer(text.lower(), np.uint8)
+    powers.grow(len(b) + 1)
+    solid = ~_SPACE[b]
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    run = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_CODES[b] * powers.up[: len(b)], out=run[1:])
+    return _mix((run[end] - run[start]) * powers.down[start] + (end - start).astype(np.uint64))
+
+
+def tokens(text: bytes | None, powers: Powers, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct shingle hashes; of fewer than k words the whole sequence is the one shingle; none without words."""
+    h = word_hashes(text, powers) if text else np.empty(0, np.uint64)
+    if not len(h):
+        return h
     size = min(k, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
-        out = _mix(out) + h[i : len(h) - size + 1 + i]
+        out += h[i : len(h) - size + 1 + i] * _FACTORS[i]
     return np.unique(_mix(out))
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
-
-
 def class_key(toks: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(toks.tobytes()) - (1 << 63) if len(toks) else None
 
 
-def _classes(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
-        for b in batches:
-            sets = [tokens(t, memo, k) for t in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64())], ["_id", "n", "cls"])
+def parity(toks: np.ndarray) -> bytes:
+    """Bit v is the parity of the number of tokens with hash v modulo the number of bits, a power of two >= n."""
+    bits = max(64, 1 << (len(toks) - 1).bit_length())
+    at = (toks >> np.uint64(8)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-    return run
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of the symmetric difference of two sets, from their parity bitmaps."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) if len(b) > len(a) else b
+    return int(np.bitwise_count(a ^ b).sum())
 
-def _new_sets(batches, k):
-    """The sets of a task's texts, each class once: its key, its tokens."""
-    memo, seen = _Memo(), set()
-    for b in batches:
-        for text in as_bytes(b.column(0)):
-            s = tokens(text, memo, k)
-            if len(s) and (c := class_key(s)) not in seen:
-                seen.add(c)
-                yield c, s
-        yield None, None
 
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
 
-def _counted(k: int):
-    limit = np.uint64(int(COUNTED * 2**64))
 
-    def run(batches):
-        out = []
-        for c, s in _new_sets(batches, k):
-            if c is not None:
-                out.append(s[: np.searchsorted(s, limit)])
-            elif out:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(out))], ["tok"])
-                out = []
+def _sets(k: int, percent: int):
+    """A row for each document: n and class key, and for the first of its class in this task the counted tokens (or all, if
+    the prefix may need them) and the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, seen = Powers(), set()
+        for b in batches:
+            size, cls, toks, bits = [], [], [], []
+            for text in as_bytes(b.column(1)):
+                s = tokens(text, powers, k)
+                size.append(len(s))
+                cls.append(c := class_key(s))
+                if c is None or c in seen:
+                    toks.append(None)
+                    bits.append(None)
+                    continue
+                seen.add(c)
+                low = np.searchsorted(s, _LIMIT)
+                # the 2-prefix lies among the counted tokens if there are enough of them, frequent or not
+                toks.append((s[:low] if low > prefix_size(len(s), percent) else s).view(np.int64))
+                bits.append(parity(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["_id", "n", "cls", "toks", "bits"])
 
     return run
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set: rare single tokens, and combinations of (or, in large sets, single) frequent ones."""
-    n = len(s)
-    first = n - -(-percent * n // 100) + 1
-    low = np.searchsorted(s, np.uint64(int(COUNTED * 2**64)))
+def prefix_keys(s: np.ndarray, n: int, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set and their places in its order: rare single tokens, and combinations of (in large sets, single)
+    frequent ones. ``s``: its smallest tokens, at least those of the 2-prefix."""
+    first = prefix_size(n, percent)
+    low = np.searchsorted(s, _LIMIT)
     often = np.isin(s[:low], frequent, assume_unique=True) if len(frequent) else np.zeros(low, bool)
+    n_often = int(often.sum())
     order = np.concatenate((s[:low][~often], s[:low][often], s[low:]))
-    is_often = np.zeros(n, bool)
-    is_often[low - often.sum() : low] = True
-    one, two = order[:first], order[: first + 1]
-    keys = [one[~is_often[:first]]]
+    is_often = np.zeros(len(order), bool)
+    is_often[low - n_often : low] = True
+    one = order[:first]
+    rare = np.flatnonzero(~is_often[:first])
+    keys, places = [one[rare]], [rare]
     if is_often[: first + 1].any():
         if n > COMBINED_SIZE * percent // 100:
-            keys.append(_mix(one[is_often[:first]] + np.uint64(1)))
+            at = np.flatnonzero(is_often[:first])
+            keys.append(_mix(one[at] + np.uint64(1)))
+            places.append(at)
         if n <= COMBINED_SIZE:
-            # a: frequent; b: any later token of the 2-prefix
-            a = np.flatnonzero(is_often[: first + 1])
-            keys += [_mix(_mix(two[i]) + two[i + 1 :]) for i in a]
-    return np.unique(np.concatenate(keys))
+            two = order[: first + 1]
+            for i in np.flatnonzero(is_often[: first + 1]):
+                keys.append(_mix(_mix(two[i : i + 1]) + two[i + 1 :]))
+                places.append(np.full(len(two) - i - 1, i))
+    return np.concatenate(keys), np.concatenate(places)
 
 
-def _postings(k: int, percent: int, shared):
+def _postings(percent: int, shared):
     def run(batches):
         frequent = shared.value
-        keys, cls, sizes = [], [], []
-        for c, s in _new_sets(batches, k):
-            if c is not None:
-                key = prefix_keys(s, frequent, percent)
+        for b in batches:
+            keys, cls, sizes, places = [], [], [], []
+            for c, n, flat in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                key, place = prefix_keys(flat.values.to_numpy().view(np.uint64), n, frequent, percent)
                 keys.append(key)
+                places.append(place)
                 cls.append(np.full(len(key), c, np.int64))
-                sizes.append(np.full(len(key), len(s), np.int32))
-            if keys and (c is None or len(keys) >= 2000):
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(sizes))], ["key", "cls", "n"])
-                keys, cls, sizes = [], [], []
+                sizes.append(np.full(len(key), n, np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "cls", "n", "place"])
 
     return run
 
 
-def _arrays(k: int):
+def _near(percent: int):
+    """Pairs whose bitmaps don't rule out the similarity."""
+
     def run(batches):
-        memo = _Memo()
         for b in batches:
-            sets = [tokens(t, memo, k) for t in as_bytes(b.column(1))]
-            toks = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), toks], ["want", "cls", "toks"])
+            na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
+            keep = []
+            for x, y, m, n in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), na, nb, strict=True):
+                least = -(-percent * (m + n) // (100 + percent))
+                keep.append(least_difference(x, y) <= m + n - 2 * least)
+            yield pa.RecordBatch.from_arrays(b.columns[:4], b.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _whole_sets(k: int):
+    def run(batches):
+        powers = Powers()
+        for b in batches:
+            sets = [tokens(t, powers, k) for t in as_bytes(b.column(1))]
+            packed = [np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], ["want", "cls", "packed"])
+
+    return run
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // SET_BYTES, 8), np.uint8)
+    wide[:, :SET_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
+    return wide.view(">u8").ravel()
+
+
+def _similar(percent: int):
+    def run(batches):
+        for b in batches:
+            keep = []
+            last, xa = None, None
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if x != last:
+                    last, xa = x, _unpack(x)
+                ya = _unpack(y)
+                both = len(xa) + len(ya) - len(np.union1d(xa, ya))
+                keep.append(100 * both >= percent * (len(xa) + len(ya) - both))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], b.schema.names[:2]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -187,75 +268,139 @@ def components(edges: DataFrame) -> DataFrame:
         total = now
 
 
-def _compatible(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _linkable(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
+    """Whether sets of these sizes can link if the keys at these places are their first common tokens."""
+    least = F.ceil((na + nb) * percent / (100 + percent))
+    return (na - pa_ >= least) & (nb - pb >= least)
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
+    """(want, text) of one document of each class in ``classes(cls, rep)``. Few ids are broadcast, so that texts stay
+    where they are; many are joined by a shuffle."""
+    wanted = classes.select(F.col("cls").alias("want"), "rep")
+    if classes.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.select("_id", text_col).join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("want", text_col)
+
 
+def _verify(pairs: DataFrame, bits: DataFrame, docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: by bitmap, then on the whole sets of the classes that are left."""
+    side = lambda x: bits.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    near = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    near = stage_table(near.mapInArrow(_near(percent), "a bigint, b bigint, na bigint, nb bigint").select("a", "b"))
+    left = stage_table(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "rep"), "cls"))
+    sets = _texts_of(docs, left, text_col).mapInArrow(_whole_sets(k), "want bigint, cls bigint, packed binary").filter("want = cls")
+    # a rep id that several rows bear may give its set twice
+    sets = stage_table(sets.select("cls", "packed"))
+    packed = lambda x: sets.select(F.col("cls").alias(x), F.col("packed").alias(f"p{x}"))
+    met = near.join(packed("b"), "b").join(packed("a"), "a").select("a", "b", "pa", "pb")
+    return met.mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("toks").alias(f"t{x}"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    return met.filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in bits])
 
-def link_classes(docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int) -> DataFrame | None:
-    """Components (v, root) over the class keys of sets that link with another; None if no set does.
-    ``classes``: cls, rep (the id of one of its documents), n. ``docs``: _id and the text."""
+
+def _block_pairs(percent: int):
+    """Pairs of members of two blocks (or of one) that sizes, components and bitmaps let pass."""
+
+    def run(batches):
+        for b in batches:
+            left, right = [], []
+            for x, y, same in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                size = min(len(m["bits"]) for m in (*x, *y))
+                bx, by = (_folded([m["bits"] for m in z], size) for z in (x, y))
+                bx, by = (z.view(np.uint64) for z in (bx, by))
+                (cx, nx, rx), (cy, ny, ry) = ([np.array([m[f] for m in z], np.int64) for f in ("cls", "n", "root")] for z in (x, y))
+                for i in range(len(x)):
+                    differ = np.bitwise_count(by ^ bx[i]).sum(axis=1, dtype=np.int64)
+                    both = nx[i] + ny
+                    ok = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (ry != rx[i])
+                    if same:
+                        ok[: i + 1] = False
+                    hit = np.flatnonzero(ok)
+                    left.append(np.minimum(cx[i], cy[hit]))
+                    right.append(np.maximum(cx[i], cy[hit]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return run
+
+
+def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of the members of ``heavy(key, cls, n, root)``: keys that share members form clusters, clusters are
+    sorted by size and cut into blocks, and blocks whose sizes may link are compared."""
+    lead = heavy.groupBy("key").agg(F.min("cls").alias("a"))
+    cluster = components(heavy.join(lead, "key").select("a", F.col("cls").alias("b"))).select(F.col("v").alias("cls"), F.col("root").alias("cluster"))
+    members = heavy.select("cls", "root").distinct().join(cluster, "cls").join(bits, "cls")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "cls")) - 1
+    # the window sorts ids and sizes only
+    place = members.select("cluster", "n", "cls").withColumn("block", F.floor(rank / BLOCK)).drop("n", "cluster")
+    blocks = members.join(place, "cls").groupBy("cluster", "block").agg(F.collect_list(F.struct("cls", "n", "root", "bits")).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = stage_table(blocks)
+    slim = blocks.select("cluster", "block", "lo", "hi")
+    other = slim.select(F.col("cluster").alias("c2"), F.col("block").alias("block2"), F.col("lo").alias("lo2"))
+    grid = slim.join(other, (F.col("cluster") == F.col("c2")) & (F.col("block") <= F.col("block2")) & (F.col("lo2") * percent <= F.col("hi") * 100)).select("cluster", "block", "block2")
+    pairs = grid.join(blocks.select("cluster", "block", F.col("m").alias("x")), ["cluster", "block"]).join(blocks.select("cluster", F.col("block").alias("block2"), F.col("m").alias("y")), ["cluster", "block2"])
+    # few and costly rows: dealt evenly, a handful for each batch
+    pairs = pairs.select("x", "y", (F.col("block") == F.col("block2")).alias("same")).repartition(F.xxhash64("cluster", "block", "block2"))
+    return pairs.mapInArrow(_block_pairs(percent), "a bigint, b bigint")
+
+
+def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int) -> DataFrame | None:
+    """Components (cls, root) over the class keys of sets that share an index key; None if none do.
+    ``rows``: the output of _sets; ``classes``: cls, rep (the id of one of its documents), n."""
     spark = docs.sparkSession
-    texts = docs.select(text_col)
+    whole = rows.filter("toks IS NOT NULL")
     total = classes.agg(F.sum("n")).first()[0] or 0
     floor = max(FREQUENT, total // MAX_FREQUENT)
-    often = texts.mapInArrow(_counted(k), "tok bigint").groupBy("tok").count().filter(F.col("count") > floor).select("tok")
+    # the order is that of unsigned hashes: counted ones are >= 0 as signed numbers, and below the limit
+    counted = whole.select(F.explode("toks").alias("tok")).filter((F.col("tok") >= 0) & (F.col("tok") < int(_LIMIT)))
+    often = counted.groupBy("tok").count().filter(F.col("count") > floor).select("tok")
     frequent = np.sort(often.toArrow().column("tok").to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
-    by_key = texts.mapInArrow(_postings(k, percent, shared), "key bigint, cls bigint, n int").repartition(F.col("key")).dropDuplicates(["key", "cls"])
+    by_key = whole.select("cls", "n", "toks").mapInArrow(_postings(percent, shared), "key bigint, cls bigint, n int, place int")
+    by_key = by_key.repartition(F.col("key")).dropDuplicates(["key", "cls"])
     posts = stage_table(by_key.withColumn("df", F.count("*").over(Window.partitionBy("key"))).filter("df > 1").drop("df"))
     n_posts = posts.count()
     if not n_posts:
         return None
-    # the sets of the classes that share a key with another
-    wanted = posts.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select(F.col("cls").alias("want"), "rep")
-    found = docs.select("_id", text_col).join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("want", text_col)
-    sets = stage_table(found.mapInArrow(_arrays(k), "want bigint, cls bigint, toks array<bigint>").filter("want = cls").drop("want").dropDuplicates(["cls"]))
+    members = stage_table(posts.select("cls").distinct())
+    bits = whole.select("cls", "n", "bits").join(members, "cls", "left_semi")
+    bits = stage_table(bits.dropDuplicates(["cls"]))
 
-    root = stage_table(posts.select("cls").distinct().withColumn("root", F.col("cls")))
-    edges, tested = None, None
+    root, edges, tested = None, None, None
     for step in range(STAR_ROUNDS + 1):
-        now = posts.join(root, "cls") if step else posts.withColumn("root", F.col("cls"))
-        if step:
-            # pairs that would be left: members times members of a key, less those inside a component
-            per = now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-            left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not left:
+        now = posts.withColumn("root", F.col("cls")) if root is None else posts.join(root, "cls")
+        if root is not None:
+            # keys with members in different components are all that is left
+            now = stage_table(now)
+            open_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
+            now = stage_table(now.join(open_keys, "key"))
+            if now.isEmpty():
                 break
-            last = left <= PAIR_FACTOR * n_posts or step == STAR_ROUNDS
-        else:
-            last = False
-        if last:
-            open_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-            rest = now.join(open_keys, "key")
-            other = rest.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = rest.withColumnRenamed("cls", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("rb")) & _compatible("n", "nb", percent))
-        else:
+        if step < STAR_ROUNDS:
             # another member leads each key in each round
-            lead = now.groupBy("key").agg(F.min_by(F.struct("cls", "n", "root"), F.xxhash64("cls", F.lit(step))).alias("lead"))
-            pairs = now.join(lead, "key").select(
-                F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"), "n", F.col("lead.n").alias("nb"), "root", F.col("lead.root").alias("rb")
-            ).filter((F.col("a") != F.col("b")) & (F.col("root") != F.col("rb")) & _compatible("n", "nb", percent))
+            lead = F.min_by(F.struct("cls", "n", "root", "place"), F.xxhash64("cls", F.lit(step)))
+            led = now.join(now.groupBy("key").agg(lead.alias("lead")), "key")
+            pairs = led.filter(
+                (F.col("cls") != F.col("lead.cls")) & (F.col("root") != F.col("lead.root")) & _linkable(F.col("n"), F.col("lead.n"), F.col("place"), F.col("lead.place"), percent)
+            ).select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"))
+        else:
+            light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
+            other = light.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
+            pairs = light.withColumnRenamed("cls", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("rb")) & _linkable(F.col("n"), F.col("nb"), F.col("place"), F.col("pb"), percent)).select("a", "b")
+            if not heavy.isEmpty():
+                pairs = pairs.union(_heavy_pairs(heavy, bits, percent))
         pairs = pairs.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage_table(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        fresh = stage_table(_verify(pairs, sets, percent))
+        fresh = stage_table(_verify(pairs, bits, docs, classes, text_col, k, percent))
         edges = fresh if edges is None else edges.union(fresh)
-        if edges.isEmpty():
-            root = root if last else posts.select("cls").distinct().withColumn("root", F.col("cls"))
-        else:
-            found = components(edges).withColumnRenamed("v", "cls")
-            root = stage_table(posts.select("cls").distinct().join(found, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
-        if last:
-            break
+        found = components(edges).withColumnRenamed("v", "cls")
+        root = stage_table(members.join(found, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
     return root
 
 
@@ -269,9 +414,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
-    rows = stage_table(slim.mapInArrow(_classes(k), f"_id {kind}, n bigint, cls bigint"))
+    rows = stage_table(slim.mapInArrow(_sets(k, percent), f"_id {kind}, n bigint, cls bigint, toks array<bigint>, bits binary"))
     classes = stage_table(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n")))
-    root = link_classes(slim, classes, "_text", k, percent)
+    root = link_classes(slim, rows, classes, "_text", k, percent)
     of_class = classes.select(F.col("cls").alias("_c"), F.col("rep").alias("component_id"))
     if root is not None:
         named = classes.join(root, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
