@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import q_audit, q_text
+
 
 def _modules():
-    return ()
+    return (q_text, q_audit)
 
 
 def queries() -> dict:
