@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -65,20 +65,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _FIND_TYPE)], ["blob", "findings"])
 
 
+def blob_key(text: Column) -> Column:
+    """The address of a version: the SHA-256 of its content, 32 bytes."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def scan_with_ledger(docs: DataFrame, ledger_path: str, text_col: str = "text") -> DataFrame:
     """Scans what the ledger at ``ledger_path`` lacks, adds it there, and returns the ledger's rows (blob,
     rule_version, findings) of the current rule version. A null text is the empty blob."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     # copies meet before the shuffle first, so that a much-copied blob is a few rows
-    blobs = docs.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("body")).dropDuplicates(["blob"])
-    schema = f"blob string, rule_version int, findings {FINDINGS}"
+    blobs = docs.select(blob_key(text).alias("blob"), text.alias("body")).dropDuplicates(["blob"])
+    schema = f"blob binary, rule_version int, findings {FINDINGS}"
     try:
         known = spark.read.schema(schema).parquet(ledger_path).filter(F.col("rule_version") == RULE_VERSION)
         blobs = blobs.join(known.select("blob"), "blob", "left_anti")
     except AnalysisException:  # no ledger yet
         pass
-    fresh = blobs.mapInArrow(_scan, f"blob string, findings {FINDINGS}")
+    fresh = blobs.mapInArrow(_scan, f"blob binary, findings {FINDINGS}")
     fresh.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "findings").write.mode("append").parquet(ledger_path)
     return spark.read.schema(schema).parquet(ledger_path).filter(F.col("rule_version") == RULE_VERSION)
 
@@ -91,7 +96,7 @@ def findings(docs: DataFrame, ledger_path: str | None = None, text_col: str = "t
     """
     ledger = scan_with_ledger(docs, ledger_path or shared_dir(docs.sparkSession), text_col)
     hits = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_blob"])
-    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    blob = blob_key(F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.drop("findings").withColumn("_key", blob).join(hits, F.col("_key") == F.col("_blob"), "left")
     return joined.withColumn("findings", F.coalesce("_found", F.array().cast(FINDINGS))).drop("_key", "_blob", "_found")
 
@@ -123,7 +128,7 @@ def digest(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """Counts and digest for each document. The texts don't travel with the join: only ids and blob keys do."""
     ledger = scan_with_ledger(docs, ledger_path or shared_dir(docs.sparkSession))
     hits = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_blob"])
-    paths = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_key"))
+    paths = docs.select("doc_id", blob_key(F.coalesce(F.col("text"), F.lit(""))).alias("_key"))
     found = F.coalesce("_found", F.array().cast(FINDINGS))
     df = paths.join(hits, F.col("_key") == F.col("_blob"), "left").select("doc_id", found.alias("found"))
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
