@@ -83,7 +83,7 @@ def label_rows(tokens: DataFrame, spans: DataFrame, book: str = "doc_id", cls: s
     sp = sp.withColumn("_nested", F.coalesce(reach > F.col("s"), F.lit(False)))
     marks = sp.select(book, F.col("s").alias("pos"), F.lit(0).alias("kind"), F.struct("s", "e", "_cls").alias("sp"), F.lit(None).cast("long").alias("tok_ix"), F.lit(None).cast("long").alias("te"))
     toks = tokens.select(book, F.col("s").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast("struct<s:bigint,e:bigint,_cls:string>").alias("sp"), "tok_ix", F.col("e").alias("te"))
-    line = Window.partitionBy(book).orderBy("pos", "kind", "tok_ix", F.col("sp.e").desc())
+    line = Window.partitionBy(book).orderBy("pos", "kind", "tok_ix", "sp.e")
     met = marks.unionByName(toks).withColumn("last", F.last("sp", ignorenulls=True).over(line)).filter("kind = 1")
     hit = (F.col("te") > F.col("pos")) & (F.col("pos") < F.col("last.e"))
     met = met.select(book, "tok_ix", F.col("pos").alias("s"), F.col("te").alias("e"), F.when(hit, F.col("last")).alias("sp"))
@@ -188,7 +188,10 @@ def pack_windows(tokens: DataFrame, content: int = CONTENT, stride: int = STRIDE
 
 def label_counts(windows: DataFrame, by: str = "split", n_labels: int = 3) -> DataFrame:
     """by, label, n: each window counted, -100 left out. Counted in the row; labels are not exploded."""
-    df = windows.select(by, *[F.size(F.filter("labels", lambda x, i=i: x == i)).cast("long").alias(f"c{i}") for i in range(n_labels)])
+    def count(i: int) -> Column:
+        return F.size(F.filter("labels", lambda x: x == i)).cast("long").alias(f"c{i}")
+
+    df = windows.select(by, *[count(i) for i in range(n_labels)])
     sums = df.groupBy(by).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_labels)])
     return sums.select(by, F.posexplode(F.array(*[f"c{i}" for i in range(n_labels)])).alias("label", "n"))
 
