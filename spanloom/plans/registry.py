@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import q_audit, q_dataset, q_score, q_text
+from . import q_audit, q_dataset, q_score, q_sharing, q_text
 
 
 def _modules():
-    return (q_text, q_audit, q_score, q_dataset)
+    return (q_text, q_audit, q_score, q_dataset, q_sharing)
 
 
 def queries() -> dict:
