@@ -49,6 +49,8 @@ STAR_ROUNDS = 2
 LIGHT_MEMBERS, BLOCK = 64, 512
 #: So many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+#: Bits of a parity bitmap for each token.
+BITS = 4
 #: Bytes of a token in the sets that are compared (the hash's upper ones).
 SET_BYTES = 6
 
@@ -114,8 +116,8 @@ def class_key(toks: np.ndarray) -> int | None:
 
 
 def parity(toks: np.ndarray) -> bytes:
-    """Bit v is the parity of the number of tokens with hash v modulo the number of bits, a power of two >= n."""
-    bits = max(64, 1 << (len(toks) - 1).bit_length())
+    """Bit v is the parity of the number of tokens with hash v modulo the number of bits, a power of two >= BITS * n."""
+    bits = max(64, 1 << (BITS * len(toks) - 1).bit_length())
     at = (toks >> np.uint64(8)) & np.uint64(bits - 1)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -284,10 +286,12 @@ def _texts_of(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, bits: DataFrame, docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by bitmap, then on the whole sets of the classes that are left."""
+    """The pairs (a, b) that are similar: by bitmap (where that isn't done: ``near``), then on the whole sets of the classes
+    that are left."""
     side = lambda x: bits.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    near = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-    near = stage_table(near.mapInArrow(_near(percent), "a bigint, b bigint, na bigint, nb bigint").select("a", "b"))
+    near = pairs.filter("NOT near").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    near = near.mapInArrow(_near(percent), "a bigint, b bigint, na bigint, nb bigint").select("a", "b")
+    near = stage_table(near.union(pairs.filter("near").select("a", "b")))
     left = stage_table(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "rep"), "cls"))
     sets = _texts_of(docs, left, text_col).mapInArrow(_whole_sets(k), "want bigint, cls bigint, packed binary").filter("want = cls")
     # a rep id that several rows bear may give its set twice
@@ -390,13 +394,14 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, text_col:
             light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
             other = light.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
             pairs = light.withColumnRenamed("cls", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("rb")) & _linkable(F.col("n"), F.col("nb"), F.col("place"), F.col("pb"), percent)).select("a", "b")
-            if not heavy.isEmpty():
-                pairs = pairs.union(_heavy_pairs(heavy, bits, percent))
-        pairs = pairs.select("a", "b").distinct()
+        pairs = pairs.select("a", "b", F.lit(False).alias("near"))
+        if step == STAR_ROUNDS and not heavy.isEmpty():
+            pairs = pairs.union(_heavy_pairs(heavy, bits, percent).select("a", "b", F.lit(True)))
+        pairs = pairs.groupBy("a", "b").agg(F.max("near").alias("near"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage_table(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         fresh = stage_table(_verify(pairs, bits, docs, classes, text_col, k, percent))
         edges = fresh if edges is None else edges.union(fresh)
         found = components(edges).withColumnRenamed("v", "cls")
