@@ -73,7 +73,7 @@ def assign_free_groups(weights: DataFrame, current: dict[str, float], targets: d
         return pd.DataFrame({"group_id": frame.sort_values(["weight", "key"], ascending=[False, True])["group_id"], "split": out})
 
     keyed = weights.withColumn("key", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col("group_id").cast("string"))))
-    return keyed.groupBy(F.lit(0)).applyInPandas(place, f"group_id {kind}, split string")
+    return keyed.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(place, f"group_id {kind}, split string")
 
 
 def leak_aware_split(books: DataFrame, links: DataFrame, prior: DataFrame, targets: dict[str, float] = TARGETS, seed: int = 123, book: str = "doc_id") -> DataFrame:

@@ -16,15 +16,15 @@ MIN_SHARED, MIN_SHARED_ABS = 2, 10
 
 
 def needles(spans: DataFrame, books: DataFrame, profile: Profile = LATIN, least: int = MATCH_MIN, k: int = K, book: str = "doc_id", ident: str = "seg_idx") -> DataFrame:
-    """book, needle_id, nd (text without white space), len, syl: long spans with at least k + 2 syllables."""
+    """book, needle_id, nd (squeezed text), len, syl: long spans with at least k + 2 syllables."""
     long = spans.select(book, F.col(ident).alias("needle_id"), "s", "e").filter(F.col("e") - F.col("s") >= least)
-    df = attach_text(long, books, book, context=0).withColumn("nd", T.strip_ws(F.col("seg"))).withColumn("syl", syllables_of(F.col("nd"), profile))
+    df = attach_text(long, books, book, context=0).withColumn("nd", squeeze(F.col("seg"), profile)).withColumn("syl", T.syllables(F.col("nd"), profile))
     return df.filter(F.size("syl") >= k + 2).select(book, "needle_id", "nd", (F.col("e") - F.col("s")).alias("len"), "syl")
 
 
-def syllables_of(stripped: Column, profile: Profile) -> Column:
-    """Syllables of a text without white space: only the profile's other separators part them."""
-    return T.syllables(stripped, profile)
+def squeeze(text: Column, profile: Profile) -> Column:
+    """The text without white space; where white space parts the syllables, with each run of it as one space."""
+    return F.regexp_replace(text, r"(?U)\s+", " ") if profile.tsheg.isspace() else T.strip_ws(text)
 
 
 def _shingles(syl: Column, k: int) -> Column:
@@ -33,15 +33,18 @@ def _shingles(syl: Column, k: int) -> Column:
 
 
 def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile = LATIN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
-    """book, needle_id, other: the other books whose text, without white space, holds a needle.
+    """book, needle_id, other: the other books whose squeezed text holds a needle.
 
     Both sides meet on 64-bit hashes of k syllables. A needle's key is the rarest of its inner shingles (those that touch
     neither its first nor its last syllable occur wherever the needle does), so stock phrases aren't keys. Candidates
     of a book are gathered first; each text is then checked once.
     """
     keys = needle_rows.select(book, "needle_id", "nd", "syl")
-    inner = keys.select(book, "needle_id", F.explode(F.array_distinct(_shingles(F.slice(F.col("syl"), 2, F.size("syl") - 2), k))).alias("h"))
-    held = books.select(F.col(book).alias("other"), F.explode(F.array_distinct(_shingles(syllables_of(T.strip_ws(F.col(text)), profile), k))).alias("h"))
+    # the arrays are columns of their own: inside the lambda they would be cut again for every shingle
+    inner = keys.select(book, "needle_id", F.slice(F.col("syl"), 2, F.size("syl") - 2).alias("_y"))
+    inner = inner.select(book, "needle_id", F.explode(F.array_distinct(_shingles(F.col("_y"), k))).alias("h"))
+    held = books.select(F.col(book).alias("other"), T.syllables(squeeze(F.col(text), profile), profile).alias("_y"))
+    held = held.select("other", F.explode(F.array_distinct(_shingles(F.col("_y"), k))).alias("h"))
     wanted = inner.select("h").distinct()
     held = held.join(wanted, "h", "left_semi")
     df = held.groupBy("h").agg(F.count("*").alias("df"))
@@ -49,7 +52,7 @@ def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile
     best = inner.join(df, "h").groupBy(book, "needle_id").agg(F.min_by("h", F.struct("df", "h")).alias("h"))
     cands = best.join(held, "h").filter(F.col("other") != F.col(book)).select(book, "needle_id", "other")
     per = cands.join(keys.select(book, "needle_id", "nd"), [book, "needle_id"]).groupBy("other").agg(F.collect_list(F.struct(F.col(book).alias("b"), "needle_id", "nd")).alias("c"))
-    stripped = books.select(F.col(book).alias("other"), T.strip_ws(F.col(text)).alias("_t"))
+    stripped = books.select(F.col(book).alias("other"), squeeze(F.col(text), profile).alias("_t"))
     met = per.join(stripped, "other").select("other", F.explode(F.filter("c", lambda x: F.contains(F.col("_t"), x["nd"]))).alias("x"))
     return met.select(F.col("x.b").alias(book), F.col("x.needle_id").alias("needle_id"), "other").distinct()
 

@@ -16,15 +16,16 @@ ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)
 
 # DuckDB finds the needles by plain containment in every other text
-NEEDLES = rf"""{ST.format('gold')}, nd AS (SELECT doc_id, seg_idx AS needle_id, regexp_replace(seg, '\s+', '', 'g') AS nd, e - s AS len FROM st WHERE e - s >= 40),
-ndl AS (SELECT * FROM nd WHERE len(list_filter(string_split_regex(nd, '[ \n.,!]+'), lambda x: x <> '')) >= 8)"""
+NEEDLES = rf"""{ST.format('gold')}, nd AS (SELECT doc_id, seg_idx AS needle_id, regexp_replace(seg, '\s+', ' ', 'g') AS nd, e - s AS len FROM st WHERE e - s >= 40),
+ndl AS MATERIALIZED (SELECT * FROM nd WHERE len(list_filter(string_split_regex(nd, '[ \n.,!]+'), lambda x: x <> '')) >= 8)"""
 # texts meet needles on the needle's first 24 characters at any place: windows of texts are hashed
-FOUND = rf"""{NEEDLES}, sx AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents),
-gr AS (SELECT DISTINCT doc_id, substring(t, i, 24) AS g FROM (SELECT doc_id, t, unnest(generate_series(1, length(t) - 23)) AS i FROM sx)),
-found AS (SELECT n.doc_id, n.needle_id, gr.doc_id AS other FROM ndl n JOIN gr ON substring(n.nd, 1, 24) = gr.g AND gr.doc_id <> n.doc_id JOIN sx ON sx.doc_id = gr.doc_id WHERE contains(sx.t, n.nd))"""
+FOUND = rf"""{NEEDLES}, sx AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents),
+gr AS MATERIALIZED (SELECT DISTINCT doc_id, substring(t, i, 24) AS g FROM (SELECT doc_id, t, unnest(generate_series(1, length(t) - 23)) AS i FROM sx)),
+fc AS MATERIALIZED (SELECT n.doc_id, n.needle_id, n.nd, gr.doc_id AS other FROM ndl n JOIN gr ON substring(n.nd, 1, 24) = gr.g AND gr.doc_id <> n.doc_id),
+found AS MATERIALIZED (SELECT fc.doc_id, needle_id, other FROM fc JOIN sx ON sx.doc_id = fc.other WHERE contains(sx.t, fc.nd))"""
 SHARES = f"""{FOUND}, tt AS (SELECT doc_id, sum(len) AS tot FROM ndl GROUP BY 1),
-sh AS (SELECT f.doc_id AS a, f.other AS b, sum(len)::BIGINT AS chars, count(*) AS n_shared, sum(len)::DOUBLE / any_value(tot)::DOUBLE AS share FROM found f JOIN ndl n ON n.doc_id = f.doc_id AND n.needle_id = f.needle_id JOIN tt ON tt.doc_id = f.doc_id GROUP BY 1, 2)"""
-LINKS = f"{SHARES}, lk AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM sh WHERE (share >= 0.1 AND n_shared >= 2) OR n_shared >= 10)"
+sh AS MATERIALIZED (SELECT f.doc_id AS a, f.other AS b, sum(len)::BIGINT AS chars, count(*) AS n_shared, sum(len)::DOUBLE / any_value(tot)::DOUBLE AS share FROM found f JOIN ndl n ON n.doc_id = f.doc_id AND n.needle_id = f.needle_id JOIN tt ON tt.doc_id = f.doc_id GROUP BY 1, 2)"""
+LINKS = f"{SHARES}, lk AS MATERIALIZED (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM sh WHERE (share >= 0.1 AND n_shared >= 2) OR n_shared >= 10)"
 
 
 def rows(t: Tables):
@@ -115,9 +116,9 @@ def anchor_recall(t):
 
 
 # groups: walk the links and prior groups from every book
-GROUPS = f"""{LINKS}, ed AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk UNION SELECT x.doc_id, y.doc_id FROM prior x JOIN prior y ON x.group_id = y.group_id AND x.doc_id <> y.doc_id),
-wk AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT ed.b, wk.r FROM wk JOIN ed ON ed.a = wk.v), gp AS (SELECT v AS doc_id, min(r) AS group_id FROM wk GROUP BY v),
-fx AS (SELECT group_id, min_by(split, CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 ELSE 2 END) AS split, count(DISTINCT split) AS n_splits FROM gp JOIN prior USING (doc_id) GROUP BY group_id)"""
+GROUPS = f"""{LINKS}, ed AS MATERIALIZED (SELECT a, b FROM lk UNION SELECT b, a FROM lk UNION SELECT x.doc_id, y.doc_id FROM prior x JOIN prior y ON x.group_id = y.group_id AND x.doc_id <> y.doc_id),
+wk AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT ed.b, wk.r FROM wk JOIN ed ON ed.a = wk.v), gp AS MATERIALIZED (SELECT v AS doc_id, min(r) AS group_id FROM wk GROUP BY v),
+fx AS MATERIALIZED (SELECT group_id, min_by(split, CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 ELSE 2 END) AS split, count(DISTINCT split) AS n_splits FROM gp JOIN prior USING (doc_id) GROUP BY group_id)"""
 GROUPS = GROUPS.replace("FROM gp JOIN prior USING (doc_id) GROUP BY group_id", "FROM (SELECT gp.group_id, prior.split FROM gp JOIN prior ON prior.doc_id = gp.doc_id) GROUP BY group_id")
 
 
@@ -146,10 +147,10 @@ def weighted(t: Tables):
 
 
 # free groups one after the other, with what each split holds so far
-PLACE = f"""{GROUPS}, sz AS (SELECT gp.group_id, sum(ceil(n_chars / 500))::BIGINT AS weight FROM gp JOIN documents d ON d.doc_id = gp.doc_id GROUP BY 1),
-fr AS (SELECT group_id, weight, row_number() OVER (ORDER BY weight DESC, md5('123|' || group_id)) AS k FROM sz WHERE group_id NOT IN (SELECT group_id FROM fx)),
+PLACE = f"""{GROUPS}, sz AS MATERIALIZED (SELECT gp.group_id, sum(ceil(n_chars / 500))::BIGINT AS weight FROM gp JOIN documents d ON d.doc_id = gp.doc_id GROUP BY 1),
+fr AS MATERIALIZED (SELECT group_id, weight, row_number() OVER (ORDER BY weight DESC, md5('123|' || group_id)) AS k FROM sz WHERE group_id NOT IN (SELECT group_id FROM fx)),
 c0 AS (SELECT coalesce(sum(weight) FILTER (WHERE split = 'train'), 0)::DOUBLE AS a, coalesce(sum(weight) FILTER (WHERE split = 'val'), 0)::DOUBLE AS b, coalesce(sum(weight) FILTER (WHERE split = 'test'), 0)::DOUBLE AS c FROM sz JOIN fx ON fx.group_id = sz.group_id),
-tw AS (SELECT sum(weight)::DOUBLE AS w FROM sz),
+tw AS MATERIALIZED (SELECT sum(weight)::DOUBLE AS w FROM sz),
 pl AS (SELECT 0::BIGINT AS k, 0::BIGINT AS group_id, '' AS split, a, b, c FROM c0
  UNION ALL SELECT k, group_id, pick, CASE WHEN pick = 'train' THEN a + weight ELSE a END, CASE WHEN pick = 'val' THEN b + weight ELSE b END, CASE WHEN pick = 'test' THEN c + weight ELSE c END
  FROM (SELECT f.k, f.group_id, weight, a, b, c, CASE WHEN (0.83::DOUBLE * w - a) / 0.83::DOUBLE >= (0.085::DOUBLE * w - b) / 0.085::DOUBLE AND (0.83::DOUBLE * w - a) / 0.83::DOUBLE >= (0.085::DOUBLE * w - c) / 0.085::DOUBLE THEN 'train' WHEN (0.085::DOUBLE * w - b) / 0.085::DOUBLE >= (0.085::DOUBLE * w - c) / 0.085::DOUBLE THEN 'val' ELSE 'test' END AS pick
