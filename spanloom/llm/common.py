@@ -45,3 +45,14 @@ def n_words(text: Column) -> Column:
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column of an Arrow batch."""
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts and arrays go to Python in Arrow batches of at most 1000 rows and 8 MB, not of 10,000 rows: batches lie in
+    memory outside of the heap, on both sides. Smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in str(now) if c.isdigit())
+        plain = digits and str(now).strip("bB") == digits
+        if not plain or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))

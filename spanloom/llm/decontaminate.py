@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, small_batches
 
 WINDOW = 10
 #: Above this size of all benchmark texts (bytes of UTF-8) windows are joined, not broadcast.
@@ -108,6 +108,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     not listed; repeated items count once; repeated documents are each judged; other columns are not carried;
     an empty benchmark hits nothing.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -187,6 +188,7 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, spans: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` (all columns) without its contaminated documents, or with ``spans`` only without their hit passages
     (a document of which nothing is left goes). Documents don't move. A benchmark above the bound is joined."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     if size > max_broadcast_bytes:

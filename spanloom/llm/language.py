@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, small_batches
 
 #: Hashed features.
 DIM = 1 << 15
@@ -135,6 +135,7 @@ def sample_of(docs: DataFrame, key: Column, text_col: str, lang_col: str, per_la
 def train(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Fits the model: vectors are made by the executors, the bounded sample of sparse vectors meets in one task, and
     the weights (DIM x languages) come back to the driver."""
+    small_batches(docs.sparkSession)
     vectors = sample_of(docs, key, text_col, lang_col, per_language).mapInArrow(_counts, "lang string, key bigint, idx array<int>, val array<float>")
 
     def fit_task(frames):
@@ -166,6 +167,7 @@ def predict_text(text: str | None, model: dict) -> tuple[str, float]:
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` (all columns) with lang_pred (string) and score (double, 0 to 1); own columns of these names are
     replaced. Null texts, texts without a letter, and all texts if nothing was learned: ``und``, 0."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stage_table
+from .common import as_bytes, small_batches, stage_table
 
 SHINGLE = 4
 #: Linked when 100 * intersection >= PERCENT * union.
@@ -417,6 +417,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     id unless there is no other; repeated rows and ids each keep their row; other columns are not carried; an
     empty table gives no rows. Sets are compared by 64-bit hashes of shingles.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     rows = stage_table(slim.mapInArrow(_sets(k, percent), f"_id {kind}, n bigint, cls bigint, toks array<bigint>, bits binary"))

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 #: Fixed base rules: kind, pattern, group whose length counts, least length.
 BASE_RULES = (
@@ -74,6 +74,7 @@ def scan_with_ledger(docs: DataFrame, ledger_path: str, text_col: str = "text")
     """Scans what the ledger at ``ledger_path`` lacks, adds it there, and returns the ledger's rows (blob,
     rule_version, findings) of the current rule version. A null text is the empty blob."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # copies meet before the shuffle first, so that a much-copied blob is a few rows
     blobs = docs.select(blob_key(text).alias("blob"), text.alias("body")).dropDuplicates(["blob"])
