@@ -11,6 +11,10 @@ from ..functions.profiles import LATIN, Profile
 from .intervals import islands, overlap_join
 
 
+#: Islands of overlapping spans that one call handles.
+ISLANDS = 256
+
+
 def match_candidates(gold: DataFrame, pred: DataFrame, thr: float = 0.5, book: str = "doc_id") -> DataFrame:
     """book, gold_ix, pred_ix, iou of all pairs with IoU >= thr. ``gold``: gold_ix, s, e; ``pred``: pred_ix, s, e."""
     met = overlap_join(gold.select(book, "gold_ix", "s", "e"), pred.select(book, "pred_ix", "s", "e"), book)
@@ -40,7 +44,8 @@ def greedy_match(cands: DataFrame, book: str = "doc_id", keys: tuple[str, ...] =
     rest = df.filter(~alone).withColumn("_s", F.least("s", "ps")).withColumn("_e", F.greatest("e", "pe")).select(*out, F.col("_s").alias("s"), F.col("_e").alias("e"))
     rest = islands(rest, *by)
     schema = ", ".join(f"{c} {rest.schema[c].dataType.simpleString()}" for c in out)
-    picked = rest.groupBy(*by, "island").applyInPandas(lambda f: _greedy(f)[out], schema)
+    # neighbouring islands share a task's call; what is chosen in one doesn't touch another
+    picked = rest.withColumn("island", F.floor(F.col("island") / ISLANDS)).groupBy(*by, "island").applyInPandas(lambda f: _greedy(f)[out], schema)
     return df.filter(alone).select(*out).unionByName(picked)
 
 
@@ -95,6 +100,7 @@ def _dedupe(frame: pd.DataFrame, thr: float) -> pd.DataFrame:
     keep = []
     for s, e in zip(frame["s"], frame["e"], strict=True):
         ok = True
+        kept = [x for x in kept if x[1] > s]
         for a, b in kept:
             both = min(e, b) - max(s, a)
             if both > 0 and both / ((e - s) + (b - a) - both) >= thr:
@@ -112,7 +118,7 @@ def dedupe_spans(spans: DataFrame, thr: float = 0.5, book: str = "doc_id") -> Da
     isl = islands(spans.select(book, "s", "e"), book)
     isl = isl.withColumn("_n", F.count("*").over(Window.partitionBy(book, "island")))
     kind = spans.schema[book].dataType.simpleString()
-    many = isl.filter("_n > 1").groupBy(book, "island").applyInPandas(lambda f: _dedupe(f, thr)[[book, "s", "e"]], f"{book} {kind}, s bigint, e bigint")
+    many = isl.filter("_n > 1").withColumn("island", F.floor(F.col("island") / ISLANDS)).groupBy(book, "island").applyInPandas(lambda f: _dedupe(f, thr)[[book, "s", "e"]], f"{book} {kind}, s bigint, e bigint")
     return isl.filter("_n = 1").select(book, "s", "e").unionByName(many)
 
 

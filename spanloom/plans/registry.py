@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import q_audit, q_dataset, q_score, q_sharing, q_text
+from . import q_audit, q_dataset, q_decode, q_score, q_sharing, q_text
 
 
 def _modules():
-    return (q_text, q_audit, q_score, q_dataset, q_sharing)
+    return (q_text, q_audit, q_score, q_dataset, q_sharing, q_decode)
 
 
 def queries() -> dict:
