@@ -139,7 +139,10 @@ def train(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str =
     vectors = sample_of(docs, key, text_col, lang_col, per_language).mapInArrow(_counts, "lang string, key bigint, idx array<int>, val array<float>")
 
     def fit_task(frames):
-        model = fit(pd.concat(list(frames), ignore_index=True))
+        rows = list(frames)
+        if not rows:  # an empty sample: no model row
+            return
+        model = fit(pd.concat(rows, ignore_index=True))
         yield pd.DataFrame({"languages": [model["languages"]], "weights": [model["weights"].tobytes()], "bias": [model["bias"].tobytes()]})
 
     empty = docs.sparkSession.createDataFrame([], vectors.schema)
