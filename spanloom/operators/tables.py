@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """``df``, written as Parquet below ``spark.checkpoint.dir`` (only where that is unset, as in tests, a folder of this
-    machine is) and read back; a lost executor costs nothing that came before."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``, which all of the cluster shares; only where that is unset, as in tests, a
+    folder of this machine is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df``, written as Parquet in the shared folder and read back; a lost executor costs nothing that came before."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

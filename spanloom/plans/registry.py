@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import q_audit, q_dataset, q_decode, q_score, q_sharing, q_text
+from . import q_audit, q_dataset, q_decode, q_io, q_score, q_sharing, q_text
 
 
 def _modules():
-    return (q_text, q_audit, q_score, q_dataset, q_sharing, q_decode)
+    return (q_text, q_audit, q_score, q_dataset, q_sharing, q_decode, q_io)
 
 
 def queries() -> dict:
