@@ -253,21 +253,25 @@ def _similar(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)``: (v, root), root the smallest vertex. Min-label propagation with
-    hooking and pointer jumping; every round is written, so that lost executors cost no lineage."""
-    both = stage_table(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stage_table(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    total = None
-    while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        new = labels.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        hooked = new.select("v", "new").union(new.select(F.col("old").alias("v"), "new")).groupBy("v").agg(F.min("new").alias("root"))
-        jump = hooked.select(F.col("v").alias("j"), F.col("root").alias("to"))
-        labels = stage_table(hooked.join(jump, F.col("root") == F.col("j")).select("v", F.col("to").alias("root")))
-        now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
+    """Connected components of ``edges(a, b)``: (v, root), root the smallest vertex. Every vertex hooks to its least neighbour,
+    pointers jump, and the edges are contracted, so that dense groups shrink at once; what a jump hasn't reached yet
+    stays as an edge. Every round is written, so that lost executors cost no lineage."""
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    left = stage_table(edges.filter("a <> b").select(*ends("a", "b")).distinct())
+    roots = stage_table(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v")))
+    while not left.isEmpty():
+        near = left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")).union(left.select(F.col("a").alias("v"), F.col("a").alias("p")).distinct())
+        hook = stage_table(near.groupBy("v").agg(F.min("p").alias("p")))
+        to = hook.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
+        jumped = hook.join(to, F.col("p") == F.col("_v")).select("v", F.col("_p").alias("p"))
+        labels = stage_table(jumped)
+        at = lambda x: labels.select(F.col("v").alias(x), F.col("p").alias(f"p{x}"))
+        roots = stage_table(roots.join(at("root"), "root", "left").select("v", F.coalesce("proot", "root").alias("root")))
+        met = left.join(at("a"), "a").join(at("b"), "b").filter("pa <> pb").select(*ends("pa", "pb"))
+        # a label that has a parent of its own
+        open_ = labels.filter("v <> p").select(*ends("v", "p")).join(labels.select(F.col("p").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        left = stage_table(met.union(open_).distinct())
+    return roots
 
 
 def _linkable(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
