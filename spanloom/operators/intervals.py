@@ -102,7 +102,7 @@ def subtract_intervals(low: DataFrame, high: DataFrame, book: str = "doc_id", id
     return pieces.select(book, name.alias(ident), F.col("g.s").alias("s"), F.col("g.e").alias("e"), "lost", "touched")
 
 
-def apply_precedence(high: DataFrame, low: DataFrame, book: str = "doc_id", high_class: str = "TSAWA", low_class: str = "QUOTE") -> DataFrame:
+def apply_precedence(high: DataFrame, low: DataFrame, book: str = "doc_id", high_class: str = "ROOT", low_class: str = "QUOTE") -> DataFrame:
     """All ``high`` spans and what they leave of ``low`` ones, with ``cls``; no overlap may be left."""
     left = subtract_intervals(low, high, book).select(book, "ann_id", "s", "e", F.lit(low_class).alias("cls"))
     both = high.select(book, F.col("ann_id").cast("string").alias("ann_id"), "s", "e", F.lit(high_class).alias("cls")).unionByName(left)

@@ -212,7 +212,7 @@ def precedence_stats(t):
 
 # quote spans are disjoint, as the higher layer is: nothing may overlap in the result
 @query(sql(f"""WITH high AS (SELECT doc_id, seg_idx AS ann_id, s + 4 AS s, e + 3 AS e FROM gold), low AS (SELECT doc_id, seg_idx AS ann_id, s, e FROM seg WHERE (doc_id * 31 + seg_idx * 7) % 4 IN (0, 1)), {SUBTRACT[len(LOW) + 2:]}
-SELECT doc_id, ann_id::VARCHAR AS ann_id, s, e, 'TSAWA' AS cls FROM high UNION ALL SELECT doc_id, ann_id || CASE WHEN k > 0 THEN '#' || k ELSE '' END, s, e, 'QUOTE' FROM pc""", "gold"))
+SELECT doc_id, ann_id::VARCHAR AS ann_id, s, e, 'ROOT' AS cls FROM high UNION ALL SELECT doc_id, ann_id || CASE WHEN k > 0 THEN '#' || k ELSE '' END, s, e, 'QUOTE' FROM pc""", "gold"))
 def apply_precedence(t):
     high = t.gold().selectExpr("doc_id", "seg_idx AS ann_id", "s + 4 AS s", "e + 3 AS e")
     low = t.seg().filter("(doc_id * 31 + seg_idx * 7) % 4 IN (0, 1)").selectExpr("doc_id", "seg_idx AS ann_id", "s", "e")

@@ -41,15 +41,15 @@ def label_tokens_nested(t):
     return D.label_rows(t.tok(), t.pred()).select("doc_id", "tok_ix", "label")
 
 
-CLS = """cs AS (SELECT g.doc_id, s, e, 'TSAWA' AS cls FROM gold g UNION ALL SELECT doc_id, s, e, 'QUOTE' FROM seg WHERE (doc_id * 31 + seg_idx * 7) % 4 = 2),
+CLS = """cs AS (SELECT g.doc_id, s, e, 'ROOT' AS cls FROM gold g UNION ALL SELECT doc_id, s, e, 'QUOTE' FROM seg WHERE (doc_id * 31 + seg_idx * 7) % 4 = 2),
 c5 AS (SELECT t.doc_id, t.tok_ix, CASE WHEN t.e <= t.s OR c.s IS NULL OR t.s >= c.e THEN 0 ELSE (CASE WHEN c.s > coalesce(lag(t.s) OVER (PARTITION BY t.doc_id ORDER BY t.tok_ix), -1) THEN 1 ELSE 2 END) + CASE WHEN cls = 'QUOTE' THEN 2 ELSE 0 END END AS label
   FROM tok t ASOF LEFT JOIN cs c ON t.doc_id = c.doc_id AND t.s >= c.s)"""
 
 
 @query(sql(f"WITH {CLS} SELECT doc_id, tok_ix, label FROM c5", "gold", "tok"))
 def label_tokens_5(t):
-    cls = t.gold().select("doc_id", "s", "e", F.lit("TSAWA").alias("cls")).union(t.other().filter("layer = 'quote'").select("doc_id", "s", "e", F.lit("QUOTE")))
-    return D.label_rows(t.tok(), cls, cls="cls", pairs={"TSAWA": (1, 2), "QUOTE": (3, 4)}).select("doc_id", "tok_ix", "label")
+    cls = t.gold().select("doc_id", "s", "e", F.lit("ROOT").alias("cls")).union(t.other().filter("layer = 'quote'").select("doc_id", "s", "e", F.lit("QUOTE")))
+    return D.label_rows(t.tok(), cls, cls="cls", pairs={"ROOT": (1, 2), "QUOTE": (3, 4)}).select("doc_id", "tok_ix", "label")
 
 
 STATS = rf"""{CLAUSES_SQL}, cn AS (SELECT *, {N_SYL_SQL} AS n_syl, coalesce(sum(length(clause)) OVER (PARTITION BY doc_id ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM cl),
