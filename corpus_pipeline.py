@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a recognisable language; learns from the labels of the input itself."""
     columns = docs.columns
     model = language.train(docs, F.col("doc_id"))
-    known = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)
-    return language.predict(docs, model).filter(known).select(*columns)
+    known = (F.col("__lang_pred") != "und") & (F.col("__score") >= MIN_SCORE)
+    return language.predict(docs, model, lang_pred="__lang_pred", score="__score").filter(known).select(*columns)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,10 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents that are taken, with how often and how many words."""
-    mixed = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies", "taken")
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """The mix: documents that are taken, with how often and how many words. Own columns of the added names are replaced;
+    ids are unique here, as the join stage keeps one row of each."""
+    mixed = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), "size", "source_size", "target", "copies", "taken")
+    return docs.drop("size", "source_size", "target", "copies", "taken").join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
 STAGES = [

@@ -167,11 +167,11 @@ def predict_text(text: str | None, model: dict) -> tuple[str, float]:
     return model["languages"][best], float(p[best])
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` (all columns) with lang_pred (string) and score (double, 0 to 1); own columns of these names are
     replaced. Null texts, texts without a letter, and all texts if nothing was learned: ``und``, 0."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(lang_pred, score)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,10 +179,10 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         m = shared.value
         for b in batches:
             found = [predict_text(None if t is None else t.decode("utf-8", "replace"), m) for t in as_bytes(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, lang_pred, score])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{lang_pred}` string, `{score}` double")
 
 
 def op5_language_id(spark, sf_dir):

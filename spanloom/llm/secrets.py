@@ -89,17 +89,17 @@ def scan_with_ledger(docs: DataFrame, ledger_path: str, text_col: str = "text")
     return spark.read.schema(schema).parquet(ledger_path).filter(F.col("rule_version") == RULE_VERSION)
 
 
-def findings(docs: DataFrame, ledger_path: str | None = None, text_col: str = "text") -> DataFrame:
+def findings(docs: DataFrame, ledger_path: str | None = None, text_col: str = "text", out_col: str = "findings") -> DataFrame:
     """``docs`` (all columns) with ``findings``: the spans of secrets of its text, by start, then kind.
 
     Without ``ledger_path`` a new ledger is made in the shared folder. Null and empty texts get an empty
-    array; repeated texts and rows each keep their row; an own column named findings is replaced.
+    array; repeated texts and rows each keep their row; an own column named out_col is replaced.
     """
     ledger = scan_with_ledger(docs, ledger_path or shared_dir(docs.sparkSession), text_col)
-    hits = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_blob"])
+    hits = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found")).dropDuplicates(["__blob"])
     blob = blob_key(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.drop("findings").withColumn("_key", blob).join(hits, F.col("_key") == F.col("_blob"), "left")
-    return joined.withColumn("findings", F.coalesce("_found", F.array().cast(FINDINGS))).drop("_key", "_blob", "_found")
+    joined = docs.drop(out_col).withColumn("__key", blob).join(hits, F.col("__key") == F.col("__blob"), "left")
+    return joined.withColumn(out_col, F.coalesce("__found", F.array().cast(FINDINGS))).drop("__key", "__blob", "__found")
 
 
 def redact(docs: DataFrame, ledger_path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -113,9 +113,9 @@ def redact(docs: DataFrame, ledger_path: str | None = None, text_col: str = "tex
         return F.struct(piece.alias("out"), F.greatest(acc["pos"], x["end"]).alias("pos"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    clean = F.aggregate("findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    out = findings(docs, ledger_path, text_col)
-    return out.withColumn(text_col, F.when(F.size("findings") > 0, clean).otherwise(text)).drop("findings")
+    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    out = findings(docs, ledger_path, text_col, "__spans")
+    return out.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans")
 
 
 def spans_string(found, kinds: int):

@@ -32,6 +32,7 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_run_keeps_all_columns(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(WORDS[i % 9 : i % 9 + 20]) + f" x{i}", "en", "s", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS score", "'x' AS findings", "2 AS copies", "3 AS _id")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
