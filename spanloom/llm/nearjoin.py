@@ -50,7 +50,7 @@ LIGHT_MEMBERS, BLOCK = 64, 512
 #: So many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 #: Bits of a parity bitmap for each token.
-BITS = 4
+BITS = 2
 #: Bytes of a token in the sets that are compared (the hash's upper ones).
 SET_BYTES = 6
 
@@ -338,8 +338,9 @@ def _block_pairs(percent: int):
 def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the members of ``heavy(key, cls, n, root)``: keys that share members form clusters, clusters are
     sorted by size and cut into blocks, and blocks whose sizes may link are compared."""
-    lead = heavy.groupBy("key").agg(F.min("cls").alias("a"))
-    cluster = components(heavy.join(lead, "key").select("a", F.col("cls").alias("b"))).select(F.col("v").alias("cls"), F.col("root").alias("cluster"))
+    lead = F.min("cls").over(Window.partitionBy("key"))
+    stars = stage_table(heavy.select(lead.alias("a"), F.col("cls").alias("b")).distinct())
+    cluster = components(stars).select(F.col("v").alias("cls"), F.col("root").alias("cluster"))
     members = heavy.select("cls", "root").distinct().join(cluster, "cls").join(bits, "cls")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "cls")) - 1
     # the window sorts ids and sizes only
