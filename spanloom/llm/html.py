@@ -1,11 +1,12 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree of its elements. Each node's composite density is its characters per tag, adjusted for
-links: nodes whose characters or tags are mostly links lose. The densities of a node's children add up to its
-density sum. The threshold is the least density on the path from the body down to the node of the largest
-density sum; the subtree with the largest sum among nodes that reach the threshold is the main text. Elements
-that never are main text (scripts, navigation, forms, notices and the like) are cut before, by name, role
-or class.
+links: nodes whose characters or tags are mostly links lose. The densities of a node's block children add up to
+its density sum (inline elements without a block are part of their parent's text). The threshold is the least density on the path
+from the body down to the node of the largest density sum. That node's subtree is main text, and so is that of
+the largest sum below every other node that reaches the threshold, as do all nodes above it. The names article
+and main decide nothing. Elements that never are main text (scripts, navigation, forms, notices and the like)
+are cut before, by name, role or class.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ _NAMES = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "block")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.kids = tag, attrs, []
@@ -55,7 +56,7 @@ def is_cut(tag: str, raw: str) -> bool:
     """Whether an element is cut with all below it."""
     if tag in CUT:
         return True
-    if not raw or tag in ("html", "body", "main", "article"):
+    if not raw or tag in ("html", "body"):
         return False
     a = attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
@@ -140,7 +141,8 @@ def _ordered(root: Node) -> list[Node]:
 
 
 def measure(body: Node) -> list[Node]:
-    """Characters, tags, link characters, link tags, composite density and density sum of every node below body."""
+    """Characters, tags, link characters, link tags, composite density, density sum and the node of the largest sum (top) of
+    every subtree below body."""
     nodes = _ordered(body)
     for node in reversed(nodes):
         kids = [k for k in node.kids if not isinstance(k, str)]
@@ -152,9 +154,11 @@ def measure(body: Node) -> list[Node]:
     ratio = body.link_chars / max(1, body.chars)
     for node in nodes:
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
-        node.total = 0.0
-    for node in nodes:
-        node.total = sum(k.density for k in node.kids if not isinstance(k, str))
+    for node in reversed(nodes):
+        blocks = [k for k in node.kids if not isinstance(k, str) and k.block]
+        node.block = node.tag not in INLINE and node.tag not in VOID or bool(blocks)
+        node.total = sum(k.density for k in blocks)
+        node.top = max([node, *(k.top for k in blocks)], key=lambda n: n.total)
     return nodes
 
 
@@ -170,25 +174,26 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio:
 def main_nodes(body: Node) -> list[Node]:
     """The nodes whose subtrees are the main text, in page order."""
     nodes = measure(body)
-    marked = [n for n in nodes if n.tag in ("article", "main")]
-    if marked:  # the page names its main text: the outermost such elements with any text
-        inside: set[int] = set()
-        out = []
-        for n in marked:
-            if id(n) not in inside and n.chars:
-                out.append(n)
-                inside |= {id(x) for x in _ordered(n)}
-        if out:
-            return out
-    best = max(nodes, key=lambda n: n.total)
-    if not best.total:
+    if not body.top.total:
         return [body]
-    path, node = [body], body
-    while node is not best:
-        node = next(k for k in node.kids if not isinstance(k, str) and (k is best or any(x is best for x in _ordered(k))))
-        path.append(node)
-    threshold = min(n.density for n in path)
-    return [max((n for n in nodes if n.density >= threshold), key=lambda n: n.total)]
+    above = {id(k): n for n in nodes for k in n.kids if not isinstance(k, str)}
+    node, threshold = body.top, body.top.density
+    while node is not body:
+        node = above[id(node)]
+        threshold = min(threshold, node.density)
+    out: list[Node] = []
+    taken: set[int] = set()
+    for n in nodes:  # parents first: a node is looked at if all above it reach the threshold
+        up = above.get(id(n))
+        if id(n) in taken or up is not None and id(up) in taken:
+            taken.add(id(n))
+        elif not n.block or n.density < threshold or up is not None and up.top is None:
+            n.top = None
+        elif n.chars and id(n.top) not in taken:
+            out.append(n.top)
+            taken.add(id(n.top))
+    place = {id(n): i for i, n in enumerate(nodes)}
+    return sorted(out, key=lambda n: place[id(n)])
 
 
 def text_of(node: Node) -> str:

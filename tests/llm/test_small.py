@@ -184,6 +184,22 @@ def test_html():
     assert html.extract(None) == html.extract("") == "" and html.extract("plain &lt;x&gt;") == "plain <x>"
 
 
+def test_html_density_decides_on_every_page():
+    def prose(word, n=60):
+        return f"<p>{(word + ' ') * n}</p>"
+
+    def words(page):
+        return html.extract(f"<body>{page}</body>").split()
+
+    assert set(words(f"<article><p>teaser</p></article><div>{prose('word') * 3}</div>")) == {"word"}
+    assert set(words(f"<article>{prose('word') * 3}<article class='comment'>{prose('bad')}</article></article>")) == {"word"}
+    assert set(words(f"<article hidden>{prose('bad') * 5}</article><main class='related'>{prose('bad') * 5}</main><div>{prose('word')}</div>")) == {"word"}
+    # every dense part, in page order, also inside an inline element
+    parts = f"<article>{prose('one') * 4}</article><article>{prose('two') * 4}</article>"
+    assert words(parts) == words(f"<font>{parts}</font>") == ["one"] * 240 + ["two"] * 240
+    assert words("<article><h1>Title</h1><p><b>" + "word " * 60 + "</b><br></article>") == ["Title"] + ["word"] * 60
+
+
 def test_chat_blocks_agree_with_one_block(spark):
     rows = [(i, "\n".join(f"{['User', 'Assistant'][j % 2]}: line {j}\nmore\n" for j in range(1 + i * 3))) for i in range(6)] + [(90, None), (91, " \n ")]
     df = spark.createDataFrame(rows, "id long, text string")
