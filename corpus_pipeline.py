@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near copies."""
-    return nearjoin.deduplicate(docs)
+    """Keeps one document, that with the smallest id, of each group of near copies: 5-word Jaccard of 0.8 or more."""
+    return nearjoin.deduplicate(docs, k=5, percent=80)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,24 @@ def test_stages_take_effect(spark, tmp_path):
     assert "password" not in out.get(24, {"text": ""})["text"]
 
 
+def test_join_stage_takes_five_words_and_80_percent(spark):
+    words = [f"w{i}" for i in range(1000)]
+
+    def replaced(n):
+        return " ".join(f"x{i}" if i % 45 == 20 and i // 45 < n else w for i, w in enumerate(words))
+
+    def jaccard(a, b, k):
+        x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    base = " ".join(words)
+    assert jaccard(base, replaced(21), 5) == 891 / 1101 and jaccard(base, replaced(21), 4) < 0.85
+    far = " ".join(f"y{i}" if i % 40 == 5 else w for i, w in enumerate(words))
+    assert jaccard(base, far, 5) < 0.8
+    docs = spark.createDataFrame([(1, base), (2, replaced(21)), (3, far)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, "").collect()} == {1, 3}
+
+
 def test_run_keeps_all_columns(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(WORDS[i % 9 : i % 9 + 20]) + f" x{i}", "en", "s", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.selectExpr("*", "1 AS score", "'x' AS findings", "2 AS copies", "3 AS _id")
