@@ -42,9 +42,10 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents that are taken, with how often and how many words. Own columns of the added names are replaced;
-    ids are unique here, as the join stage keeps one row of each."""
-    mixed = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), "size", "source_size", "target", "copies", "taken")
-    return docs.drop("size", "source_size", "target", "copies", "taken").join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    rows get a written number to join back on, as ids may repeat or lack."""
+    numbered = stage_table(docs.drop("size", "source_size", "target", "copies", "taken").withColumn("__row", F.monotonically_increasing_id()))
+    mixed = mixing.mix(numbered, carry=("__row",)).filter("copies > 0").select("__row", "size", "source_size", "target", "copies", "taken")
+    return numbered.join(mixed, "__row").drop("__row")
 
 
 STAGES = [

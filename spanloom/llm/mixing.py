@@ -64,15 +64,15 @@ def dual_rate(size: Column, target: Column, steps: int = NEWTON_STEPS) -> Column
     return F.when((size > 0) & (target > 0), F.exp(solved)).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = MAX_COPIES) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = MAX_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mixes documents to their sources' target tokens.
 
     Returns one row per input row: id_col, size, source_size, target, rate (the tilted rate), copies and taken
-    (copies * size). Other columns are not carried. Null or empty texts have size 0 and no copies; a null
+    (copies * size). Other columns than ``carry`` are not carried. Null or empty texts have size 0 and no copies; a null
     source is a source of its own, last in order; repeated ids are documents of their own; ties between equal
     rows may fall either way; an empty table gives no rows. Reruns agree: order is by size, then md5 of the id.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carry)
     # 4096 sub-groups for each source and size keep hot groups apart
     slim = stage_table(slim)  # the texts are read once
     slim = slim.withColumn("_md", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))).withColumn("_h", F.substring("_md", 1, 3))
@@ -105,12 +105,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cells.withColumn("_before", F.coalesce(F.sum("n").over(in_group), F.lit(0))).drop("n")
     cells = cells.join(sizes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     cells = cells.select("_s", "_z", F.col("_h").alias("_b"), "source_size", "target", "rate", "_n", "_k", "_before")
-    j = F.col("_before") + F.row_number().over(Window.partitionBy("source", "size", "_h").orderBy("_md", "_id"))
+    j = F.col("_before") + F.row_number().over(Window.partitionBy("source", "size", "_h").orderBy("_md", "_id", *carry))
     return (
         slim.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_h") == F.col("_b")))
         .withColumn("_j", j)
         .withColumn("copies", (F.expr("(_j * _k) div _n") - F.expr("((_j - 1) * _k) div _n")).cast("long"))
-        .select(F.col("_id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("_id").alias(id_col), *carry, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 

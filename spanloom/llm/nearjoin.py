@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, stage_table
+from .common import WORD, as_bytes, small_batches, stage_table
 
 SHINGLE = 4
 #: Linked when 100 * intersection >= PERCENT * union.
@@ -439,10 +439,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` (all columns) with one document of each component: that whose id names it. Rows with a null id stay."""
-    keep = join(docs, id_col, text_col, k, percent).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` (all columns) with one row of each component, that with the smallest id (null ids last). Rows are told apart
+    by id, text and the other columns, so ids may repeat or lack. Rows without words link with nothing and all stay."""
+    # maps have no hash
+    others = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.xxhash64(F.lit(1), *others).alias("row")))
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    keep = join(keyed.filter(worded), "__key", text_col, k, percent).filter(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    kept = keyed.filter(worded).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return kept.unionByName(docs.filter(~worded))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):

@@ -48,6 +48,21 @@ def test_join_stage_takes_five_words_and_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, "").collect()} == {1, 3}
 
 
+def test_repeated_and_null_ids(spark):
+    def prose(seed):
+        return " ".join(f"{seed}-{i}" for i in range(30))
+
+    rows = [(1, prose("a")), (1, prose("b")), (2, prose("b")), (3, prose("a")), (None, prose("c")), (None, prose("c")), (None, prose("d")), (None, prose("a")), (4, prose("e")), (4, prose("e")), (5, None), (None, " ")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.join_near_copies(spark, docs, "")
+    want = [(1, prose("a")), (1, prose("b")), (None, prose("c")), (None, prose("d")), (4, prose("e")), (5, None), (None, " ")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    some = spark.createDataFrame([(None if i % 2 else 7, prose(i), "s") for i in range(8)], docs.schema)
+    mixed = corpus_pipeline.mix_sources(spark, some, "").collect()
+    texts = [r.text for r in mixed]
+    assert mixed and len(texts) == len(set(texts)) and all(r.taken == 30 * r.copies for r in mixed)
+
+
 def test_run_keeps_all_columns(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(WORDS[i % 9 : i % 9 + 20]) + f" x{i}", "en", "s", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.selectExpr("*", "1 AS score", "'x' AS findings", "2 AS copies", "3 AS _id")
