@@ -60,6 +60,11 @@ def realign_offsets(spans: DataFrame, found: DataFrame, book: str = "doc_id") ->
     return spans.select(book, "s", "e").groupBy(book).cogroup(found.select(book, "s", "e").groupBy(book)).applyInPandas(run, f"{book} {kind}, s bigint, e bigint, offset bigint")
 
 
+def low_books(texts: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> DataFrame:
+    """Books to re-align: those whose spans (with their surroundings) have a low heading rate."""
+    return heading_rates(texts, profile, book).filter(F.col("heading_rate") < MIN_HEADING).select(book)
+
+
 def accept_realignment(rate_raw: Column, rate_new: Column, in_bounds: Column) -> Column:
     return in_bounds & (rate_new >= MIN_HEADING) & (rate_new - rate_raw >= MIN_GAIN)
 
