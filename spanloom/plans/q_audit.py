@@ -8,6 +8,7 @@ from ..functions.profiles import LATIN
 from ..operators import audit as A
 from ..operators import intervals as I
 from ..operators.spans import attach_text
+from ..operators.tables import stage
 from .fixtures import Tables, collector, sql
 from .q_text import MARKERS_SQL, ST, _b, heading_sql
 
@@ -123,7 +124,10 @@ PROFILE = """bp AS (SELECT b.doc_id, b.batch, count(*) AS n_spans, any_value(b.n
 @query(sql(f"""WITH {PROFILE}, o AS (SELECT doc_id, bool_or(layer = 'quote') AS q, count_if(layer = 'chapter') AS c FROM other GROUP BY doc_id)
 SELECT bp.*, coalesce(q, false) AS has_quote, coalesce(c, 0)::BIGINT AS n_chapter, coalesce(split, '') AS split, 0::BIGINT AS n_long_repeated FROM bp LEFT JOIN o ON o.doc_id = bp.doc_id LEFT JOIN prior ON prior.doc_id = bp.doc_id""", "gold", "other", "books", "prior"))
 def book_profile(t):
-    return A.book_profile(t.books(), t.gold(), t.other(), t.prior())
+    from ..operators import sharing as H
+
+    found = H.verbatim_matches(stage(H.needles(t.gold(), t.texts())), t.texts())
+    return A.book_profile(t.books(), t.gold(), t.other(), t.prior(), found.select("doc_id", "needle_id").distinct())
 
 
 @query(sql(f"""WITH {PROFILE}, q AS (SELECT batch, count(*) AS n, list(n_spans ORDER BY n_spans) AS l, list(per_100k ORDER BY per_100k) AS l2, median(n_spans) AS m1, median(per_100k) AS m2, count_if(n_spans < 10) AS n_lt10, count_if(per_100k < 5) AS n_lt5 FROM bp GROUP BY batch)

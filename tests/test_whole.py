@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -55,3 +55,14 @@ def test_realign_offsets_takes_every_low_book(spark, folder):
             want |= {(d, int(x), int(y), int(o)) for x, y, o in zip(s, e, clean.choose_offsets(s, e, a, b), strict=True)}
     got = {(r.doc_id, r.s, r.e, r.offset) for r in registry.queries()["realign_offsets"](spark, folder).collect()}
     assert got == want and any(d % 10 for d, *_ in got)
+
+
+def test_book_profile_counts_repeated_long_spans(spark, folder):
+    t = Tables(spark, folder)
+    texts = {r.doc_id: r.text for r in t.texts().collect()}
+    want = Counter()
+    for d, _, s, e in spans(t.gold()):
+        seg = texts[d][s:e]
+        want[d] += e - s >= 40 and len([x for x in re.split(r"[ \n.,!]+", seg) if x]) >= 8 and any(seg in x for o, x in texts.items() if o != d)
+    got = {r.doc_id: r.n_long_repeated for r in registry.queries()["book_profile"](spark, folder).collect()}
+    assert got == dict(want) and any(got.values())
