@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import LATIN, Profile
 from .spans import attach_text
+from .tables import stage
 
 MATCH_MIN = 40
 K = 6
+#: Most characters of a key of strings without an inner syllable.
+MAX_CHARS = 12
 LINK_SHARE = 0.10
 MIN_SHARED, MIN_SHARED_ABS = 2, 10
 
@@ -96,12 +101,42 @@ def repeat_rate(needle_rows: DataFrame, found: DataFrame, books: DataFrame, book
     return df.select(F.coalesce("batch", F.lit("all")).alias("batch"), "n_long", "n_repeated", F.round(F.col("n_repeated") * 100.0 / F.col("n_long"), 1).alias("pct"))
 
 
-def leakage_by_spread(needle_rows: DataFrame, found: DataFrame, splits: DataFrame, split: str = "test", short: int = 60, book: str = "doc_id") -> DataFrame:
-    """Needles of a split by the number of train books that hold them (0, 1-2, 3-9, 10+): needles, and short ones."""
-    train = splits.filter("split = 'train'").select(F.col(book).alias("other"))
-    n = found.join(train, "other", "left_semi").groupBy(book, "needle_id").agg(F.count("*").alias("_n"))
-    rows = needle_rows.select(book, "needle_id", "len").join(splits.filter(F.col("split") == split).select(book), book).join(n, [book, "needle_id"], "left")
-    c = F.coalesce("_n", F.lit(0))
+def count_holders(strings: DataFrame, books: DataFrame, profile: Profile = LATIN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
+    """nd, n: how many books' squeezed texts hold each of the distinct ``strings(nd)`` of any length; those in none are absent.
+
+    Keys are the rarest of a string's inner shingles, as in verbatim_matches; of fewer than k inner syllables all are one
+    shingle. Strings without an inner syllable have their first characters as key, and meet texts at every position.
+    """
+    keys = strings.filter("nd <> ''").withColumn("_y", T.syllables(F.col("nd"), profile))
+    inner = F.least(F.size("_y") - 2, F.lit(k))
+    keys = keys.withColumn("w", F.when(inner > 0, inner).otherwise(-F.least(F.length("nd"), F.lit(MAX_CHARS)))).withColumn("_y", F.slice("_y", 2, F.greatest(F.size("_y") - 2, F.lit(0))))
+    keys = stage(keys)
+    squeezed = books.select(F.col(book).alias("other"), squeeze(F.col(text), profile).alias("_t")).withColumn("_y", T.syllables(F.col("_t"), profile))
+    wanted, held = [], []
+    for (w,) in sorted(keys.select("w").distinct().collect()):
+        own = keys.filter(F.col("w") == w)
+        mine = _shingles(F.col("_y"), w) if w > 0 else F.array(F.xxhash64(F.left("nd", F.lit(-w))))
+        # a look-ahead gives the characters from every position on
+        theirs = _shingles(F.col("_y"), w) if w > 0 else F.transform(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{-w}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+        wanted.append(own.select("nd", "w", F.explode(F.array_distinct(mine)).alias("h")))
+        held.append(squeezed.select("other", F.lit(w).alias("w"), F.explode(F.array_distinct(theirs)).alias("h")).join(wanted[-1].select("h").distinct(), "h", "left_semi").select("other", "w", "h"))
+    if not wanted:
+        return keys.select("nd", F.lit(0).cast("bigint").alias("n"))
+    wanted, held = reduce(DataFrame.union, wanted), stage(reduce(DataFrame.union, held))
+    best = wanted.join(held.groupBy("w", "h").agg(F.count("*").alias("df")), ["w", "h"]).groupBy("nd").agg(F.min_by(F.struct("w", "h"), F.struct("df", "h")).alias("x"))
+    per = best.select("nd", "x.w", "x.h").join(held, ["w", "h"]).groupBy("other").agg(F.collect_list("nd").alias("c"))
+    met = per.join(squeezed.select("other", "_t"), "other").select(F.explode(F.filter("c", lambda x: F.contains(F.col("_t"), x))).alias("nd"))
+    return met.groupBy("nd").agg(F.count("*").alias("n"))
+
+
+def leakage_by_spread(spans: DataFrame, books: DataFrame, splits: DataFrame, profile: Profile = LATIN, split: str = "test", short: int = 15, book: str = "doc_id") -> DataFrame:
+    """Spans (book, s, e and a key) of an evaluation split, of any length, by the number of train books that hold their text
+    (0, 1-2, 3-9, 10+): spans, and those of fewer than ``short`` characters."""
+    own = spans.join(splits.filter(F.col("split") == split).select(book), book, "left_semi")
+    own = stage(attach_text(own, books, book, context=0).select(squeeze(F.col("seg"), profile).alias("nd"), (F.col("e") - F.col("s")).alias("len")))
+    train = books.join(splits.filter("split = 'train'").select(book), book, "left_semi")
+    rows = own.join(count_holders(own.select("nd").distinct(), train, profile, book=book), "nd", "left")
+    c = F.coalesce("n", F.lit(0))
     return rows.groupBy(F.when(c == 0, "0").when(c <= 2, "1-2").when(c <= 9, "3-9").otherwise("10+").alias("spread")).agg(F.count("*").alias("n"), F.count_if(F.col("len") < short).alias("n_short"))
 
 

@@ -89,8 +89,7 @@ def repeat_rate(t):
 r AS (SELECT n.len, coalesce(c, 0) AS c FROM ndl n JOIN prior p ON p.doc_id = n.doc_id AND p.split = 'test' LEFT JOIN l ON l.doc_id = n.doc_id AND l.needle_id = n.needle_id)
 SELECT CASE WHEN c = 0 THEN '0' WHEN c <= 2 THEN '1-2' WHEN c <= 9 THEN '3-9' ELSE '10+' END AS spread, count(*) AS n, count_if(len < 60)::BIGINT AS n_short FROM r GROUP BY 1""", "gold", "prior"))
 def leakage_by_spread(t):
-    n = rows(t)
-    return H.leakage_by_spread(n, found(t, n), t.prior())
+    return H.leakage_by_spread(t.gold().select("doc_id", "seg_idx", "s", "e"), t.texts(), t.prior())
 
 
 @query(sql(f"WITH {ST.format('gold')}, c AS (SELECT {NORM_SQL} AS t, count(*) AS n FROM st GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, t) AS r FROM c) SELECT sum(n)::BIGINT AS n_spans, count(*) AS n_distinct, count_if(n = 1)::BIGINT AS n_single, sum(n) FILTER (WHERE r <= 10)::BIGINT AS top10, sum(n) FILTER (WHERE r <= 100)::BIGINT AS top100, max(CASE WHEN r = 1 THEN t END) AS most_common FROM r", "gold"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from spanloom.functions.profiles import LATIN
-from spanloom.operators import clean
+from spanloom.operators import clean, sharing
 from spanloom.operators.audit import heading_rates
 from spanloom.operators.spans import attach_text
 from spanloom.plans import registry
@@ -66,3 +66,26 @@ def test_book_profile_counts_repeated_long_spans(spark, folder):
         want[d] += e - s >= 40 and len([x for x in re.split(r"[ \n.,!]+", seg) if x]) >= 8 and any(seg in x for o, x in texts.items() if o != d)
     got = {r.doc_id: r.n_long_repeated for r in registry.queries()["book_profile"](spark, folder).collect()}
     assert got == dict(want) and any(got.values())
+
+
+def test_leakage_by_spread_takes_spans_of_any_length(spark, folder):
+    t = Tables(spark, folder)
+    texts = {r.doc_id: r.text for r in t.texts().collect()}
+    splits = {r.doc_id: r.split for r in t.prior().collect()}
+
+    def brute(rows):
+        want = defaultdict(lambda: [0, 0])
+        for d, _, s, e in rows:
+            if splits.get(d) == "test":
+                c = sum(texts[d][s:e] in x for o, x in texts.items() if splits.get(o) == "train")
+                cell = want["0" if not c else "1-2" if c <= 2 else "3-9" if c <= 9 else "10+"]
+                cell[0] += 1
+                cell[1] += e - s < 15
+        return dict(want)
+
+    read = lambda df: {r.spread: [r.n, r.n_short] for r in df.collect()}
+    assert read(registry.queries()["leakage_by_spread"](spark, folder)) == brute(spans(t.gold()))
+    # any place and length: parts of words, one and two syllables, separators
+    some = [(d, i, 11 * i % 400, 11 * i % 400 + 1 + i % 37) for d in (10, 20) for i in range(90)]
+    got = sharing.leakage_by_spread(spark.createDataFrame(some, "doc_id long, seg_idx long, s long, e long"), t.texts(), t.prior())
+    assert read(got) == brute(some)
