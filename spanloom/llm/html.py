@@ -25,8 +25,11 @@ from .common import small_batches
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-CUT = frozenset("script style noscript template iframe title head nav header footer aside form button select textarea input label option menu dialog svg canvas object embed math audio video xmp noembed noframes map".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+CUT = frozenset("script style noscript template iframe title head nav header footer aside form button select textarea input label option menu dialog svg canvas object embed annotation annotation-xml audio video xmp noembed noframes map".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Words of class and id values (split at anything but letters, and at lower-upper) that mark what isn't main text.
@@ -34,8 +37,11 @@ NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget "
     "cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social comment comments respond replies disqus related recommended pager pagination toolbar hidden".split()
 )
-#: An element with these words keeps its text whatever else it is called.
+#: A name that ends in one of these is kept after a word of MAIN: an article's own header holds its title.
+SOFT = frozenset("header masthead".split())
 MAIN = frozenset("article main content post entry body story text".split())
+#: A name that starts with one of these only tells what else the page has.
+WITH = frozenset("has no with without".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMES = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
@@ -61,8 +67,15 @@ def is_cut(tag: str, raw: str) -> bool:
     a = attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
         return True
-    names = {x.lower() for k in ("class", "id") for x in _NAMES.findall(a.get(k, ""))}
-    return bool(names & NOISE) and not names & MAIN
+    return any(is_noise([x.lower() for x in _NAMES.findall(name)]) for k in ("class", "id") for name in a.get(k, "").split())
+
+
+def is_noise(words: list[str]) -> bool:
+    """Whether a class or id of these words marks noise: its first or last word does (comment-body, post-comments), but
+    content-sidebar-wrap and has-sidebar don't."""
+    if not words or words[0] in WITH:
+        return False
+    return words[0] in NOISE or words[-1] in NOISE and not (words[-1] in SOFT and not MAIN.isdisjoint(words))
 
 
 def parse(page: str) -> Node:
@@ -123,11 +136,28 @@ def _close(stack: list[Node], name: str, barrier) -> None:
 
 
 def prune(root: Node) -> None:
-    todo = [root]
+    """Cuts what never is main text. A form that holds over half of the text is the page's frame and stays."""
+    todo, forms = [root], []
     while todo:
         node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not is_cut(k.tag, k.attrs)]
-        todo += [k for k in node.kids if not isinstance(k, str)]
+        kept = []
+        for k in node.kids:
+            if isinstance(k, str) or not is_cut(k.tag, k.attrs):
+                kept.append(k)
+            elif k.tag == "form" and not is_cut("div", k.attrs):
+                kept.append(k)
+                forms.append((node, k))
+        node.kids = kept
+        todo += [k for k in kept if not isinstance(k, str)]
+    if forms:
+        half = _chars(root) / 2
+        for parent, form in forms:
+            if _chars(form) <= half:
+                parent.kids = [k for k in parent.kids if k is not form]
+
+
+def _chars(node: Node) -> int:
+    return sum(len("".join(k.split())) for n in _ordered(node) for k in n.kids if isinstance(k, str))
 
 
 def _ordered(root: Node) -> list[Node]:
@@ -166,9 +196,10 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio:
     """Characters per tag times a logarithm that falls with the share of link characters and link tags."""
     if not chars:
         return 0.0
-    tags, links, lts = max(1, tags), max(1, link_chars), max(1, link_tags)
+    tags, links, link_tags = max(1, tags), max(1, link_chars), max(1, link_tags)
     base = math.log(chars / max(1, chars - link_chars) * link_chars + body_ratio * chars + math.e)
-    return chars / tags * math.log(max(1.0, chars / links * tags / lts) + 1e-9) / math.log(max(base, 1 + 1e-9)) if base > 1 else chars / tags * math.log(max(1.0, chars / links * tags / lts) + 1e-9)
+    # a base below e would blow up small nodes without links
+    return chars / tags * math.log(max(1.0, chars / links * tags / link_tags) + 1e-9) / math.log(max(base, math.e))
 
 
 def main_nodes(body: Node) -> list[Node]:
