@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -122,6 +123,31 @@ def test_mixing(spark, docs):
     assert all(abs(r.t - r.n) <= 40 for r in per.collect())
 
 
+def brute_rates(sizes, target, cap=3):
+    """Rates min(cap, exp(l * z ** 0.5)) with sum(z * rate) = target, by halving."""
+    lo, hi = -64.0, 64.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(z * min(cap, math.exp(min(700, mid * z**0.5))) for z in sizes) < target else (lo, mid)
+    return [min(cap, math.exp(min(700, lo * z**0.5))) if z else 0.0 for z in sizes]
+
+
+def test_rates_against_a_brute_force_solver(spark):
+    rows = [(i, " ".join(["w"] * (i * i % 97)), ["a", "b", "c", "d", None][i % 5 if i % 7 else 0]) for i in range(400)] + [(900, "", "empty"), (901, None, "none"), (902, "w " * 5000, "one")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=()).collect()
+    source = {i: s for i, _, s in rows}
+    for s in set(source.values()):
+        own = [r for r in got if source[r.doc_id] == s]
+        target, total = own[0].target, own[0].source_size
+        want = brute_rates([r.size for r in own], target) if 0 < target < 3 * total else [3.0 * (r.size > 0) for r in own]
+        assert [r.rate for r in own] == pytest.approx(want, rel=1e-6), s
+        if 0 < target < 3 * total:
+            assert sum(r.rate * r.size for r in own) == pytest.approx(target, rel=1e-6)
+            assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own)
+    # rates differ among the documents of a source
+    assert any(len({r.rate for r in got if source[r.doc_id] == s}) > 5 for s in "abcd")
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
