@@ -28,8 +28,9 @@ MAX_COPIES = 3
 WEIGHT_POWER = 0.5
 #: Phase of the systematic rounding; off any simple fraction, so that rates such as 1/2 give no ties.
 PHASE = 0.41421356
-#: A multiplier is solved when a step moves it less than this; rates are made from multipliers of DIGITS decimals.
-TOLERANCE, DIGITS = 1e-13, 10
+#: A multiplier is solved by a Newton step smaller than STEP (its error then is near the step's square), or by a bracket
+#: smaller than WIDTH; rates are made from multipliers of DIGITS decimals.
+STEP, WIDTH, DIGITS = 1e-9, 1e-13, 10
 #: The bracket halves at least every other step: a bound against a loop that never ends, not a limit that is met.
 MAX_STEPS = 200
 #: Sums are exact in decimals, whatever their order.
@@ -83,8 +84,12 @@ def balance(sizes: DataFrame, goals: DataFrame, max_copies: int = MAX_COPIES) ->
     fixed = F.when(F.col("source_size") == 0, F.lit(None).cast("double")).when(F.col("target") <= 0, -inf).when(full, inf)
     easy = (F.col("source_size") == 0) | (F.col("target") <= 0) | full
     solved = goals.filter(easy).select("source", fixed.alias("multiplier"))
-    state = goals.filter(~easy).select("source", "target", F.lit(0.0).alias("l"), (-inf).alias("lo"), inf.alias("hi"), F.lit(False).alias("done"))
     terms = sizes.filter("size > 0").select(F.col("source").alias("_s"), "size", (F.col("n") * F.col("size")).alias("m"))
+    # the right multiplier if all documents had their mean tilt
+    tilts = terms.groupBy("_s").agg((F.sum((F.col("m") * tilt_of(F.col("size"))).cast(EXACT)).cast("double") / F.sum("m")).alias("tilt"))
+    state = goals.filter(~easy).join(tilts, F.col("source").eqNullSafe(F.col("_s")))
+    start = F.log(F.col("target") / F.col("source_size")) / F.col("tilt")
+    state = state.select("source", "target", start.alias("l"), (-inf).alias("lo"), inf.alias("hi"), F.lit(False).alias("done"))
     for _ in range(MAX_STEPS):
         state = stage_table(state)
         if state.filter("NOT done").isEmpty():
@@ -109,7 +114,7 @@ def balance(sizes: DataFrame, goals: DataFrame, max_copies: int = MAX_COPIES) ->
         newton = F.col("l") + step
         inside = step.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi"))
         at = F.when(F.col("f") == F.col("target"), F.col("l")).when(inside, newton).otherwise(middle)
-        end = (F.abs(at - F.col("l")) < TOLERANCE) | (F.col("hi") - F.col("lo") < TOLERANCE)
+        end = (F.abs(at - F.col("l")) < F.when(inside, STEP).otherwise(WIDTH)) | (F.col("hi") - F.col("lo") < WIDTH)
         state = now.select("source", "target", F.when(F.col("done"), F.col("l")).otherwise(at).alias("l"), "lo", "hi", (F.col("done") | end).alias("done"))
     return solved.union(state.select("source", F.round("l", DIGITS).alias("multiplier")))
 
