@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,25 +15,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder path below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is absent (tests in local mode) a folder of this machine is set.
-    """
+    """A fresh folder path below ``spark.checkpoint.dir``, which driver and executors share; an error where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame) -> DataFrame:
+def stage_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stage_table whose tables are deleted at the end: only for what no later DataFrame reads."""
+    root = shared_dir(spark)
+    try:
+        yield lambda df: stage_table(df, f"{root}/{uuid.uuid4().hex}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,27 +1,32 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets form a
-class; only one text of each class is joined. All tokens have one global order: rare ones by hash, then
-frequent ones, then those that weren't counted. Two sets with the wanted similarity share at least k tokens in
-their k-prefixes (the first n - t + k tokens, t the least overlap a set of n can link with), and those are
-their k first common ones. So
-
-* the first common token is rare or uncounted: both index it as a single token of their 1-prefix;
-* it is frequent: then both index the combination of their first two common tokens (k = 2) of the 2-prefix.
-  Larger sets, whose combinations would be too many, index frequent single tokens instead; sizes that may
-  link across that limit do both.
-
-A pair meets only at keys from which on both sets hold enough tokens to link. Candidates are then verified in two
-steps: parity bitmaps give a lower bound of the symmetric difference, which rejects nearly all false pairs for
-a few bytes; the rest are compared on their whole sets. Only components are asked for, so a pair that is
-connected already is not verified again: in each round every index key links its members to one of them (a
-star); after some rounds the pairs left between different components are all verified. No
-candidate pair is ever dropped. Keys that still have many members are joined into clusters, whose members are
-compared by their bitmaps in blocks, each pair once instead of at every key; only the pairs that pass are made.
+A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets (by 128 bits)
+form a class, and only one text of each class is joined. All tokens have one global order: rare ones by hash, then
+frequent ones, then those that weren't counted. Let two sets of n and m tokens link, so that they share at least t.
+
+* If their first common token is rare, it lies in both 1-prefixes (the first n - t + 1 tokens): rare tokens of the
+  1-prefix are indexed singly.
+* Else all common tokens are in the frequent rest of both sets, f and g tokens long. There a token of only one set
+  parts at most two pairs of neighbours of its own set and one of the other's, so the first pair of neighbours that
+  both sets have is among the first 2 * (f - t) + (g - t) + 1 pairs of the one, and likewise of the other. Sets
+  whose rest is long enough extend their prefix that far and index its combinations of two neighbours: fewer keys
+  than all combinations of the prefix, and rarer ones than its tokens.
+
+Candidates are verified twice: parity bitmaps give a lower bound of the symmetric difference, which rejects
+nearly all false pairs for a few bytes; for the rest, both texts meet, and their shingles are compared word by word.
+Only components are asked for, so a pair that is connected already is not verified: in each round every key has a
+leader, and each set meets the one leader with which it shares most keys (a star). Keys whose members are one
+component by then are done. In the last round all pairs left between components are verified; no candidate pair
+is ever dropped. Members of keys that still are large form clusters, which are cut into blocks by size and hash
+and compared by bitmaps block by block, each pair once instead of at every key.
+
+Hashes decide nothing but candidates and equal sets: of 10**10 sets, two differing ones have equal 128-bit digests
+with a probability below 2**-61.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, small_batches, stage_table
+from .common import WORD, as_bytes, scratch, small_batches, stage_table
 
 SHINGLE = 4
 #: Linked when 100 * intersection >= PERCENT * union.
@@ -38,27 +43,30 @@ PERCENT = 85
 #: Tokens are counted (and so can be frequent) if their hash is in this part of the range. Prefixes hold the
 #: smallest hashes, so larger ones matter only where a set is nearly all frequent; they come last in the order.
 COUNTED = 0.25
-#: Tokens in more sets than this are frequent; raised so that at most 2**20 of them can exist (8 MB to broadcast).
+#: Tokens in more sets than this are frequent.
 FREQUENT = 48
+#: So many frequent tokens (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_FREQUENT = 1 << 20
-#: Sets of at most so many tokens index combinations of frequent tokens.
-COMBINED_SIZE = 250
+#: Below this percentage neighbours in both sets aren't certain: every token of the 1-prefix is indexed singly.
+COMBINED_PERCENT = 70
 #: Rounds of stars before the pairs that are left between components are verified.
-STAR_ROUNDS = 2
-#: Keys of more members then are handled in blocks of so many members.
-LIGHT_MEMBERS, BLOCK = 64, 512
-#: So many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+STAR_ROUNDS = 3
+#: Postings of combinations are spread over so many parts of their key.
+SALTS = 64
+#: Keys of more members than that are handled in blocks of about so many members.
+LIGHT_MEMBERS, BLOCK = 64, 1024
+#: So many ids are broadcast to pick texts; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 #: Bits of a parity bitmap for each token.
 BITS = 2
-#: Bytes of a token in the sets that are compared (the hash's upper ones).
-SET_BYTES = 6
 
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x9E3779B97F4A7C55
 _LIMIT = np.uint64(int(COUNTED * 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A-Z lower-cased.
+_LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -111,8 +119,14 @@ def tokens(text: bytes | None, powers: Powers, k: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def class_key(toks: np.ndarray) -> int | None:
-    return xxhash.xxh64_intdigest(toks.tobytes()) - (1 << 63) if len(toks) else None
+def digest(toks: np.ndarray) -> bytes | None:
+    """128 bits of a set; None of the empty one."""
+    return xxhash.xxh3_128_digest(toks.tobytes()) if len(toks) else None
+
+
+def vertex(cls: bytes | None, seed: int) -> int | None:
+    """The number of a class in joins; a seed is taken with which no two classes of the corpus share theirs."""
+    return None if cls is None else xxhash.xxh3_64_intdigest(cls, seed) - (1 << 63)
 
 
 def parity(toks: np.ndarray) -> bytes:
@@ -135,174 +149,276 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(k: int, percent: int):
-    """A row for each document: n and class key, and for the first of its class in this task the counted tokens (or all, if
-    the prefix may need them) and the bitmap."""
+def combined_size(n: int, rest: int, percent: int) -> int:
+    """How many pairs of neighbours a set of n with so many frequent and uncounted tokens indexes: one more than the
+    largest 2 * (f - t) + (m - t), which the smallest m that can link gives."""
+    least = -(-percent * n // 100)
+    if rest < least:
+        return 0
+    return max(0, ((2 * rest + least) * (100 + percent) - 3 * percent * (n + least)) // (100 + percent) + 1)
+
+
+def prefix_keys(s: np.ndarray, n: int, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set of n tokens, and their places: i >= 0 of a single rare token, -1 - i of a combination.
+    ``s``: its smallest tokens, at least those that are indexed; ``often``: which of the counted ones are frequent."""
+    low = len(often)
+    rare, rest = s[:low][~often], np.concatenate((s[:low][often], s[low:]))
+    first = prefix_size(n, percent)
+    if percent < COMBINED_PERCENT:
+        one = np.concatenate((rare, rest))[:first]
+        return one, np.arange(len(one))
+    keys, places = [rare[:first]], [np.arange(min(first, len(rare)))]
+    if pairs := combined_size(n, n - len(rare), percent):
+        two = rest[: pairs + 1]
+        if len(two) > 1:
+            keys.append(_mix(_mix(two[:-1]) + two[1:]))
+            places.append(-1 - np.arange(len(two) - 1))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def _once(batches: Iterator[pa.RecordBatch], k: int, at: int):
+    """For each batch its rows' sets, and whether each set is the first of its class in this task."""
+    powers, seen = Powers(), set()
+    for b in batches:
+        out = []
+        for text in as_bytes(b.column(at)):
+            s = tokens(text, powers, k)
+            c = digest(s)
+            out.append((s, c, c is not None and c not in seen))
+            seen.add(c)
+        yield b, out
+
+
+def _sets(k: int, seed: int):
+    """A row for each document: id, n, class and its number, and for the first of its class in this task the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
-        for b in batches:
-            size, cls, toks, bits = [], [], [], []
-            for text in as_bytes(b.column(1)):
-                s = tokens(text, powers, k)
-                size.append(len(s))
-                cls.append(c := class_key(s))
-                if c is None or c in seen:
-                    toks.append(None)
-                    bits.append(None)
-                    continue
-                seen.add(c)
-                low = np.searchsorted(s, _LIMIT)
-                # the 2-prefix lies among the counted tokens if there are enough of them, frequent or not
-                toks.append((s[:low] if low > prefix_size(len(s), percent) else s).view(np.int64))
-                bits.append(parity(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["_id", "n", "cls", "toks", "bits"])
+        for b, found in _once(batches, k, 1):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array([len(s) for s, _, _ in found], pa.int64()), pa.array([c for _, c, _ in found], pa.binary()),
+                    pa.array([vertex(c, seed) for _, c, _ in found], pa.int64()), pa.array([parity(s) if new else None for s, _, new in found], pa.binary()),
+                ],
+                ["_id", "n", "cls", "v", "bits"],
+            )
 
     return run
 
 
-def prefix_keys(s: np.ndarray, n: int, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and their places in its order: rare single tokens, and combinations of (in large sets, single)
-    frequent ones. ``s``: its smallest tokens, at least those of the 2-prefix."""
-    first = prefix_size(n, percent)
-    low = np.searchsorted(s, _LIMIT)
-    often = np.isin(s[:low], frequent, assume_unique=True) if len(frequent) else np.zeros(low, bool)
-    n_often = int(often.sum())
-    order = np.concatenate((s[:low][~often], s[:low][often], s[low:]))
-    is_often = np.zeros(len(order), bool)
-    is_often[low - n_often : low] = True
-    one = order[:first]
-    rare = np.flatnonzero(~is_often[:first])
-    keys, places = [one[rare]], [rare]
-    if is_often[: first + 1].any():
-        if n > COMBINED_SIZE * percent // 100:
-            at = np.flatnonzero(is_often[:first])
-            keys.append(_mix(one[at] + np.uint64(1)))
-            places.append(at)
-        if n <= COMBINED_SIZE:
-            two = order[: first + 1]
-            for i in np.flatnonzero(is_often[: first + 1]):
-                keys.append(_mix(_mix(two[i : i + 1]) + two[i + 1 :]))
-                places.append(np.full(len(two) - i - 1, i))
-    return np.concatenate(keys), np.concatenate(places)
+def _counted(k: int):
+    """Tokens in the counted part of the range and how many sets of the batch hold them."""
+
+    def run(batches):
+        for _, found in _once(batches, k, 0):
+            toks = [s[: np.searchsorted(s, _LIMIT)] for s, _, new in found if new]
+            if toks:
+                tok, m = np.unique(np.concatenate(toks), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(m)], ["tok", "m"])
 
+    return run
 
-def _postings(percent: int, shared):
+
+def _postings(k: int, percent: int, seed: int, shared):
     def run(batches):
         frequent = shared.value
+        for _, found in _once(batches, k, 0):
+            keys = []
+            for s, c, new in found:
+                if new:
+                    low = s[: np.searchsorted(s, _LIMIT)]
+                    often = np.isin(low, frequent, assume_unique=True) if len(frequent) else np.zeros(len(low), bool)
+                    keys.append((vertex(c, seed), len(s), *prefix_keys(s, len(s), often, percent)))
+            if keys:
+                yield _posting_rows(keys)
+
+    return run
+
+
+def _posting_rows(keys: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    size = [len(key) for _, _, key, _ in keys]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([key for _, _, key, _ in keys]).view(np.int64)), pa.array(np.repeat(np.array([v for v, *_ in keys], np.int64), size)),
+            pa.array(np.repeat(np.array([n for _, n, *_ in keys], np.int32), size)), pa.array(np.concatenate([p for *_, p in keys]).astype(np.int32)),
+        ],
+        ["key", "v", "n", "place"],
+    )
+
+
+def _prefix_tokens(k: int, percent: int, seed: int):
+    """The tokens that prefixes may take: (v, n, tok, counted), for the way that joins frequent tokens."""
+
+    def run(batches):
+        for _, found in _once(batches, k, 0):
+            rows = [(vertex(c, seed), s) for s, c, new in found if new]
+            for v, s in rows:
+                low = int(np.searchsorted(s, _LIMIT))
+                part = s[: max(low, prefix_size(len(s), percent), combined_size(len(s), len(s), percent) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), v, np.int64)), pa.array(np.full(len(part), len(s), np.int32)), pa.array(part.view(np.int64)), pa.array(np.arange(len(part)) < low)], ["v", "n", "tok", "counted"])
+
+    return run
+
+
+def _joined_postings(percent: int):
+    """Postings from rows (v, n, toks: structs of tok, counted, often)."""
+
+    def run(batches):
         for b in batches:
-            keys, cls, sizes, places = [], [], [], []
-            for c, n, flat in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                key, place = prefix_keys(flat.values.to_numpy().view(np.uint64), n, frequent, percent)
-                keys.append(key)
-                places.append(place)
-                cls.append(np.full(len(key), c, np.int64))
-                sizes.append(np.full(len(key), n, np.int32))
+            keys = []
+            for v, n, toks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                toks.sort(key=lambda x: x["tok"] & 0xFFFFFFFFFFFFFFFF)
+                s = np.array([x["tok"] for x in toks], np.int64).view(np.uint64)
+                keys.append((v, n, *prefix_keys(s, n, np.array([x["often"] for x in toks if x["counted"]], bool), percent)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "cls", "n", "place"])
+                yield _posting_rows(keys)
 
     return run
 
 
+def postings(texts: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """(key, v, n, place): the index of the sets of ``texts`` (one text column)."""
+    kind = "key bigint, v bigint, n int, place int"
+    if percent < COMBINED_PERCENT:
+        return texts.mapInArrow(_postings(k, percent, seed, texts.sparkSession.sparkContext.broadcast(np.empty(0, np.uint64))), kind)
+    often = texts.mapInArrow(_counted(k), "tok bigint, m bigint").groupBy("tok").agg(F.sum("m").alias("m")).filter(F.col("m") > FREQUENT).select("tok")
+    often = stage_table(often)
+    if often.count() <= MAX_FREQUENT:
+        frequent = np.sort(often.toArrow().column("tok").to_numpy().view(np.uint64))
+        return texts.mapInArrow(_postings(k, percent, seed, texts.sparkSession.sparkContext.broadcast(frequent)), kind)
+    own = texts.mapInArrow(_prefix_tokens(k, percent, seed), "v bigint, n int, tok bigint, counted boolean")
+    marked = own.join(often.withColumn("often", F.lit(True)), "tok", "left").select("v", "n", F.struct("tok", "counted", F.coalesce("often", F.lit(False)).alias("often")).alias("t"))
+    return marked.groupBy("v").agg(F.first("n").alias("n"), F.collect_set("t").alias("toks")).mapInArrow(_joined_postings(percent), kind)
+
+
 def _near(percent: int):
     """Pairs whose bitmaps don't rule out the similarity."""
 
     def run(batches):
         for b in batches:
-            na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
             keep = []
-            for x, y, m, n in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), na, nb, strict=True):
+            for m, n, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 least = -(-percent * (m + n) // (100 + percent))
                 keep.append(least_difference(x, y) <= m + n - 2 * least)
-            yield pa.RecordBatch.from_arrays(b.columns[:4], b.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], b.schema.names[:2]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _whole_sets(k: int):
-    def run(batches):
-        powers = Powers()
-        for b in batches:
-            sets = [tokens(t, powers, k) for t in as_bytes(b.column(1))]
-            packed = [np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], ["want", "cls", "packed"])
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()
 
-    return run
 
+def overlap(x: list[bytes], y: list[bytes], k: int) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two texts' shingle sets, by their words themselves; (0, 1) where shingles
+    of different lengths can't be equal."""
+    ids: dict[bytes, int] = {}
+    size = [min(k, len(x)), min(k, len(y))]
+    if size[0] != size[1]:  # a whole sequence of fewer words equals no longer shingle
+        return 0, 1
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in z], np.int64) for z in (x, y))
+    ca, cb, span = a, b, len(ids)
+    for i in range(1, size[0]):
+        if span > (1 << 62) // len(ids):
+            _, flat = np.unique(np.concatenate((ca, cb)), return_inverse=True)
+            ca, cb, span = flat[: len(ca)], flat[len(ca) :], int(flat.max()) + 1
+        ca, cb, span = ca[:-1] * len(ids) + a[i:], cb[:-1] * len(ids) + b[i:], span * len(ids)
+    ca, cb = np.unique(ca), np.unique(cb)
+    both = len(np.intersect1d(ca, cb, assume_unique=True))
+    return both, len(ca) + len(cb) - both
 
-def _unpack(x: bytes) -> np.ndarray:
-    wide = np.zeros((len(x) // SET_BYTES, 8), np.uint8)
-    wide[:, :SET_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
-    return wide.view(">u8").ravel()
 
+def _similar(k: int, percent: int, seed: int):
+    """The pairs whose texts are similar. Where ids repeat, a text that isn't of the wanted class is passed over."""
 
-def _similar(percent: int):
     def run(batches):
+        powers = Powers()
+        cls = lambda t: vertex(digest(tokens(t, powers, k)), seed)
+        last = (None, None, None)
         for b in batches:
             keep = []
-            last, xa = None, None
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, xa = x, _unpack(x)
-                ya = _unpack(y)
-                both = len(xa) + len(ya) - len(np.union1d(xa, ya))
-                keep.append(100 * both >= percent * (len(xa) + len(ya) - both))
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
+                if x != last[0]:
+                    last = (x, cls(x), _words(x))
+                if last[1] != u or cls(y) != v:
+                    keep.append(False)
+                    continue
+                both, all_ = overlap(last[2], _words(y), k)
+                keep.append(100 * both >= percent * all_)
             yield pa.RecordBatch.from_arrays(b.columns[:2], b.schema.names[:2]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stage=stage_table) -> DataFrame:
     """Connected components of ``edges(a, b)``: (v, root), root the smallest vertex. Every vertex hooks to its least neighbour,
     pointers jump, and the edges are contracted, so that dense groups shrink at once; what a jump hasn't reached yet
     stays as an edge. Every round is written, so that lost executors cost no lineage."""
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    left = stage_table(edges.filter("a <> b").select(*ends("a", "b")).distinct())
-    roots = stage_table(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v")))
+    left = stage(edges.filter("a <> b").select(*ends("a", "b")).distinct())
+    roots = stage(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v")))
     while not left.isEmpty():
         near = left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")).union(left.select(F.col("a").alias("v"), F.col("a").alias("p")).distinct())
-        hook = stage_table(near.groupBy("v").agg(F.min("p").alias("p")))
+        hook = stage(near.groupBy("v").agg(F.min("p").alias("p")))
         to = hook.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
         jumped = hook.join(to, F.col("p") == F.col("_v")).select("v", F.col("_p").alias("p"))
-        labels = stage_table(jumped)
+        labels = stage(jumped)
         at = lambda x: labels.select(F.col("v").alias(x), F.col("p").alias(f"p{x}"))
-        roots = stage_table(roots.join(at("root"), "root", "left").select("v", F.coalesce("proot", "root").alias("root")))
+        roots = stage(roots.join(at("root"), "root", "left").select("v", F.coalesce("proot", "root").alias("root")))
         met = left.join(at("a"), "a").join(at("b"), "b").filter("pa <> pb").select(*ends("pa", "pb"))
         # a label that has a parent of its own
         open_ = labels.filter("v <> p").select(*ends("v", "p")).join(labels.select(F.col("p").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        left = stage_table(met.union(open_).distinct())
+        left = stage(met.union(open_).distinct())
     return roots
 
 
 def _linkable(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
-    """Whether sets of these sizes can link if the keys at these places are their first common tokens."""
+    """Whether sets of these sizes can link if the keys at these places are the first that they share."""
     least = F.ceil((na + nb) * percent / (100 + percent))
-    return (na - pa_ >= least) & (nb - pb >= least)
+    single = (na - pa_ >= least) & (nb - pb >= least)
+    combined = (2 * na + nb + 1 + pa_ >= 3 * least) & (2 * nb + na + 1 + pb >= 3 * least)
+    return F.when((pa_ >= 0) & (pb >= 0), single).when((pa_ < 0) & (pb < 0), combined).otherwise(F.lit(True))
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
-    """(want, text) of one document of each class in ``classes(cls, rep)``. Few ids are broadcast, so that texts stay
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rep and others) with _text, the text of the document rep. Few ids are broadcast, so that texts stay
     where they are; many are joined by a shuffle."""
-    wanted = classes.select(F.col("cls").alias("want"), "rep")
-    if classes.count() <= MAX_BROADCAST_IDS:
+    if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    return docs.select("_id", text_col).join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("want", text_col)
+    return docs.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).drop("_id", "rep")
 
 
-def _verify(pairs: DataFrame, bits: DataFrame, docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by bitmap (where that isn't done: ``near``), then on the whole sets of the classes
-    that are left."""
-    side = lambda x: bits.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+def _verify(pairs: DataFrame, bits: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int, stage) -> DataFrame:
+    """The pairs (a, b) that are similar: by bitmap (where that isn't done: ``near``), then by their texts."""
+    side = lambda x: bits.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     near = pairs.filter("NOT near").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-    near = near.mapInArrow(_near(percent), "a bigint, b bigint, na bigint, nb bigint").select("a", "b")
-    near = stage_table(near.union(pairs.filter("near").select("a", "b")))
-    left = stage_table(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "rep"), "cls"))
-    sets = _texts_of(docs, left, text_col).mapInArrow(_whole_sets(k), "want bigint, cls bigint, packed binary").filter("want = cls")
-    # a rep id that several rows bear may give its set twice
-    sets = stage_table(sets.select("cls", "packed"))
-    packed = lambda x: sets.select(F.col("cls").alias(x), F.col("packed").alias(f"p{x}"))
-    met = near.join(packed("b"), "b").join(packed("a"), "a").select("a", "b", "pa", "pb")
-    return met.mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
+    near = near.mapInArrow(_near(percent), "a bigint, b bigint")
+    near = stage(near.union(pairs.filter("near").select("a", "b")))
+    rep = lambda x: classes.select(F.col("v").alias(x), "rep")
+    left = _texts(docs, stage(near.select("a").distinct().join(rep("a"), "a"))).withColumnRenamed("_text", "x")
+    right = _texts(docs, stage(near.join(rep("b"), "b"))).withColumnRenamed("_text", "y")
+    met = right.join(left, "a").select("a", "b", "x", "y")
+    return met.mapInArrow(_similar(k, percent, seed), "a bigint, b bigint").distinct()
+
+
+def _light_pairs(percent: int):
+    """Pairs of members of a small key that are in different components and can link."""
+
+    def run(batches):
+        for b in batches:
+            left, right = [], []
+            for members in b.column(0).to_pylist():
+                v, n, root, place = (np.array([m[f] for m in members], np.int64) for f in ("v", "n", "root", "place"))
+                i, j = np.triu_indices(len(members), 1)
+                least = -(-percent * (n[i] + n[j]) // (100 + percent))
+                single = (n[i] - place[i] >= least) & (n[j] - place[j] >= least)
+                combined = (2 * n[i] + n[j] + 1 + place[i] >= 3 * least) & (2 * n[j] + n[i] + 1 + place[j] >= 3 * least)
+                ok = (root[i] != root[j]) & np.where((place[i] >= 0) & (place[j] >= 0), single, combined | ((place[i] >= 0) != (place[j] >= 0)))
+                left.append(np.minimum(v[i[ok]], v[j[ok]]))
+                right.append(np.maximum(v[i[ok]], v[j[ok]]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return run
 
 
 def _folded(bits: list[bytes], size: int) -> np.ndarray:
@@ -319,7 +435,7 @@ def _block_pairs(percent: int):
                 size = min(len(m["bits"]) for m in (*x, *y))
                 bx, by = (_folded([m["bits"] for m in z], size) for z in (x, y))
                 bx, by = (z.view(np.uint64) for z in (bx, by))
-                (cx, nx, rx), (cy, ny, ry) = ([np.array([m[f] for m in z], np.int64) for f in ("cls", "n", "root")] for z in (x, y))
+                (cx, nx, rx), (cy, ny, ry) = ([np.array([m[f] for m in z], np.int64) for f in ("v", "n", "root")] for z in (x, y))
                 for i in range(len(x)):
                     differ = np.bitwise_count(by ^ bx[i]).sum(axis=1, dtype=np.int64)
                     both = nx[i] + ny
@@ -335,119 +451,118 @@ def _block_pairs(percent: int):
     return run
 
 
-def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the members of ``heavy(key, cls, n, root)``: keys that share members form clusters, clusters are
-    sorted by size and cut into blocks, and blocks whose sizes may link are compared."""
-    lead = F.min("cls").over(Window.partitionBy("key"))
-    stars = stage_table(heavy.select(lead.alias("a"), F.col("cls").alias("b")).distinct())
-    cluster = components(stars).select(F.col("v").alias("cls"), F.col("root").alias("cluster"))
-    members = heavy.select("cls", "root").distinct().join(cluster, "cls").join(bits, "cls")
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "cls")) - 1
-    # the window sorts ids and sizes only
-    place = members.select("cluster", "n", "cls").withColumn("block", F.floor(rank / BLOCK)).drop("n", "cluster")
-    blocks = members.join(place, "cls").groupBy("cluster", "block").agg(F.collect_list(F.struct("cls", "n", "root", "bits")).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    blocks = stage_table(blocks)
-    slim = blocks.select("cluster", "block", "lo", "hi")
-    other = slim.select(F.col("cluster").alias("c2"), F.col("block").alias("block2"), F.col("lo").alias("lo2"))
-    grid = slim.join(other, (F.col("cluster") == F.col("c2")) & (F.col("block") <= F.col("block2")) & (F.col("lo2") * percent <= F.col("hi") * 100)).select("cluster", "block", "block2")
-    pairs = grid.join(blocks.select("cluster", "block", F.col("m").alias("x")), ["cluster", "block"]).join(blocks.select("cluster", F.col("block").alias("block2"), F.col("m").alias("y")), ["cluster", "block2"])
+def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, stage) -> DataFrame:
+    """Candidate pairs of the members of ``heavy(key, v, n, root)``: keys that share members form clusters; the members of a
+    cluster are dealt by size (bands, of which only neighbours can link) and hash into blocks, and blocks are compared."""
+    least = heavy.groupBy("key").agg(F.min("v").alias("a"))
+    stars = stage(heavy.select("key", F.col("v").alias("b")).join(least, "key").select("a", "b").distinct())
+    cluster = components(stars, stage).select("v", F.col("root").alias("cluster"))
+    band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9)))
+    members = stage(heavy.select("v", "root").distinct().join(cluster, "v").join(bits, "v").withColumn("band", band))
+    sizes = stage(members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+    blocks = members.join(sizes, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    blocks = stage(blocks.groupBy("cluster", "band", "part").agg(F.collect_list(F.struct("v", "n", "root", "bits")).alias("m")))
+    other = sizes.select("cluster", F.col("band").alias("band2"), F.col("parts").alias("parts2"))
+    grid = sizes.join(other, "cluster").filter("band2 = band OR band2 = band + 1")
+    first = F.when(F.col("band2") == F.col("band"), F.col("part")).otherwise(F.lit(0).cast("long"))
+    grid = grid.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("part2", F.explode(F.sequence(first, F.col("parts2") - 1)))
+    right = blocks.select("cluster", F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("m").alias("y"))
+    pairs = grid.join(blocks.withColumnRenamed("m", "x"), ["cluster", "band", "part"]).join(right, ["cluster", "band2", "part2"])
     # few and costly rows: dealt evenly, a handful for each batch
-    pairs = pairs.select("x", "y", (F.col("block") == F.col("block2")).alias("same")).repartition(F.xxhash64("cluster", "block", "block2"))
+    pairs = pairs.select("x", "y", ((F.col("band") == F.col("band2")) & (F.col("part") == F.col("part2"))).alias("same")).repartition(F.xxhash64("cluster", "band", "band2", "part", "part2"))
     return pairs.mapInArrow(_block_pairs(percent), "a bigint, b bigint")
 
 
-def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int) -> DataFrame | None:
-    """Components (cls, root) over the class keys of sets that share an index key; None if none do.
-    ``rows``: the output of _sets; ``classes``: cls, rep (the id of one of its documents), n."""
-    spark = docs.sparkSession
-    whole = rows.filter("toks IS NOT NULL")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    floor = max(FREQUENT, total // MAX_FREQUENT)
-    # the order is that of unsigned hashes: counted ones are >= 0 as signed numbers, and below the limit
-    counted = whole.select(F.explode("toks").alias("tok")).filter((F.col("tok") >= 0) & (F.col("tok") < int(_LIMIT)))
-    often = counted.groupBy("tok").count().filter(F.col("count") > floor).select("tok")
-    frequent = np.sort(often.toArrow().column("tok").to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast(frequent)
-    by_key = whole.select("cls", "n", "toks").mapInArrow(_postings(percent, shared), "key bigint, cls bigint, n int, place int")
-    by_key = by_key.repartition(F.col("key")).dropDuplicates(["key", "cls"])
-    posts = stage_table(by_key.withColumn("df", F.count("*").over(Window.partitionBy("key"))).filter("df > 1").drop("df"))
-    n_posts = posts.count()
-    if not n_posts:
-        return None
-    members = stage_table(posts.select("cls").distinct())
-    bits = whole.select("cls", "n", "bits").join(members, "cls", "left_semi")
-    bits = stage_table(bits.dropDuplicates(["cls"]))
-
-    root, edges, tested = None, None, None
-    for step in range(STAR_ROUNDS + 1):
-        now = posts.withColumn("root", F.col("cls")) if root is None else posts.join(root, "cls")
-        if root is not None:
+def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame | None:
+    """Components (v, root) over the classes that share an index key with another; None if none do. ``docs``: _id, _text;
+    ``rows``: the output of _sets; ``classes``: cls, v, rep (the id of one of its documents), n."""
+    with scratch(docs.sparkSession) as stage:
+        by_key = postings(docs.select("_text"), k, percent, seed)
+        # rare tokens have few members; the many of a combination are spread
+        by_key = by_key.withColumn("salt", F.when(F.col("place") < 0, F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+        by_key = by_key.repartition(F.col("key"), F.col("salt")).dropDuplicates(["key", "salt", "v"])
+        by_key = by_key.withColumn("here", F.count("*").over(Window.partitionBy("key", "salt")))
+        posts = stage(by_key.filter("place < 0 OR here > 1").drop("salt", "here"))
+        bits, root, edges, tested = None, None, None, None
+        for step in range(STAR_ROUNDS + 1):
+            now = posts.withColumn("root", F.col("v")) if root is None else posts.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
             # keys with members in different components are all that is left
-            now = stage_table(now)
             open_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
-            now = stage_table(now.join(open_keys, "key"))
+            now = stage(now.join(open_keys, "key"))
             if now.isEmpty():
                 break
-        if step < STAR_ROUNDS:
-            # another member leads each key in each round
-            lead = F.min_by(F.struct("cls", "n", "root", "place"), F.xxhash64("cls", F.lit(step)))
-            led = now.join(now.groupBy("key").agg(lead.alias("lead")), "key")
-            pairs = led.filter(
-                (F.col("cls") != F.col("lead.cls")) & (F.col("root") != F.col("lead.root")) & _linkable(F.col("n"), F.col("lead.n"), F.col("place"), F.col("lead.place"), percent)
-            ).select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"))
-        else:
-            light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
-            other = light.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
-            pairs = light.withColumnRenamed("cls", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("rb")) & _linkable(F.col("n"), F.col("nb"), F.col("place"), F.col("pb"), percent)).select("a", "b")
-        pairs = pairs.select("a", "b", F.lit(False).alias("near"))
-        if step == STAR_ROUNDS and not heavy.isEmpty():
-            pairs = pairs.union(_heavy_pairs(heavy, bits, percent).select("a", "b", F.lit(True)))
-        pairs = pairs.groupBy("a", "b").agg(F.max("near").alias("near"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs)
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        fresh = stage_table(_verify(pairs, bits, docs, classes, text_col, k, percent))
-        edges = fresh if edges is None else edges.union(fresh)
-        found = components(edges).withColumnRenamed("v", "cls")
-        root = stage_table(members.join(found, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
-    return root
+            posts = now.drop("root", "members")
+            if bits is None:
+                bits = rows.filter("bits IS NOT NULL").select("v", "n", "bits").join(now.select("v").distinct(), "v", "left_semi")
+                bits = stage(bits.dropDuplicates(["v"]))
+            if step < STAR_ROUNDS:
+                # another member leads each key in each round; a set meets the leader of most of its keys
+                lead = F.min_by(F.struct("v", "n", "root", "place"), F.xxhash64("v", F.lit(step)))
+                led = now.join(now.groupBy("key").agg(lead.alias("lead")), "key")
+                led = led.filter((F.col("v") != F.col("lead.v")) & (F.col("root") != F.col("lead.root")) & _linkable(F.col("n"), F.col("lead.n"), F.col("place"), F.col("lead.place"), percent))
+                met = led.groupBy("v", F.col("lead.v").alias("a")).agg(F.count("*").alias("c"))
+                pairs = met.groupBy("v").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("v").alias("b"), F.lit(False).alias("near"))
+            else:
+                light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
+                pairs = light.groupBy("key").agg(F.collect_list(F.struct("v", "n", "root", "place")).alias("m")).select("m").mapInArrow(_light_pairs(percent), "a bigint, b bigint")
+                pairs = pairs.select("a", "b", F.lit(False).alias("near"))
+                if not heavy.isEmpty():
+                    pairs = pairs.union(_heavy_pairs(heavy, bits, percent, stage).select("a", "b", F.lit(True)))
+                pairs = pairs.groupBy("a", "b").agg(F.max("near").alias("near")).join(tested, ["a", "b"], "left_anti")
+            pairs = stage(pairs)
+            done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            tested = done if tested is None else tested.union(done)
+            fresh = stage(_verify(pairs, bits, docs, classes, k, percent, seed, stage))
+            edges = fresh if edges is None else edges.union(fresh)
+            root = components(edges, stage).select("v", "root")
+        return None if root is None else stage_table(root)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_shingles, class_key (equal for equal sets), component_id (the smallest
-    id that links reach, the own included).
+    """One row per row of ``docs``: id_col, n_shingles, class_key (16 bytes, equal for equal sets), component_id (the
+    smallest id that links reach, the own included).
 
     Null texts and texts without words have no shingles and link with nothing; a null id is never a component's
     id unless there is no other; repeated rows and ids each keep their row; other columns are not carried; an
-    empty table gives no rows. Sets are compared by 64-bit hashes of shingles.
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
-    rows = stage_table(slim.mapInArrow(_sets(k, percent), f"_id {kind}, n bigint, cls bigint, toks array<bigint>, bits binary"))
-    classes = stage_table(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n")))
-    root = link_classes(slim, rows, classes, "_text", k, percent)
-    of_class = classes.select(F.col("cls").alias("_c"), F.col("rep").alias("component_id"))
+    seed = 0
+    while True:
+        rows = stage_table(slim.mapInArrow(_sets(k, seed), f"_id {kind}, n bigint, cls binary, v bigint, bits binary"))
+        classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("v").alias("v"))
+        classes = stage_table(classes)
+        if classes.count() == classes.select("v").distinct().count():
+            break
+        seed += 1
+    root = link_classes(slim, rows, classes, k, percent, seed)
+    of_class = classes.select(F.col("v").alias("_v"), F.col("rep").alias("component_id"))
     if root is not None:
-        named = classes.join(root, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-        named = stage_table(named)
+        named = stage_table(classes.join(root, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root")))
         ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-        of_class = named.join(ids, "root").select(F.col("cls").alias("_c"), "component_id")
-    out = rows.join(of_class, F.col("cls") == F.col("_c"), "left")
+        of_class = named.join(ids, "root").select(F.col("v").alias("_v"), "component_id")
+    out = rows.join(of_class, F.col("v") == F.col("_v"), "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_key"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` (all columns) with one row of each component, that with the smallest id (null ids last). Rows are told apart
-    by id, text and the other columns, so ids may repeat or lack. Rows without words link with nothing and all stay."""
+    by id, text and the other columns, so ids may repeat or lack; of rows equal in all of these one stays. Rows without
+    words link with nothing and all stay. Texts stay where they are while few enough rows go."""
     # maps have no hash
     others = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     keyed = docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.xxhash64(F.lit(1), *others).alias("row")))
+    found = join(keyed, "__key", text_col, k, percent).filter("n_shingles > 0")
+    # what goes: all rows of a key that isn't its component's, and all but one of the rows of a repeated key
+    gone = found.groupBy("__key").agg(F.count("*").alias("__n"), F.first(F.col("__key") == F.col("component_id")).alias("__stays")).filter("NOT __stays OR __n > 1")
+    gone = stage_table(gone.select(F.col("__key").alias("__gone"), (F.col("__stays")).alias("__twin")))
+    marked = gone if gone.count() > MAX_BROADCAST_IDS else F.broadcast(gone)
     worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    keep = join(keyed.filter(worded), "__key", text_col, k, percent).filter(F.col("__key") == F.col("component_id")).select("__key").distinct()
-    kept = keyed.filter(worded).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-    return kept.unionByName(docs.filter(~worded))
+    marked = keyed.join(marked, (F.col("__key") == F.col("__gone")) & worded, "left")
+    twins = marked.filter("__twin").dropDuplicates(["__key"])
+    return marked.filter(F.col("__gone").isNull()).unionByName(twins).select(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):

@@ -69,6 +69,7 @@ def test_near_join_in_blocks_of_a_hot_group(spark, monkeypatch):
     monkeypatch.setattr(nearjoin, "LIGHT_MEMBERS", 4)
     monkeypatch.setattr(nearjoin, "BLOCK", 8)
     monkeypatch.setattr(nearjoin, "FREQUENT", 3)
+    monkeypatch.setattr(nearjoin, "STAR_ROUNDS", 1)
     base = prose(60).split()
     rows = []
     for i in range(60):
@@ -76,8 +77,61 @@ def test_near_join_in_blocks_of_a_hot_group(spark, monkeypatch):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
         rows.append((i, " ".join(w[: rng.randint(55, 60)])))
-    got = nearjoin.join(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert len({c for *_, c in want}) > 3
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nearjoin.join(docs).collect()), key=str) == want
+    # frequent tokens by the join, ids by a shuffle
+    monkeypatch.setattr(nearjoin, "MAX_FREQUENT", 0)
+    monkeypatch.setattr(nearjoin, "MAX_BROADCAST_IDS", 0)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nearjoin.join(docs).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_sets_that_link_share_a_key(percent):
+    r = random.Random(percent)
+    linked = 0
+    for trial in range(1500):
+        n = r.choice([1, 2, 3, 5, 8, 13, 40, 150, 600])
+        pool = r.getrandbits
+        x = {pool(64) for _ in range(n)}
+        gone = r.randint(0, max(1, n * (100 - percent) // 90))
+        y = set(sorted(x, key=lambda _: r.random())[gone:]) | {pool(64) for _ in range(r.randint(0, gone + 1))}
+        if not y or 100 * len(x & y) < percent * len(x | y) or x == y:
+            continue
+        linked += 1
+        share = r.choice([0, 0.3, 0.8, 0.97, 1])
+        frequent = {t for t in x | y if r.random() < share}
+        out = []
+        for z in (x, y):
+            s = nearjoin.np.array(sorted(z), nearjoin.np.uint64)
+            low = s[: nearjoin.np.searchsorted(s, nearjoin._LIMIT)]
+            often = nearjoin.np.array([int(t) in frequent for t in low], bool)
+            keys, places = nearjoin.prefix_keys(s, len(s), often, percent)
+            assert len(keys) <= 2 * nearjoin.prefix_size(len(s), percent) + 2
+            out.append(dict(zip(keys.tolist(), places.tolist(), strict=True)))
+        a, b = out
+
+        def passes(i, j, na=len(x), nb=len(y)):
+            least = -(-percent * (na + nb) // (100 + percent))
+            if i >= 0:
+                return na - i >= least and nb - j >= least
+            return 2 * na + nb + 1 + i >= 3 * least and 2 * nb + na + 1 + j >= 3 * least
+
+        assert any(passes(a[k], b[k]) for k in a.keys() & b.keys()), (n, len(x & y), len(x | y), share)
+    assert linked > 100
+
+
+def test_overlap_counts_words_not_hashes():
+    r = random.Random(1)
+    for _ in range(300):
+        x, y = ([r.choice([b"a", b"b", b"c", b"\xc3\xa9"]) for _ in range(r.randint(0, 12))] for _ in "xy")
+        k = r.randint(1, 5)
+        sets = [{tuple(z[i : i + min(k, len(z))]) for i in range(len(z) - min(k, len(z)) + 1)} if z else set() for z in (x, y)]
+        same_size = min(k, len(x)) == min(k, len(y))
+        assert nearjoin.overlap(x, y, k) == ((len(sets[0] & sets[1]), len(sets[0] | sets[1])) if same_size else (0, 1))
+    many = [b"%d" % i for i in range(100_000)]
+    assert nearjoin.overlap(many, many[1:], 5) == (99_995, 99_996)
 
 
 def test_decontamination_broadcast_and_join_agree(spark, docs):
