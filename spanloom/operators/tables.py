@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, which all of the cluster shares; only where that is unset, as in tests, a
-    folder of this machine is set."""
+    """A new path below ``spark.checkpoint.dir``, which all of the cluster shares; an error where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
