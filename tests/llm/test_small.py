@@ -278,13 +278,3 @@ def test_html_density_decides_on_every_page():
     parts = f"<article>{prose('one') * 4}</article><article>{prose('two') * 4}</article>"
     assert words(parts) == words(f"<font>{parts}</font>") == ["one"] * 240 + ["two"] * 240
     assert words("<article><h1>Title</h1><p><b>" + "word " * 60 + "</b><br></article>") == ["Title"] + ["word"] * 60
-
-
-def test_chat_blocks_agree_with_one_block(spark):
-    rows = [(i, "\n".join(f"{['User', 'Assistant'][j % 2]}: line {j}\nmore\n" for j in range(1 + i * 3))) for i in range(6)] + [(90, None), (91, " \n ")]
-    df = spark.createDataFrame(rows, "id long, text string")
-    one = sorted(map(tuple, chat.recover_roles(df, block_lines=10_000).collect()))
-    many = sorted(map(tuple, chat.recover_roles(df, block_lines=4).collect()))
-    assert one == many
-    turns = chat.turns(chat.recover_roles(df)).filter("id = 1").orderBy("turn").collect()
-    assert [t.role for t in turns] == ["user", "assistant", "user", "assistant"] and turns[0].content == "line 0\nmore"
