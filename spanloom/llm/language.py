@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +23,12 @@ from .common import as_bytes, small_batches
 
 #: Hashed features.
 DIM = 1 << 15
-#: Labelled documents for each language, and languages, that training uses at most: the bound of the sample.
+#: The bound of the training sample: labelled documents for each language, and in all (with more than 64 languages each
+#: gets a smaller, equal share; training holds 0.5 MB for each language).
 SAMPLE_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 64
+SAMPLE_ROWS = 64_000
+#: Steps of an octave in which the sample's share of a language is chosen.
+LEVELS = 8
 #: Follow-the-regularised-leader.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 EPOCHS, BATCH = 4, 32
@@ -32,7 +36,7 @@ EPOCHS, BATCH = 4, 32
 CALIBRATION_PART = 5
 SCALE = 30.0
 _GAP = re.compile(r"\s+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str) -> np.ndarray:
@@ -117,32 +121,43 @@ def _temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def sample_of(docs: DataFrame, key: Column, text_col: str, lang_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """The bounded training sample: per language the first documents with a letter by hash of ``key``; the most
-    common languages if there are more than MAX_LANGUAGES. Ranks are cut in each task before they meet."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("key"), F.col(text_col).alias("text"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    # the last key that still belongs to the sample, from the keys alone: no text is shuffled
-    cut = labelled.select("lang", "key").withColumn("_r", place).filter(F.col("_r") <= per_language).groupBy("lang").agg(F.max("key").alias("_cut"))
-    cut = [(r["lang"], r["_cut"]) for r in cut.join(common, "lang").collect()]  # MAX_LANGUAGES rows
-    inside = F.lit(False)
-    for lang, last in cut:
-        inside = inside | ((F.col("lang") == lang) & (F.col("key") <= last))
-    return labelled.filter(inside)
+def sample_of(docs: DataFrame, key: Column, text_col: str, lang_col: str, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The training sample (lang, key, text): of every language the distinct documents with a letter that come first by a
+    hash of ``key`` and text, not above the bounds. Repeated rows count once.
 
+    The hash's leading zeros give a level, and sketches of distinct hashes for each language and level (a few hundred
+    numbers) tell down to which level a language's sample reaches; only those rows move."""
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    share = (F.col("key").cast("double") + 2.0**63) / 2.0**64
+    labelled = labelled.withColumn("level", F.floor(-F.log2(F.greatest(share, F.lit(2.0**-60))) * LEVELS).cast("int"))
+    levels = labelled.groupBy("lang", "level").agg(F.approx_count_distinct("key", 0.02).alias("n"))
+    down = Window.partitionBy("lang").orderBy(F.desc("level"))
+    levels = levels.withColumn("above", F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the level that crosses the bound is the last to come in; fit cuts to the bound exactly
+    cut = levels.filter(F.col("above") < per_language).groupBy("lang").agg(F.min("level").alias("cut"))
+    cut = cut.select(F.col("lang").alias("_l"), "cut")
+    inside = labelled.join(cut, (F.col("lang") == F.col("_l")) & (F.col("level") >= F.col("cut"))).select("lang", "key", "text")
+    return inside.dropDuplicates(["lang", "key"])
 
-def train(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
+
+def bounded(sample: pd.DataFrame, per_language: int, rows: int) -> pd.DataFrame:
+    """The rows first by key: equally many of each language, not above the bounds."""
+    most = max(1, min(per_language, rows // max(1, sample["lang"].nunique())))
+    return sample.sort_values(["key", "lang"]).groupby("lang", sort=False).head(most)
+
+
+def train(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> dict:
     """Fits the model: vectors are made by the executors, the bounded sample of sparse vectors meets in one task, and
     the weights (DIM x languages) come back to the driver."""
     small_batches(docs.sparkSession)
-    vectors = sample_of(docs, key, text_col, lang_col, per_language).mapInArrow(_counts, "lang string, key bigint, idx array<int>, val array<float>")
+    vectors = sample_of(docs, key, text_col, lang_col, per_language, rows).mapInArrow(_counts, "lang string, key bigint, idx array<int>, val array<float>")
 
     def fit_task(frames):
-        rows = list(frames)
-        if not rows:  # an empty sample: no model row
+        found = list(frames)
+        if not found:  # an empty sample: no model row
             return
-        model = fit(pd.concat(rows, ignore_index=True))
+        model = fit(bounded(pd.concat(found, ignore_index=True), per_language, rows))
         yield pd.DataFrame({"languages": [model["languages"]], "weights": [model["weights"].tobytes()], "bias": [model["bias"].tobytes()]})
 
     empty = docs.sparkSession.createDataFrame([], vectors.schema)
