@@ -1,10 +1,13 @@
 """URL filters: rules first, then the ratio of two character language models.
 
-The models are smoothed variable-order Markov models of accepted and rejected URLs. Every context of up to
-ORDER characters predicts the next one, and predictions are blended from short to long contexts (Witten-Bell).
-Counts of all contexts are kept in a fixed number of hashed slots, so the models' size is bounded whatever the
-corpus. A URL is blocked if its length-normalised log-likelihood difference lies on the rejected side of a
-threshold that labelled URLs outside training calibrate.
+The models are smoothed variable-order Markov models of accepted and rejected URLs: every context of up to ORDER
+characters that was seen predicts the next one, blended with what the context one shorter predicts by Witten-Bell
+weights, (n(context, c) + T * P(c | shorter)) / (n(context) + T) with T the number of different characters seen
+after the context. A context that wasn't seen leaves it at the shorter one, and before the empty context all bytes are
+equally likely. Counts are exact and kept as a table of windows (context and next character), which grows with the
+URLs. Only the windows that are to be scored get a probability, by joins of their shorter and shorter ends with
+the counts. A URL is blocked if its length-normalised log-likelihood difference lies on the rejected side of a threshold
+that labelled URLs outside training calibrate.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, stage_table
+
 #: Fixed rules: verdict, host, path.
 RULES = (
     ("allow", "org", "/"),
@@ -24,10 +29,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Longest context; it and the next character are ORDER + 1 bytes, which a long holds.
 ORDER = 5
-#: Slots of hashed counts for each order and class (int64): 2 * 6 * 2**17 * 2 tables * 8 bytes = 25 MB at most.
-SLOTS = 1 << 17
 ALPHABET = 256
+#: So many scored windows (16 bytes each) are broadcast; with more, URLs meet them by a shuffle, with the same result.
+MAX_BROADCAST_WINDOWS = 1_000_000
 #: Labelled URLs with this remainder of their hash calibrate, the others train.
 CALIBRATION_PART = 5
 BINS, RANGE = 800, 4.0
@@ -54,77 +60,88 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _codes(url: str | None) -> np.ndarray:
-    """The bytes of a URL, digits as one symbol, with start padding and an end mark."""
-    b = np.frombuffer((url or "").encode("utf-8", "replace"), np.uint8).copy()
+def windows(url: str | None) -> np.ndarray:
+    """A number for each byte of a URL and its end mark: the ORDER bytes before it (0 before the start) and itself, from
+    high to low. Digits are one symbol."""
+    b = np.frombuffer((url or "").encode("utf-8", "replace"), np.uint8).astype(np.int64)
     b[(b >= 48) & (b <= 57)] = 48
-    return np.concatenate((np.zeros(ORDER, np.uint8), b, [np.uint8(3)])).astype(np.uint64)
+    c = np.concatenate((np.zeros(ORDER, np.int64), b, [3]))
+    out = np.zeros(len(b) + 1, np.int64)
+    for k in range(ORDER + 1):
+        out = out << 8 | c[k : k + len(out)]
+    return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the URLs of a batch (url, cls): (w, n0, n1), n0 in accepted ones, n1 in rejected ones."""
+    for b in batches:
+        codes = [windows(u) for u in b.column(0).to_pylist()]
+        if not codes:
+            continue
+        cls = np.repeat(b.column(1).to_numpy(), [len(c) for c in codes])
+        w, at = np.unique(np.concatenate(codes), return_inverse=True)
+        n1 = np.bincount(at, weights=cls, minlength=len(w)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.bincount(at, minlength=len(w)) - n1), pa.array(n1)], ["w", "n0", "n1"])
+
 
+def train(labelled: DataFrame) -> DataFrame:
+    """The models of ``labelled(url, cls)``, cls 0 accepted, 1 rejected: exact counts (w, n0, n1) of all windows."""
+    small_batches(labelled.sparkSession)
+    counted = labelled.select("url", F.col("cls").cast("int")).mapInArrow(_counts, "w bigint, n0 bigint, n1 bigint")
+    return stage_table(counted.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
-def slots(url: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(order + 1) x length slots of the contexts and of contexts with the next character."""
-    c = _codes(url)
-    n = len(c) - ORDER
-    m, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 17)
-    context = np.empty((ORDER + 1, n), np.int64)
-    gram = np.empty((ORDER + 1, n), np.int64)
-    h = np.zeros(n, np.uint64)
+
+def window_ratios(wanted: DataFrame, model: DataFrame) -> DataFrame:
+    """(w, ratio) for the windows ``wanted(w)``: log P(next | context) of the rejected minus that of the accepted model."""
+    out = wanted.select("w", *[F.lit(1.0 / ALPHABET).alias(f"p{c}") for c in (0, 1)])
     for k in range(ORDER + 1):
-        if k:
-            h = (h + c[ORDER - k : ORDER - k + n] + np.uint64(1)) * m
-            h ^= h >> np.uint64(29)
-        context[k] = (h * m) >> shift
-        gram[k] = ((h + (c[ORDER:] + np.uint64(1 << 20)) * np.uint64(0xC2B2AE3D27D4EB4F)) * m) >> shift
-    return context, gram
+        # the last k + 1 bytes of a window: a context of k bytes and the next one
+        own = (1 << 8 * (k + 1)) - 1
+        grams = model.groupBy(F.col("w").bitwiseAND(own).alias("g")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        stats = [f(F.col(n)).alias(f"{x}{n}") for n in ("n0", "n1") for x, f in (("s", F.sum), ("t", lambda c: F.sum((c > 0).cast("long"))))]
+        contexts = grams.groupBy(F.shiftright("g", 8).alias("h")).agg(*stats)
+        gram = F.col("w").bitwiseAND(own)
+        out = out.join(contexts, F.shiftright(gram, 8) == F.col("h"), "left").join(grams, gram == F.col("g"), "left")
+        blended = [(F.coalesce(F.col(f"n{c}"), F.lit(0)) + F.col(f"tn{c}") * F.col(f"p{c}")) / (F.col(f"sn{c}") + F.col(f"tn{c}")) for c in (0, 1)]
+        out = stage_table(out.select("w", *[F.when(F.col(f"sn{c}") > 0, p).otherwise(F.col(f"p{c}")).alias(f"p{c}") for c, p in enumerate(blended)]))
+    return out.select("w", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def _distinct(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.empty(0, np.int64), *map(windows, b.column(0).to_pylist())])))], ["w"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: (cls, slot of the flattened table, n). Table 0: contexts, 1: grams."""
-    tables = np.zeros((2, 2, ORDER + 1, SLOTS), np.int64)
+def _spread(batches):
     for b in batches:
-        for url, cls in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for t, s in enumerate(slots(url)):
-                for k in range(ORDER + 1):
-                    np.add.at(tables[cls, t, k], s[k], 1)
-    flat = tables.reshape(-1)
-    at = np.flatnonzero(flat)
-    for i in range(0, len(at), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(flat[at[i : i + 100_000]])], ["slot", "n"])
-
-
-def train(labelled: DataFrame) -> dict:
-    """Models from ``labelled(url, cls)``, cls 0 accepted, 1 rejected. What comes to the driver is bounded by the slots."""
-    counts = labelled.select("url", "cls").mapInArrow(_count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(2 * 2 * (ORDER + 1) * SLOTS, np.int64)
-    flat[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    tables = flat.reshape(2, 2, ORDER + 1, SLOTS)
-    return {"tables": tables, "seen": tables[:, 0, 0].max(axis=1)}
-
-
-def log_ratio(url: str | None, model: dict) -> float:
-    """(log P(rejected) - log P(accepted)) per character."""
-    context, gram = slots(url)
-    total = []
-    for cls in (0, 1):
-        p = np.full(context.shape[1], 1.0 / ALPHABET)
-        for k in range(ORDER + 1):
-            c = model["tables"][cls, 0, k][context[k]].astype(float)
-            g = np.minimum(model["tables"][cls, 1, k][gram[k]].astype(float), c)
-            # weight of the longer context grows with its evidence
-            p = np.where(c > 0, (g + 5.0 * p) / (c + 5.0), p)
-        total.append(np.log(p).mean())
-    return float(total[1] - total[0])
-
-
-def score(df: DataFrame, model: dict) -> DataFrame:
-    """``df`` (with url) with ``ratio``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+        codes = [windows(u) for u in b.column(1).to_pylist()]
+        key = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(key)), pa.array(np.concatenate([np.empty(0, np.int64), *codes]))], ["u", "w"])
+
+
+def score(df: DataFrame, model: DataFrame, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """``df`` (with url) with ``ratio``: (log P(rejected) - log P(accepted)) per character."""
+    small_batches(df.sparkSession)
+    wanted = df.select("url").mapInArrow(_distinct, "w bigint").distinct()
+    ratios = stage_table(window_ratios(wanted, model))
+    if ratios.count() > max_broadcast:
+        urls = stage_table(df.select(F.coalesce("url", F.lit("")).alias("u")).distinct())
+        spread = urls.select("u", F.col("u").alias("url")).mapInArrow(_spread, "u string, w bigint")
+        means = spread.join(ratios, "w").groupBy("u").agg(F.avg("ratio").alias("ratio"))
+        return df.join(means, F.coalesce("url", F.lit("")) == F.col("u")).drop("u")
+    table = ratios.orderBy("w").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((table.column("w").to_numpy(), table.column("ratio").to_numpy()))
     at = df.columns.index("url")
 
     def run(batches):
+        w, ratio = shared.value
         for b in batches:
-            ratio = [log_ratio(u, shared.value) for u in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, pa.float64())], [*b.schema.names, "ratio"])
+            codes = [windows(u) for u in b.column(at).to_pylist()]
+            if codes:
+                size = np.array([len(c) for c in codes])
+                found = ratio[np.searchsorted(w, np.concatenate(codes))]
+                mean = np.add.reduceat(found, np.concatenate(([0], np.cumsum(size[:-1])))) / size
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mean)], [*b.schema.names, "ratio"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{schema}, ratio double")
@@ -145,8 +162,8 @@ def calibrate(scored: DataFrame) -> float:
     return float((best.mean()) / BINS * 2 * RANGE - RANGE)
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """One row per row of ``pages``: id_col, host, path, rule, verdict, ratio.
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """One row per row of ``pages``: id_col, host, path, rule, verdict, ratio (null where a rule decides).
 
     Rules decide where one fits; elsewhere a URL is blocked if its ratio exceeds the calibrated threshold. URLs
     under allow rules are the accepted examples, those under block rules the rejected. Without examples of
@@ -158,16 +175,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = F.coalesce(host_of(url), F.lit("")), F.coalesce(path_of(url), F.lit(""))
     df = pages.select(F.col(id_col).alias("_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     df = df.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).select("_id", "url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("_v"))
-    labelled = df.filter(F.col("_v").isNotNull()).withColumn("cls", (F.col("_v") == "block").cast("int"))
+    labelled = df.filter(F.col("_v").isNotNull()).select("url", (F.col("_v") == "block").cast("int").alias("cls"))
     part = F.pmod(F.xxhash64("url", F.lit("part")), F.lit(CALIBRATION_PART))
     model = train(labelled.filter(part != 0))
-    accepted, rejected = (int(x) for x in model["seen"])
+    accepted, rejected = model.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    ruled = df.filter(F.col("_v").isNotNull()).select(F.col("_id").alias(id_col), "host", "path", "rule", F.col("_v").alias("verdict"), F.lit(None).cast("double").alias("ratio"))
+    rest = df.filter(F.col("_v").isNull())
     if accepted and rejected:
-        threshold = calibrate(score(labelled.filter(part == 0).select("url", "cls"), model))
+        threshold = calibrate(score(labelled.filter(part == 0), model, max_broadcast))
+        rest = score(rest, model, max_broadcast)
         own = F.when(F.col("ratio") > threshold, "block").otherwise("allow")
     else:
+        rest = rest.withColumn("ratio", F.lit(None).cast("double"))
         own = F.lit("block" if rejected else "allow")
-    return score(df, model).select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_v", own).alias("verdict"), "ratio")
+    return ruled.union(rest.select(F.col("_id").alias(id_col), "host", "path", "rule", own.alias("verdict"), "ratio"))
 
 
 def op7_url_model_ratio(spark, sf_dir):
