@@ -1,10 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against the token windows of documents.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A window is ``n``
-consecutive words of an item; an item of fewer words, but not none, is one window. The set is keyed by
-64-bit hashes of windows; every hit is verified on the words themselves. While the benchmark's texts stay
-under ``max_broadcast_bytes`` the set is broadcast and documents don't move; above it, windows meet by a
-shuffle join on the hash, with the same result.
+consecutive words of an item; an item of fewer words, but not none, is one window. The set is one sorted array
+of 64-bit window hashes for each window length, built once; every hit is verified on the words themselves.
+While the benchmark's texts stay under ``max_broadcast_bytes`` the set is broadcast and documents don't move;
+above it, windows meet by a shuffle join on the hash, and are verified likewise, with the same result.
 """
 
 from __future__ import annotations
@@ -14,61 +14,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, small_batches, stage_table
+from .hashing import Powers, shingles, word_hashes
 
 WINDOW = 10
-#: Above this size of all benchmark texts (bytes of UTF-8) windows are joined, not broadcast.
-MAX_BROADCAST_BYTES = 32 << 20
+#: Above this size of all benchmark texts (bytes of UTF-8) windows are joined, not broadcast. A set takes about five times
+#: its texts' size: 20 bytes for each window beside the words.
+MAX_BROADCAST_BYTES = 8 << 20
 #: Everything but 0-9, a-z and non-ASCII bytes becomes a space; A-Z become lower case.
 _TABLE = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 HITS = "n_words bigint, n_hit bigint, items array<string>, hits array<struct<start:int,end:int>>"
 
 
-def words(text: bytes | None) -> list[bytes]:
-    return text.translate(_TABLE).split() if text else []
+def split(text: bytes | None, powers: Powers) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The normalised text, and the starts, ends and hashes of its words."""
+    plain = (text or b"").translate(_TABLE)
+    b = np.frombuffer(plain, np.uint8)
+    return plain, *word_hashes(b, b != 32, powers)
 
 
-class Windows:
-    """The hash set: word ids for the benchmark's vocabulary, and for each window length the windows by id bytes."""
+def _gram(plain: bytes, start: np.ndarray, end: np.ndarray, i: int, size: int) -> bytes:
+    """The words of a window, one space between them."""
+    return b" ".join(plain[start[i] : end[i + size - 1]].split())
+
+
+class Index:
+    """The hash set: for each window length the sorted hashes of windows, and where each window's words lie in ``words``."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], n: int = WINDOW):
-        self.ids: dict[bytes, int] = _Ids()
-        self.sets: dict[int, dict[bytes, set]] = {}
-        for item, text in items:
-            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)], np.int32)
-            if not len(ids):
+        self.items = [item for item, _ in items]
+        powers, blob, at = Powers(), [], 0
+        found: dict[int, list] = {}
+        for item, (_, text) in enumerate(items):
+            plain, start, end, h = split(text, powers)
+            if not len(h):
                 continue
-            size = min(n, len(ids))
-            into = self.sets.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                into.setdefault(ids[i : i + size].tobytes(), set()).add(item)
-
-    def scan(self, text: bytes | None) -> tuple[int, set, np.ndarray | None]:
+            size = min(n, len(h))
+            joined = b" ".join(plain.split())
+            last = at + np.cumsum(end - start) + np.arange(len(h))  # ends of the words in the blob
+            count = len(h) - size + 1
+            found.setdefault(size, []).append((shingles(h, size), (last - (end - start))[:count], last[size - 1 :], np.full(count, item)))
+            blob.append(joined)
+            at += len(joined)
+        self.words = b"".join(blob)
+        self.sets = {}
+        for size, parts in found.items():
+            h, start, end, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.sets[size] = (h[order], start[order].astype(np.int32), end[order].astype(np.int32), item[order].astype(np.int32))
+
+    def scan(self, text: bytes | None, powers: Powers) -> tuple[int, set, np.ndarray | None]:
         """Number of words, items that occur, and the mask of hit words (None: no hit)."""
+        plain, start, end, h = split(text, powers)
         found, hit = set(), None
-        ws = words(text)
-        if not ws or not self.sets:
-            return len(ws), found, hit
-        ids = np.fromiter(map(self.ids.__getitem__, ws), np.int32, len(ws))
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for size, windows in self.sets.items():
-            if len(ids) < size:
-                continue
-            for i in np.flatnonzero(known[size:] - known[:-size] == size):
-                if (items := windows.get(ids[i : i + size].tobytes())) is not None:
-                    hit = np.zeros(len(ids), bool) if hit is None else hit
-                    hit[i : i + size] = True
-                    found |= items
-        return len(ws), found, hit
-
-
-class _Ids(dict):
-    def __missing__(self, word):
-        return 0
+        for size, (hashes, first, last, item) in self.sets.items():
+            own = shingles(h, size) if len(h) >= size else h[:0]
+            place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            for i in np.flatnonzero(hashes[place] == own):
+                gram, j = _gram(plain, start, end, i, size), place[i]
+                while j < len(hashes) and hashes[j] == own[i]:
+                    if self.words[first[j] : last[j]] == gram:
+                        hit = np.zeros(len(h), bool) if hit is None else hit
+                        hit[i : i + size] = True
+                        found.add(self.items[item[j]])
+                    j += 1
+        return len(h), found, hit
 
 
 def _runs(mask: np.ndarray) -> list[dict]:
@@ -79,27 +92,36 @@ def _runs(mask: np.ndarray) -> list[dict]:
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scanner(shared, n: int, text_at: int):
+def _result(columns: list, names: list[str], rows: list[tuple[int, set, np.ndarray | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            *columns, pa.array([n for n, _, _ in rows], pa.int64()), pa.array([0 if h is None else int(h.sum()) for *_, h in rows], pa.int64()),
+            pa.array([sorted(x for x in f if x is not None) for _, f, _ in rows], pa.list_(pa.string())), pa.array([[] if h is None else _runs(h) for *_, h in rows], _RUNS),
+        ],
+        [*names, "n_words", "n_hit", "items", "hits"],
+    )
+
+
+def _scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
+        powers = Powers()
         for b in batches:
-            n_words, n_hit, items, runs = [], [], [], []
-            for text in as_bytes(b.column(text_at)):
-                count, found, hit = windows.scan(text)
-                n_words.append(count)
-                n_hit.append(0 if hit is None else int(hit.sum()))
-                items.append(sorted(x for x in found if x is not None))
-                runs.append([] if hit is None else _runs(hit))
-            keep = [c for i, c in enumerate(b.columns) if i != text_at]
-            names = [x for i, x in enumerate(b.schema.names) if i != text_at]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, _RUNS)],
-                [*names, "n_words", "n_hit", "items", "hits"],
-            )
+            yield _result([b.column(0)], ["_id"], [shared.value.scan(t, powers) for t in as_bytes(b.column(1))])
 
     return scan
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """(item, text) and their size in bytes."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    return items, items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]
+
+
+def _shared_index(items: DataFrame, n: int):
+    rows = [(r.item, r.text.encode() if r.text is not None else None) for r in items.collect()]  # at most max_broadcast_bytes
+    return items.sparkSession.sparkContext.broadcast(Index(rows, n))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_hit (words inside a benchmark window), items (sorted ids, as
     strings, of items with a window that occurs), hits (runs of hit words, word indexes, half-open).
@@ -109,71 +131,113 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     an empty benchmark hits nothing.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    items, size = _items(benchmark, item_col, item_text_col)
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if size > max_broadcast_bytes:
-        return _joined(slim, items, n).withColumnRenamed("_id", id_col)
-    rows = [(r.item, r.text.encode() if r.text is not None else None) for r in items.collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInArrow(_scanner(shared, n, 1), f"_id {kind}, {HITS}").withColumnRenamed("_id", id_col)
+    if size > max_broadcast_bytes:
+        rows = stage_table(slim.withColumn("_row", F.monotonically_increasing_id()))
+        return rows.join(_joined(rows, items, n), "_row").select(F.col("_id").alias(id_col), "n_words", "n_hit", "items", "hits")
+    return slim.mapInArrow(_scanner(_shared_index(items, n)), f"_id {kind}, {HITS}").withColumnRenamed("_id", id_col)
 
 
-def _exploded(n: int, sizes: tuple[int, ...] | None):
-    """Windows of a batch as rows (row key, position, words as bytes, hash). sizes None: an item's own windows."""
+def _item_windows(n: int):
+    """Windows of items as rows (h, size, gram, item)."""
 
     def run(batches):
+        powers = Powers()
         for b in batches:
-            out = ([], [], [], [], [])
-            for key, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                ws = words(text)
-                for size in sizes or ((min(n, len(ws)),) if ws else ()):
-                    for i in range(len(ws) - size + 1):
-                        gram = b" ".join(ws[i : i + size])
-                        for column, x in zip(out, (key, i, size, gram.decode(), xxhash.xxh64_intdigest(gram) - (1 << 63)), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.types[0]), *(pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int32(), pa.string(), pa.int64()), strict=True))], ["key", "pos", "size", "gram", "h"])
+            out = ([], [], [], [])
+            for item, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                plain, start, end, h = split(text, powers)
+                size = min(n, len(h))
+                for i, x in enumerate(shingles(h, size).view(np.int64).tolist() if size else ()):
+                    for column, value in zip(out, (x, size, _gram(plain, start, end, i, size), item), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["h", "size", "gram", "item"])
 
     return run
 
 
-def _joined(slim: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The way beyond the broadcast: windows of both sides meet by hash, and are verified on their words."""
-    grams = items.mapInArrow(_exploded(n, None), "key string, pos int, size int, gram string, h bigint")
-    grams = grams.groupBy("h", "gram", "size").agg(F.collect_set("key").alias("items"))
-    sizes = tuple(r.size for r in grams.select("size").distinct().collect())  # at most n of them
-    keyed = slim.withColumn("_row", F.xxhash64("_id", "_text"))
-    own = keyed.select("_row", "_text").dropDuplicates(["_row"]).mapInArrow(_exploded(n, sizes or (n,)), "key bigint, pos int, size int, gram string, h bigint")
-    met = own.join(grams.select(F.col("h").alias("_h"), F.col("gram").alias("_g"), "items"), (F.col("h") == F.col("_h")) & (F.col("gram") == F.col("_g")))
-    covered = met.select("key", "items", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("at"))
-    runs = covered.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    first = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
-    last = F.filter("at", lambda x: ~F.array_contains("at", x + 1))
-    runs = runs.select(F.col("key").alias("_k"), "items", F.size("at").cast("bigint").alias("n_hit"), F.arrays_zip(first.alias("start"), F.transform(last, lambda x: x + 1).alias("end")).alias("hits"))
-    count = F.coalesce(F.regexp_count("_text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
-    out = keyed.select("_id", "_row", count.alias("n_words")).join(runs, F.col("_row") == F.col("_k"), "left")
-    return out.select("_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.expr("transform(hits, x -> named_struct('start', x.start, 'end', x.end))"), F.array().cast("array<struct<start:int,end:int>>")).alias("hits"))
-
-
-def _cleaner(shared, n: int, text_at: int, names: list[str], spans: bool):
+def _row_windows(sizes: list[int]):
+    """Windows of documents as rows (row, h, size, pos)."""
+
+    def run(batches):
+        powers = Powers()
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                h = split(text, powers)[3]
+                for size in sizes:
+                    if len(h) >= size:
+                        own = shingles(h, size).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(own), pa.array(np.full(len(own), size, np.int32)), pa.array(np.arange(len(own), dtype=np.int32))], ["_row", "h", "size", "pos"])
+
+    return run
+
+
+def _verified(batches):
+    """Rows (row, text, met: structs of pos, size, gram, items) to counts and runs."""
+    powers = Powers()
+    for b in batches:
+        rows = []
+        for text, met in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            plain, start, end, h = split(text, powers)
+            found, hit = set(), None
+            for m in met or ():
+                if _gram(plain, start, end, m["pos"], m["size"]) == m["gram"]:
+                    hit = np.zeros(len(h), bool) if hit is None else hit
+                    hit[m["pos"] : m["pos"] + m["size"]] = True
+                    found.update(m["items"])
+            rows.append((len(h), found, hit))
+        yield _result([b.column(0)], ["_row"], rows)
+
+
+def _joined(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """The way beyond the broadcast, for rows (_row, _text): windows of both sides meet by hash, and are verified on their
+    words. A passage in many documents makes many rows of one hash on the documents' side, which AQE splits."""
+    grams = items.mapInArrow(_item_windows(n), "h bigint, size int, gram binary, item string").groupBy("h", "size", "gram").agg(F.collect_set("item").alias("items"))
+    grams = stage_table(grams)
+    sizes = [r.size for r in grams.select("size").distinct().collect()]  # at most n of them
+    own = rows.select("_row", "_text").mapInArrow(_row_windows(sizes), "_row bigint, h bigint, size int, pos int")
+    met = own.join(grams, ["h", "size"]).groupBy("_row").agg(F.collect_list(F.struct("pos", "size", "gram", "items")).alias("met"))
+    return rows.select("_row", "_text").join(met, "_row", "left").mapInArrow(_verified, f"_row bigint, {HITS}")
+
+
+def _cleaner(shared, text_at: int, spans: bool):
     def clean(batches):
-        windows = Windows(shared.value, n)
+        powers = Powers()
         for b in batches:
-            texts, keep = as_bytes(b.column(text_at)), []
-            for i, text in enumerate(texts):
-                _, _, hit = windows.scan(text)
-                keep.append(hit is None or spans and not hit.all())
-                if spans and hit is not None:
-                    texts[i] = without(text, hit)
-            columns = list(b.columns)
-            if spans:
-                columns[text_at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(b.schema.types[text_at])
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+            yield _cleaned(b, [shared.value.scan(t, powers)[2] for t in as_bytes(b.column(text_at))], text_at, spans)
 
     return clean
 
 
+def _cleaned(b: pa.RecordBatch, hit: list[np.ndarray | None], text_at: int, spans: bool) -> pa.RecordBatch:
+    """Without the rows that are hit, or with ``spans`` without the hit words (and without rows that are hit as a whole)."""
+    keep = pa.array([h is None or spans and not h.all() for h in hit], pa.bool_())
+    columns = list(b.columns)
+    if spans:
+        texts = [t if h is None else without(t, h) for t, h in zip(as_bytes(b.column(text_at)), hit, strict=True)]
+        columns[text_at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(b.schema.types[text_at])
+    return pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(keep)
+
+
+def _cut(text_at: int):
+    """Rows with the columns of documents, then n_words and hits: without the hit words."""
+
+    def cut(batches):
+        for b in batches:
+            masks = []
+            for n, found in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                mask = np.zeros(n or 0, bool)
+                for r in found or ():
+                    mask[r["start"] : r["end"]] = True
+                masks.append(mask if mask.any() else None)
+            own = pa.RecordBatch.from_arrays(b.columns[:-2], schema=pa.schema(list(b.schema)[:-2]))
+            yield _cleaned(own, masks, text_at, True)
+
+    return cut
+
+
 def without(text: bytes, hit: np.ndarray) -> bytes:
     """The text without the runs of hit words (and what stands between the words of a run)."""
     flat = np.frombuffer(text.translate(_TABLE), np.uint8) != 32
@@ -187,18 +251,19 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, spans: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` (all columns) without its contaminated documents, or with ``spans`` only without their hit passages
-    (a document of which nothing is left goes). Documents don't move. A benchmark above the bound is joined."""
+    (a document of which nothing is left goes). Documents don't move; with a benchmark above the bound they are joined with
+    their hits. Nulls and repeats as in ``hits``."""
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    if size > max_broadcast_bytes:
-        if spans:
-            raise ValueError("removing spans needs a benchmark under max_broadcast_bytes: split it and run one part after the other")
-        key = F.xxhash64(text_col)
-        bad = _joined(docs.select(key.alias("_id"), F.col(text_col).alias("_text")), items, n).filter("n_hit > 0").select("_id").distinct()
-        return docs.join(bad, key == F.col("_id"), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text.encode() if r.text is not None else None) for r in items.collect()])
-    return docs.mapInArrow(_cleaner(shared, n, docs.columns.index(text_col), docs.columns, spans), docs.schema)
+    items, size = _items(benchmark, item_col, item_text_col)
+    at = docs.columns.index(text_col)
+    if size <= max_broadcast_bytes:
+        return docs.mapInArrow(_cleaner(_shared_index(items, n), at, spans), docs.schema)
+    rows = stage_table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = _joined(rows.select(F.col("__row").alias("_row"), F.col(text_col).alias("_text")), items, n).filter("n_hit > 0")
+    found = found.select(F.col("_row").alias("__row"), F.col("n_words").alias("__n"), F.col("hits").alias("__hits"))
+    if not spans:
+        return rows.join(found, "__row", "left_anti").select(*docs.columns)
+    return rows.join(found, "__row", "left").select(*docs.columns, "__n", "__hits").mapInArrow(_cut(at), docs.schema)
 
 
 def digest_ids(items: set | list) -> str:

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, as_bytes, scratch, small_batches, stage_table
+from .hashing import Powers, mix, shingles, word_hashes
 
 SHINGLE = 4
 #: Linked when 100 * intersection >= PERCENT * union.
@@ -60,8 +61,6 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Bits of a parity bitmap for each token.
 BITS = 2
 
-_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE = 0x9E3779B97F4A7C55
 _LIMIT = np.uint64(int(COUNTED * 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -69,54 +68,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _P1
-    h = (h ^ (h >> np.uint64(29))) * _P2
-    return h ^ (h >> np.uint64(32))
-
-
-_CODES = _mix(np.arange(1, 257, dtype=np.uint64))
-_FACTORS = _mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
-
-
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as the longest text so far needs."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            step = np.full(n, _BASE, np.uint64)
-            back = np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-            step[0] = back[0] = 1
-            self.up, self.down = np.cumprod(step), np.cumprod(back)
-
-
-def word_hashes(text: bytes, powers: Powers) -> np.ndarray:
-    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) of a text, by differences of one
-    running polynomial hash."""
-    b = np.frombuffer(text.lower(), np.uint8)
-    powers.grow(len(b) + 1)
-    solid = ~_SPACE[b]
-    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_CODES[b] * powers.up[: len(b)], out=run[1:])
-    return _mix((run[end] - run[start]) * powers.down[start] + (end - start).astype(np.uint64))
-
-
 def tokens(text: bytes | None, powers: Powers, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; of fewer than k words the whole sequence is the one shingle; none without words."""
-    h = word_hashes(text, powers) if text else np.empty(0, np.uint64)
-    if not len(h):
-        return h
-    size = min(k, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out += h[i : len(h) - size + 1 + i] * _FACTORS[i]
-    return np.unique(_mix(out))
+    """Sorted distinct shingle hashes of the words (runs without ASCII white space, A-Z lower-cased) of a text; of fewer than
+    k words the whole sequence is the one shingle; none without words."""
+    if not text:
+        return np.empty(0, np.uint64)
+    b = np.frombuffer(text.translate(_LOWER), np.uint8)
+    h = word_hashes(b, ~_SPACE[b], powers)[2]
+    return np.unique(shingles(h, min(k, len(h)))) if len(h) else h
 
 
 def digest(toks: np.ndarray) -> bytes | None:
@@ -171,7 +130,7 @@ def prefix_keys(s: np.ndarray, n: int, often: np.ndarray, percent: int) -> tuple
     if pairs := combined_size(n, n - len(rare), percent):
         two = rest[: pairs + 1]
         if len(two) > 1:
-            keys.append(_mix(_mix(two[:-1]) + two[1:]))
+            keys.append(mix(mix(two[:-1]) + two[1:]))
             places.append(-1 - np.arange(len(two) - 1))
     return np.concatenate(keys), np.concatenate(places)
 

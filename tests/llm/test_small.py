@@ -143,6 +143,9 @@ def test_decontamination_broadcast_and_join_agree(spark, docs):
     assert (0, 120, 15, ("q1",), ((10, 25),)) in a and (9, 2, 1, ("q2",), ((1, 2),)) in a and (6, 0, 0, (), ()) in a
     assert 0 not in {r.doc_id for r in decontaminate.remove(docs, bench).collect()}
     cleaned = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, spans=True).collect()}
+    for spans in (False, True):
+        one, other = (sorted(map(str, decontaminate.remove(docs, bench, spans=spans, max_broadcast_bytes=b).collect())) for b in (1 << 20, 0))
+        assert one == other and len(one) <= docs.count() - (not spans)
     assert cleaned[9] == "one " and w[9] in cleaned[0] and " ".join(w[10:14]) not in cleaned[0]
     assert decontaminate.hits(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
