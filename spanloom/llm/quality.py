@@ -3,7 +3,9 @@
 Each document gets a character-class and a common-word histogram. Language references are the same
 histograms summed over all documents of a language; a document whose Jensen-Shannon distance from both its
 language's and the whole corpus's reference exceeds a bound is dropped, but only where it is long enough
-for its histogram to mean something. Base rules (length, repeated passages) come first.
+for its histogram to mean something. Labels of languages may be wrong or rare, so the nearer reference decides: good
+prose under a wrong label is near the corpus, whatever its label says. Base rules (length, repeated passages) come
+first.
 """
 
 from __future__ import annotations
@@ -168,3 +170,31 @@ def op9_quality_divergence(spark, sf_dir):
     from .common import table
 
     return judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+_COMMON_SQL = "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]"
+_SHARES_SQL = "list_transform({0}, lambda x: CASE WHEN list_sum({0}) > 0 THEN x / list_sum({0}) ELSE 0 END)"
+_PART_SQL = "CASE WHEN x[{0}] > 0 THEN x[{0}] * log2(x[{0}] / ((x[1] + x[2]) / 2)) ELSE 0 END"
+_JS_SQL = f"sqrt(greatest(0, list_sum(list_transform(list_zip({{0}}, {{1}}), lambda x: {_PART_SQL.format(1)} + {_PART_SQL.format(2)})) / 2))"
+_SUMS_SQL = ", ".join(f"sum({h}[{i + 1}])" for h, n in (("ch", len(CLASSES)),) for i in range(n))
+_WSUMS_SQL = ", ".join(f"sum(wh[{i + 1}])" for i in range(len(COMMON_WORDS) + 1))
+OP9_SQL = rf"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+r AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS p FROM (
+        SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM (SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 7)) AS i FROM t WHERE len(w) >= 8))) WHERE c > 1) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM t),
+b AS (SELECT t.rid, doc_id, lang, len(w)::BIGINT AS n_words, array_to_string(w, '') AS j, len(t) AS chars, w, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+      FROM t JOIN l ON l.rid = t.rid LEFT JOIN r ON r.rid = t.rid),
+c AS (SELECT *, len(j)::BIGINT AS word_chars, len(regexp_extract_all(j, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(j, '[A-Z]')) AS up, len(regexp_extract_all(j, '[0-9]')) AS dg,
+        len(regexp_extract_all(j, '[.,;:!?''"()\-]')) AS pt, octet_length(encode(j)) - len(j) AS wd, list_transform({_COMMON_SQL}, lambda v: len(list_filter(w, lambda x: x = v))) AS cw FROM b),
+h AS MATERIALIZED (SELECT *, list_transform([greatest(0, word_chars - up - dg - pt - n_symbols - wd), up, dg, chars - word_chars, pt, n_symbols, wd], lambda x: x::DOUBLE) AS ch,
+        list_transform(list_append(cw, greatest(0, n_words - list_sum(cw))), lambda x: x::DOUBLE) AS wh FROM c),
+o AS (SELECT lang, [{_SUMS_SQL}] AS c, [{_WSUMS_SQL}] AS w FROM h WHERE n_words >= {MIN_WORDS} AND lang IS NOT NULL GROUP BY lang),
+a AS (SELECT [{_SUMS_SQL}] AS c, [{_WSUMS_SQL}] AS w FROM h WHERE n_words >= {MIN_WORDS}),
+s AS (SELECT h.*, {_SHARES_SQL.format("ch")} AS sc, {_SHARES_SQL.format("wh")} AS sw, {_SHARES_SQL.format("o.c")} AS oc, {_SHARES_SQL.format("o.w")} AS ow, {_SHARES_SQL.format("a.c")} AS ac, {_SHARES_SQL.format("a.w")} AS aw, o.lang IS NOT NULL AS known
+      FROM h LEFT JOIN o ON o.lang = h.lang CROSS JOIN a),
+j AS (SELECT *, least(CASE WHEN known THEN {_JS_SQL.format("sc", "oc")} END, {_JS_SQL.format("sc", "ac")}) AS cd, least(CASE WHEN known THEN {_JS_SQL.format("sw", "ow")} END, {_JS_SQL.format("sw", "aw")}) AS wdist,
+        n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((chars >= {MIN_CHARS_JUDGED} AND cd > {MAX_CHAR_DISTANCE}) OR (n_words >= {MIN_WORDS_JUDGED} AND wdist > {MAX_WORD_DISTANCE}), false) AS kept FROM j
+"""

@@ -28,6 +28,8 @@ def oracle_sql() -> dict:
         "op2_ngram_jaccard_join": nearjoin.OP2_SQL,
         "op3_warc_round_trip": warc.OP3_SQL,
         "op4_entropy_mix": mixing.OP4_SQL,
+        "op6_secret_ledger": secrets.OP6_SQL,
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+        "op9_quality_divergence": quality.OP9_SQL,
     }
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

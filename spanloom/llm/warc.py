@@ -20,19 +20,23 @@ MAGIC = "WARC/1.0\r\n"
 MIN_REVISIT_BYTES = 100
 #: Records of one file at most; bounds the rounds of pointer jumping.
 RECORDS_PER_FILE = 50_000
+#: So many digests (32 bytes and an id each) that occur more than once are broadcast to the pages; more are joined by a
+#: shuffle.
+MAX_BROADCAST_DIGESTS = 200_000
 
 
 def classify(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``pages`` with payload (null html: empty), payload_bytes, payload_digest, record_type and refers_to.
 
-    Only digests that occur twice or more are joined back; Spark broadcasts them if they are few and else
-    shuffles. A null id is never referred to unless a payload has no other."""
+    Only digests that occur twice or more are joined back, so that pages stay in place while these are few. A null id
+    is never referred to unless a payload has no other. Of rows with one id and payload none revisits another."""
     text = F.coalesce(F.col(html_col), F.lit(""))
     df = pages.withColumn("payload", text).withColumn("payload_bytes", F.octet_length(text).cast("long")).withColumn("payload_digest", F.sha2(text.cast("binary"), 256))
     big = df.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
     shared = big.groupBy("payload_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    shared = stage_table(shared.select(F.col("payload_digest").alias("_digest"), "_first"))
-    df = df.join(shared, F.col("payload_digest") == F.col("_digest"), "left")
+    shared = stage_table(shared.select(F.unhex("payload_digest").alias("_digest"), "_first"))
+    shared = F.broadcast(shared) if shared.count() <= MAX_BROADCAST_DIGESTS else shared.hint("merge")
+    df = df.join(shared, F.unhex("payload_digest") == F.col("_digest"), "left")
     revisit = F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first"))
     return df.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_digest", "_first")
 
@@ -51,11 +55,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     record = F.concat(
         F.lit(MAGIC),
         _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.url_encode(F.col("page_id").cast("string")), F.lit(">"))),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         _line("WARC-Payload-Length", F.col("payload_bytes")),
-        _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.url_encode(F.col("refers_to").cast("string")), F.lit(">"))),
         F.lit("Content-Type: text/html; charset=utf-8\r\n"),
         _line("Content-Length", F.octet_length(body)),
         F.lit("\r\n"), body, F.lit("\r\n"),
@@ -112,41 +116,42 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 def reachable(chain: DataFrame) -> DataFrame:
     """(file, at) of the records that the chain file, at -> next reaches from offset 0, by pointer jumping: in round r
     the reached set grows by 2**r steps, and every pointer doubles its stride."""
+    # tables of this size on disk are many times larger in memory: shuffle joins throughout
     jump = stage_table(chain.select("file", F.col("at").alias("frm"), F.col("next").alias("to")).filter("to is not null"))
     reached = stage_table(chain.filter("at = 0").select("file", "at"))
     count = reached.count()
     while True:
-        far = reached.join(jump, (reached["file"] == jump["file"]) & (reached["at"] == jump["frm"])).select(jump["file"], jump["to"].alias("at"))
+        far = reached.join(jump.hint("merge"), (reached["file"] == jump["file"]) & (reached["at"] == jump["frm"])).select(jump["file"], jump["to"].alias("at"))
         grown = stage_table(reached.union(far).distinct())
         after = grown.count()
         if after == count:
             # offsets past a file's last record are reached too, but hold no record
             return grown
         second = jump.select(F.col("file").alias("f2"), F.col("frm").alias("mid"), F.col("to").alias("end"))
-        jump = stage_table(jump.join(second, (F.col("file") == F.col("f2")) & (F.col("to") == F.col("mid"))).select("file", "frm", F.col("end").alias("to")))
+        jump = stage_table(jump.join(second.hint("merge"), (F.col("file") == F.col("f2")) & (F.col("to") == F.col("mid"))).select("file", "frm", F.col("end").alias("to")))
         reached, count = grown, after
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``: page_id, url, record_type, payload_bytes, payload_digest (of
+def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """One row per record of the archives below ``path``: page_id (of ``id_type``), url, record_type, payload_bytes, payload_digest (of
     the full payload), refers_to. Bodies of responses are measured and hashed; revisits give what their headers
     name. A response whose digest differs from its header's fails the job."""
     pieces = candidates(spark, path)
     pieces = stage_table(pieces)
     kept = reachable(pieces.filter("at >= 0")).select(F.col("file").alias("_f"), F.col("at").alias("_at"))
-    records = stage_table(pieces.filter("at >= 0").join(kept, (F.col("file") == F.col("_f")) & (F.col("at") == F.col("_at")), "left_semi"))
+    records = stage_table(pieces.filter("at >= 0").join(kept.hint("merge"), (F.col("file") == F.col("_f")) & (F.col("at") == F.col("_at")), "left_semi"))
     broken = records.filter("not whole").select("file", "at", "next", "head_bytes", "body_bytes")
     if not broken.isEmpty():
         records = _mended(spark, path, pieces, records, broken)
     ok = (F.col("record_type") == "revisit") | (F.col("digest") == F.col("named_digest"))
     response = F.col("record_type") == "response"
     return records.select(
-        F.col("page").cast("long").alias("page_id"),
+        F.url_decode("page").cast(id_type).alias("page_id"),
         "url",
         F.when(response, F.col("body_bytes")).otherwise(F.col("named_bytes")).alias("payload_bytes"),
         F.when(ok, F.when(response, F.col("digest")).otherwise(F.col("named_digest"))).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: page "), F.coalesce("page", F.lit("null"))))).alias("payload_digest"),
         "record_type",
-        F.col("refers").cast("long").alias("refers_to"),
+        F.url_decode("refers").cast(id_type).alias("refers_to"),
     )
 
 
@@ -156,9 +161,12 @@ def _mended(spark: SparkSession, path: str, pieces: DataFrame, records: DataFram
     # a piece belongs to the last kept record at or before it
     owner = F.last(F.when(F.col("_kept"), F.col("at")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
     marks = records.select(F.col("file").alias("_kf"), F.col("at").alias("_ka"), F.lit(True).alias("_kept"))
-    owned = pieces.select("file", "block", "seq", "at").join(marks, (F.col("file") == F.col("_kf")) & (F.col("at") == F.col("_ka")), "left").withColumn("owner", owner)
-    parts = owned.join(spans, (F.col("file") == F.col("_f")) & (F.col("owner") == F.col("start"))).select(F.col("file").alias("_pf"), F.col("block").alias("_pb"), F.col("seq").alias("_ps"), "at", "owner", F.col("head_bytes").alias("hb"), F.col("body_bytes").alias("bb"))
+    owned = pieces.select("file", "block", "seq", "at", "bytes").join(marks, (F.col("file") == F.col("_kf")) & (F.col("at") == F.col("_ka")), "left").withColumn("owner", owner)
+    parts = owned.join(spans, (F.col("file") == F.col("_f")) & (F.col("owner") == F.col("start"))).select(F.col("file").alias("_pf"), F.col("block").alias("_pb"), F.col("seq").alias("_ps"), F.col("bytes").alias("_pn"), "at", "owner", F.col("head_bytes").alias("hb"), F.col("body_bytes").alias("bb"))
     whole = _pieces(spark, path).join(parts, (F.col("file") == F.col("_pf")) & (F.col("block") == F.col("_pb")) & (F.col("seq") == F.col("_ps")))
+    # pieces are numbered by their place in a scan: both scans must have cut the files alike
+    same = F.octet_length("value") == F.col("_pn")
+    whole = whole.withColumn("value", F.when(same, F.col("value")).otherwise(F.raise_error(F.lit("the archive was read in other pieces than before"))))
     joined = whole.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"), F.first("hb").alias("hb"), F.first("bb").alias("bb"))
     text = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).cast("binary")
     fixed = joined.select(F.col("file").alias("_xf"), F.col("owner").alias("_xa"), F.sha2(F.substring(text, F.col("hb") + 1, F.col("bb").cast("int")), 256).alias("_digest"))

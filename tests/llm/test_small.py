@@ -241,6 +241,20 @@ def test_warc_with_magic_in_payloads(spark):
     assert got == want
 
 
+def test_warc_small_tables(spark):
+    long_ = "é" * 100
+    rows = [(None, "u", long_), ("a b/>?", None, long_), ("a b/>?", "v", long_), ("c", "u", "x"), ("c", "u", None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    path = shared_dir(spark)
+    warc.write(pages, path)
+    got = sorted(((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(spark, path, "string").collect()), key=str)
+    want = [(None, "u", 200, "revisit", "a b/>?"), ("a b/>?", None, 200, "response", None), ("a b/>?", "v", 200, "response", None), ("c", "u", 1, "response", None), ("c", "u", 0, "response", None)]
+    assert got == sorted(want, key=str)
+    empty = shared_dir(spark)
+    warc.write(pages.limit(0), empty)
+    assert warc.read(spark, empty).count() == 0
+
+
 def test_language(spark):
     texts = {"en": "the cat and the dog with other things ", "fr": "le chat et les chiens avec une autre ", "de": "der hund und die katze nicht mit schön "}
     rows = [(i, texts[x] * (1 + i % 3) + WORDS[i], x) for i, x in enumerate(list(texts) * 30)] + [(900, None, "en"), (901, "123 !", "en"), (902, "the dog and the cat", None)]
