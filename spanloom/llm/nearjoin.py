@@ -26,6 +26,7 @@ with a probability below 2**-61.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -51,7 +52,7 @@ MAX_FREQUENT = 1 << 20
 #: Below this percentage neighbours in both sets aren't certain: every token of the 1-prefix is indexed singly.
 COMBINED_PERCENT = 70
 #: Rounds of stars before the pairs that are left between components are verified.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Postings of combinations are spread over so many parts of their key.
 SALTS = 64
 #: Keys of more members than that are handled in blocks of about so many members.
@@ -314,20 +315,20 @@ def components(edges: DataFrame, stage=stage_table) -> DataFrame:
     stays as an edge. Every round is written, so that lost executors cost no lineage."""
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     left = stage(edges.filter("a <> b").select(*ends("a", "b")).distinct())
-    roots = stage(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v")))
+    roots = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v"))
     while not left.isEmpty():
         near = left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")).union(left.select(F.col("a").alias("v"), F.col("a").alias("p")).distinct())
-        hook = stage(near.groupBy("v").agg(F.min("p").alias("p")))
+        hook = near.groupBy("v").agg(F.min("p").alias("p"))
         to = hook.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
         jumped = hook.join(to, F.col("p") == F.col("_v")).select("v", F.col("_p").alias("p"))
         labels = stage(jumped)
         at = lambda x: labels.select(F.col("v").alias(x), F.col("p").alias(f"p{x}"))
-        roots = stage(roots.join(at("root"), "root", "left").select("v", F.coalesce("proot", "root").alias("root")))
+        roots = roots.join(at("root"), "root", "left").select("v", F.coalesce("proot", "root").alias("root"))
         met = left.join(at("a"), "a").join(at("b"), "b").filter("pa <> pb").select(*ends("pa", "pb"))
         # a label that has a parent of its own
         open_ = labels.filter("v <> p").select(*ends("v", "p")).join(labels.select(F.col("p").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         left = stage(met.union(open_).distinct())
-    return roots
+    return stage(roots)
 
 
 def _linkable(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
@@ -346,12 +347,13 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).drop("_id", "rep")
 
 
-def _verify(pairs: DataFrame, bits: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int, stage) -> DataFrame:
-    """The pairs (a, b) that are similar: by bitmap (where that isn't done: ``near``), then by their texts."""
-    side = lambda x: bits.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    near = pairs.filter("NOT near").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-    near = near.mapInArrow(_near(percent), "a bigint, b bigint")
-    near = stage(near.union(pairs.filter("near").select("a", "b")))
+def _verify(pairs: DataFrame, bits: DataFrame | None, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int, stage) -> DataFrame:
+    """The pairs (a, b) that are similar: by bitmap (None: that is done), then by their texts."""
+    near = pairs
+    if bits is not None:
+        side = lambda x: bits.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+        near = stage(near.mapInArrow(_near(percent), "a bigint, b bigint"))
     rep = lambda x: classes.select(F.col("v").alias(x), "rep")
     left = _texts(docs, stage(near.select("a").distinct().join(rep("a"), "a"))).withColumnRenamed("_text", "x")
     right = _texts(docs, stage(near.join(rep("b"), "b"))).withColumnRenamed("_text", "y")
@@ -359,51 +361,47 @@ def _verify(pairs: DataFrame, bits: DataFrame, docs: DataFrame, classes: DataFra
     return met.mapInArrow(_similar(k, percent, seed), "a bigint, b bigint").distinct()
 
 
-def _light_pairs(percent: int):
-    """Pairs of members of a small key that are in different components and can link."""
+def _members(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(v, n, root, bits) of each list of members."""
+    ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+    flat = column.flatten()
+    v, n, root = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("v", "n", "root"))
+    bits = flat.field("bits").to_pylist()
+    for s, e in itertools.pairwise(ends):
+        yield v[s:e], n[s:e], root[s:e], bits[s:e]
 
-    def run(batches):
-        for b in batches:
-            left, right = [], []
-            for members in b.column(0).to_pylist():
-                v, n, root, place = (np.array([m[f] for m in members], np.int64) for f in ("v", "n", "root", "place"))
-                i, j = np.triu_indices(len(members), 1)
-                least = -(-percent * (n[i] + n[j]) // (100 + percent))
-                single = (n[i] - place[i] >= least) & (n[j] - place[j] >= least)
-                combined = (2 * n[i] + n[j] + 1 + place[i] >= 3 * least) & (2 * n[j] + n[i] + 1 + place[j] >= 3 * least)
-                ok = (root[i] != root[j]) & np.where((place[i] >= 0) & (place[j] >= 0), single, combined | ((place[i] >= 0) != (place[j] >= 0)))
-                left.append(np.minimum(v[i[ok]], v[j[ok]]))
-                right.append(np.maximum(v[i[ok]], v[j[ok]]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    return run
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in bits]).view(np.uint64)
 
 
-def _folded(bits: list[bytes], size: int) -> np.ndarray:
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in bits])
+def _by_size(bits: list[bytes]) -> dict[int, np.ndarray]:
+    size = np.array([len(x) for x in bits])
+    return {int(z): np.flatnonzero(size == z) for z in np.unique(size)}
 
 
 def _block_pairs(percent: int):
-    """Pairs of members of two blocks (or of one) that sizes, components and bitmaps let pass."""
+    """Pairs of members of two lists (or of one) that are in different components and that sizes and bitmaps let pass. Sets
+    that can link have bitmaps of one size, or of one and its double."""
 
     def run(batches):
         for b in batches:
             left, right = [], []
-            for x, y, same in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                size = min(len(m["bits"]) for m in (*x, *y))
-                bx, by = (_folded([m["bits"] for m in z], size) for z in (x, y))
-                bx, by = (z.view(np.uint64) for z in (bx, by))
-                (cx, nx, rx), (cy, ny, ry) = ([np.array([m[f] for m in z], np.int64) for f in ("v", "n", "root")] for z in (x, y))
-                for i in range(len(x)):
-                    differ = np.bitwise_count(by ^ bx[i]).sum(axis=1, dtype=np.int64)
-                    both = nx[i] + ny
-                    ok = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (ry != rx[i])
-                    if same:
-                        ok[: i + 1] = False
-                    hit = np.flatnonzero(ok)
-                    left.append(np.minimum(cx[i], cy[hit]))
-                    right.append(np.maximum(cx[i], cy[hit]))
+            for (vx, nx, rx, bx), (vy, ny, ry, by), same in zip(_members(b.column(0)), _members(b.column(1)), b.column(2).to_pylist(), strict=True):
+                for (zx, ix), (zy, iy) in itertools.product(_by_size(bx).items(), _by_size(by).items()):
+                    if max(zx, zy) > 2 * min(zx, zy) and percent > 50:
+                        continue
+                    fx, fy = (_folded([z[i] for i in at], min(zx, zy)) for z, at in ((bx, ix), (by, iy)))
+                    for i, own in zip(ix, fx, strict=True):
+                        both = nx[i] + ny[iy]
+                        most = both - 2 * -(-percent * both // (100 + percent))
+                        ok = (np.abs(nx[i] - ny[iy]) <= most) & (ry[iy] != rx[i])
+                        if same:
+                            ok &= iy > i
+                        at = np.flatnonzero(ok)
+                        at = at[np.bitwise_count(fy[at] ^ own).sum(axis=1, dtype=np.int64) <= most[at]]
+                        left.append(np.minimum(vx[i], vy[iy[at]]))
+                        right.append(np.maximum(vx[i], vy[iy[at]]))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
@@ -460,18 +458,20 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
                 led = now.join(now.groupBy("key").agg(lead.alias("lead")), "key")
                 led = led.filter((F.col("v") != F.col("lead.v")) & (F.col("root") != F.col("lead.root")) & _linkable(F.col("n"), F.col("lead.n"), F.col("place"), F.col("lead.place"), percent))
                 met = led.groupBy("v", F.col("lead.v").alias("a")).agg(F.count("*").alias("c"))
-                pairs = met.groupBy("v").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("v").alias("b"), F.lit(False).alias("near"))
+                pairs = met.groupBy("v").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("v").alias("b"))
             else:
                 light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
-                pairs = light.groupBy("key").agg(F.collect_list(F.struct("v", "n", "root", "place")).alias("m")).select("m").mapInArrow(_light_pairs(percent), "a bigint, b bigint")
-                pairs = pairs.select("a", "b", F.lit(False).alias("near"))
+                # all members of a key at once, by their bitmaps: costly rows, dealt evenly
+                light = light.select("key", "v", "root").join(bits, "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+                light = light.groupBy("key").agg(F.collect_list(F.struct("v", "n", "root", "bits")).alias("x")).select("x", F.col("x").alias("y"), F.lit(True).alias("same"))
+                pairs = light.mapInArrow(_block_pairs(percent), "a bigint, b bigint")
                 if not heavy.isEmpty():
-                    pairs = pairs.union(_heavy_pairs(heavy, bits, percent, stage).select("a", "b", F.lit(True)))
-                pairs = pairs.groupBy("a", "b").agg(F.max("near").alias("near")).join(tested, ["a", "b"], "left_anti")
+                    pairs = pairs.union(_heavy_pairs(heavy, bits, percent, stage))
+                pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
             pairs = stage(pairs)
             done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             tested = done if tested is None else tested.union(done)
-            fresh = stage(_verify(pairs, bits, docs, classes, k, percent, seed, stage))
+            fresh = stage(_verify(pairs, bits if step < STAR_ROUNDS else None, docs, classes, k, percent, seed, stage))
             edges = fresh if edges is None else edges.union(fresh)
             root = components(edges, stage).select("v", "root")
         return None if root is None else stage_table(root)
