@@ -30,21 +30,23 @@ def choose_offsets(s: np.ndarray, e: np.ndarray, anchor_s: np.ndarray, anchor_e:
         votes.append(np.unique(off[np.abs(off) <= REACH]))
     states = np.unique(np.concatenate([[0], *votes]))
     cost = np.zeros(len(states))
-    back = np.zeros((len(s), len(states)), np.int32)
-    every = np.arange(len(states))
+    # a bit for each span and state: whether the offset stays; all others come from the cheapest one
+    stays, lows = [], []
     for i, v in enumerate(votes):
         if i:
             low = int(cost.argmin())
             switch = cost[low] + SWITCH_COST
             stay = cost <= switch
-            back[i] = np.where(stay, every, low)
+            stays.append(np.packbits(stay))
+            lows.append(low)
             cost = np.where(stay, cost, switch)
         cost = cost + ~np.isin(states, v)
     at = int(cost.argmin())
     out = np.zeros(len(s), np.int64)
     for i in range(len(s) - 1, -1, -1):
         out[i] = states[at]
-        at = back[i, at]
+        if i and not stays[i - 1][at >> 3] >> (7 - (at & 7)) & 1:
+            at = lows[i - 1]
     return out
 
 

@@ -157,8 +157,8 @@ def window_table(books: DataFrame, n: str, content: int = CONTENT, stride: int =
     return df.select(book, F.col("window_index").cast("long").alias("window_index"), F.col("w.s").alias("token_start"), F.col("w.e").alias("token_end"))
 
 
-def pack_windows(tokens: DataFrame, content: int = CONTENT, stride: int = STRIDE, features: str | None = None, pad: bool = True, cls: int = CLS, sep: int = SEP, pad_id: int = PAD, book: str = "doc_id") -> DataFrame:
-    """A row for each window of each book: input_ids, attention_mask, labels (specials and padding -100), features if named,
+def pack_windows(tokens: DataFrame, content: int = CONTENT, stride: int = STRIDE, features: str | None = None, pad: bool = True, cls: int = CLS, sep: int = SEP, pad_id: int = PAD, book: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each window of each book: ``carry``, input_ids, attention_mask, labels (specials and padding -100), features if named,
     token_start, token_end, char_start and char_end of the first and last token with width (-1: none).
 
     ``tokens``: ids, starts, ends, labels as arrays. Windows are cut from the arrays as rows are made; no book is held twice.
@@ -172,7 +172,7 @@ def pack_windows(tokens: DataFrame, content: int = CONTENT, stride: int = STRIDE
     wide = F.filter(F.arrays_zip(cut("starts").alias("s"), cut("ends").alias("e")), lambda x: x["e"] > x["s"])
     out = df.withColumn("_wide", wide)
     cols = [
-        book, F.col("window_index").cast("int").alias("window_index"),
+        book, *carry, F.col("window_index").cast("int").alias("window_index"),
         wrap(cls, cut("ids"), sep, pad_id).alias("input_ids"),
         F.transform(wrap(1, F.transform(cut("ids"), lambda x: F.lit(1)), 1, 0), lambda x: x.cast("tinyint")).alias("attention_mask"),
         wrap(IGNORE, cut("labels"), IGNORE, IGNORE).alias("labels"),
@@ -245,4 +245,4 @@ def build_dataset(books: DataFrame, spans: DataFrame, splits: DataFrame, make_to
     tokens = tokenize(listed, make_tokenizer, book)
     labelled = label_arrays(label_rows(token_rows(tokens, book), assert_no_overlap(spans.select(book, "s", "e"), book), book), book).select(book, "labels")
     full = tokens.join(labelled, book).join(splits.select(book, "split"), book)
-    return pack_windows(full, content, stride, book=book).join(splits.select(book, "split"), book)
+    return pack_windows(full, content, stride, book=book, carry=("split",))

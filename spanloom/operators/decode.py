@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dataset import IGNORE
-from .score import dedupe_spans, greedy_match, match_candidates, prf
+from .score import dedupe_spans, greedy_match, match_candidates, prf, score_spans
+from .tables import bounded_batches, stage
 
 NEG = -1.0e9
 #: Fixed: labels of each scheme, and for each entity its begin, inside and end label.
@@ -63,25 +66,51 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, scheme: str, penalty: fl
     return paths
 
 
+#: Scores that are decoded side by side, padding included (8 bytes each, and as many for the way back).
+CELLS = 1 << 20
+
+
+def _scores(column: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All scores of a batch's windows, one row a token, and where each window begins (null windows are empty)."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(-1, k), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _paths(scores: np.ndarray, starts: np.ndarray, scheme: str, penalty: float) -> pa.ListArray:
+    """The paths of a batch's windows, decoded in groups of like length."""
+    size = np.diff(starts)
+    out = np.zeros(len(scores), np.int32)
+    order = np.argsort(-size, kind="stable")
+    while len(order) and size[order[0]]:
+        take = max(1, CELLS // int(size[order[0]] * scores.shape[1]))
+        group, order = order[:take], order[take:]
+        padded = np.zeros((len(group), size[group[0]], scores.shape[1]))
+        for row, w in enumerate(group):
+            padded[row, : size[w]] = scores[starts[w] : starts[w + 1]]
+        for w, path in zip(group, best_paths(padded, size[group], scheme, penalty), strict=True):
+            out[starts[w] : starts[w + 1]] = path
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))
+
+
 def viterbi_decode(windows: DataFrame, penalty: float | list[float] = 4.0, scheme: str = "bio", logits: str = "logits") -> DataFrame:
-    """``windows`` without logits, with ``penalty`` and ``path``: for each of the penalties a row. Windows of an Arrow batch are
-    decoded together; the scores are read once for all penalties. Empty windows get an empty path."""
+    """``windows`` without logits, with ``penalty`` and ``path``: for each of the penalties a row. Windows of an Arrow batch
+    are decoded side by side, in groups of like length and bounded size; the scores are read once for all penalties. Empty
+    and null windows get an empty path; an empty table gives no rows. Lowers the session's Arrow batches."""
+    bounded_batches(windows.sparkSession)
     many = [float(p) for p in (penalty if isinstance(penalty, list) else [penalty])]
-    keep = [c for c in windows.columns if c != logits]
+    keep = [c for c in windows.columns if c not in (logits, "penalty", "path")]
     k = LABELS[scheme]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [np.array([list(x) for x in w], np.float64).reshape(-1, k) for w in f[logits]]
-            lengths = np.array([len(r) for r in rows], np.int64)
-            padded = np.zeros((len(rows), max(lengths, default=0), k))
-            for i, r in enumerate(rows):
-                padded[i, : len(r)] = r
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores, starts = _scores(b.column(len(keep)), k)
             for p in many:
-                yield f[keep].assign(penalty=p, path=best_paths(padded, lengths, scheme, p))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(b.num_rows, p)), _paths(scores, starts, scheme, p)], [*keep, "penalty", "path"])
 
-    schema = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in keep)
-    return windows.mapInPandas(run, f"{schema}, penalty double, path array<int>")
+    schema = ", ".join(f"`{c}` {windows.schema[c].dataType.simpleString()}" for c in keep)
+    flat = windows.select(*keep, F.col(logits).cast("array<array<double>>").alias(logits))
+    return flat.mapInArrow(run, f"{schema}{', ' if keep else ''}penalty double, path array<int>")
 
 
 def argmax_decode(windows: DataFrame, logits: str = "logits") -> DataFrame:
@@ -112,20 +141,33 @@ def spans_from_labels(seqs: DataFrame, path: str = "path", scheme: str = "bio")
 
 
 def token_to_char_spans(spans: DataFrame, tokens: DataFrame, book: str = "doc_id") -> DataFrame:
-    """Token spans [s, e) of a book to characters: the start of the first and the end of the last token."""
-    first = tokens.select(F.col(book).alias("_fb"), F.col("tok_ix").alias("_fi"), F.col("s").alias("_cs"))
-    last = tokens.select(F.col(book).alias("_lb"), F.col("tok_ix").alias("_li"), F.col("e").alias("_ce"))
-    df = spans.join(first, (F.col(book) == F.col("_fb")) & (F.col("s") == F.col("_fi"))).join(last, (F.col(book) == F.col("_lb")) & (F.col("e") - 1 == F.col("_li")))
-    return df.select(*[c for c in spans.columns if c not in ("s", "e")], F.col("_cs").alias("s"), F.col("_ce").alias("e"))
+    """Token spans [s, e) of a book to characters: the start of the first and the end of the last token. Repeated spans stay
+    repeated; spans with an end outside the book go.
+
+    Both ends of a span meet the tokens in one join, so that tokens are shuffled once."""
+    same = [c for c in spans.columns if c not in ("s", "e")]
+    counted = spans.groupBy(*same, "s", "e").agg(F.count("*").alias("_m"))
+    ends = counted.withColumn("_ix", F.explode(F.array(F.col("s").cast("bigint"), F.col("e").cast("bigint") - 1)))
+    own = tokens.select(F.col(book).alias("_b"), F.col("tok_ix").cast("bigint").alias("_t"), F.col("s").alias("_cs"), F.col("e").alias("_ce"))
+    met = ends.join(own, (F.col(book) == F.col("_b")) & (F.col("_ix") == F.col("_t")))
+    first, last = F.col("_ix") == F.col("s"), F.col("_ix") == F.col("e") - 1
+    both = met.groupBy(*same, "s", "e", "_m").agg(F.min(F.when(first, F.col("_cs"))).alias("_cs"), F.max(F.when(last, F.col("_ce"))).alias("_ce")).filter("_cs IS NOT NULL AND _ce IS NOT NULL")
+    both = both.withColumn("_m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))))
+    return both.select(*same, F.col("_cs").alias("s"), F.col("_ce").alias("e"))
 
 
 def check_window_alignment(windows: DataFrame, tokens: DataFrame, book: str = "doc_id") -> DataFrame:
-    """``windows``; the job fails at a window whose first token with width doesn't start at its char_start."""
-    first = tokens.filter("e > s").select(F.col(book).alias("_b"), F.col("tok_ix").alias("_i"), F.col("s").alias("_s"))
-    met = windows.join(first, (F.col(book) == F.col("_b")) & (F.col("_i") >= F.col("token_start")) & (F.col("_i") < F.col("token_end")), "left")
-    starts = met.groupBy(*windows.columns).agg(F.min_by("_s", "_i").alias("_s"))
-    ok = F.coalesce("_s", F.lit(-1)) == F.col("char_start")
-    return starts.withColumn("char_start", F.when(ok, F.col("char_start")).otherwise(F.raise_error(F.concat(F.lit("window out of line: "), F.col(book).cast("string"))).cast("int"))).drop("_s")
+    """``windows``; the job fails at a window whose first token with width doesn't start at its char_start (-1: it has none).
+    Each token is given the next one with width, so that a window meets one token."""
+    ahead = Window.partitionBy(book).orderBy("tok_ix").rowsBetween(0, Window.unboundedFollowing)
+    wide = F.when(F.col("e") > F.col("s"), F.struct(F.col("tok_ix").alias("i"), F.col("s").alias("s")))
+    following = tokens.select(F.col(book).alias("_b"), F.col("tok_ix").alias("_i"), F.first(wide, ignorenulls=True).over(ahead).alias("_n"))
+    met = windows.join(following, (F.col(book) == F.col("_b")) & (F.col("token_start") == F.col("_i")), "left")
+    start = F.when(F.col("_n.i") < F.col("token_end"), F.col("_n.s"))
+    ok = F.coalesce(start, F.lit(-1)) == F.col("char_start")
+    kind = windows.schema["char_start"].dataType
+    line = F.when(ok, F.col("char_start")).otherwise(F.raise_error(F.concat(F.lit("window out of line: "), F.col(book).cast("string"))).cast(kind))
+    return met.withColumn("char_start", line).select(*windows.columns)
 
 
 def dump_to_book_spans(window_spans: DataFrame, windows: DataFrame, tokens: DataFrame, thr: float = 0.5, book: str = "doc_id") -> DataFrame:
@@ -195,7 +237,7 @@ def constrained_decode(windows: DataFrame, penalty: float = 4.0) -> DataFrame:
     return viterbi_decode(windows.withColumn("logits", barred.cast("array<array<double>>")).drop("mask", "pieces"), penalty)
 
 
-def book_eval_from_windows(windows: DataFrame, paths: DataFrame, owned: DataFrame, book: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def book_spans_from_windows(windows: DataFrame, paths: DataFrame, owned: DataFrame, book: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Gold and predicted spans of whole books in tokens: each window gives the tokens it owns. ``windows``: labels, token_start;
     ``owned``: window_index, own_from, own_to."""
     met = windows.join(paths.select(book, "window_index", "path"), [book, "window_index"]).join(owned, [book, "window_index"])
@@ -206,11 +248,21 @@ def book_eval_from_windows(windows: DataFrame, paths: DataFrame, owned: DataFram
     return side("g"), side("p")
 
 
+def book_eval_from_windows(windows: DataFrame, paths: DataFrame, owned: DataFrame, thr: float = 0.5, book: str = "doc_id") -> DataFrame:
+    """book, tp, n_pred, n_gold of the books that windows were cut from: spans of the stitched labels against those of the
+    stitched paths, matched one to one. Books without spans on either side aren't listed."""
+    gold, pred = (stage(x) for x in book_spans_from_windows(windows, paths, owned, book))
+    ranked = lambda df, ix: df.withColumn(ix, F.row_number().over(Window.partitionBy(book).orderBy("s", "e")).cast("long"))
+    books = gold.select(book).union(pred.select(book)).distinct()
+    return score_spans(books, ranked(gold, "gold_ix"), ranked(pred, "pred_ix"), thr, book)
+
+
 def predict_spans(books: DataFrame, make_scorer: Callable[[], Callable[[list[int]], np.ndarray]], make_tokenizer=None, penalty: float = 4.0, content: int = 8190, stride: int = 5120, book: str = "doc_id") -> DataFrame:
     """Spans of books by a scorer: tokens, windows, scores (``make_scorer`` is called once in each task), paths, characters,
     de-duplication. A scorer maps a window's ids to tokens x 3 scores."""
     from .dataset import regex_tokenizer, token_rows, tokenize, window_table
 
+    bounded_batches(books.sparkSession)
     tokens = tokenize(books, make_tokenizer or (lambda: regex_tokenizer), book)
     cut = window_table(tokens.withColumn("n", F.size("ids")), "n", content, stride, book)
     ids = cut.join(tokens.select(book, "ids"), book).select(book, "window_index", "token_start", F.slice("ids", (F.col("token_start") + 1).cast("int"), (F.col("token_end") - F.col("token_start")).cast("int")).alias("ids"))

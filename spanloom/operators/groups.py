@@ -12,31 +12,40 @@ PRIORITY = ("test", "val", "train")
 TARGETS = {"train": 0.83, "val": 0.085, "test": 0.085}
 
 
-def connected_groups(books: DataFrame, links: DataFrame, prior: DataFrame | None = None, book: str = "doc_id") -> DataFrame:
-    """book, group_id (smallest member): books connected by ``links(a, b)`` or by a common prior group_id.
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) of the vertices of ``edges(a, b)``: root is the least vertex that edges reach. Every vertex hooks to its least
+    neighbour, pointers jump, and the edges are contracted to what is still apart; it ends when none is left. Every round
+    is staged, so plans don't grow."""
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    left = stage(edges.filter("a <> b").select(*ends("a", "b")).distinct())
+    roots = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v"))
+    while not left.isEmpty():
+        near = left.select(F.col("b").alias("v"), F.col("a").alias("p")).union(left.select(F.col("a").alias("v"), F.col("a").alias("p")))
+        hook = near.groupBy("v").agg(F.min("p").alias("p"))
+        to = hook.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
+        labels = stage(hook.join(to, F.col("p") == F.col("_v")).select("v", F.col("_p").alias("p")))
+        at = lambda x: labels.select(F.col("v").alias(x), F.col("p").alias(f"p{x}"))
+        roots = roots.join(at("root"), "root", "left").select("v", F.coalesce("proot", "root").alias("root"))
+        met = left.join(at("a"), "a").join(at("b"), "b").filter("pa <> pb").select(*ends("pa", "pb"))
+        # a label that has a parent of its own
+        parents = labels.select(F.col("p").alias("b")).distinct()
+        apart = labels.filter("v <> p").select(*ends("v", "p")).join(parents, "b", "left_semi").select("a", "b")
+        left = stage(met.union(apart).distinct())
+    return stage(roots)
 
-    Labels take the least of their neighbours', roots are hooked and pointers jump, until nothing changes; every round is
-    staged, so plans don't grow.
-    """
+
+def connected_groups(books: DataFrame, links: DataFrame, prior: DataFrame | None = None, book: str = "doc_id") -> DataFrame:
+    """book, group_id (smallest member): books connected by ``links(a, b)`` or by a common prior group_id. Links to books that
+    aren't listed and null ends or groups connect nothing; repeated books count once."""
     nodes = books.select(F.col(book).alias("v")).distinct()
     edges = links.select("a", "b")
     if prior is not None:
-        mates = prior.join(nodes, F.col(book) == F.col("v"), "left_semi")
-        edges = edges.union(mates.select(F.col(book).alias("a"), F.min(book).over(Window.partitionBy("group_id")).alias("b")))
-    edges = edges.filter("a <> b").join(nodes, F.col("a") == F.col("v"), "left_semi").join(nodes, F.col("b") == F.col("v"), "left_semi")
-    both = stage(edges.union(edges.select("b", "a")).distinct())
-    labels = stage(nodes.withColumn("root", F.col("v")))
-    total = None
-    while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        new = labels.join(near, "v", "left").select("v", F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        hooked = new.select("v", "new").union(new.select(F.col("old").alias("v"), "new")).groupBy("v").agg(F.min("new").alias("root"))
-        jump = hooked.select(F.col("v").alias("j"), F.col("root").alias("to"))
-        labels = stage(hooked.join(jump, F.col("root") == F.col("j")).select("v", F.col("to").alias("root")))
-        now = labels.agg(F.sum(F.hash("v", "root").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels.select(F.col("v").alias(book), F.col("root").alias("group_id"))
-        total = now
+        mates = prior.filter("group_id IS NOT NULL").join(nodes, F.col(book) == F.col("v"), "left_semi").select(book, "group_id")
+        least = mates.groupBy("group_id").agg(F.min(book).alias("b"))
+        edges = edges.union(mates.join(least, "group_id").select(F.col(book).alias("a"), "b"))
+    edges = edges.join(nodes, F.col("a") == F.col("v"), "left_semi").join(nodes, F.col("b") == F.col("v"), "left_semi")
+    found = components(edges).withColumnRenamed("v", "_v")
+    return nodes.join(found, F.col("v") == F.col("_v"), "left").select(F.col("v").alias(book), F.coalesce("root", "v").alias("group_id"))
 
 
 def resolve_fixed_splits(groups: DataFrame, prior: DataFrame, book: str = "doc_id") -> DataFrame:
@@ -52,28 +61,101 @@ def moved_books(groups: DataFrame, fixed: DataFrame, prior: DataFrame, book: str
     return df.filter("was <> split").select(book, "was", "split")
 
 
+class Placer:
+    """Placing weights one after the other, each to the split that lacks most of its target, (t * total - now) / t; ties in the
+    order of ``targets``. ``skip`` tells where a run of equal weights ends without placing each of them."""
+
+    def __init__(self, targets: dict[str, float], total: float):
+        self.names, self.targets, self.total = list(targets), list(targets.values()), total
+
+    def lack(self, split: int, now: float) -> float:
+        return (self.targets[split] * self.total - now) / self.targets[split]
+
+    def best(self, now: list[float]) -> int:
+        return max(range(len(now)), key=lambda i: self.lack(i, now[i]))
+
+    def skip(self, now: list[float], weight: float, n: int) -> list[float]:
+        """The loads after n groups of a weight. Placements go by falling lack, so those of a lack above a level come first: the
+        level is halved until nearly n are above it, and the last few are placed one by one."""
+        now, done = list(now), 0
+        if weight <= 0 or n <= 0:
+            return now
+
+        def above(level: float) -> list[int]:
+            counts = []
+            for i in range(len(now)):
+                lo, hi = 0, n  # the first placement that isn't above the level
+                while lo < hi:
+                    mid = (lo + hi) // 2
+                    lo, hi = (mid + 1, hi) if self.lack(i, now[i] + mid * weight) > level else (lo, mid)
+                counts.append(lo)
+            return counts
+
+        low = min(self.lack(i, now[i] + n * weight) for i in range(len(now)))
+        high = max(self.lack(i, now[i]) for i in range(len(now)))
+        counts = [0] * len(now)
+        for _ in range(128):
+            level = (low + high) / 2
+            found = above(level)
+            if sum(found) <= n:
+                counts, high = found, level
+            else:
+                low = level
+            if n - sum(counts) <= len(now) or not low < (low + high) / 2 < high:
+                break
+        now = [x + c * weight for x, c in zip(now, counts, strict=True)]
+        for _ in range(n - sum(counts)):
+            now[self.best(now)] += weight
+        return now
+
+
+#: Runs of more groups of one weight than that are placed in ranges of md5, each in a task of its own.
+RUN = 10_000
+
+
 def assign_free_groups(weights: DataFrame, current: dict[str, float], targets: dict[str, float] = TARGETS, seed: int = 123) -> DataFrame:
     """group_id, split for groups without a split: largest weight first (ties by md5 of seed and id), each to the split
     that lacks most of its target, (t * total - now) / t; ties in the order train, val, test.
 
-    Placement is sequential by its nature, and sees one row for each group.
+    The order is that of one long line, but loads depend on the weights before alone: counts of the distinct weights
+    (whole numbers) give the loads at the start of each weight, and, for long runs of one weight, of each range of md5, from
+    which a task places its own groups. An empty table gives no rows.
     """
     if min(targets.values()) <= 0:
         raise ValueError("targets must be above 0")
     kind = weights.schema["group_id"].dataType.simpleString()
+    counts = [(float(w), n) for w, n in weights.groupBy("weight").count().orderBy(F.desc("weight")).collect()]  # a row for each distinct weight
+    now = [float(current.get(s, 0)) for s in targets]
+    placer = Placer(targets, sum(now) + sum(w * n for w, n in counts))
+    starts = []
+    for w, n in counts:
+        starts.append((w, n, now))
+        now = placer.skip(now, w, n)
+    if not starts:
+        return weights.select("group_id", F.lit("").alias("split"))
+    loads = weights.sparkSession.createDataFrame(starts, "w double, n bigint, now array<double>")
+    key = F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col("group_id").cast("string")))
+    keyed = weights.withColumn("key", key).join(loads, F.col("weight").cast("double") == F.col("w"))
+    # short runs share calls; a long one is cut by its first three hexadecimal digits
+    keyed = stage(keyed.withColumn("range", F.when(F.col("n") > RUN, F.substring("key", 1, 3)).otherwise(F.lit(""))).drop("now"))
+    cells = keyed.groupBy("w", "range").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("w").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("w", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    ready = keyed.join(cells, ["w", "range"]).join(loads.select("w", "now"), "w")
+    call = F.when(F.col("range") == "", F.pmod(F.hash("w"), F.lit(64)).cast("string")).otherwise(F.concat(F.col("w").cast("string"), F.lit("/"), F.col("range")))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        now = {s: float(current.get(s, 0)) for s in targets}
-        total = sum(now.values()) + float(frame["weight"].sum())
         out = []
-        for w in frame.sort_values(["weight", "key"], ascending=[False, True])["weight"]:
-            best = max(targets, key=lambda s: (targets[s] * total - now[s]) / targets[s])
-            now[best] += float(w)
-            out.append(best)
-        return pd.DataFrame({"group_id": frame.sort_values(["weight", "key"], ascending=[False, True])["group_id"], "split": out})
+        for w, own in frame.sort_values(["w", "key"]).groupby("w"):
+            load = placer.skip(list(own["now"].iloc[0]), w, int(own["before"].iloc[0]))
+            for _ in range(len(own)):
+                best = placer.best(load)
+                load[best] += w
+                out.append(placer.names[best])
+        ordered = frame.sort_values(["w", "key"])
+        return pd.DataFrame({"group_id": ordered["group_id"], "split": out})
 
-    keyed = weights.withColumn("key", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col("group_id").cast("string"))))
-    return keyed.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(place, f"group_id {kind}, split string")
+    return ready.withColumn("_call", call).groupBy("_call").applyInPandas(place, f"group_id {kind}, split string")
 
 
 def leak_aware_split(books: DataFrame, links: DataFrame, prior: DataFrame, targets: dict[str, float] = TARGETS, seed: int = 123, book: str = "doc_id") -> DataFrame:
@@ -87,20 +169,64 @@ def leak_aware_split(books: DataFrame, links: DataFrame, prior: DataFrame, targe
     return groups.join(sized.filter("split IS NOT NULL").select("group_id", "split").unionByName(free), "group_id").select(book, "split", "group_id")
 
 
+#: Values that one step of order_statistics brings to the driver at most.
+MOST_VALUES = 10_000
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """The values at some ranks (from 0) of a numeric column. A range of values that holds a rank is counted in 1,000 equal
+    parts until it has few distinct values, which are counted themselves; nothing is sorted. Nulls are left out."""
+    values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    lo, hi = values.agg(F.min("x"), F.max("x")).first()
+    out: dict[int, float] = {}
+    todo = [(lo, hi, 0, sorted(set(ranks)))] if lo is not None else []
+    while todo:
+        lo, hi, below, wanted = todo.pop()
+        inside = values.filter((F.col("x") >= lo) & (F.col("x") <= hi))
+        few = inside.groupBy("x").count().limit(MOST_VALUES + 1).collect()
+        if len(few) <= MOST_VALUES:
+            for x, n in sorted(few):
+                out |= {r: x for r in wanted if below <= r < below + n}
+                below += n
+            continue
+        part = F.least(F.lit(999), F.floor((F.col("x") - lo) / (hi - lo) * 1000)).alias("part")
+        for _, n, first, last in sorted(inside.groupBy(part).agg(F.count("*"), F.min("x"), F.max("x")).collect()):
+            if own := [r for r in wanted if below <= r < below + n]:
+                todo.append((first, last, below, own))
+            below += n
+    return out
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float]:
+    """Quantiles with linear interpolation between neighbours; none of an empty column."""
+    n = df.filter(F.col(column).isNotNull()).count()
+    at = [(n - 1) * q for q in shares]
+    found = order_statistics(df, column, [r for x in at for r in (int(x), min(int(x) + 1, n - 1))]) if n else {}
+    return [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, n - 1)] - found[int(x)]) for x in at] if n else []
+
+
 def stratified_split(books: DataFrame, key: str, seed: int = 42, part: float = 0.10, book: str = "doc_id") -> DataFrame:
-    """book, stratum, split: strata are quartiles of ``key`` (right-closed, equal edges dropped); in each, in order of
-    md5(seed, id), a tenth is test, a tenth val (at least 1 if it has 3 books, fewer while they would take all), the rest train."""
-    edges = books.agg(F.array_distinct(F.expr(f"percentile({key}, array(0.25, 0.5, 0.75))")).alias("_e"), F.min(key).alias("_lo"))
-    stratum = F.size(F.filter("_e", lambda x: (x < F.col(key)) & (x > F.col("_lo"))))
-    df = books.select(book, key).crossJoin(F.broadcast(edges)).select(book, stratum.alias("stratum"), F.md5(F.concat(F.lit(f"{seed}|"), F.col(book).cast("string"))).alias("_k"))
-    n = F.count("*").over(Window.partitionBy("stratum"))
+    """book, stratum, split: strata are quartiles of ``key`` (right-closed, equal edges dropped; a null key is in stratum 0); in
+    each, in order of md5(seed, id), a tenth is test, a tenth val (at least 1 if it has 3 books, fewer while they would take
+    all), the rest train. Ranks come from counts of md5 ranges and the place in the range, so no stratum is sorted as a whole."""
+    least = books.agg(F.min(key)).first()[0]
+    edges = sorted({x for x in quantiles(books, key, (0.25, 0.5, 0.75)) if x > least})
+    stratum = sum((F.coalesce(F.col(key) > x, F.lit(False)).cast("int") for x in edges), F.lit(0))
+    df = books.select(book, stratum.alias("stratum"), F.md5(F.concat(F.lit(f"{seed}|"), F.col(book).cast("string"))).alias("_k"))
+    df = stage(df.withColumn("_h", F.coalesce(F.substring("_k", 1, 3), F.lit(""))))
+    cells = df.groupBy("stratum", "_h").agg(F.count("*").alias("_m"))  # 4 * 4097 rows at most
+    own = Window.partitionBy("stratum")
+    earlier = F.sum("_m").over(own.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("stratum", "_h", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_m").over(own).alias("_n"))
+    df = df.join(F.broadcast(cells), ["stratum", "_h"])
+    n = F.col("_n")
     want = F.bround(n * part).cast("long")
     at_least = F.when(n >= 3, F.greatest(want, F.lit(1))).otherwise(want)
     # equal counts give way on the val side first
     over = F.greatest(at_least * 2 - n + 1, F.lit(0))
     val = F.when(n > 1, at_least - F.ceil(over / 2)).otherwise(at_least)
     test = F.when(n > 1, at_least - F.floor(over / 2)).otherwise(at_least)
-    r = F.row_number().over(Window.partitionBy("stratum").orderBy("_k", book))
+    r = F.col("_before") + F.row_number().over(Window.partitionBy("stratum", "_h").orderBy("_k", book))
     df = df.withColumn("_r", r).withColumn("_t", F.greatest(test, F.lit(0))).withColumn("_v", F.greatest(val, F.lit(0)))
     return df.select(book, "stratum", F.when(F.col("_r") <= F.col("_t"), "test").when(F.col("_r") <= F.col("_t") + F.col("_v"), "val").otherwise("train").alias("split"))
 

@@ -12,7 +12,7 @@ from ..operators import decode as V
 from ..operators import score as S
 from ..operators.tables import stage
 from .fixtures import Tables, collector, sql
-from .q_score import CONTENT, STRIDE, WINDOWS, prf_sql, window_rows
+from .q_score import CONTENT, IOU, STRIDE, WINDOWS, greedy_sql, prf_sql, window_rows
 from .q_text import LABELS_SQL, snap_sql
 
 QUERIES: dict = {}
@@ -68,9 +68,9 @@ def spans_from_labels(t):
     return V.spans_from_labels(V.argmax_decode(scored(t).select("doc_id", "window_index", "logits")))
 
 
-@query(sql("SELECT p.doc_id, a.s, b.e FROM (SELECT DISTINCT doc_id, tok_ix AS ts, least(tok_ix + tok_ix % 5, n - 1) AS te FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM tok) WHERE tok_ix % 9 = 0) p JOIN tok a ON a.doc_id = p.doc_id AND a.tok_ix = ts JOIN tok b ON b.doc_id = p.doc_id AND b.tok_ix = te", "tok"))
+@query(sql("WITH tl AS MATERIALIZED (SELECT doc_id, list(s ORDER BY tok_ix) AS ss, list(e ORDER BY tok_ix) AS ee, count(*) AS n FROM tok GROUP BY doc_id) SELECT doc_id, ss[i + 1] AS s, ee[least(i + i % 5, n - 1) + 1] AS e FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM tl)", "tok"))
 def token_to_char_spans(t):
-    n = t.tok().withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).filter("tok_ix % 9 = 0")
+    n = t.tok().withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
     return V.token_to_char_spans(n.selectExpr("doc_id", "tok_ix AS s", "least(tok_ix + tok_ix % 5, n - 1) + 1 AS e"), t.tok()).select("doc_id", "s", "e")
 
 
@@ -90,9 +90,19 @@ def dump_to_book_spans(t):
     return V.dump_to_book_spans(spans, lined(t), t.tok())
 
 
-@query()
+# window scores of argmax and Viterbi paths: spans of labels and of paths in each window, matched one to one
+WGOLD = """sg AS (SELECT doc_id, window_index, k, label AS v FROM lg), g0 AS (SELECT doc_id, window_index, k, v, lag(v) OVER w AS p FROM sg WINDOW w AS (PARTITION BY doc_id, window_index ORDER BY k)),
+g1 AS (SELECT *, sum(CASE WHEN v = 0 OR v = 1 OR coalesce(p, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, window_index ORDER BY k ROWS UNBOUNDED PRECEDING) AS r FROM g0),
+wgo AS MATERIALIZED (SELECT doc_id, window_index, min(k) AS s, max(k) + 1 AS e, row_number() OVER (PARTITION BY doc_id, window_index ORDER BY min(k)) AS gold_ix FROM g1 WHERE v > 0 GROUP BY doc_id, window_index, r)"""
+WINDOW_EVAL = f"""{VITERBI}, seqs AS (SELECT doc_id, window_index, generate_subscripts(path, 1) - 1 AS k, unnest(path) AS v FROM ve), {SPANS}, {WGOLD},
+wpr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, window_index ORDER BY s) AS pred_ix FROM wsp),
+wcd AS MATERIALIZED (SELECT g.doc_id, g.window_index, gold_ix, pred_ix, {IOU} AS iou FROM wgo g JOIN wpr p ON g.doc_id = p.doc_id AND g.window_index = p.window_index AND p.s < g.e AND g.s < p.e WHERE {IOU} >= 0.5), {greedy_sql("wcd", "doc_id, window_index")},
+wn AS (SELECT (SELECT count(*) FROM mt) AS tp, (SELECT count(*) FROM wpr) AS n_pred, (SELECT count(*) FROM wgo) AS n_gold)"""
+
+
+@query(sql(f"WITH {WINDOW_EVAL} SELECT {PENALTY}::DOUBLE AS penalty, tp, n_pred, n_gold, {prf_sql()} FROM wn", "gold", "tok", recursive=True))
 def window_eval(t):
-    w = scored(t)
+    w = stage(scored(t))
     return V.window_eval(w, V.viterbi_decode(w.select("doc_id", "window_index", "logits"), PENALTY))
 
 
@@ -126,11 +136,24 @@ STITCH = f"""{ARGMAX}, ow AS (SELECT *, row_number() OVER (PARTITION BY l.doc_id
 bs AS (SELECT ow.doc_id, ow.t0 + ow.k AS ti, s.v FROM ow JOIN seqs s ON s.doc_id = ow.doc_id AND s.window_index = ow.window_index AND s.k = ow.k WHERE r = 1)"""
 
 
-@query(sql(f"WITH {STITCH}, b0 AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY ti) AS p FROM bs), b1 AS (SELECT *, sum(CASE WHEN v = 0 OR v = 1 OR coalesce(p, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ti ROWS UNBOUNDED PRECEDING) AS g FROM b0) SELECT doc_id, min(ti)::BIGINT AS s, max(ti)::BIGINT + 1 AS e FROM b1 WHERE v > 0 GROUP BY doc_id, g", "gold", "tok"))
+def runs_sql(col: str, src: str, name: str, ix: str) -> str:
+    """Spans of the labels ``col`` of whole books, numbered from 1."""
+    return f"""{name}0 AS (SELECT doc_id, ti, {col} AS v, lag({col}) OVER (PARTITION BY doc_id ORDER BY ti) AS p FROM {src}),
+{name}1 AS (SELECT *, sum(CASE WHEN v = 0 OR v = 1 OR coalesce(p, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ti ROWS UNBOUNDED PRECEDING) AS g FROM {name}0),
+{name} AS MATERIALIZED (SELECT doc_id, min(ti)::BIGINT AS s, max(ti)::BIGINT + 1 AS e, row_number() OVER (PARTITION BY doc_id ORDER BY min(ti)) AS {ix} FROM {name}1 WHERE v > 0 GROUP BY doc_id, g)"""
+
+
+BOOK_EVAL = f"""{STITCH}, bl AS (SELECT ow.doc_id, ow.t0 + ow.k AS ti, label FROM ow WHERE r = 1), {runs_sql("label", "bl", "wg", "gold_ix")}, {runs_sql("v", "bs", "wp", "pred_ix")},
+wc AS MATERIALIZED (SELECT g.doc_id, gold_ix, pred_ix, {IOU} AS iou FROM wg g JOIN wp p ON g.doc_id = p.doc_id AND p.s < g.e AND g.s < p.e WHERE {IOU} >= 0.5), {greedy_sql("wc")},
+wb AS (SELECT doc_id FROM wg UNION SELECT doc_id FROM wp)"""
+
+
+@query(sql(f"""WITH {BOOK_EVAL} SELECT b.doc_id, coalesce(tp, 0)::BIGINT AS tp, coalesce(n_pred, 0)::BIGINT AS n_pred, coalesce(n_gold, 0)::BIGINT AS n_gold FROM wb b LEFT JOIN (SELECT doc_id, count(*) AS tp FROM mt GROUP BY 1) m ON m.doc_id = b.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n_pred FROM wp GROUP BY 1) p ON p.doc_id = b.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n_gold FROM wg GROUP BY 1) g ON g.doc_id = b.doc_id""", "gold", "tok"))
 def book_eval_from_windows(t):
-    w = scored(t)
+    w = stage(scored(t))
     paths = V.argmax_decode(w.select("doc_id", "window_index", "logits"))
-    return V.book_eval_from_windows(w.select("doc_id", "window_index", "token_start", "labels"), paths, S.best_window_per_token(window_rows(t)))[1]
+    return V.book_eval_from_windows(w.select("doc_id", "window_index", "token_start", "labels"), paths, S.best_window_per_token(window_rows(t)))
 
 
 def _scorer():
@@ -181,7 +204,10 @@ def verdict_counts(t):
 
 @query()
 def excluded_books(t):
-    return L.excluded_books(cleaned(t)[1], t.prior().filter("doc_id % 50 = 7").select("doc_id", F.lit(0.14).alias("recall")))
+    from ..operators.sharing import anchor_recall, anchors
+
+    recall = anchor_recall(anchors(t.texts()), t.gold()).filter("recall < 0.2")
+    return L.excluded_books(cleaned(t)[1], recall)
 
 
 # snapping and its action are the part of cleaning that SQL states for books that aren't re-aligned
