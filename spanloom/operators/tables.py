@@ -26,6 +26,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20)
     """Rows with long texts or arrays go to Python in Arrow batches of at most so many rows and bytes, from now on in this
     session; smaller settings stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = str(spark.conf.get(key, "")).rstrip("bB")
+        now = str(spark.conf.get(key, None)).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
