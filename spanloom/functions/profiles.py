@@ -30,6 +30,7 @@ _TENS = ("དང་པོ", "གཉིས་པ", "གསུམ་པ", "བཞ
 _TEENS = r"བཅུ་(?:གཅིག|གཉིས|གསུམ|བཞི|ལྔ|དྲུག|བདུན|བརྒྱད|དགུ)་པ|བཅོ་(?:ལྔ|བརྒྱད)་པ|ཉི་ཤུ་པ"
 _NUMBERED = r"^\s*(?:[\(\{\[]\s*[0-9༠-༩]+\s*[\)\}\]]|[0-9༠-༩]+\s*[༽\.)])"
 
+# Fixed values too, by field.
 TIBETAN = Profile(
     boundary="་༌།༎༏༐༑༔༺༻༼༽[]() \t\n\r\xa0",
     syllable_sep=r"(?U)[་-༔\s]+",
@@ -48,23 +49,3 @@ TIBETAN = Profile(
     clause_closers=("ཞེས་པ", "ཅེས་པ", "ཞེས་", "ཅེས་", "གསུངས"),
     quote_closers=("ཞེས་པ་སྟེ", "ཞེས་པ་ནི", "ཞེས་གསུངས", "ཅེས་གསུངས", "ཞེས་བྱ་བ", "ཞེས་པའོ", "ཞེས་པ", "ཅེས་པ", "ཞེས་", "ཅེས་"),
 )
-
-_STARTS = ("The", "And", "Die", "Der", "De", "La", "In")
-LATIN = Profile(
-    boundary=" \n.,!?()[]",
-    syllable_sep=r"[ \n.,!]+",
-    gap=r"^[ \n.,!]*$",
-    clause_seps=".!",
-    tsheg=" ",
-    shads=".",
-    head_marks="#",
-    ordinals=_STARTS,
-    ordinal_start=rf"^[ \n]*(?:[0-9]+[.)]? *)?(?:{'|'.join(_STARTS)})",
-    anchor=rf"(?:{'|'.join(_STARTS)})[^.]{{0,200}}?on",
-    particle="on",
-    la_particles=("de", "er"),
-    numbered=r"^[ \n]*(?:[\(\{\[] *[0-9]+ *[\)\}\]]|[0-9]+ *[\.)])",
-    source_markers=("the.", "of.", "de.", "en."),
-    clause_closers=("tion", "heit", "mente"),
-    quote_closers=("tion", "keit", "ing"),
-)

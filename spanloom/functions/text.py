@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .profiles import LATIN, Profile
+from .profiles import TIBETAN, Profile
 
 MAX_WALK = 3
 
@@ -42,28 +42,28 @@ def strip_ws(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
 
-def syllables(text: Column, profile: Profile = LATIN) -> Column:
+def syllables(text: Column, profile: Profile = TIBETAN) -> Column:
     return F.array_remove(F.split(text, profile.syllable_sep), "")
 
 
-def is_boundary(ch: Column, profile: Profile = LATIN) -> Column:
+def is_boundary(ch: Column, profile: Profile = TIBETAN) -> Column:
     return (ch != "") & (F.instr(F.lit(profile.boundary), ch) > 0)
 
 
-def boundary_flags(seg: Column, before: Column, profile: Profile = LATIN) -> tuple[Column, Column, Column, Column]:
+def boundary_flags(seg: Column, before: Column, profile: Profile = TIBETAN) -> tuple[Column, Column, Column, Column]:
     """start_clean, end_clean, and the characters before the span and at its end, line breaks escaped."""
     prev, last = F.right(before, F.lit(1)), F.right(seg, F.lit(1))
     shown = lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
     return (prev == "") | is_boundary(prev, profile), is_boundary(last, profile), shown(prev), shown(last)
 
 
-def mid_syllable_flags(seg: Column, before: Column, after: Column, profile: Profile = LATIN) -> tuple[Column, Column]:
+def mid_syllable_flags(seg: Column, before: Column, after: Column, profile: Profile = TIBETAN) -> tuple[Column, Column]:
     """An edge is bad only if the characters on both of its sides are there and not boundaries."""
     bad = lambda a, b: (a != "") & (b != "") & ~is_boundary(a, profile) & ~is_boundary(b, profile)
     return bad(F.right(before, F.lit(1)), F.left(seg, F.lit(1))), bad(F.right(seg, F.lit(1)), F.left(after, F.lit(1)))
 
 
-def snap_edges(s: Column, e: Column, seg: Column, before: Column, after: Column, profile: Profile = LATIN, max_walk: int = MAX_WALK) -> tuple[Column, Column, Column]:
+def snap_edges(s: Column, e: Column, seg: Column, before: Column, after: Column, profile: Profile = TIBETAN, max_walk: int = MAX_WALK) -> tuple[Column, Column, Column]:
     """New start, new end and the action: bad edges walk outwards to the nearest boundary within ``max_walk``."""
     bad_s, bad_e = mid_syllable_flags(seg, before, after, profile)
     at = lambda t, k: F.substring(t, F.lit(k + 1), F.lit(1))
@@ -77,7 +77,7 @@ def snap_edges(s: Column, e: Column, seg: Column, before: Column, after: Column,
     return F.when(bad_s, s - F.coalesce(ks, F.lit(0))).otherwise(s), F.when(bad_e, e + F.coalesce(ke, F.lit(0))).otherwise(e), F.concat_ws("|", act_s, act_e)
 
 
-def heading_like(s: Column, seg: Column, before: Column, after: Column, profile: Profile = LATIN) -> Column:
+def heading_like(s: Column, seg: Column, before: Column, after: Column, profile: Profile = TIBETAN) -> Column:
     """An ordinal near the start, a closing particle near the end, a number, or a line of its own."""
     head = F.left(F.concat(F.right(before, F.lit(2)), seg), F.lit(14))
     tail = F.concat(F.right(seg, F.lit(4)), F.left(after, F.lit(2)))
@@ -88,7 +88,7 @@ def heading_like(s: Column, seg: Column, before: Column, after: Column, profile:
     return _any(head.contains(o) for o in profile.ordinals) | tail.contains(profile.particle) | seg.rlike(profile.numbered) | alone
 
 
-def opens_with_ordinal(seg: Column, profile: Profile = LATIN) -> Column:
+def opens_with_ordinal(seg: Column, profile: Profile = TIBETAN) -> Column:
     core = F.ltrim(seg, F.lit(profile.shads[0] + " "))
     return _any(core.startswith(o) for o in profile.ordinals)
 
@@ -98,21 +98,21 @@ def _core(seg: Column, profile: Profile) -> Column:
     return F.rtrim(bare, F.lit(profile.shads + " " + profile.tsheg))
 
 
-def closes_with(seg: Column, profile: Profile = LATIN) -> tuple[Column, Column]:
+def closes_with(seg: Column, profile: Profile = TIBETAN) -> tuple[Column, Column]:
     """Whether the text, without trailing marks, ends with the particle, and with one of the second particles."""
     core = _core(seg, profile)
     return core.endswith(profile.particle), _any(core.endswith(x) for x in profile.la_particles)
 
 
-def ends_with_shad(seg: Column, profile: Profile = LATIN) -> Column:
+def ends_with_shad(seg: Column, profile: Profile = TIBETAN) -> Column:
     return F.regexp_replace(seg, r"(?U)\s+$", "").endswith(profile.shads[0])
 
 
-def ordinal_start(text: Column, profile: Profile = LATIN) -> Column:
+def ordinal_start(text: Column, profile: Profile = TIBETAN) -> Column:
     return text.rlike(profile.ordinal_start)
 
 
-def punct_gap(gap: Column, profile: Profile = LATIN) -> Column:
+def punct_gap(gap: Column, profile: Profile = TIBETAN) -> Column:
     return gap.rlike(profile.gap)
 
 
@@ -139,7 +139,7 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return both / ((e1 - s1) + (e2 - s2) - both)
 
 
-def clauses(text: Column, profile: Profile = LATIN) -> Column:
+def clauses(text: Column, profile: Profile = TIBETAN) -> Column:
     """Pieces of a text, each with its closing separator; an empty text is one empty clause."""
     sep = _class(profile.clause_seps)
     other = "[^" + sep[1:]
@@ -147,7 +147,7 @@ def clauses(text: Column, profile: Profile = LATIN) -> Column:
     return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
 
 
-def n_syllables(clause: Column, profile: Profile = LATIN) -> Column:
+def n_syllables(clause: Column, profile: Profile = TIBETAN) -> Column:
     """Parts between syllable marks that aren't blank; the separator at the end counts as one if it stands alone."""
     return F.size(F.filter(F.split(clause, _class(profile.tsheg)), lambda x: x.rlike(r"(?U)\S")))
 
@@ -165,7 +165,7 @@ def convert_labels(labels: Column, scheme: str) -> Column:
     return labels
 
 
-def normalise_span_text(seg: Column, profile: Profile = LATIN) -> Column:
+def normalise_span_text(seg: Column, profile: Profile = TIBETAN) -> Column:
     """White space as one space, without head marks, leading numbers and trailing shads."""
     one = F.trim(F.regexp_replace(seg, r"(?U)\s+", " "))
     bare = F.regexp_replace(one, rf"^{_class(profile.head_marks)}+ ?", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.profiles import LATIN, Profile
+from ..functions.profiles import TIBETAN, Profile
 from .intervals import next_span, overlap_layers
 from .spans import attach_text
 
@@ -54,7 +54,7 @@ def length_distribution(spans: DataFrame, by: str = "batch") -> DataFrame:
     return q.join(rest, by)
 
 
-def gap_flags(spans: DataFrame, books: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> DataFrame:
+def gap_flags(spans: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
     """``spans`` with next_s, next_e and frag_next: the next span follows after punctuation only."""
     nxt = next_span(spans, book)
     gaps = nxt.filter("next_s >= e").select(book, F.col("e").alias("gs"), F.col("next_s").alias("ge")).distinct()
@@ -83,14 +83,14 @@ def layer_overlap_pct(target: DataFrame, others: DataFrame, layers: list[str], b
     return total.join(per, by, "left").select(by, *[percent(F.coalesce(x, F.lit(0)), F.col("_n")).alias(f"pct_{x}") for x in layers], percent(F.coalesce("_any", F.lit(0)), F.col("_n")).alias("pct_any"))
 
 
-def lexical_markers(texts: DataFrame, by: str = "batch", profile: Profile = LATIN) -> DataFrame:
+def lexical_markers(texts: DataFrame, by: str = "batch", profile: Profile = TIBETAN) -> DataFrame:
     """Per batch, percent of spans that open with an ordinal, close with the particles, end with a shad. ``texts`` has seg."""
     ni, la = T.closes_with(F.col("seg"), profile)
     share = lambda c: percent(F.count_if(c), F.count("*"))
     return texts.groupBy(by).agg(share(T.opens_with_ordinal(F.col("seg"), profile)).alias("pct_ordinal"), share(ni).alias("pct_ni"), share(la).alias("pct_la"), share(T.ends_with_shad(F.col("seg"), profile)).alias("pct_shad"))
 
 
-def with_boundary_flags(texts: DataFrame, profile: Profile = LATIN) -> DataFrame:
+def with_boundary_flags(texts: DataFrame, profile: Profile = TIBETAN) -> DataFrame:
     start, end, prev, last = T.boundary_flags(F.col("seg"), F.col("before"), profile)
     return texts.withColumn("dirty_start", ~start).withColumn("dirty_end", ~end).withColumn("char_before", prev).withColumn("char_last", last)
 
@@ -106,7 +106,7 @@ def dirty_spans(flagged: DataFrame) -> DataFrame:
     return flagged.filter(F.col("dirty_start") | F.col("dirty_end"))
 
 
-def span_audit(target: DataFrame, others: DataFrame, books: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> DataFrame:
+def span_audit(target: DataFrame, others: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
     """A row for each span: length, dirty flags, frag_next, touched layers, preview."""
     flagged = gap_flags(target, books, profile, book)
     texts = with_boundary_flags(attach_text(flagged, books, book), profile)
@@ -136,7 +136,7 @@ def density_summary(profiles: DataFrame, by: str = "batch") -> DataFrame:
     return counts.join(dens, by).join(rest, by)
 
 
-def top_syllables(texts: DataFrame, by: str = "batch", k: int = 8, profile: Profile = LATIN) -> DataFrame:
+def top_syllables(texts: DataFrame, by: str = "batch", k: int = 8, profile: Profile = TIBETAN) -> DataFrame:
     """Per batch and place (first, last): the k commonest syllables of spans, with percent of all spans; ties by syllable."""
     syl = T.syllables(F.col("seg"), profile)
     total = texts.groupBy(by).agg(F.count("*").alias("_n"))
@@ -151,7 +151,7 @@ def books_missing_layer(others: DataFrame, target: DataFrame, layers: list[str],
     return others.filter(F.col("layer").isin(*layers)).select(book).distinct().join(target, book, "left_anti")
 
 
-def heading_rates(texts: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> DataFrame:
+def heading_rates(texts: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
     """book, n, n_heading, heading_rate of spans with their surroundings."""
     like = T.heading_like(F.col("s"), F.col("seg"), F.col("before"), F.col("after"), profile)
     df = texts.groupBy(book).agg(F.count("*").alias("n"), F.count_if(like).alias("n_heading"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.profiles import LATIN, Profile
+from ..functions.profiles import TIBETAN, Profile
 from .audit import heading_rates
 from .intervals import offset_segments, trim_overlaps
 from .sharing import anchors
@@ -62,7 +62,7 @@ def realign_offsets(spans: DataFrame, found: DataFrame, book: str = "doc_id") ->
     return spans.select(book, "s", "e").groupBy(book).cogroup(found.select(book, "s", "e").groupBy(book)).applyInPandas(run, f"{book} {kind}, s bigint, e bigint, offset bigint")
 
 
-def low_books(texts: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> DataFrame:
+def low_books(texts: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
     """Books to re-align: those whose spans (with their surroundings) have a low heading rate."""
     return heading_rates(texts, profile, book).filter(F.col("heading_rate") < MIN_HEADING).select(book)
 
@@ -71,7 +71,7 @@ def accept_realignment(rate_raw: Column, rate_new: Column, in_bounds: Column) ->
     return in_bounds & (rate_new >= MIN_HEADING) & (rate_new - rate_raw >= MIN_GAIN)
 
 
-def clean_spans(books: DataFrame, spans: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def clean_spans(books: DataFrame, spans: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The cleaned spans (book, ident, raw_s, raw_e, s, e, action, dropped, reason) and the verdicts of books.
 
     ``books``: book, batch, n_chars, text; ``spans``: book, ident, s, e. Only books with a low heading rate are re-aligned.

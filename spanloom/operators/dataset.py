@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.profiles import LATIN, Profile
+from ..functions.profiles import TIBETAN, Profile
 from .intervals import merge_intervals
 
 IGNORE = -100
@@ -17,14 +17,14 @@ CONTENT, STRIDE = 8190, 5120
 CLS, SEP, PAD = 1, 2, 0
 
 
-def clause_table(books: DataFrame, profile: Profile = LATIN, book: str = "doc_id", text: str = "text") -> DataFrame:
+def clause_table(books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id", text: str = "text") -> DataFrame:
     """book, ci (from 0), clause, s: the clauses of every text and where they start."""
     df = books.select(F.col(book), F.posexplode(T.clauses(F.coalesce(F.col(text), F.lit("")), profile)).alias("ci", "clause"))
     before = Window.partitionBy(book).orderBy("ci").rowsBetween(Window.unboundedPreceding, -1)
     return df.select(book, F.col("ci").cast("long").alias("ci"), "clause", F.coalesce(F.sum(F.length("clause")).over(before), F.lit(0)).cast("long").alias("s"))
 
 
-def clause_stats(clauses: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> DataFrame:
+def clause_stats(clauses: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
     """book, ci, s, f1..f5: capped syllable count, usual verse length, deviation over +-2 clauses, a source marker at the end
     of the clause before, a closer in the two clauses after."""
     order = Window.partitionBy(book).orderBy("ci")

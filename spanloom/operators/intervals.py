@@ -109,19 +109,26 @@ def apply_precedence(high: DataFrame, low: DataFrame, book: str = "doc_id", high
     return assert_no_overlap(both, book)
 
 
-def precedence_stats(high: DataFrame, low: DataFrame, book: str = "doc_id") -> DataFrame:
-    """One row: low spans in, touched, clipped, fragmented, dropped, out (pieces), and characters lost."""
+def precedence_stats(high: DataFrame, low: DataFrame, book: str = "doc_id", tokens: DataFrame | None = None) -> DataFrame:
+    """One row: low spans in, touched, clipped, fragmented, dropped, out (pieces), characters lost, and with ``tokens``
+    (book, tok_ix, s, e) the tokens that start inside spans of both."""
     pieces = subtract_intervals(low.withColumn("ann_id", F.col("ann_id").cast("string")), high, book)
     own = pieces.withColumn("_id", F.regexp_replace("ann_id", "#[0-9]+$", "")).groupBy(book, "_id").agg(F.count("*").alias("n"))
     blockers = merge_intervals(high.select(book, "s", "e"), book)
     lost = overlap_join(low.select(book, F.col("ann_id").cast("string").alias("_id"), "s", "e"), blockers, book).groupBy(book, "_id").agg(F.sum(F.least("e", "r_e") - F.greatest("s", "r_s")).alias("lost"))
     df = low.select(book, F.col("ann_id").cast("string").alias("_id")).join(own, [book, "_id"], "left").join(lost, [book, "_id"], "left")
     n, t = F.coalesce("n", F.lit(0)), F.col("lost").isNotNull()
-    return df.agg(
+    stats = df.agg(
         F.count("*").alias("quote_spans_in"), F.count_if(t).alias("quote_spans_touched"), F.count_if(t & (n > 0)).alias("quote_spans_clipped"),
         F.count_if(t & (n > 1)).alias("quote_spans_fragmented"), F.count_if(t & (n == 0)).alias("quote_spans_dropped"), F.coalesce(F.sum(n), F.lit(0)).alias("quote_spans_out"),
         F.coalesce(F.sum("lost"), F.lit(0)).alias("chars_suppressed"),
     )
+    if tokens is None:
+        return stats
+    from .dataset import tokens_suppressed
+
+    both = tokens_suppressed(tokens, high.select(book, "s", "e"), low.select(book, "s", "e"), book)
+    return stats.crossJoin(both.agg(F.count("*").alias("tokens_suppressed")))  # one row each
 
 
 def merge_adjacent(spans: DataFrame, books: DataFrame, profile, book: str = "doc_id", text: str = "text") -> DataFrame:

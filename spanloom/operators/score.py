@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.profiles import LATIN, Profile
+from ..functions.profiles import TIBETAN, Profile
 from .intervals import islands, overlap_join
 
 
@@ -140,7 +140,7 @@ def _labelled(parts: dict[str, DataFrame], names, book: str) -> DataFrame:
     return out
 
 
-def marker_rates(gold: DataFrame, pred: DataFrame, matches: DataFrame, books: DataFrame, profile: Profile = LATIN, book: str = "doc_id") -> DataFrame:
+def marker_rates(gold: DataFrame, pred: DataFrame, matches: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
     """Percent of spans that start with an ordinal among gold, predicted, matched, missed and false spans."""
     from .spans import attach_text
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.profiles import LATIN, Profile
+from ..functions.profiles import TIBETAN, Profile
 from .spans import attach_text
 from .tables import stage
 
@@ -20,7 +20,7 @@ LINK_SHARE = 0.10
 MIN_SHARED, MIN_SHARED_ABS = 2, 10
 
 
-def needles(spans: DataFrame, books: DataFrame, profile: Profile = LATIN, least: int = MATCH_MIN, k: int = K, book: str = "doc_id", ident: str = "seg_idx") -> DataFrame:
+def needles(spans: DataFrame, books: DataFrame, profile: Profile = TIBETAN, least: int = MATCH_MIN, k: int = K, book: str = "doc_id", ident: str = "seg_idx") -> DataFrame:
     """book, needle_id, nd (squeezed text), len, syl: long spans with at least k + 2 syllables."""
     long = spans.select(book, F.col(ident).alias("needle_id"), "s", "e").filter(F.col("e") - F.col("s") >= least)
     df = attach_text(long, books, book, context=0).withColumn("nd", squeeze(F.col("seg"), profile)).withColumn("syl", T.syllables(F.col("nd"), profile))
@@ -37,7 +37,7 @@ def _shingles(syl: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(syl, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile = LATIN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
+def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile = TIBETAN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
     """book, needle_id, other: the other books whose squeezed text holds a needle.
 
     Both sides meet on 64-bit hashes of k syllables. A needle's key is the rarest of its inner shingles (those that touch
@@ -101,7 +101,7 @@ def repeat_rate(needle_rows: DataFrame, found: DataFrame, books: DataFrame, book
     return df.select(F.coalesce("batch", F.lit("all")).alias("batch"), "n_long", "n_repeated", F.round(F.col("n_repeated") * 100.0 / F.col("n_long"), 1).alias("pct"))
 
 
-def count_holders(strings: DataFrame, books: DataFrame, profile: Profile = LATIN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
+def count_holders(strings: DataFrame, books: DataFrame, profile: Profile = TIBETAN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
     """nd, n: how many books' squeezed texts hold each of the distinct ``strings(nd)`` of any length; those in none are absent.
 
     Keys are the rarest of a string's inner shingles, as in verbatim_matches; of fewer than k inner syllables all are one
@@ -129,7 +129,7 @@ def count_holders(strings: DataFrame, books: DataFrame, profile: Profile = LATIN
     return met.groupBy("nd").agg(F.count("*").alias("n"))
 
 
-def leakage_by_spread(spans: DataFrame, books: DataFrame, splits: DataFrame, profile: Profile = LATIN, split: str = "test", short: int = 15, book: str = "doc_id") -> DataFrame:
+def leakage_by_spread(spans: DataFrame, books: DataFrame, splits: DataFrame, profile: Profile = TIBETAN, split: str = "test", short: int = 15, book: str = "doc_id") -> DataFrame:
     """Spans (book, s, e and a key) of an evaluation split, of any length, by the number of train books that hold their text
     (0, 1-2, 3-9, 10+): spans, and those of fewer than ``short`` characters."""
     own = spans.join(splits.filter(F.col("split") == split).select(book), book, "left_semi")
@@ -140,7 +140,7 @@ def leakage_by_spread(spans: DataFrame, books: DataFrame, splits: DataFrame, pro
     return rows.groupBy(F.when(c == 0, "0").when(c <= 2, "1-2").when(c <= 9, "3-9").otherwise("10+").alias("spread")).agg(F.count("*").alias("n"), F.count_if(F.col("len") < short).alias("n_short"))
 
 
-def span_diversity(texts: DataFrame, profile: Profile = LATIN) -> DataFrame:
+def span_diversity(texts: DataFrame, profile: Profile = TIBETAN) -> DataFrame:
     """One row: spans, distinct normalised texts, singletons, spans under the 10 and the 100 commonest, the commonest."""
     counts = texts.groupBy(T.normalise_span_text(F.col("seg"), profile).alias("t")).agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "t").limit(100).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "t")))
@@ -148,7 +148,7 @@ def span_diversity(texts: DataFrame, profile: Profile = LATIN) -> DataFrame:
     return counts.agg(F.sum("n").alias("n_spans"), F.count("*").alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_single")).crossJoin(tops)
 
 
-def anchors(books: DataFrame, pattern: str | None = None, profile: Profile = LATIN, book: str = "doc_id", text: str = "text") -> DataFrame:
+def anchors(books: DataFrame, pattern: str | None = None, profile: Profile = TIBETAN, book: str = "doc_id", text: str = "text") -> DataFrame:
     """book, s, e of all non-overlapping matches of a heading pattern: Spark's regex functions give no offsets, so texts are
     scanned in Arrow batches."""
     import re
@@ -167,9 +167,9 @@ def anchors(books: DataFrame, pattern: str | None = None, profile: Profile = LAT
 
 
 def anchor_recall(found: DataFrame, spans: DataFrame, book: str = "doc_id") -> DataFrame:
-    """Per book: headings found by pattern, those that touch a span, recall."""
+    """Per book, and in a row without book for all: headings found by pattern, those that touch a span, recall."""
     from .intervals import overlap_join
 
     hit = overlap_join(found.select(book, "s", "e"), spans.select(book, "s", "e"), book, how="left_semi").select(book, "s").distinct().withColumn("_h", F.lit(1))
-    df = found.join(hit, [book, "s"], "left").groupBy(book).agg(F.count("*").alias("n_anchors"), F.count("_h").alias("n_annotated"))
+    df = found.join(hit, [book, "s"], "left").rollup(book).agg(F.count("*").alias("n_anchors"), F.count("_h").alias("n_annotated"))
     return df.withColumn("recall", F.round(F.col("n_annotated") / F.col("n_anchors"), 6))

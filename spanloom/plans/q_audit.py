@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.profiles import LATIN
-from ..operators import audit as A
-from ..operators import intervals as I
+from ..operators import audit
+from ..operators import intervals
 from ..operators.spans import attach_text
 from ..operators.tables import stage
 from .fixtures import Tables, collector, sql
+from .latin import LATIN, Latin
+from .q_sharing import FOUND
 from .q_text import MARKERS_SQL, ST, _b, heading_sql
 
+A = Latin(audit)
+I = Latin(intervals)
 QUERIES: dict = {}
 ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)
@@ -121,10 +124,12 @@ PROFILE = """bp AS (SELECT b.doc_id, b.batch, count(*) AS n_spans, any_value(b.n
   FROM books b JOIN gold g ON b.doc_id = g.doc_id GROUP BY b.doc_id, b.batch)"""
 
 
-@query(sql(f"""WITH {PROFILE}, o AS (SELECT doc_id, bool_or(layer = 'quote') AS q, count_if(layer = 'chapter') AS c FROM other GROUP BY doc_id)
-SELECT bp.*, coalesce(q, false) AS has_quote, coalesce(c, 0)::BIGINT AS n_chapter, coalesce(split, '') AS split, 0::BIGINT AS n_long_repeated FROM bp LEFT JOIN o ON o.doc_id = bp.doc_id LEFT JOIN prior ON prior.doc_id = bp.doc_id""", "gold", "other", "books", "prior"))
+@query(sql(f"""WITH {FOUND}, {PROFILE}, rp AS (SELECT doc_id, count(DISTINCT needle_id) AS c FROM found GROUP BY doc_id), o AS (SELECT doc_id, bool_or(layer = 'quote') AS q, count_if(layer = 'chapter') AS c FROM other GROUP BY doc_id)
+SELECT bp.*, coalesce(q, false) AS has_quote, coalesce(o.c, 0)::BIGINT AS n_chapter, coalesce(split, '') AS split, coalesce(rp.c, 0)::BIGINT AS n_long_repeated FROM bp LEFT JOIN rp ON rp.doc_id = bp.doc_id LEFT JOIN o ON o.doc_id = bp.doc_id LEFT JOIN prior ON prior.doc_id = bp.doc_id""", "gold", "other", "books", "prior"))
 def book_profile(t):
-    from ..operators import sharing as H
+    from ..operators import sharing
+
+    H = Latin(sharing)
 
     found = H.verbatim_matches(stage(H.needles(t.gold(), t.texts())), t.texts())
     return A.book_profile(t.books(), t.gold(), t.other(), t.prior(), found.select("doc_id", "needle_id").distinct())
@@ -208,10 +213,11 @@ def subtract_intervals(t):
 
 @query(sql(f"""WITH {SUBTRACT}, n AS (SELECT doc_id, ann_id, count(*) AS n FROM pc GROUP BY 1, 2), j AS (SELECT low.doc_id, coalesce(n, 0) AS n, lost FROM low LEFT JOIN n ON n.doc_id = low.doc_id AND n.ann_id = low.ann_id LEFT JOIN ls ON ls.doc_id = low.doc_id AND ls.ann_id = low.ann_id)
 SELECT count(*) AS quote_spans_in, count_if(lost IS NOT NULL)::BIGINT AS quote_spans_touched, count_if(lost IS NOT NULL AND n > 0)::BIGINT AS quote_spans_clipped, count_if(lost IS NOT NULL AND n > 1)::BIGINT AS quote_spans_fragmented,
-  count_if(lost IS NOT NULL AND n = 0)::BIGINT AS quote_spans_dropped, sum(n)::BIGINT AS quote_spans_out, coalesce(sum(lost), 0)::BIGINT AS chars_suppressed FROM j""", "pred"))
+  count_if(lost IS NOT NULL AND n = 0)::BIGINT AS quote_spans_dropped, sum(n)::BIGINT AS quote_spans_out, coalesce(sum(lost), 0)::BIGINT AS chars_suppressed,
+  (SELECT count(*) FROM tok WHERE EXISTS (SELECT 1 FROM low WHERE low.doc_id = tok.doc_id AND low.s <= tok.s AND tok.s < low.e) AND EXISTS (SELECT 1 FROM high h WHERE h.doc_id = tok.doc_id AND h.s <= tok.s AND tok.s < h.e)) AS tokens_suppressed FROM j""", "pred", "tok"))
 def precedence_stats(t):
     low, high = low_high(t)
-    return I.precedence_stats(high, low)
+    return I.precedence_stats(high, low, tokens=t.tok().select("doc_id", "tok_ix", "s", "e"))
 
 
 # quote spans are disjoint, as the higher layer is: nothing may overlap in the result

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
-from ..operators import dataset as D
+from ..operators import dataset
 from .fixtures import Tables, collector, sql
+from .latin import Latin
 from .q_score import CONTENT, STRIDE, WINDOWS, window_rows
 from .q_text import CLAUSES_SQL, LABELS_SQL, N_SYL_SQL
 
+D = Latin(dataset)
 QUERIES: dict = {}
 ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.profiles import LATIN
-from ..operators import clean as L
-from ..operators import dataset as D
+from ..operators import clean
+from ..operators import dataset
 from ..operators import decode as V
-from ..operators import score as S
+from ..operators import score
 from ..operators.tables import stage
 from .fixtures import Tables, collector, sql
+from .latin import LATIN, Latin
 from .q_score import CONTENT, IOU, STRIDE, WINDOWS, greedy_sql, prf_sql, window_rows
 from .q_text import LABELS_SQL, snap_sql
 
+L = Latin(clean)
+D = Latin(dataset)
+S = Latin(score)
 QUERIES: dict = {}
 ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)
@@ -179,7 +182,7 @@ def realign_offsets(t):
 
     # as in cleaning: the books with a low heading rate
     low = stage(L.low_books(attach_text(t.raw().select("doc_id", "seg_idx", "s", "e"), t.texts())))
-    return L.realign_offsets(t.raw().join(low, "doc_id", "left_semi"), anchors(t.texts().join(low, "doc_id", "left_semi")))
+    return L.realign_offsets(t.raw().join(low, "doc_id", "left_semi"), anchors(t.texts().join(low, "doc_id", "left_semi"), profile=LATIN))
 
 
 @query()
@@ -206,16 +209,16 @@ def verdict_counts(t):
 def excluded_books(t):
     from ..operators.sharing import anchor_recall, anchors
 
-    recall = anchor_recall(anchors(t.texts()), t.gold()).filter("recall < 0.2")
+    recall = anchor_recall(anchors(t.texts(), profile=LATIN), t.gold()).filter("recall < 0.2")
     return L.excluded_books(cleaned(t)[1], recall)
 
 
 # snapping and its action are the part of cleaning that SQL states for books that aren't re-aligned
 @query(sql(f"WITH {snap_sql('raw')} SELECT count(*) AS n, count_if(act <> '' AND NOT contains(act, 'unfixed'))::BIGINT AS snapped, count_if(contains(act, 'unfixed'))::BIGINT AS unfixed FROM sn", "raw"))
 def snap_totals(t):
-    from ..functions import text as T
+    from ..functions import text
     from ..operators.spans import attach_text
 
-    _, _, act = T.snap_edges(F.col("s"), F.col("e"), F.col("seg"), F.col("before"), F.col("after"))
+    _, _, act = text.snap_edges(F.col("s"), F.col("e"), F.col("seg"), F.col("before"), F.col("after"), LATIN)
     df = attach_text(t.raw().select("doc_id", "seg_idx", "s", "e"), t.texts()).select(act.alias("act"))
     return df.agg(F.count("*").alias("n"), F.count_if((F.col("act") != "") & ~F.col("act").contains("unfixed")).alias("snapped"), F.count_if(F.col("act").contains("unfixed")).alias("unfixed"))

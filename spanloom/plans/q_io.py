@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dataset as D
+from ..operators import dataset
 from ..operators.tables import fresh_path
 from ..sources import io
 from .fixtures import collector, sql
+from .latin import Latin
 from .q_dataset import split_windows
 
+D = Latin(dataset)
 QUERIES: dict = {}
 ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)
@@ -72,10 +74,12 @@ def stats_report(t):
 @query()
 def split_report(t):
     from ..operators import groups as G
-    from ..operators import sharing as H
+    from ..operators import sharing
     from ..operators.tables import stage
     from .q_sharing import found, rows, weighted
 
+    H = Latin(sharing)
+
     needles = rows(t)
     met = stage(found(t, needles))
     links = stage(H.link_books(H.pair_share(met, needles)))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dataset as D
-from ..operators import score as S
+from ..operators import dataset
+from ..operators import score
 from .fixtures import Tables, collector, sql
+from .latin import Latin
 
+D = Latin(dataset)
+S = Latin(score)
 QUERIES: dict = {}
 ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)

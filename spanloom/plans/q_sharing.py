@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import groups as G
-from ..operators import sharing as H
+from ..operators import sharing
 from ..operators.spans import attach_text
 from ..operators.tables import stage
 from .fixtures import Tables, collector, sql
+from .latin import Latin
 from .q_text import NORM_SQL, ST
 
+H = Latin(sharing)
 QUERIES: dict = {}
 ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)
@@ -85,9 +87,11 @@ def repeat_rate(t):
     return H.repeat_rate(n, found(t, n), t.books())
 
 
-@query(sql(f"""WITH {FOUND}, l AS (SELECT f.doc_id, f.needle_id, count(*) AS c FROM found f JOIN prior p ON p.doc_id = f.other AND p.split = 'train' GROUP BY 1, 2),
-r AS (SELECT n.len, coalesce(c, 0) AS c FROM ndl n JOIN prior p ON p.doc_id = n.doc_id AND p.split = 'test' LEFT JOIN l ON l.doc_id = n.doc_id AND l.needle_id = n.needle_id)
-SELECT CASE WHEN c = 0 THEN '0' WHEN c <= 2 THEN '1-2' WHEN c <= 9 THEN '3-9' ELSE '10+' END AS spread, count(*) AS n, count_if(len < 60)::BIGINT AS n_short FROM r GROUP BY 1""", "gold", "prior"))
+# every gold span of the test books against every train text
+@query(sql(rf"""WITH {ST.format('gold')}, own AS MATERIALIZED (SELECT regexp_replace(seg, '\s+', ' ', 'g') AS nd, e - s AS len FROM st JOIN prior p ON p.doc_id = st.doc_id AND p.split = 'test'),
+tr AS MATERIALIZED (SELECT regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents d JOIN prior p ON p.doc_id = d.doc_id AND p.split = 'train'),
+hc AS (SELECT nd, count(*) AS c FROM (SELECT DISTINCT nd FROM own) o JOIN tr ON contains(tr.t, o.nd) GROUP BY nd), r AS (SELECT len, coalesce(c, 0) AS c FROM own LEFT JOIN hc ON hc.nd = own.nd)
+SELECT CASE WHEN c = 0 THEN '0' WHEN c <= 2 THEN '1-2' WHEN c <= 9 THEN '3-9' ELSE '10+' END AS spread, count(*) AS n, count_if(len < 15)::BIGINT AS n_short FROM r GROUP BY 1""", "gold", "prior"))
 def leakage_by_spread(t):
     return H.leakage_by_spread(t.gold().select("doc_id", "seg_idx", "s", "e"), t.texts(), t.prior())
 
@@ -109,7 +113,7 @@ def find_anchors(t):
     return H.anchors(t.texts())
 
 
-@query(sql(f"WITH {ANCHORS}, h AS (SELECT an.*, EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = an.doc_id AND g.s < an.s + len AND an.s < g.e) AS hit FROM an) SELECT doc_id, count(*) AS n_anchors, count_if(hit)::BIGINT AS n_annotated, round(count_if(hit) / count(*), 6) AS recall FROM h GROUP BY doc_id", "gold"))
+@query(sql(f"WITH {ANCHORS}, h AS (SELECT an.*, EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = an.doc_id AND g.s < an.s + len AND an.s < g.e) AS hit FROM an) SELECT doc_id, count(*) AS n_anchors, count_if(hit)::BIGINT AS n_annotated, round(count_if(hit) / count(*), 6) AS recall FROM h GROUP BY ROLLUP (doc_id)", "gold"))
 def anchor_recall(t):
     return H.anchor_recall(H.anchors(t.texts()), t.gold())
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.profiles import LATIN
+from ..functions import text
 from ..operators.spans import attach_text
 from .fixtures import Tables, collector, sql
+from .latin import LATIN, Latin
 
+T = Latin(text)
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -180,9 +181,9 @@ CLAUSES_SQL = r"cl AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS ci, unnes
 
 @query(f"WITH {CLAUSES_SQL} SELECT doc_id, ci, coalesce(sum(length(clause)) OVER (PARTITION BY doc_id ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, length(clause)::BIGINT AS len, md5(clause) AS digest FROM cl")
 def clauses(t):
-    from ..operators.dataset import clause_table
+    from ..operators import dataset
 
-    df = clause_table(t.texts())
+    df = Latin(dataset).clause_table(t.texts())
     return df.select("doc_id", "ci", "s", F.length("clause").cast("long").alias("len"), F.md5(F.col("clause").cast("binary")).alias("digest"))
 
 
@@ -191,9 +192,9 @@ N_SYL_SQL = r"len(list_filter(string_split_regex(clause, ' '), lambda x: regexp_
 
 @query(f"WITH {CLAUSES_SQL} SELECT doc_id, ci, {N_SYL_SQL}::BIGINT AS n_syl FROM cl")
 def n_syllables(t):
-    from ..operators.dataset import clause_table
+    from ..operators import dataset
 
-    return clause_table(t.texts()).select("doc_id", "ci", T.n_syllables(F.col("clause")).cast("long").alias("n_syl"))
+    return Latin(dataset).clause_table(t.texts()).select("doc_id", "ci", T.n_syllables(F.col("clause")).cast("long").alias("n_syl"))
 
 
 LABELS_SQL = """lab AS (SELECT t.doc_id, t.tok_ix, CASE WHEN t.e <= t.s OR g.s IS NULL OR t.s >= g.e THEN 0 WHEN g.s > coalesce(lag(t.s) OVER (PARTITION BY t.doc_id ORDER BY t.tok_ix), -1) THEN 1 ELSE 2 END AS label

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from spanloom.functions.profiles import LATIN
+from spanloom.plans.latin import LATIN
 from spanloom.operators import clean, sharing
 from spanloom.operators.audit import heading_rates
 from spanloom.operators.spans import attach_text
