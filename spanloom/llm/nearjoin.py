@@ -461,10 +461,13 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
                 pairs = met.groupBy("v").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("v").alias("b"))
             else:
                 light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
-                # all members of a key at once, by their bitmaps: costly rows, dealt evenly
-                light = light.select("key", "v", "root").join(bits, "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-                light = light.groupBy("key").agg(F.collect_list(F.struct("v", "n", "root", "bits")).alias("x")).select("x", F.col("x").alias("y"), F.lit(True).alias("same"))
-                pairs = light.mapInArrow(_block_pairs(percent), "a bigint, b bigint")
+                # keys of the same members are compared once, all members at once by their bitmaps: costly rows, dealt evenly
+                lists = light.groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("vs")).select("vs").distinct()
+                lists = stage(lists.withColumn("list", F.monotonically_increasing_id())).select("list", F.explode("vs").alias("v"))
+                told = now.select("v", "root").distinct().join(bits, "v")
+                told = lists.join(told, "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "list")
+                told = told.groupBy("list").agg(F.collect_list(F.struct("v", "n", "root", "bits")).alias("x"))
+                pairs = told.select("x", F.col("x").alias("y"), F.lit(True).alias("same")).mapInArrow(_block_pairs(percent), "a bigint, b bigint")
                 if not heavy.isEmpty():
                     pairs = pairs.union(_heavy_pairs(heavy, bits, percent, stage))
                 pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
