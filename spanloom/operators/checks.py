@@ -34,8 +34,10 @@ def missing_books(expected: DataFrame, got: DataFrame, book: str = "doc_id") ->
 
 
 def restrict_to_split(books: DataFrame, splits: DataFrame, book: str = "doc_id") -> DataFrame:
-    """Listed books only, with their split."""
-    return books.join(splits.select(F.col(book).alias("_b"), "split"), F.col(book) == F.col("_b")).drop("_b")
+    """Listed books only, with their split. A book that the table lists twice fails the job; a null id is in no split."""
+    listed = splits.groupBy(F.col(book).alias("_b")).agg(F.count("*").alias("_n"), F.first("split").alias("split"))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("book listed twice: "), F.col("_b").cast("string")))).otherwise(F.col("split"))
+    return books.join(listed.select("_b", once.alias("split")), F.col(book) == F.col("_b")).drop("_b")
 
 
 def check_totals(df: DataFrame, expected: dict[str, tuple[Column, int]]) -> DataFrame:

@@ -16,6 +16,8 @@ MATCH_MIN = 40
 K = 6
 #: Most characters of a key of strings without an inner syllable.
 MAX_CHARS = 12
+#: So many keys (8 bytes each) are broadcast to the books.
+MAX_BROADCAST_KEYS = 1_000_000
 LINK_SHARE = 0.10
 MIN_SHARED, MIN_SHARED_ABS = 2, 10
 
@@ -50,8 +52,9 @@ def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile
     inner = inner.select(book, "needle_id", F.explode(F.array_distinct(_shingles(F.col("_y"), k))).alias("h"))
     held = books.select(F.col(book).alias("other"), T.syllables(squeeze(F.col(text), profile), profile).alias("_y"))
     held = held.select("other", F.explode(F.array_distinct(_shingles(F.col("_y"), k))).alias("h"))
-    wanted = inner.select("h").distinct()
-    held = held.join(wanted, "h", "left_semi")
+    wanted = stage(inner.select("h").distinct())
+    # few keys are broadcast, so that only shingles that are asked for are shuffled
+    held = held.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted, "h", "left_semi")
     df = held.groupBy("h").agg(F.count("*").alias("df"))
     # the rarest inner shingle; every one of a needle's is in its own book at least
     best = inner.join(df, "h").groupBy(book, "needle_id").agg(F.min_by("h", F.struct("df", "h")).alias("h"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dataset
 from ..operators import score
+from ..operators.tables import stage
 from .fixtures import Tables, collector, sql
 from .latin import Latin
 
@@ -50,7 +51,8 @@ def gold(t: Tables):
 
 
 def scores(t: Tables):
-    return S.score_spans(t.books().select("doc_id", "batch"), gold(t), t.pred())
+    # the spans are derived from the texts once
+    return S.score_spans(t.books().select("doc_id", "batch"), stage(gold(t)), stage(t.pred()))
 
 
 @query(sql(f"WITH {CANDS.format(thr='0.5')} SELECT doc_id, gold_ix, pred_ix, round(iou, 6) AS iou FROM cands", "gold", "pred"))
