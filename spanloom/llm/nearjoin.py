@@ -414,7 +414,7 @@ def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, stage) -> Data
     least = heavy.groupBy("key").agg(F.min("v").alias("a"))
     stars = stage(heavy.select("key", F.col("v").alias("b")).join(least, "key").select("a", "b").distinct())
     cluster = components(stars, stage).select("v", F.col("root").alias("cluster"))
-    band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9)))
+    band = F.floor(F.log("n") / (math.log(100 / min(percent, 99)) * (1 + 1e-9)))
     members = stage(heavy.select("v", "root").distinct().join(cluster, "v").join(bits, "v").withColumn("band", band))
     sizes = stage(members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
     blocks = members.join(sizes, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
