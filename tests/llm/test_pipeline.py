@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+import re
+
 import corpus_pipeline
 
 WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which".split()
@@ -70,3 +74,68 @@ def test_run_keeps_all_columns(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert set(docs.columns) < set(got.columns) and got.count() > 0
+
+
+def plain_chain(rows, benchmark):
+    """Stages two to four by their rules: (doc_id, text) that stay."""
+    shingled = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        shingled[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(shingled), 2):
+        if 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    windows = set()
+    for item in benchmark:
+        w = re.findall(r"[a-z0-9]+", item.lower())
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
+    out = {}
+    for d, t in rows:
+        w = re.findall(r"[a-z0-9]+", t.lower())
+        if find(d) == d and not any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1)):
+            out[d] = re.sub(r"AKIA[A-Z0-9]{14,}", "[access]", t)
+    return out
+
+
+def test_run_against_plain_rules(spark, tmp_path):
+    r = random.Random(9)
+    word = lambda: WORDS[r.randrange(len(WORDS))] + str(r.randrange(60))
+    question = " ".join(word() for _ in range(14))
+    rows = []
+    for i in range(70):
+        w = [word() for _ in range(r.randint(30, 90))]
+        if i % 9 == 4:
+            w[20:20] = question.split()[: r.choice([9, 10, 14])]
+        if i % 11 == 3:
+            w.insert(5, "AKIA" + "".join(r.choice("ABCDEF12") for _ in range(r.choice([10, 14, 20]))))
+        rows.append((i, " ".join(w)))
+        if i % 6 == 0:
+            for k in range(r.randint(1, 3)):
+                copy = list(w)
+                for _ in range(r.randint(0, 2 + k)):
+                    copy[r.randrange(len(copy))] = word()
+                rows.append((100 * (k + 1) + i, " ".join(copy)))
+    docs = spark.createDataFrame([(d, t, "en", f"s{d % 4}", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    first = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    want = plain_chain([(x.doc_id, x.text) for x in first.collect()], [question])
+    assert 40 < len(want) < len(rows) and any("[access]" in t for t in want.values())
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, str(tmp_path))
+    assert {x.doc_id: x.text for x in kept.collect()} == want
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(want[x.doc_id] == x.text and x.size == len(x.text.split()) and 1 <= x.copies <= 3 for x in got)
+    sizes = {s: sum(len(t.split()) for d, t in want.items() if d % 4 == i) for i, s in enumerate(("s0", "s1", "s2", "s3"))}
+    for s in sizes:
+        own = [x for x in got if x.source == s]
+        assert all(x.source_size == sizes[s] for x in own) and abs(sum(x.taken for x in own) - own[0].target) <= 100
