@@ -10,7 +10,7 @@ import pytest
 from spanloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-CHOSEN = ("score_micro_prf", "span_audit", "subtract_intervals", "verbatim_matches", "label_tokens_nested", "pack_windows", "sliding_windows", "snap_edges", "argmax_decode", "stratified_split")
+CHOSEN = ("score_micro_prf", "span_audit", "subtract_intervals", "verbatim_matches", "label_tokens_nested", "pack_windows", "sliding_windows", "snap_edges", "argmax_decode", "stratified_split", "window_eval", "book_eval_from_windows", "token_to_char_spans", "leakage_by_spread", "book_profile", "precedence_stats")
 
 
 def test_every_twin_has_a_query():
