@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, small_batches, stage_table
 
 #: Hashed features.
 DIM = 1 << 15
@@ -29,6 +29,8 @@ SAMPLE_PER_LANGUAGE = 1000
 SAMPLE_ROWS = 64_000
 #: Steps of an octave in which the sample's share of a language is chosen.
 LEVELS = 8
+#: So many labels are broadcast to pick the sample; more are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 100_000
 #: Follow-the-regularised-leader.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 EPOCHS, BATCH = 4, 32
@@ -136,7 +138,9 @@ def sample_of(docs: DataFrame, key: Column, text_col: str, lang_col: str, per_la
     levels = levels.withColumn("above", F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # the level that crosses the bound is the last to come in; fit cuts to the bound exactly
     cut = levels.filter(F.col("above") < per_language).groupBy("lang").agg(F.min("level").alias("cut"))
-    cut = cut.select(F.col("lang").alias("_l"), "cut")
+    cut = stage_table(cut.select(F.col("lang").alias("_l"), "cut"))
+    # texts stay where they are, whatever number of them has one language
+    cut = F.broadcast(cut) if cut.count() <= MAX_BROADCAST_LANGUAGES else cut
     inside = labelled.join(cut, (F.col("lang") == F.col("_l")) & (F.col("level") >= F.col("cut"))).select("lang", "key", "text")
     return inside.dropDuplicates(["lang", "key"])
 
