@@ -42,7 +42,7 @@ def spans(df):
 def test_realign_offsets_takes_every_low_book(spark, folder):
     t = Tables(spark, folder)
     texts = {r.doc_id: r.text for r in t.texts().collect()}
-    rates = {r.doc_id: r.heading_rate for r in heading_rates(attach_text(t.raw().select("doc_id", "seg_idx", "s", "e"), t.texts())).collect()}
+    rates = {r.doc_id: r.heading_rate for r in heading_rates(attach_text(t.raw().select("doc_id", "seg_idx", "s", "e"), t.texts()), LATIN).collect()}
     own = defaultdict(list)
     for d, _, s, e in spans(t.raw()):
         own[d].append((s, e))
