@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, language, mixing, nearjoin, quality, secrets, urls, warc
+from . import chat, decontaminate, html, interaction, language, mixing, nearjoin, quality, secrets, urls, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op9_quality_divergence": quality.op9_quality_divergence,
         "op10_text_density": html.op10_text_density,
+        "op11_filter_interaction": interaction.op11_filter_interaction,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict:
         "op6_secret_ledger": secrets.OP6_SQL,
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
         "op9_quality_divergence": quality.OP9_SQL,
+        "op11_filter_interaction": interaction.OP11_SQL,
     }
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
