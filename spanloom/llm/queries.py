@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, interaction, language, mixing, nearjoin, quality, secrets, urls, warc
+from . import chat, decontaminate, html, interaction, language, mixing, nearjoin, packing, phrases, quality, secrets, urls, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,8 @@ def queries() -> dict:
         "op9_quality_divergence": quality.op9_quality_divergence,
         "op10_text_density": html.op10_text_density,
         "op11_filter_interaction": interaction.op11_filter_interaction,
+        "op12_pattern_packing": packing.op12_pattern_packing,
+        "op13_phrase_mining": phrases.op13_phrase_mining,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,5 +35,6 @@ def oracle_sql() -> dict:
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
         "op9_quality_divergence": quality.OP9_SQL,
         "op11_filter_interaction": interaction.OP11_SQL,
+        "op13_phrase_mining": phrases.OP13_SQL,
     }
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
