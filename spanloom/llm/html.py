@@ -4,9 +4,16 @@ A page becomes a tree of its elements. Each node's composite density is its char
 links: nodes whose characters or tags are mostly links lose. The densities of a node's block children add up to
 its density sum (inline elements without a block are part of their parent's text). The threshold is the least density on the path
 from the body down to the node of the largest density sum. That node's subtree is main text, and so is that of
-the largest sum below every other node that reaches the threshold, as do all nodes above it. The names article
-and main decide nothing. Elements that never are main text (scripts, navigation, forms, notices and the like)
-are cut before, by name, role or class.
+the largest sum below every other node that reaches the threshold, as do all nodes above it.
+
+The densest node seldom is the whole article: titles, leads and short sections lie beside it. So the way from it up to
+the body is walked once more, and what lies beside that way is taken if it is written text: headings, paragraphs, sections and the
+like at every step; inside the article's frame (up to the element that holds the page's main heading) any block without
+more link text than other text.
+
+Elements that never are main text (scripts, navigation, forms, notices and the like) are cut before, by name, role or
+class. A form, or an element with the class name of a page part, that holds the densest node and shows that it is a frame (it holds
+the main heading, an article, or page parts of its own) is none, and stays. A header inside of an article gives its headings to it.
 """
 
 from __future__ import annotations
@@ -34,9 +41,14 @@ CLOSES_P = frozenset("address article aside blockquote center details div dl fie
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Words of class and id values (split at anything but letters, and at lower-upper) that mark what isn't main text.
 NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget "
-    "cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social comment comments respond replies disqus related recommended pager pagination toolbar hidden".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion breadcrumb breadcrumbs widget cookie cookies consent notice gdpr popup modal overlay newsletter subscribe "
+    "signup login share sharing social comment comments respond replies disqus pager pagination hidden copyright".split()
 )
+#: Words that name parts of a page, also in class names of what merely lies beside that part.
+PARTS = frozenset("banner nav navbar navigation menu header masthead footer sidebar aside toolbar".split())
+#: Words that mark noise alone, or with a word for what is listed (related-posts, not related-work).
+LISTING = frozenset("related recommended".split())
+LISTED = frozenset("article articles block box content item items link links list news page pages post posts product products reading section stories story topics video videos widget".split())
 #: A name that ends in one of these is kept after a word of MAIN: an article's own header holds its title.
 SOFT = frozenset("header masthead".split())
 MAIN = frozenset("article main content post entry body story text".split())
@@ -58,24 +70,30 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def is_cut(tag: str, raw: str) -> bool:
-    """Whether an element is cut with all below it."""
+def is_cut(tag: str, raw: str) -> str:
+    """Whether an element is cut with all below it: "" (no), "always", or "part", where it stays if it turns out to be the frame
+    of the main text."""
     if tag in CUT:
-        return True
+        return "part" if tag == "form" else "always"
     if not raw or tag in ("html", "body"):
-        return False
+        return ""
     a = attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
-    return any(is_noise([x.lower() for x in _NAMES.findall(name)]) for k in ("class", "id") for name in a.get(k, "").split())
+        return "always"
+    kinds = {is_noise([x.lower() for x in _NAMES.findall(name)]) for k in ("class", "id") for name in a.get(k, "").split()}
+    return "noise" if "noise" in kinds else "part" if "part" in kinds else ""
 
 
-def is_noise(words: list[str]) -> bool:
-    """Whether a class or id of these words marks noise: its first or last word does (comment-body, post-comments), but
-    content-sidebar-wrap and has-sidebar don't."""
+def is_noise(words: list[str]) -> str:
+    """Whether a class or id of these words marks noise ("noise") or a part of the page ("part"): its first or last word does
+    (comment-body, post-comments), but content-sidebar-wrap and has-sidebar don't."""
     if not words or words[0] in WITH:
-        return False
-    return words[0] in NOISE or words[-1] in NOISE and not (words[-1] in SOFT and not MAIN.isdisjoint(words))
+        return ""
+    if words[0] in NOISE or words[-1] in NOISE:
+        return "noise"
+    if words[0] in LISTING or words[-1] in LISTING:
+        return "noise" if len(words) == 1 or words[0] not in LISTING or words[1] in LISTED else ""
+    return "part" if words[0] in PARTS or words[-1] in PARTS and not (words[-1] in SOFT and not MAIN.isdisjoint(words)) else ""
 
 
 def parse(page: str) -> Node:
@@ -135,29 +153,81 @@ def _close(stack: list[Node], name: str, barrier) -> None:
             return
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold written text wherever they stand.
+WRITTEN = HEADINGS | frozenset("p section article main blockquote pre figure dl table hgroup center".split())
+#: Elements that are parts of a page.
+CHROME = frozenset("nav header footer aside form".split())
+
+
 def prune(root: Node) -> None:
-    """Cuts what never is main text. A form that holds over half of the text is the page's frame and stays."""
-    todo, forms = [root], []
+    """Cuts what never is main text."""
+    kinds: dict[int, str] = {}
+    inside: set[int] = set()  # nodes in an article or main
+    framing: set[int] = set()
+    todo = [root]
     while todo:
         node = todo.pop()
+        if node.tag in ("article", "main") and not kinds.get(id(node)):
+            inside.add(id(node))
         kept = []
         for k in node.kids:
-            if isinstance(k, str) or not is_cut(k.tag, k.attrs):
+            if isinstance(k, str):
                 kept.append(k)
-            elif k.tag == "form" and not is_cut("div", k.attrs):
+                continue
+            kind = is_cut(k.tag, k.attrs)
+            if k.tag == "header" and id(node) in inside:
+                kept += [h for h in _ordered(k) if h.tag in HEADINGS and not is_cut(h.tag, h.attrs)]
+            elif kind != "always":
                 kept.append(k)
-                forms.append((node, k))
+                kinds[id(k)] = kind
+            elif k.tag in CHROME:
+                framing.add(id(node))
         node.kids = kept
-        todo += [k for k in kept if not isinstance(k, str)]
-    if forms:
-        half = _chars(root) / 2
-        for parent, form in forms:
-            if _chars(form) <= half:
-                parent.kids = [k for k in parent.kids if k is not form]
-
-
-def _chars(node: Node) -> int:
-    return sum(len("".join(k.split())) for n in _ordered(node) for k in n.kids if isinstance(k, str))
+        own = [k for k in kept if not isinstance(k, str)]
+        if id(node) in inside:
+            inside |= {id(k) for k in own}
+        todo += own
+    if any(kinds.values()):
+        _cut_marked(root, kinds, framing)
+
+
+def _cut_marked(root: Node, kinds: dict[int, str], framing: set[int]) -> None:
+    """Cuts elements marked as noise or page parts, unless they are the frame of the densest node. ``framing``: elements that
+    held page parts which are cut already."""
+    nodes = measure(root)
+    above = {id(k): n for n in nodes for k in n.kids if not isinstance(k, str)}
+    marked = {id(n) for n in nodes if kinds.get(id(n))}
+    noise = {i for i in marked if kinds[i] == "noise"}
+    # of each subtree: its main headings, and whether it shows to be a frame
+    headings, shows = {id(n): int(n.tag == "h1") for n in nodes}, {id(n): id(n) in framing for n in nodes}
+    for n in reversed(nodes[1:]):
+        up = id(above[id(n)])
+        headings[up] += headings[id(n)]
+        own = n.tag in ("h1", "article", "main") and id(n) not in marked or kinds.get(id(n)) == "part"
+        shows[up] = shows[up] or shows[id(n)] or own
+
+    def seen(without: set[int]) -> list[Node]:
+        hidden: set[int] = set()
+        for n in nodes:
+            if id(n) in without or id(above.get(id(n))) in hidden:
+                hidden.add(id(n))
+        return [n for n in nodes if id(n) not in hidden]
+
+    def way(left: list[Node]) -> list[Node]:
+        """The densest node and all above it."""
+        best = max((n for n in reversed(left) if n.block), key=lambda n: n.total, default=None)  # the lowest of equals
+        out = [best] if best is not None and best.total else []
+        while out and id(out[-1]) in above:
+            out.append(above[id(out[-1])])
+        return out
+
+    # comments and the like may be denser than a short article: they are a frame only if they hold all main headings
+    frames = {id(n) for n in way(nodes) if id(n) in noise and 0 < headings[id(n)] == headings[id(root)]}
+    lone = not any(n.tag == "p" and n.chars for n in seen(marked))
+    frames |= {id(n) for n in way(seen(noise - frames)) if id(n) in marked and (lone or shows[id(n)])}
+    for n in nodes:
+        n.kids = [k for k in n.kids if isinstance(k, str) or id(k) not in marked or id(k) in frames]
 
 
 def _ordered(root: Node) -> list[Node]:
@@ -224,9 +294,44 @@ def main_nodes(body: Node) -> list[Node]:
             out.append(n.top)
             taken.add(id(n.top))
     place = {id(n): i for i, n in enumerate(nodes)}
+    out += _beside(next((n for n in out if n is body.top), out[0]), body, above, out, nodes) if out else []
     return sorted(out, key=lambda n: place[id(n)])
 
 
+def _beside(node: Node, body: Node, above: dict[int, Node], taken: list[Node], nodes: list[Node]) -> list[Node]:
+    """The written text beside the way from the densest node up to the body."""
+    held = {id(n) for t in taken for n in _ordered(t)}
+    way = [node]
+    while way[-1] is not body:
+        way.append(above[id(way[-1])])
+    main = next((h for tag in ("h1", "h2") for h in nodes if h.tag == tag), None)
+    frame = body
+    if main is not None:
+        over = set()
+        while main is not body:
+            over.add(id(main))
+            main = above[id(main)]
+        frame = next((n for n in way if id(n) in over), body)
+    else:
+        frame = node
+    within = way.index(frame)
+    out: list[Node] = []
+    for i, parent in enumerate(way[1:], 1):
+        for k in parent.kids:
+            if isinstance(k, str) or k is way[i - 1] or id(k) in held or not k.chars or 2 * k.link_chars > k.chars:
+                continue
+            if k.tag in WRITTEN or k.block and i <= within and (parent is not body or any(x.tag in WRITTEN for x in _ordered(k))):
+                # what is taken already lies inside it: the rest of it isn't
+                if not any(id(x) in held for x in _ordered(k)) and not _is_notice(k):
+                    out.append(k)
+                    held |= {id(x) for x in _ordered(k)}
+    return out
+
+
+def _is_notice(node: Node) -> bool:
+    return text_of(node).startswith(("©", "(c) ", "Copyright"))
+
+
 def text_of(node: Node) -> str:
     """The text of a subtree: references decoded, white space as one space, blocks joined by one space."""
     out: list[str] = []

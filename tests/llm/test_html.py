@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -88,3 +89,63 @@ def test_table(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "a b"), (1, "u", "a b"), (None, None, ""), (2, "u", "")], key=str)
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+def planted_page(rng):
+    """A page and its article's words; all other words of the page start with x."""
+    count = iter(range(10**6))
+
+    def words(n, mark=""):
+        return " ".join(f"{mark}w{next(count)}" for _ in range(n))
+
+    def prose(mark="", least=15, most=60):
+        return f"<p>{words(rng.randint(least, most), mark)}.</p>"
+
+    def chrome():
+        links = "".join(f"<li><a href='/{i}'>{words(rng.randint(1, 3), 'x')}</a></li>" for i in range(rng.randint(2, 6)))
+        kind = rng.choice(["<nav>{}</nav>", "<div class='menu'>{}</div>", "<div id='related-posts'>{}</div>", "<div class='sidebar'><h3>{}</h3></div>", "<aside>{}</aside>"])
+        return kind.format(f"<ul>{links}</ul>")
+
+    def noise():
+        form = f"<form><label>{words(2, 'x')}</label><input name=q><button>{words(1, 'x')}</button></form>"
+        return rng.choice([f"<div class='cookie-notice'>{prose('x')}</div>", f"<div class='comments'><h2>{words(1, 'x')}</h2>{prose('x')}{prose('x')}</div>", f"<div class='ad'>{words(9, 'x')}</div>", form])
+
+    title, lead = f"<h1>{words(5)}</h1>", f"<p class='lead'>{words(rng.randint(2, 12))}</p>"
+    sections = "".join(f"<section><h2>{words(2)}</h2>{prose(most=4, least=1) if rng.random() < 0.3 else ''.join(prose() for _ in range(rng.randint(1, 4)))}</section>" for _ in range(rng.randint(2, 5)))
+    inner = rng.choice([f"{title}{lead}<div class='body'>{sections}</div>", f"{title}{lead}{sections}", f"<header>{title}</header>{lead}{sections}"])
+    inner += rng.choice(["", f"<div class='related-work'><h2>{words(2)}</h2>{prose()}</div>"])
+    article = f"<article>{inner}</article>" if "<header>" in inner or rng.random() < 0.5 else f"<div id='main'>{inner}</div>"
+    wrapper = rng.choice(["{}", "<div class='sidebar-left'>{}</div>", "<div id='menu-page'>{}</div>", "<form id='aspnet'>{}</form>", "<div class='header-fixed wrap'>{}</div>"])
+    body = f"<header><a href='/'>{words(2, 'x')}</a></header>{chrome()}{noise()}{article}{noise()}{chrome()}<footer>{words(6, 'x')}</footer>"
+    whole = f"<html><body class='has-sidebar'>{wrapper.format(body)}</body></html>"
+    return whole, set(re.findall(r"\bw\d+", article))
+
+
+def test_planted_articles_come_back_whole():
+    rng = random.Random(11)
+    lost = foreign = total = 0
+    for _ in range(400):
+        page, want = planted_page(rng)
+        got = html.extract(page)
+        own = set(re.findall(r"\bw\d+", got))
+        lost, total = lost + len(want - own), total + len(want)
+        foreign += len(set(re.findall(r"\bxw\d+", got))) + len(own - want)
+    assert lost <= 0.01 * total and foreign <= 0.01 * total, (lost, foreign, total)
+
+
+def test_wholes():
+    prose = [f"<p>{x * 60}</p>" for x in ("word ", "text ", "more ")]
+    text = ["word " * 59 + "word", "text " * 59 + "text", "more " * 59 + "more"]
+    assert html.extract(f"<body><div id=main><h1>My title</h1><p class=lead>Lead.</p><div class=body>{''.join(prose)}</div></div></body>") == " ".join(["My title Lead.", *text])
+    assert html.extract(f"<body><div><section>{prose[0]}</section><section><h2>B2</h2><p>tiny.</p></section><section>{prose[1]}</section></div></body>") == f"{text[0]} B2 tiny. {text[1]}"
+    for wrapper in ("<div class='sidebar-left'>", "<div id='menu-page'>"):
+        assert html.extract(f"<body>{wrapper}<article><h1>T</h1>{prose[0]}</article></div></body>") == "T " + text[0]
+        assert html.extract(f"<body>{wrapper}{prose[0]}</div></body>") == text[0]
+    assert html.extract(f"<body><article>{prose[0]}<div class='related-work'>{prose[1]}</div></article></body>") == f"{text[0]} {text[1]}"
+    assert html.extract(f"<body><header><h1>Site</h1></header><article><header><h1>T</h1><a>by</a></header>{prose[0]}</article></body>") == "T " + text[0]
+    # a comment, a notice and a form may be denser than the article
+    for name in ("comments", "cookie-notice", "sidebar"):
+        assert html.extract(f"<body><article><h1>T</h1><p>{'short ' * 20}</p></article><div class='{name}'>{''.join(prose)}</div></body>") == "T " + " ".join(["short"] * 20)
+    # a form is a frame by what it holds
+    assert html.extract(f"<body><form><nav>menu</nav><h1>T</h1>{prose[0]}<input></form></body>") == "T " + text[0]
+    assert html.extract(f"<body><article><h1>T</h1>{prose[0]}<form>{prose[1]}{prose[2]}<input></form></article></body>") == "T " + text[0]
