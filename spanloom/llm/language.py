@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are the hashed character 1- to 3-grams of the lower-cased text with white space runs as one space,
-weighted by term frequency (share of the text's n-grams of that order) times inverse document frequency.
+weighted by term frequency (share of all n-grams of the text) times inverse document frequency.
 Weights are trained by follow-the-regularised-leader with an elastic-net penalty (L1 keeps them sparse), on a
 bounded sample of labelled documents; a temperature, fitted on a part of the sample that training doesn't
 see, calibrates the probabilities.
@@ -133,11 +133,12 @@ def sample_of(docs: DataFrame, key: Column, text_col: str, lang_col: str, per_la
     labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     share = (F.col("key").cast("double") + 2.0**63) / 2.0**64
     labelled = labelled.withColumn("level", F.floor(-F.log2(F.greatest(share, F.lit(2.0**-60))) * LEVELS).cast("int"))
-    levels = labelled.groupBy("lang", "level").agg(F.approx_count_distinct("key", 0.02).alias("n"))
+    levels = stage_table(labelled.groupBy("lang", "level").agg(F.approx_count_distinct("key", 0.02).alias("n")))
+    quota = share_of(levels.select("lang").distinct().count(), per_language, rows)
     down = Window.partitionBy("lang").orderBy(F.desc("level"))
     levels = levels.withColumn("above", F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # the level that crosses the bound is the last to come in; fit cuts to the bound exactly
-    cut = levels.filter(F.col("above") < per_language).groupBy("lang").agg(F.min("level").alias("cut"))
+    cut = levels.filter(F.col("above") < quota).groupBy("lang").agg(F.min("level").alias("cut"))
     cut = stage_table(cut.select(F.col("lang").alias("_l"), "cut"))
     # texts stay where they are, whatever number of them has one language
     cut = F.broadcast(cut) if cut.count() <= MAX_BROADCAST_LANGUAGES else cut
@@ -145,9 +146,14 @@ def sample_of(docs: DataFrame, key: Column, text_col: str, lang_col: str, per_la
     return inside.dropDuplicates(["lang", "key"])
 
 
+def share_of(languages: int, per_language: int, rows: int) -> int:
+    """How many rows each language gives to the sample: equally many, and one at least, as no label is left out."""
+    return max(1, min(per_language, rows // max(1, languages)))
+
+
 def bounded(sample: pd.DataFrame, per_language: int, rows: int) -> pd.DataFrame:
     """The rows first by key: equally many of each language, not above the bounds."""
-    most = max(1, min(per_language, rows // max(1, sample["lang"].nunique())))
+    most = share_of(sample["lang"].nunique(), per_language, rows)
     return sample.sort_values(["key", "lang"]).groupby("lang", sort=False).head(most)
 
 

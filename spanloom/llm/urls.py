@@ -119,11 +119,19 @@ def _spread(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(key)), pa.array(np.concatenate([np.empty(0, np.int64), *codes]))], ["u", "w"])
 
 
+def ratios_of(df: DataFrame, model: DataFrame) -> DataFrame:
+    """(w, ratio) of all windows of the URLs of ``df`` (with url)."""
+    small_batches(df.sparkSession)
+    return stage_table(window_ratios(df.select("url").mapInArrow(_distinct, "w bigint").distinct(), model))
+
+
 def score(df: DataFrame, model: DataFrame, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """``df`` (with url) with ``ratio``: (log P(rejected) - log P(accepted)) per character."""
-    small_batches(df.sparkSession)
-    wanted = df.select("url").mapInArrow(_distinct, "w bigint").distinct()
-    ratios = stage_table(window_ratios(wanted, model))
+    return with_ratio(df, ratios_of(df, model), max_broadcast)
+
+
+def with_ratio(df: DataFrame, ratios: DataFrame, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """``df`` (with url) with ``ratio``, the mean over its windows, which all are in ``ratios``."""
     if ratios.count() > max_broadcast:
         urls = stage_table(df.select(F.coalesce("url", F.lit("")).alias("u")).distinct())
         spread = urls.select("u", F.col("u").alias("url")).mapInArrow(_spread, "u string, w bigint")
@@ -182,8 +190,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     ruled = df.filter(F.col("_v").isNotNull()).select(F.col("_id").alias(id_col), "host", "path", "rule", F.col("_v").alias("verdict"), F.lit(None).cast("double").alias("ratio"))
     rest = df.filter(F.col("_v").isNull())
     if accepted and rejected:
-        threshold = calibrate(score(labelled.filter(part == 0), model, max_broadcast))
-        rest = score(rest, model, max_broadcast)
+        calibrating = labelled.filter(part == 0)
+        ratios = ratios_of(calibrating.select("url").union(rest.select("url")), model)
+        threshold = calibrate(with_ratio(calibrating, ratios, max_broadcast))
+        rest = with_ratio(rest, ratios, max_broadcast)
         own = F.when(F.col("ratio") > threshold, "block").otherwise("allow")
     else:
         rest = rest.withColumn("ratio", F.lit(None).cast("double"))

@@ -90,3 +90,13 @@ def test_held_out_accuracy(spark):
     right = (got["lang"] == got["lang_pred"]).mean()
     print("held out", len(got), right, "mean score", got["score"].mean())
     assert right >= 0.97 and abs(got["score"].mean() - right) < 0.06
+
+
+def test_the_one_task_gets_the_bound_with_many_labels(spark):
+    rows = [(i, f"text number {i} of some length", f"l{i % 1000}") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.sample_of(docs, F.col("doc_id"), "text", "lang", per_language=100, rows=2000)
+    n = sample.count()
+    # two rows each; a language's last level may bring a few more
+    assert 2000 <= n <= 3 * 1000 and sample.select("lang").distinct().count() == 1000
+    assert language.share_of(1000, 100, 2000) == 2 and language.share_of(0, 100, 2000) == 100 and language.share_of(5000, 100, 2000) == 1
