@@ -150,16 +150,17 @@ def _once(batches: Iterator[pa.RecordBatch], k: int, at: int):
 
 
 def _sets(k: int, seed: int):
-    """A row for each document: id, n, class and its number, and for the first of its class in this task the bitmap."""
+    """A row for each document: id, hash of its text, n, class and its number, and for the first of its class in this task the
+    bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in _once(batches, k, 1):
+        for b, found in _once(batches, k, 2):
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array([len(s) for s, _, _ in found], pa.int64()), pa.array([c for _, c, _ in found], pa.binary()),
+                    b.column(0), b.column(1), pa.array([len(s) for s, _, _ in found], pa.int64()), pa.array([c for _, c, _ in found], pa.binary()),
                     pa.array([vertex(c, seed) for _, c, _ in found], pa.int64()), pa.array([parity(s) if new else None for s, _, new in found], pa.binary()),
                 ],
-                ["_id", "n", "cls", "v", "bits"],
+                ["_id", "_th", "n", "cls", "v", "bits"],
             )
 
     return run
@@ -287,22 +288,17 @@ def overlap(x: list[bytes], y: list[bytes], k: int) -> tuple[int, int]:
     return both, len(ca) + len(cb) - both
 
 
-def _similar(k: int, percent: int, seed: int):
-    """The pairs whose texts are similar. Where ids repeat, a text that isn't of the wanted class is passed over."""
+def _similar(k: int, percent: int):
+    """The pairs whose texts are similar."""
 
     def run(batches):
-        powers = Powers()
-        cls = lambda t: vertex(digest(tokens(t, powers, k)), seed)
-        last = (None, None, None)
+        last = (None, None)
         for b in batches:
             keep = []
-            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
+            for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
                 if x != last[0]:
-                    last = (x, cls(x), _words(x))
-                if last[1] != u or cls(y) != v:
-                    keep.append(False)
-                    continue
-                both, all_ = overlap(last[2], _words(y), k)
+                    last = (x, _words(x))
+                both, all_ = overlap(last[1], _words(y), k)
                 keep.append(100 * both >= percent * all_)
             yield pa.RecordBatch.from_arrays(b.columns[:2], b.schema.names[:2]).filter(pa.array(keep, pa.bool_()))
 
@@ -340,25 +336,32 @@ def _linkable(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) ->
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (rep and others) with _text, the text of the document rep. Few ids are broadcast, so that texts stay
-    where they are; many are joined by a shuffle."""
+    """(v, _text): one text of each class of ``wanted(v, pick)``, where pick is the id and the hash of the text of one of its rows. Rows
+    of one id differ by their texts' hashes, and of equal rows one is taken, so that null or repeated ids bring no more than
+    their class. Few classes are broadcast; many are joined by a shuffle."""
+    told = wanted.select("v", F.col("pick._id").alias("_pid"), F.col("pick._th").alias("_pth"))
     if wanted.count() <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return docs.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).drop("_id", "rep")
+        told = F.broadcast(told)
+    met = docs.join(told, (F.col("_th") == F.col("_pth")) & F.col("_id").eqNullSafe(F.col("_pid")))
+    return met.select("v", "_text").dropDuplicates(["v"])
 
 
-def _verify(pairs: DataFrame, bits: DataFrame | None, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int, stage) -> DataFrame:
-    """The pairs (a, b) that are similar: by bitmap (None: that is done), then by their texts."""
+def _verify(pairs: DataFrame, bits: DataFrame | None, texts: DataFrame, k: int, percent: int, stage) -> DataFrame:
+    """The pairs (a, b) that are similar: by bitmap (None: that is done), then by their ``texts(v, _text)``."""
     near = pairs
     if bits is not None:
         side = lambda x: bits.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
         near = stage(near.mapInArrow(_near(percent), "a bigint, b bigint"))
-    rep = lambda x: classes.select(F.col("v").alias(x), "rep")
-    left = _texts(docs, stage(near.select("a").distinct().join(rep("a"), "a"))).withColumnRenamed("_text", "x")
-    right = _texts(docs, stage(near.join(rep("b"), "b"))).withColumnRenamed("_text", "y")
+    few = near.count() <= MAX_BROADCAST_IDS
+    hinted = F.broadcast if few else lambda x: x
+
+    def side_of(wanted: DataFrame, x: str, text: str) -> DataFrame:
+        return texts.withColumnRenamed("_text", text).join(hinted(wanted), F.col("v") == F.col(x)).drop("v")
+
+    left, right = side_of(near.select("a").distinct(), "a", "x"), side_of(near, "b", "y")
     met = right.join(left, "a").select("a", "b", "x", "y")
-    return met.mapInArrow(_similar(k, percent, seed), "a bigint, b bigint").distinct()
+    return met.mapInArrow(_similar(k, percent), "a bigint, b bigint").distinct()
 
 
 def _members(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
@@ -431,8 +434,8 @@ def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, stage) -> Data
 
 
 def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame | None:
-    """Components (v, root) over the classes that share an index key with another; None if none do. ``docs``: _id, _text;
-    ``rows``: the output of _sets; ``classes``: cls, v, rep (the id of one of its documents), n."""
+    """Components (v, root) over the classes that share an index key with another; None if none do. ``docs``: _id, _th, _text;
+    ``rows``: the output of _sets; ``classes``: cls, v, pick (id and hash of the text of one of its rows), n."""
     with scratch(docs.sparkSession) as stage:
         by_key = postings(docs.select("_text"), k, percent, seed)
         # rare tokens have few members; the many of a combination are spread
@@ -440,7 +443,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
         by_key = by_key.repartition(F.col("key"), F.col("salt")).dropDuplicates(["key", "salt", "v"])
         by_key = by_key.withColumn("here", F.count("*").over(Window.partitionBy("key", "salt")))
         posts = stage(by_key.filter("place < 0 OR here > 1").drop("salt", "here"))
-        bits, root, edges, tested = None, None, None, None
+        bits, texts, root, edges, tested = None, None, None, None, None
         for step in range(STAR_ROUNDS + 1):
             now = posts.withColumn("root", F.col("v")) if root is None else posts.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
             # keys with members in different components are all that is left
@@ -452,6 +455,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
             if bits is None:
                 bits = rows.filter("bits IS NOT NULL").select("v", "n", "bits").join(now.select("v").distinct(), "v", "left_semi")
                 bits = stage(bits.dropDuplicates(["v"]))
+                texts = stage(_texts(docs, classes.select("v", "pick").join(bits.select("v"), "v", "left_semi")))
             if step < STAR_ROUNDS:
                 # another member leads each key in each round; a set meets the leader of most of its keys
                 lead = F.min_by(F.struct("v", "n", "root", "place"), F.xxhash64("v", F.lit(step)))
@@ -474,7 +478,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
             pairs = stage(pairs)
             done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             tested = done if tested is None else tested.union(done)
-            fresh = stage(_verify(pairs, bits if step < STAR_ROUNDS else None, docs, classes, k, percent, seed, stage))
+            fresh = stage(_verify(pairs, bits if step < STAR_ROUNDS else None, texts, k, percent, stage))
             edges = fresh if edges is None else edges.union(fresh)
             root = components(edges, stage).select("v", "root")
         return None if root is None else stage_table(root)
@@ -489,12 +493,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     seed = 0
     while True:
-        rows = stage_table(slim.mapInArrow(_sets(k, seed), f"_id {kind}, n bigint, cls binary, v bigint, bits binary"))
-        classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("v").alias("v"))
+        rows = stage_table(slim.mapInArrow(_sets(k, seed), f"_id {kind}, _th bigint, n bigint, cls binary, v bigint, bits binary"))
+        classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.min(F.struct("_id", "_th")).alias("pick"), F.first("n").alias("n"), F.first("v").alias("v"))
         classes = stage_table(classes)
         if classes.count() == classes.select("v").distinct().count():
             break

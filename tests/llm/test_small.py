@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import re
 
 import pytest
@@ -295,3 +296,21 @@ def test_html_density_decides_on_every_page():
     parts = f"<article>{prose('one') * 4}</article><article>{prose('two') * 4}</article>"
     assert words(parts) == words(f"<font>{parts}</font>") == ["one"] * 240 + ["two"] * 240
     assert words("<article><h1>Title</h1><p><b>" + "word " * 60 + "</b><br></article>") == ["Title"] + ["word"] * 60
+
+
+def test_join_with_one_null_id_for_all(spark):
+    """Rows of one id must cost what rows of distinct ids cost: 2,000 rows, among them equal ones and near copies."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(600)]
+    texts = [" ".join(w) for w in base] + [" ".join(w) for w in base[:600]] + [" ".join(w[:59] + ["zz"]) for w in base] + ["same text here for many rows"] * 200
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    start = time.time()
+    got = nearjoin.join(docs).collect()
+    took = time.time() - start
+    assert len(got) == 2000 and all(r.component_id is None for r in got)
+    distinct = docs.withColumn("doc_id", F.monotonically_increasing_id())
+    start = time.time()
+    ids = nearjoin.join(distinct).select("component_id").distinct().count()
+    assert ids == 601 and took < 3 * (time.time() - start) + 20
+    assert nearjoin.deduplicate(docs).count() == 601
