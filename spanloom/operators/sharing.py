@@ -1,23 +1,18 @@
-"""Text shared verbatim between books: needles, containment by shingle join, shares, links, leakage."""
+"""Text shared verbatim between books: needles, the books that hold them, shares, links, leakage."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import TIBETAN, Profile
+from .search import holders
 from .spans import attach_text
 from .tables import stage
 
 MATCH_MIN = 40
 K = 6
-#: Most characters of a key of strings without an inner syllable.
-MAX_CHARS = 12
-#: So many keys (8 bytes each) are broadcast to the books.
-MAX_BROADCAST_KEYS = 1_000_000
 LINK_SHARE = 0.10
 MIN_SHARED, MIN_SHARED_ABS = 2, 10
 
@@ -34,35 +29,12 @@ def squeeze(text: Column, profile: Profile) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", " ") if profile.tsheg.isspace() else T.strip_ws(text)
 
 
-def _shingles(syl: Column, k: int) -> Column:
-    n = F.size(syl) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(syl, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
-
-
-def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile = TIBETAN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
-    """book, needle_id, other: the other books whose squeezed text holds a needle.
-
-    Both sides meet on 64-bit hashes of k syllables. A needle's key is the rarest of its inner shingles (those that touch
-    neither its first nor its last syllable occur wherever the needle does), so stock phrases aren't keys. Candidates
-    of a book are gathered first; each text is then checked once.
-    """
-    keys = needle_rows.select(book, "needle_id", "nd", "syl")
-    # the arrays are columns of their own: inside the lambda they would be cut again for every shingle
-    inner = keys.select(book, "needle_id", F.slice(F.col("syl"), 2, F.size("syl") - 2).alias("_y"))
-    inner = inner.select(book, "needle_id", F.explode(F.array_distinct(_shingles(F.col("_y"), k))).alias("h"))
-    held = books.select(F.col(book).alias("other"), T.syllables(squeeze(F.col(text), profile), profile).alias("_y"))
-    held = held.select("other", F.explode(F.array_distinct(_shingles(F.col("_y"), k))).alias("h"))
-    wanted = stage(inner.select("h").distinct())
-    # few keys are broadcast, so that only shingles that are asked for are shuffled
-    held = held.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted, "h", "left_semi")
-    df = held.groupBy("h").agg(F.count("*").alias("df"))
-    # the rarest inner shingle; every one of a needle's is in its own book at least
-    best = inner.join(df, "h").groupBy(book, "needle_id").agg(F.min_by("h", F.struct("df", "h")).alias("h"))
-    cands = best.join(held, "h").filter(F.col("other") != F.col(book)).select(book, "needle_id", "other")
-    per = cands.join(keys.select(book, "needle_id", "nd"), [book, "needle_id"]).groupBy("other").agg(F.collect_list(F.struct(F.col(book).alias("b"), "needle_id", "nd")).alias("c"))
-    stripped = books.select(F.col(book).alias("other"), squeeze(F.col(text), profile).alias("_t"))
-    met = per.join(stripped, "other").select("other", F.explode(F.filter("c", lambda x: F.contains(F.col("_t"), x["nd"]))).alias("x"))
-    return met.select(F.col("x.b").alias(book), F.col("x.needle_id").alias("needle_id"), "other").distinct()
+def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id", text: str = "text") -> DataFrame:
+    """book, needle_id, other: the other books whose squeezed text holds a needle. Needles of one text are searched once."""
+    squeezed = books.select(book, squeeze(F.col(text), profile).alias("_t"))
+    found = holders(needle_rows.select("nd"), squeezed, book, "_t")
+    met = needle_rows.select(book, "needle_id", "nd").join(found, "nd").filter(F.col("other") != F.col(book))
+    return met.select(book, "needle_id", "other").distinct()
 
 
 def pair_share(found: DataFrame, needle_rows: DataFrame, book: str = "doc_id") -> DataFrame:
@@ -104,32 +76,10 @@ def repeat_rate(needle_rows: DataFrame, found: DataFrame, books: DataFrame, book
     return df.select(F.coalesce("batch", F.lit("all")).alias("batch"), "n_long", "n_repeated", F.round(F.col("n_repeated") * 100.0 / F.col("n_long"), 1).alias("pct"))
 
 
-def count_holders(strings: DataFrame, books: DataFrame, profile: Profile = TIBETAN, k: int = K, book: str = "doc_id", text: str = "text") -> DataFrame:
-    """nd, n: how many books' squeezed texts hold each of the distinct ``strings(nd)`` of any length; those in none are absent.
-
-    Keys are the rarest of a string's inner shingles, as in verbatim_matches; of fewer than k inner syllables all are one
-    shingle. Strings without an inner syllable have their first characters as key, and meet texts at every position.
-    """
-    keys = strings.filter("nd <> ''").withColumn("_y", T.syllables(F.col("nd"), profile))
-    inner = F.least(F.size("_y") - 2, F.lit(k))
-    keys = keys.withColumn("w", F.when(inner > 0, inner).otherwise(-F.least(F.length("nd"), F.lit(MAX_CHARS)))).withColumn("_y", F.slice("_y", 2, F.greatest(F.size("_y") - 2, F.lit(0))))
-    keys = stage(keys)
-    squeezed = books.select(F.col(book).alias("other"), squeeze(F.col(text), profile).alias("_t")).withColumn("_y", T.syllables(F.col("_t"), profile))
-    wanted, held = [], []
-    for (w,) in sorted(keys.select("w").distinct().collect()):
-        own = keys.filter(F.col("w") == w)
-        mine = _shingles(F.col("_y"), w) if w > 0 else F.array(F.xxhash64(F.left("nd", F.lit(-w))))
-        # a look-ahead gives the characters from every position on
-        theirs = _shingles(F.col("_y"), w) if w > 0 else F.transform(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{-w}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-        wanted.append(own.select("nd", "w", F.explode(F.array_distinct(mine)).alias("h")))
-        held.append(squeezed.select("other", F.lit(w).alias("w"), F.explode(F.array_distinct(theirs)).alias("h")).join(wanted[-1].select("h").distinct(), "h", "left_semi").select("other", "w", "h"))
-    if not wanted:
-        return keys.select("nd", F.lit(0).cast("bigint").alias("n"))
-    wanted, held = reduce(DataFrame.union, wanted), stage(reduce(DataFrame.union, held))
-    best = wanted.join(held.groupBy("w", "h").agg(F.count("*").alias("df")), ["w", "h"]).groupBy("nd").agg(F.min_by(F.struct("w", "h"), F.struct("df", "h")).alias("x"))
-    per = best.select("nd", "x.w", "x.h").join(held, ["w", "h"]).groupBy("other").agg(F.collect_list("nd").alias("c"))
-    met = per.join(squeezed.select("other", "_t"), "other").select(F.explode(F.filter("c", lambda x: F.contains(F.col("_t"), x))).alias("nd"))
-    return met.groupBy("nd").agg(F.count("*").alias("n"))
+def count_holders(strings: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id", text: str = "text") -> DataFrame:
+    """nd, n: how many books' squeezed texts hold each of the distinct ``strings(nd)`` of any length; those in none are absent."""
+    squeezed = books.select(book, squeeze(F.col(text), profile).alias("_t"))
+    return holders(strings, squeezed, book, "_t").groupBy("nd").agg(F.count("*").alias("n"))
 
 
 def leakage_by_spread(spans: DataFrame, books: DataFrame, splits: DataFrame, profile: Profile = TIBETAN, split: str = "test", short: int = 15, book: str = "doc_id") -> DataFrame:

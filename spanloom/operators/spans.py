@@ -21,10 +21,15 @@ def attach_text(spans: DataFrame, books: DataFrame, book: str = "doc_id", s: str
     A span meets only the chunks that it touches; parts of a span over several chunks are put together again.
     Rows must be distinct. Spans outside of their text get empty parts, those of unknown books too.
     """
+    return attach_pieces(spans, chunks(books, book, text, size), book, s, e, context, size)
+
+
+def attach_pieces(spans: DataFrame, pieces: DataFrame, book: str = "doc_id", s: str = "s", e: str = "e", context: int = CONTEXT, size: int = CHUNK) -> DataFrame:
+    """attach_text over texts that are cut already: ``pieces(_cb, _ck, _piece)``, as of ``chunks``."""
     lo, hi = F.greatest(F.col(s) - context, F.lit(0)), F.greatest(F.col(e) + context, F.lit(0))
     keys = spans.columns
     touched = spans.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_k", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.greatest(F.col("_hi") - 1, F.col("_lo")) / size))))
-    met = touched.join(chunks(books, book, text, size), (F.col(book) == F.col("_cb")) & (F.col("_k") == F.col("_ck")), "left")
+    met = touched.join(pieces, (F.col(book) == F.col("_cb")) & (F.col("_k") == F.col("_ck")), "left")
     frm = F.greatest(F.col("_lo") - F.col("_k") * size, F.lit(0))
     to = F.least(F.col("_hi") - F.col("_k") * size, F.lit(size))
     part = F.coalesce(F.substring("_piece", (frm + 1).cast("int"), (to - frm).cast("int")), F.lit(""))
