@@ -21,7 +21,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import product
+from functools import lru_cache
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ WIDTH = 32
 END_ID = 1
 #: Pieces of one length are ranked in so many buckets at least, and in more from BUCKET_ROWS rows a bucket on.
 BUCKETS, BUCKET_ROWS = 64, 1_000_000
-#: Words whose ids a task keeps; then it starts anew. A bound on memory only.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps; then it starts anew. A bound on memory only.
+CACHE_WORDS = 600_000
 
 # What the fast way of Encoder may see: code points below U+0180 but U+0130 and the four separators that Python, but not the
 # tokenizer, takes for white space. None of them composes or changes under NFC, and each has a lower case of one code point.
@@ -69,21 +70,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the fast way holds for this normaliser and these rules only
         self.fast = _is_known(self.tokenizer)
-        self.words: dict[str, list[int]] = {}
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0x180)}
-
-    def _learn(self, words: set[str]) -> None:
-        """Keeps the ids of words: of plain, split words by the model, of other text by the whole tokenizer."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = list(words)
-        for w in new:
-            if _is_plain(w):
-                self.words[w] = [t.id for t in self.tokenizer.model.tokenize(w.translate(self.letters))]
-            else:
-                self.words[w] = self.tokenizer.encode(w, add_special_tokens=False).ids
+        self.words = _Words(self)
 
     def encode(self, text: str) -> np.ndarray:
         if not self.fast:
@@ -97,11 +86,32 @@ class Encoder:
                     words += _SPLIT.findall(chunk.lower())
                 else:
                     words.append(chunk)
-        self._learn(set(words))
-        ids: list[int] = []
-        for w in words:
-            ids += self.words[w]
-        return np.array(ids, np.uint32)
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), np.uint32)
+
+
+class _Words(dict):
+    """The ids of words: of plain, split words by the tokenizer's model, of other text by the whole tokenizer."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> list[int]:
+        own = self.encoder
+        if _is_plain(word):
+            ids = [t.id for t in own.tokenizer.model.tokenize(word.translate(own.letters))]
+        else:
+            ids = own.tokenizer.encode(word, add_special_tokens=False).ids
+        self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that words are learned once."""
+    return Encoder(path)
 
 
 def _is_known(tokenizer) -> bool:
@@ -116,7 +126,7 @@ def _is_known(tokenizer) -> bool:
 
 def _pieces(path: str, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for b in batches:
             at, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
