@@ -3,18 +3,17 @@
 All words of a piece are suffixes of it, truncated to DEPTH words: the leaves of a suffix tree over words, whose nodes
 are the phrases and whose totals are their counts. The tree is never built as a whole:
 
-1. Prefixes of one word are counted. A prefix that more suffixes have than the memory budget of a group allows is
-   extended by its next word, and once more where that isn't enough; such heavy prefixes are few (at most all words
-   by the budget), and their counts are kept aside.
-2. All other prefixes, in the order of their hashes, are cut into groups that fill the budget. The cuts (8 bytes a group) are
-   broadcast.
-3. Every suffix goes to the group of its prefix, equal ones of a task as one row with its count. Suffixes end before a
-   word that is rarer than a candidate may be, as far as a bitmap of frequent words of fixed size tells; a word that
-   it lets pass in error costs a row and changes nothing.
-4. Each group sorts its suffixes, which is its part of the tree, and reads the counts of its nodes from totals of
-   leaves. A node's path gives the counts of the left parts of its cuts; the right parts lie in other groups and are joined.
-
-Words of different languages are different words: a language is the first symbol of each suffix.
+1. Prefixes of one word are counted. One that more suffixes have than the memory budget of a group allows is heavy, and is
+   extended by its next word; a prefix of two heavy words by a third one, as only such pairs can be heavy themselves.
+2. The prefixes, in the order of their hashes, are cut into groups that fill the budget: by the counts of light ones, and by an equal
+   share of the suffixes of heavy ones, which their extensions spread over all hashes. The cuts (8 bytes a group) are broadcast.
+3. Every suffix goes to the group of its prefix, equal ones of a task as one row with its count; a pair of heavy words sends
+   its count along for itself. Suffixes end before a word that is rarer than a candidate may be, as far as a bitmap of frequent
+   words of fixed size tells; a word that it lets pass in error costs a row and changes nothing.
+4. Each group sorts its suffixes, which is its part of the tree, and reads the counts of its nodes from totals of leaves.
+   The parts of a phrase's cuts lie in any group; they are joined.
+
+Words of different languages are different words: the language is a symbol of each suffix.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ MIN_COUNT = 10
 TOP = 2000
 #: A phrase goes if a longer candidate around it has at least this share of its count, in percent.
 COVERED_PERCENT = 50
-#: Suffixes of a group, and most groups there may be; beyond these groups the budget grows.
+#: Suffixes of a group, and most groups there may be; beyond these the budget grows.
 GROUP_SUFFIXES, MAX_GROUPS = 250_000, 2_000_000
 #: Ranges of hashes that are cut into groups side by side.
 RANGES = 64
@@ -131,34 +130,12 @@ def _word_counts(batches):
     yield from _by_language(batches, use)
 
 
-def _pair_counts(shared):
-    """(lang, word, next, h, n) of the pairs that begin with a heavy word."""
-
-    def run(batches):
-        heavy = shared.value
-
-        def use(words, lang, chunk):
-            code = words.codes(chunk)
-            is_heavy = np.zeros(len(words.names), bool)
-            is_heavy[[words[w] for w in heavy.get(lang, ()) if w in words]] = True
-            at = np.flatnonzero(is_heavy[code[:-1]] & (code[1:] > 0))
-            pairs, n = np.unique(code[at] * _LAST + code[at + 1], return_counts=True)
-            first, second = pairs // _LAST, pairs % _LAST
-            h = words.hash_array()
-            columns = [_strings([words.names[i] for i in x]) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(_extend(h[first], h[second])), pa.array(n)], ["lang", "word", "next", "h", "n"])
-
-        yield from _by_language(batches, use)
-
-    return run
-
-
 class Partition:
-    """What a task needs to send a suffix to its group: the cuts between groups, heavy prefixes with their counts (lang to word,
-    and lang to pair of words), and the bitmap of frequent words."""
+    """What a task needs to send a suffix to its group: the cuts between groups, the heavy words of each language, and the bitmap of
+    frequent words."""
 
-    def __init__(self, cuts: np.ndarray, heavy: dict, pairs: dict, bitmap: np.ndarray):
-        self.cuts, self.heavy, self.pairs, self.bitmap = cuts, heavy, pairs, bitmap
+    def __init__(self, cuts: np.ndarray, heavy: dict[str, list[bytes]], bitmap: np.ndarray):
+        self.cuts, self.heavy, self.bitmap = cuts, heavy, bitmap
 
     def frequent(self, h: np.ndarray) -> np.ndarray:
         bit = h & (BITMAP_BITS - 1)
@@ -166,8 +143,8 @@ class Partition:
 
 
 def _suffixes(shared):
-    """(group, lang, w1, w2, w3, n, deep) of the truncated suffixes: words after the end of a suffix are null, deep tells how many
-    of its prefixes are heavy."""
+    """(group, leaf, n) of the truncated suffixes of two words or more. A leaf is its three words and the language, parted by tabs;
+    the third word is empty where the suffix ends. n is negative where the group holds only a part of the pair's suffixes."""
 
     def run(batches):
         part = shared.value
@@ -180,77 +157,64 @@ def _suffixes(shared):
             code[~known[code]] = 0
             three = np.concatenate((code, [0, 0]))
             first, second, third = three[:-2], three[1:-1], three[2:]
-            at = np.flatnonzero(first)
-            second, third, first = second[at], third[at], first[at]
-            third = np.where(second > 0, third, 0)
-            leaves, n = np.unique((first * _LAST + second) * _LAST + third, return_counts=True)
+            at = np.flatnonzero((first > 0) & (second > 0))
+            leaves, n = np.unique((first[at] * _LAST + second[at]) * _LAST + third[at], return_counts=True)
             first, second, third = leaves // (_LAST * _LAST), leaves // _LAST % _LAST, leaves % _LAST
-            prefix = h[first]
             is_heavy = np.zeros(len(h), bool)
             is_heavy[[words[w] for w in part.heavy.get(lang, ()) if w in words]] = True
-            longer = is_heavy[first]
-            prefix = np.where(longer, _extend(prefix, h[second]), prefix)
-            pairs = np.sort(np.array([words[a] * _LAST + words[b] for a, b in part.pairs.get(lang, ()) if a in words and b in words], np.int64))
-            deep = np.isin(first * _LAST + second, pairs)
-            prefix = np.where(deep, _extend(prefix, h[third]), prefix)
-            # counts of heavy prefixes are known: leaves that end with one aren't needed
-            keep = np.flatnonzero(~(longer & (second == 0)) & ~(deep & (third == 0)))
-            group = np.searchsorted(part.cuts, prefix[keep], side="right")
-            names = _strings(words.names[1:])
-            columns = [names.take(pa.array(x[keep] - 1, mask=x[keep] == 0)) for x in (first, second, third)]
-            depth = pa.array((longer.astype(np.int32) + deep)[keep], pa.int32())
-            out = pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array([lang] * len(keep), pa.string()), *columns, pa.array(n[keep]), depth], ["group", "lang", "w1", "w2", "w3", "n", "deep"])
-            for i in range(0, len(keep), 50_000):
-                yield out.slice(i, 50_000)
+            both = is_heavy[first] & is_heavy[second]
+            # the counts of pairs of two heavy words, and then their suffixes of three words on their own
+            pairs, pair_at = np.unique(leaves[both] // _LAST, return_inverse=True)
+            pair_n = np.bincount(pair_at, weights=n[both], minlength=len(pairs)).astype(np.int64)
+            keep = np.flatnonzero(~both | (third > 0))
+            first, second, third, n, both = first[keep], second[keep], third[keep], n[keep], both[keep]
+            prefix = h[first]
+            prefix = np.where(is_heavy[first], _extend(prefix, h[second]), prefix)
+            prefix = np.where(both, _extend(prefix, h[third]), prefix)
+            first, second, third = (np.concatenate(x) for x in ((first, pairs // _LAST), (second, pairs % _LAST), (third, np.zeros(len(pairs), np.int64))))
+            prefix = np.concatenate((prefix, _extend(h[pairs // _LAST], h[pairs % _LAST])))
+            n = np.concatenate((np.where(both, -n, n), pair_n))
+            group = np.searchsorted(part.cuts, prefix, side="right").astype(np.int32)
+            names = _strings([b"", *words.names[1:]])
+            for i in range(0, len(n), 50_000):
+                columns = [names.take(pa.array(x[i : i + 50_000])) for x in (first, second, third)]
+                yield pa.RecordBatch.from_arrays([pa.array(group[i : i + 50_000]), pc.binary_join_element_wise(*columns, lang, "\t"), pa.array(n[i : i + 50_000])], ["group", "leaf", "n"])
 
         yield from _by_language(batches, use)
 
     return run
 
 
-def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """Numbers of the values of a column, 0 for null, and the values."""
-    encoded = column.combine_chunks().dictionary_encode()
-    if isinstance(encoded, pa.ChunkedArray):
-        encoded = encoded.combine_chunks()
-    return pc.fill_null(pc.add(encoded.indices, 1), 0).to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+NODES = "lang string, w1 string, w2 string, w3 string, f bigint"
 
 
-def _subtree(shared, least: int):
-    """A group's suffixes to its nodes that occur ``least`` times: NODES, where words below a node's depth are null and l1, l2 are
-    the counts of the node's first one and two words."""
+def _subtree(least: int):
+    """A group's suffixes to its nodes of two and three words that occur ``least`` times: NODES, w3 empty for pairs."""
 
     def run(leaves: pa.Table) -> pa.Table:
-        part = shared.value
-        (lang, langs), (w1, words1), (w2, words2), (w3, words3) = (_codes(leaves.column(c)) for c in ("lang", "w1", "w2", "w3"))
+        parts = pc.split_pattern(leaves.column("leaf").combine_chunks(), "\t", max_splits=DEPTH)
+        symbols = parts.flatten().dictionary_encode()
+        w1, w2, w3, lang = symbols.indices.to_numpy().reshape(-1, DEPTH + 1).T
         order = np.lexsort((w3, w2, w1, lang))
-        lang, w1, w2, w3 = lang[order], w1[order], w2[order], w3[order]
-        n, deep = leaves.column("n").to_numpy()[order], leaves.column("deep").to_numpy()[order]
-        new, above, out = np.ones(len(n), bool), [], []
-        new[1:] = lang[1:] != lang[:-1]
-        for depth, code in enumerate((w1, w2, w3), 1):
-            new[1:] |= code[1:] != code[:-1]
+        w1, w2, w3, lang = w1[order], w2[order], w3[order], lang[order]
+        n = leaves.column("n").to_numpy()[order]
+        new, out = np.ones(len(n), bool), []
+        new[1:] = (lang[1:] != lang[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+        names = pa.concat_arrays([symbols.dictionary, pa.array([""])])
+        end = pc.index(names, "").as_py()
+        # a pair's suffixes, or what was sent along for it; then those of three words
+        for third, count in ((np.full(len(n), end), n.clip(0)), (w3, np.abs(n))):
+            new[1:] |= third[1:] != third[:-1]
             start = np.flatnonzero(new)
-            f = np.add.reduceat(n, start)
-            known = deep[start] >= depth  # a heavy prefix is complete in no group, but counted before
-            for i in np.flatnonzero(known & (code[start] > 0)):
-                at, name = start[i], langs[int(lang[start[i]]) - 1].as_py()
-                word = words1[int(w1[at]) - 1].as_py().encode()
-                f[i] = part.heavy[name][word] if depth == 1 else part.pairs[name][word, words2[int(w2[at]) - 1].as_py().encode()]
-            keep = start[~known & (code[start] > 0) & (f >= least)]
-            above.append(f[np.cumsum(new) - 1])  # of each leaf, the count of its node at this depth
-            none = np.zeros(len(keep), np.int64)
-            words = [values.take(pa.array(c[keep] - 1, mask=c[keep] == 0)) if d <= depth else pa.nulls(len(keep), pa.string()) for d, (c, values) in enumerate(((w1, words1), (w2, words2), (w3, words3)), 1)]
-            counts = [above[depth - 1][keep], above[0][keep] if depth > 1 else none, above[1][keep] if depth > 2 else none]
-            out.append(pa.table([langs.take(pa.array(lang[keep] - 1)), *words, *[pa.array(c) for c in counts]], ["lang", "w1", "w2", "w3", "f", "l1", "l2"]))
+            f = np.add.reduceat(count, start)
+            keep = f >= least if third is not w3 else (f >= least) & (third[start] != end)
+            at = start[keep]
+            out.append(pa.table([*[names.take(pa.array(x[at])) for x in (lang, w1, w2, third)], pa.array(f[keep])], ["lang", "w1", "w2", "w3", "f"]))
         return pa.concat_tables(out)
 
     return run
 
 
-NODES = "lang string, w1 string, w2 string, w3 string, f bigint, l1 bigint, l2 bigint"
-
-
 def _bitmap(words: DataFrame) -> np.ndarray:
     """The bits of the hashes of ``words(h)``: at most BITMAP_BITS of them come to the driver."""
     bit = F.col("h").bitwiseAND(BITMAP_BITS - 1) + 1
@@ -262,45 +226,37 @@ def _bitmap(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _cuts(prefixes: DataFrame, budget: int) -> np.ndarray:
-    """Least hashes of the groups that ``prefixes(h, n)`` fill, in order: a group is closed once it holds ``budget`` suffixes."""
+def _cuts(prefixes: DataFrame, spread: int, budget: int) -> np.ndarray:
+    """Least hashes of the groups that ``prefixes(h, n)`` and ``spread`` suffixes of any hash fill, in order: a group is closed once it
+    holds ``budget`` suffixes."""
     ordered = Window.partitionBy("range").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    width = (1 << 64) // RANGES
-    filled = prefixes.withColumn("range", F.floor(F.col("h") / width)).withColumn("place", F.floor(F.coalesce(F.sum("n").over(ordered), F.lit(0)) / budget))
+    points = max(4, spread // budget)
+    even = prefixes.sparkSession.range(points).select(((F.col("id") - points // 2) * ((1 << 64) // points)).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("n"))
+    inside = F.col("h").cast("double") / 2.0**64 * spread
+    filled = prefixes.unionByName(even).withColumn("range", F.floor(F.col("h").cast("double") / 2.0**64 * RANGES)).withColumn("place", F.floor((F.coalesce(F.sum("n").over(ordered), F.lit(0)) + inside) / budget))
     rows = filled.groupBy("range", "place").agg(F.min("h").alias("h")).select("h").toArrow()  # at most MAX_GROUPS and a few
     return np.sort(rows.column("h").to_numpy())
 
 
-def vertical_partition(texts: DataFrame, words: DataFrame, least: int, group_suffixes: int) -> Partition:
-    """The groups for ``texts(lang, text)`` with the counted ``words(lang, word, h, n)``."""
-    spark = texts.sparkSession
-    budget = max(group_suffixes, (words.agg(F.sum("n")).first()[0] or 0) // MAX_GROUPS)
+def vertical_partition(words: DataFrame, least: int, group_suffixes: int) -> Partition:
+    """The groups for the counted ``words(lang, word, h, n)``."""
     frequent = words.filter(F.col("n") >= least)
-    heavy: dict[str, dict[bytes, int]] = {}
+    budget = max(group_suffixes, (frequent.agg(F.sum("n")).first()[0] or 0) // MAX_GROUPS)
+    heavy: dict[str, list[bytes]] = {}
+    spread = 0
     for r in frequent.filter(F.col("n") > budget).collect():  # fewer than MAX_GROUPS
-        heavy.setdefault(r["lang"], {})[r["word"].encode()] = r["n"]
-    pairs: dict[str, dict[tuple[bytes, bytes], int]] = {}
-    prefixes = frequent.filter(F.col("n") <= budget).select("h", "n")
-    if heavy:
-        shared = spark.sparkContext.broadcast(heavy)
-        counted = texts.mapInArrow(_pair_counts(shared), "lang string, word string, next string, h bigint, n bigint").groupBy("lang", "word", "next").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
-        counted = stage_table(counted)
-        for r in counted.filter(F.col("n") > budget).collect():
-            pairs.setdefault(r["lang"], {})[r["word"].encode(), r["next"].encode()] = r["n"]
-        prefixes = prefixes.unionByName(counted.filter(F.col("n") <= budget).select("h", "n"))
-    return Partition(_cuts(prefixes, budget), heavy, pairs, _bitmap(frequent))
+        heavy.setdefault(r["lang"], []).append(r["word"].encode())
+        spread += r["n"]
+    return Partition(_cuts(frequent.filter(F.col("n") <= budget).select("h", "n"), spread, budget), heavy, _bitmap(frequent))
 
 
 def phrase_nodes(texts: DataFrame, words: DataFrame, least: int = MIN_COUNT, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """NODES of the truncated suffix tree that occur ``least`` times."""
-    spark = texts.sparkSession
-    part = vertical_partition(texts, words, least, group_suffixes)
-    shared = spark.sparkContext.broadcast(part)
-    leaves = texts.mapInArrow(_suffixes(shared), "`group` bigint, lang string, w1 string, w2 string, w3 string, n bigint, deep int")
-    nodes = leaves.groupBy("group").applyInArrow(_subtree(shared, least), NODES)
-    heavy = [(lang, w.decode(), None, None, n, 0, 0) for lang, own in part.heavy.items() for w, n in own.items()]
-    heavy += [(lang, a.decode(), b.decode(), None, n, part.heavy[lang][a], 0) for lang, own in part.pairs.items() for (a, b), n in own.items()]
-    return stage_table(nodes.unionByName(spark.createDataFrame([h for h in heavy if h[4] >= least], NODES)))
+    """NODES of the truncated suffix tree that occur ``least`` times: w2 is empty for words, w3 for words and pairs."""
+    shared = texts.sparkSession.sparkContext.broadcast(vertical_partition(words, least, group_suffixes))
+    leaves = texts.mapInArrow(_suffixes(shared), "`group` int, leaf string, n bigint")
+    nodes = leaves.groupBy("group").applyInArrow(_subtree(least), NODES)
+    single = words.filter(F.col("n") >= least).select("lang", F.col("word").alias("w1"), F.lit("").alias("w2"), F.lit("").alias("w3"), F.col("n").alias("f"))
+    return stage_table(nodes.unionByName(single))
 
 
 def _exact_score(a: Column, l: Column, r: Column) -> Column:
@@ -320,15 +276,15 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = stage_table(texts.mapInArrow(_word_counts, "lang string, word string, h bigint, n bigint").groupBy("lang", "word").agg(F.min("h").alias("h"), F.sum("n").alias("n")))
     nodes = phrase_nodes(texts, words, least, group_suffixes)
-    second, third = F.coalesce("w2", F.lit("")), F.coalesce("w3", F.lit(""))  # no word is empty
-    part = "k int, l bigint, a2 string, b2 string"
-    cut = F.array(
-        F.struct(F.lit(1), F.col("l1"), second, third).cast(f"struct<{part.replace(' ', ':').replace(',:', ',')}>"),
-        F.when(F.col("w3").isNotNull(), F.struct(F.lit(2), F.col("l2"), third, F.lit("")).cast(f"struct<{part.replace(' ', ':').replace(',:', ',')}>")),
-    )
-    cuts = nodes.filter(F.col("w2").isNotNull()).select("lang", "w1", "w2", third.alias("w3"), F.col("f").alias("a"), F.explode(F.array_compact(cut)).alias("c")).select("lang", "w1", "w2", "w3", "a", "c.*")
-    rest = nodes.filter(F.col("w3").isNull()).select("lang", F.col("w1").alias("a2"), second.alias("b2"), F.col("f").alias("r"))
-    scored = cuts.join(rest, ["lang", "a2", "b2"]).withColumn("score", _exact_score(F.col("a"), F.col("l"), F.col("r")))
+    # the two parts of each cut: the first k words and the rest
+    def at(k: int, *words) -> Column:
+        return F.struct(F.lit(k).alias("k"), *[(F.col(w) if w else F.lit("")).alias(x) for w, x in zip(words, ("a1", "a2", "b1", "b2"), strict=True)])
+
+    cuts = F.array(at(1, "w1", "", "w2", "w3"), F.when(F.col("w3") != "", at(2, "w1", "w2", "w3", "")))
+    cut = nodes.filter("w2 <> ''").select("lang", "w1", "w2", "w3", F.col("f").alias("a"), F.inline(F.array_compact(cuts)))
+    short = nodes.filter("w3 = ''")
+    part = lambda x, f: short.select("lang", F.col("w1").alias(f"{x}1"), F.col("w2").alias(f"{x}2"), F.col("f").alias(f))
+    scored = cut.join(part("a", "l"), ["lang", "a1", "a2"]).join(part("b", "r"), ["lang", "b1", "b2"]).withColumn("score", _exact_score(F.col("a"), F.col("l"), F.col("r")))
     worst = scored.groupBy("lang", "w1", "w2", "w3").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("c"))
     candidates = stage_table(worst.select("lang", "w1", "w2", "w3", "a", "c.l", "c.r", "c.score"))
     inside = F.explode(F.array(F.struct(F.col("w1"), F.col("w2")), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2"))))
@@ -351,7 +307,8 @@ def op13_phrase_mining(spark, sf_dir):
 OP13_SQL = r"""
 WITH p AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents)),
+-
+]')) AS piece FROM documents)),
 x AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p),
 o AS (SELECT lang, w[i] AS a1, w[i + 1] AS a2, w[i + 2] AS a3 FROM x),
 f1 AS (SELECT lang, a1 AS phrase, count(*) AS f FROM o GROUP BY ALL),
