@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,34 +21,67 @@ SWITCH_COST, REACH = 3.0, 50_000
 MIN_HEADING, MIN_GAIN, EXCLUDE_BELOW = 0.60, 0.20, 0.30
 
 
-def choose_offsets(s: np.ndarray, e: np.ndarray, anchor_s: np.ndarray, anchor_e: np.ndarray) -> np.ndarray:
-    """One offset for each span (in order): anchors of the span's length, give or take one, within reach vote for theirs; a span
-    without a vote for its offset costs 1, a change of offset 3, and 0 is always allowed. Ties go to the least offset."""
-    lengths = anchor_e - anchor_s
+def offset_votes(s: np.ndarray, e: np.ndarray, anchor_s: np.ndarray, anchor_e: np.ndarray) -> list[np.ndarray]:
+    """For each span the offsets that anchors vote for: those of the span's length, give or take one, within reach. Anchors lie sorted by
+    length and start, so that a span meets its own ones only."""
+    order = np.lexsort((anchor_s, anchor_e - anchor_s))
+    starts, lengths = anchor_s[order], (anchor_e - anchor_s)[order]
+    sizes, first = np.unique(lengths, return_index=True)
+    ends = np.append(first[1:], len(starts))[: len(first)]
+    by_length = {int(n): starts[i:j] for n, i, j in zip(sizes, first, ends, strict=True)}
     votes = []
-    for a, b in zip(s, e, strict=True):
-        near = np.abs(lengths - (b - a)) <= 1
-        off = anchor_s[near] - a
-        votes.append(np.unique(off[np.abs(off) <= REACH]))
-    states = np.unique(np.concatenate([[0], *votes]))
-    cost = np.zeros(len(states))
-    # a bit for each span and state: whether the offset stays; all others come from the cheapest one
-    stays, lows = [], []
-    for i, v in enumerate(votes):
-        if i:
-            low = int(cost.argmin())
-            switch = cost[low] + SWITCH_COST
-            stay = cost <= switch
-            stays.append(np.packbits(stay))
-            lows.append(low)
-            cost = np.where(stay, cost, switch)
-        cost = cost + ~np.isin(states, v)
-    at = int(cost.argmin())
-    out = np.zeros(len(s), np.int64)
-    for i in range(len(s) - 1, -1, -1):
-        out[i] = states[at]
-        if i and not stays[i - 1][at >> 3] >> (7 - (at & 7)) & 1:
-            at = lows[i - 1]
+    for a, n in zip(s.tolist(), (e - s).tolist(), strict=True):
+        found = []
+        for own in (by_length.get(n + d) for d in (-1, 0, 1)):
+            if own is not None:
+                found.append(own[np.searchsorted(own, a - REACH) : np.searchsorted(own, a + REACH, side="right")] - a)
+        votes.append(np.unique(np.concatenate([np.empty(0, np.int64), *found])).astype(np.int64))
+    return votes
+
+
+def choose_offsets(s: np.ndarray, e: np.ndarray, anchor_s: np.ndarray, anchor_e: np.ndarray) -> np.ndarray:
+    """One offset for each span (in order): a span without a vote for its offset costs 1, a change of offset SWITCH_COST, and 0 is
+    always allowed. Ties go to the least offset.
+
+    A sparse dynamic programme: an offset is touched only where it is voted for. One that isn't costs 1 more with each span, and
+    never more than the cheapest one, a change and 1; the cheapest one's cost rises by 1 at most. So an offset that was
+    last touched at span i with cost c costs min(c + j - i, low[j - 1] + SWITCH_COST + 1) at span j, without a look at the spans between.
+    """
+    votes = offset_votes(s, e, anchor_s, anchor_e)
+    if not votes:
+        return np.zeros(0, np.int64)
+    touches: dict[int, tuple[list[int], list[float]]] = {}
+    low: list[float] = []
+    lows: list[int] = []  # the cheapest offset at each span
+    least, cheapest = 1.0, min([0, *[int(v[0]) for v in votes if len(v)]])  # its cost less the span's number: an offset without a vote costs j + 1
+
+    def cost(offset: int, j: int) -> float:
+        if j < 0:
+            return 0.0
+        at, costs = touches.get(offset, ((), ()))
+        k = bisect_right(at, j) - 1
+        last, c = (at[k], costs[k]) if k >= 0 else (-1, 0.0)
+        return c if last == j else min(c + j - last, low[j - 1] + SWITCH_COST + 1 if j else 1.0)
+
+    for j, voted in enumerate(votes):
+        top = low[j - 1] + SWITCH_COST if j else 0.0
+        for offset in voted.tolist():
+            c = min(cost(offset, j - 1), top)
+            at, costs = touches.setdefault(offset, ([], []))
+            at.append(j)
+            costs.append(c)
+            if c - j < least:
+                least, cheapest = c - j, offset
+            elif c - j == least:
+                cheapest = min(cheapest, offset)
+        low.append(least + j)
+        lows.append(cheapest)
+    out = np.zeros(len(votes), np.int64)
+    at = lows[-1]
+    for j in range(len(votes) - 1, -1, -1):
+        out[j] = at
+        if j and cost(at, j - 1) > low[j - 1] + SWITCH_COST:
+            at = lows[j - 1]
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.profiles import TIBETAN, Profile
 from .intervals import islands, overlap_join
+from .quantile import median
+from .tables import stage
 
-
-#: Islands of overlapping spans that one call handles.
+#: Islands of overlapping spans that one call of the de-duplication handles.
 ISLANDS = 256
 
 
@@ -22,39 +25,33 @@ def match_candidates(gold: DataFrame, pred: DataFrame, thr: float = 0.5, book: s
     return met.select(book, "gold_ix", F.col("r_pred_ix").alias("pred_ix"), "iou", "s", "e", F.col("r_s").alias("ps"), F.col("r_e").alias("pe"))
 
 
-def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one choice in order of (iou, gold_ix, pred_ix), all descending."""
-    frame = frame.sort_values(["iou", "gold_ix", "pred_ix"], ascending=False)
-    gold, pred, keep = set(), set(), []
-    for g, p in zip(frame["gold_ix"], frame["pred_ix"], strict=True):
-        keep.append(g not in gold and p not in pred)
-        if keep[-1]:
-            gold.add(g)
-            pred.add(p)
-    return frame[keep]
-
-
 def greedy_match(cands: DataFrame, book: str = "doc_id", keys: tuple[str, ...] = ()) -> DataFrame:
-    """The greedy one-to-one matching of candidates. Pairs whose both ends have no other candidate are matched as they
-    are; only clusters of competing pairs, cut into islands of overlapping spans, go to Python."""
+    """The greedy one-to-one matching of candidates in order of (iou, gold_ix, pred_ix), all descending, by rounds: a pair that
+    comes first for both of its ends is in the matching, whatever the rest is, and takes its ends' other pairs out. Most pairs are
+    decided in the first round; each round sees what the one before left open, of islands of any size."""
     by = [book, *keys]
-    df = cands.withColumn("_g", F.count("*").over(Window.partitionBy(*by, "gold_ix"))).withColumn("_p", F.count("*").over(Window.partitionBy(*by, "pred_ix")))
-    alone = (F.col("_g") == 1) & (F.col("_p") == 1)
     out = [*by, "gold_ix", "pred_ix", "iou"]
-    rest = df.filter(~alone).withColumn("_s", F.least("s", "ps")).withColumn("_e", F.greatest("e", "pe")).select(*out, F.col("_s").alias("s"), F.col("_e").alias("e"))
-    rest = islands(rest, *by)
-    schema = ", ".join(f"{c} {rest.schema[c].dataType.simpleString()}" for c in out)
-    # neighbouring islands share a task's call; what is chosen in one doesn't touch another
-    picked = rest.withColumn("island", F.floor(F.col("island") / ISLANDS)).groupBy(*by, "island").applyInPandas(lambda f: _greedy(f)[out], schema)
-    return df.filter(alone).select(*out).unionByName(picked)
+    gold, pred = Window.partitionBy(*by, "gold_ix"), Window.partitionBy(*by, "pred_ix")
+    own = F.struct("iou", "gold_ix", "pred_ix")
+    left, rounds = cands.select(*out), []
+    while not rounds or not left.isEmpty():
+        best = left.withColumn("_g", F.max(own).over(gold) == own).withColumn("_m", F.col("_g") & (F.max(own).over(pred) == own))
+        best = best.withColumn("_p", F.max("_m").over(pred))
+        marked = stage(best.withColumn("_g", F.max("_m").over(gold)))
+        rounds.append(marked.filter("_m").select(*out))
+        left = marked.filter("NOT _p AND NOT _g").select(*out)
+    return reduce(DataFrame.union, rounds)
 
 
 def score_spans(books: DataFrame, gold: DataFrame, pred: DataFrame, thr: float = 0.5, book: str = "doc_id") -> DataFrame:
-    """Per book: tp, n_pred, n_gold (0 where it has none)."""
-    count = lambda df, name: df.groupBy(book).agg(F.count("*").alias(name))
-    df = books
-    for x, name in ((greedy_match(match_candidates(gold, pred, thr, book), book), "tp"), (pred, "n_pred"), (gold, "n_gold")):
-        df = df.join(count(x, name), book, "left")
+    """Per book: tp, n_pred, n_gold (0 where it has none). Both sides are derived once, into one table that is matched and counted."""
+    side = lambda df, ix, is_gold: df.select(book, F.col(ix).alias("ix"), "s", "e", F.lit(is_gold).alias("is_gold"))
+    rows = stage(side(gold, "gold_ix", True).union(side(pred, "pred_ix", False)))
+    own = lambda ix, where: rows.filter(where).select(book, F.col("ix").alias(ix), "s", "e")
+    tp = greedy_match(match_candidates(own("gold_ix", "is_gold"), own("pred_ix", "NOT is_gold"), thr, book), book).groupBy(book).agg(F.count("*").alias("tp"))
+    counts = rows.groupBy(book).agg(F.count_if(~F.col("is_gold")).alias("n_pred"), F.count_if("is_gold").alias("n_gold"))
+    # columns in the order tp, n_pred, n_gold
+    df = books.join(tp, book, "left").join(counts, book, "left")
     return df.fillna(0, ["tp", "n_pred", "n_gold"])
 
 
@@ -74,7 +71,9 @@ def micro_prf(scores: DataFrame, by: str = "batch") -> DataFrame:
 
 
 def median_book_f1(scores: DataFrame) -> DataFrame:
-    return scores.select(prf(F.col("tp"), F.col("n_pred"), F.col("n_gold"))[2].alias("f1")).agg(F.round(F.expr("percentile(f1, 0.5)"), 6).alias("median_f1"))
+    """One row: the median F1 of books; null without books."""
+    f1 = scores.select(F.lit(1).alias("all"), prf(F.col("tp"), F.col("n_pred"), F.col("n_gold"))[2].alias("f1"))
+    return median(f1, "all", "f1").agg(F.round(F.max("median"), 6).alias("median_f1"))
 
 
 def book_ranking(scores: DataFrame, book: str = "doc_id") -> DataFrame:
