@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.profiles import TIBETAN, Profile
 from .intervals import next_span, overlap_layers
+from .quantile import exclusive_quantiles, median
 from .spans import attach_text
 
 
@@ -22,36 +23,15 @@ def coverage(books: DataFrame, spans: DataFrame, has_file: Column | None = None,
     return df.groupBy("batch").agg(F.count("*").alias("n_books"), F.count_if("_file").alias("n_file"), F.count_if(F.col("_n") > 0).alias("n_nonempty"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_spans"))
 
 
-def exclusive_quantiles(df: DataFrame, by: str, value: str, percents: tuple[int, ...], least: int = 101) -> DataFrame:
-    """by, n and p<k> for each percent: the exclusive method (rank p * (n + 1) / 100, linear between ranks), null unless
-    a group has at least ``least`` values. Counts of distinct values are ranked, not rows."""
-    counts = df.groupBy(by, value).agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(by).orderBy(value)
-    counts = counts.withColumn("_to", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
-    aggs = []
-    for p in percents:
-        place = p * (F.col("_n") + 1)  # in hundredths of a rank
-        j = F.greatest(F.lit(1), F.least(F.floor(place / 100), F.col("_n") - 1))
-        holds = lambda k: (F.col("_to") >= k) & (F.col("_to") - F.col("_c") < k)
-        lo, hi = F.max(F.when(holds(j), F.col(value))), F.max(F.when(holds(j + 1), F.col(value)))
-        delta = F.max(place - j * 100)
-        aggs.append(F.when(F.max("_n") >= least, (lo * (100 - delta) + hi * delta) / 100.0).alias(f"p{p}"))
-    return counts.groupBy(by).agg(F.max("_n").alias("n"), *aggs)
-
-
-def median(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.expr(f"percentile({value}, 0.5)").alias("median"))
-
-
 def length_distribution(spans: DataFrame, by: str = "batch") -> DataFrame:
     """Per batch: n, exclusive quantiles, median, max, percent under 15 and over 300."""
     df = spans.withColumn("len", F.col("e") - F.col("s"))
     q = exclusive_quantiles(df, by, "len", (10, 25, 75, 90, 99))
     rest = df.groupBy(by).agg(
-        F.expr("percentile(len, 0.5)").alias("median"), F.max("len").alias("max"),
+        F.max("len").alias("max"),
         percent(F.count_if(F.col("len") < 15), F.count("*")).alias("pct_lt15"), percent(F.count_if(F.col("len") > 300), F.count("*")).alias("pct_gt300"),
     )
-    return q.join(rest, by)
+    return q.join(median(df, by, "len"), by).join(rest, by).select(by, "n", *[c for c in q.columns if c.startswith("p")], "median", "max", "pct_lt15", "pct_gt300")
 
 
 def gap_flags(spans: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
@@ -132,8 +112,9 @@ def density_summary(profiles: DataFrame, by: str = "batch") -> DataFrame:
     """Per batch: books, median and p10 of spans and density, books under 10 spans and under 5 per 100k."""
     counts = exclusive_quantiles(profiles, by, "n_spans", (10,)).withColumnRenamed("p10", "spans_p10")
     dens = exclusive_quantiles(profiles, by, "per_100k", (10,)).select(by, F.round("p10", 4).alias("density_p10"))
-    rest = profiles.groupBy(by).agg(F.expr("percentile(n_spans, 0.5)").alias("spans_median"), F.round(F.expr("percentile(per_100k, 0.5)"), 4).alias("density_median"), F.count_if(F.col("n_spans") < 10).alias("n_lt10"), F.count_if(F.col("per_100k") < 5).alias("n_lt5"))
-    return counts.join(dens, by).join(rest, by)
+    middle = median(profiles, by, "n_spans", "spans_median").join(median(profiles, by, "per_100k").select(by, F.round("median", 4).alias("density_median")), by)
+    rest = profiles.groupBy(by).agg(F.count_if(F.col("n_spans") < 10).alias("n_lt10"), F.count_if(F.col("per_100k") < 5).alias("n_lt5"))
+    return counts.join(dens, by).join(middle, by).join(rest, by)
 
 
 def top_syllables(texts: DataFrame, by: str = "batch", k: int = 8, profile: Profile = TIBETAN) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.profiles import TIBETAN, Profile
 from .intervals import merge_intervals
+from .tables import stage
 
 IGNORE = -100
 CONTENT, STRIDE = 8190, 5120
@@ -48,18 +49,19 @@ def regex_tokenizer(text: str) -> list[tuple[int, int, int]]:
     return [(zlib.crc32(m[1].encode()) % 50_000 + 3, m.start(), m.end(1)) for m in re.finditer(r"([^ \n]+)[ \n]*|()[ \n]+", text) if m[1] is not None or m[2] is not None]
 
 
-def tokenize(books: DataFrame, make_tokenizer: Callable[[], Callable[[str], list[tuple[int, int, int]]]] = lambda: regex_tokenizer, book: str = "doc_id", text: str = "text") -> DataFrame:
-    """book, ids, starts, ends (arrays): ``make_tokenizer`` is called once in each task and its tokenizer on each whole text;
+def tokenize(books: DataFrame, make_tokenizer: Callable[[], Callable[[str], list[tuple[int, int, int]]]] = lambda: regex_tokenizer, book: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """book, ``carry``, ids, starts, ends (arrays): ``make_tokenizer`` is called once in each task and its tokenizer on each whole text;
     no special tokens, no truncation. Null text: no tokens."""
-    kind = books.schema[book].dataType.simpleString()
+    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate((book, *carry))]
+    kinds = ", ".join(f"`{c}` {books.schema[c].dataType.simpleString()}" for c in (book, *carry))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = make_tokenizer()
         for f in frames:
             rows = [tok(x) if x is not None else [] for x in f["_text"]]
-            yield pd.DataFrame({book: f["_book"], "ids": [[r[0] for r in x] for x in rows], "starts": [[r[1] for r in x] for x in rows], "ends": [[r[2] for r in x] for x in rows]})
+            yield pd.DataFrame({**{c: f[f"_c{i}"] for i, c in enumerate((book, *carry))}, "ids": [[r[0] for r in x] for x in rows], "starts": [[r[1] for r in x] for x in rows], "ends": [[r[2] for r in x] for x in rows]})
 
-    return books.select(F.col(book).alias("_book"), F.col(text).alias("_text")).mapInPandas(run, f"{book} {kind}, ids array<int>, starts array<bigint>, ends array<bigint>")
+    return books.select(*kept, F.col(text).alias("_text")).mapInPandas(run, f"{kinds}, ids array<int>, starts array<bigint>, ends array<bigint>")
 
 
 def token_rows(tokens: DataFrame, book: str = "doc_id") -> DataFrame:
@@ -237,12 +239,12 @@ def lost_spans(labelled: DataFrame, spans: DataFrame, book: str = "doc_id") -> D
 
 
 def build_dataset(books: DataFrame, spans: DataFrame, splits: DataFrame, make_tokenizer=lambda: regex_tokenizer, content: int = CONTENT, stride: int = STRIDE, book: str = "doc_id") -> DataFrame:
-    """Tokenize, label, cut and pack the books that have a split: the windows of the dataset, with split."""
+    """Tokenize, label, cut and pack the books that have a split: the windows of the dataset, with split. Texts are tokenized once, into
+    a table that feeds labels and packing."""
     from .checks import restrict_to_split
     from .intervals import assert_no_overlap
 
     listed = restrict_to_split(books, splits, book)
-    tokens = tokenize(listed, make_tokenizer, book)
+    tokens = stage(tokenize(listed, make_tokenizer, book, carry=("split",)))
     labelled = label_arrays(label_rows(token_rows(tokens, book), assert_no_overlap(spans.select(book, "s", "e"), book), book), book).select(book, "labels")
-    full = tokens.join(labelled, book).join(splits.select(book, "split"), book)
-    return pack_windows(full, content, stride, book=book, carry=("split",))
+    return pack_windows(tokens.join(labelled, book), content, stride, book=book, carry=("split",))

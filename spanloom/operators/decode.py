@@ -227,7 +227,7 @@ def particle_mask(seqs: DataFrame, closers: tuple[str, ...], pieces: str = "piec
         for f in frames:
             yield f.assign(mask=[mask(list(p)) for p in f[pieces]])
 
-    schema = ", ".join(f"{c} {seqs.schema[c].dataType.simpleString()}" for c in seqs.columns)
+    schema = ", ".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}" for c in seqs.columns)
     return seqs.mapInPandas(run, f"{schema}, mask array<boolean>")
 
 
@@ -257,22 +257,44 @@ def book_eval_from_windows(windows: DataFrame, paths: DataFrame, owned: DataFram
     return score_spans(books, ranked(gold, "gold_ix"), ranked(pred, "pred_ix"), thr, book)
 
 
-def predict_spans(books: DataFrame, make_scorer: Callable[[], Callable[[list[int]], np.ndarray]], make_tokenizer=None, penalty: float = 4.0, content: int = 8190, stride: int = 5120, book: str = "doc_id") -> DataFrame:
+def _score_and_decode(make_scorer, batched: bool, penalty: float, cells: int):
+    """Windows (book, window_index, token_start, ids) to their paths. Scores exist for a few windows at a time: as soon as ``cells`` of them
+    are there, they are decoded and dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make_scorer()
+        for b in batches:
+            windows = b.column(3)
+            size = pc.fill_null(pc.list_value_length(windows), 0).to_numpy(zero_copy_only=False) * 3
+            first = 0
+            while first < len(size):
+                # one window at least, and as many as keep within the cells
+                last = first + max(1, int(np.searchsorted(np.cumsum(size[first:]), cells, side="right")))
+                ids = [x or [] for x in windows.slice(first, last - first).to_pylist()]
+                found = score(ids) if batched else [score(x) for x in ids]
+                flat = [np.asarray(x, np.float64).reshape(-1, 3) for x in found]
+                if [len(x) for x in flat] != [len(x) for x in ids]:
+                    raise ValueError("a scorer must give three scores for each token")
+                starts = np.concatenate(([0], np.cumsum([len(x) for x in flat]))).astype(np.int64)
+                paths = _paths(np.concatenate(flat), starts, "bio", penalty)
+                rows = b.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], paths], [*b.schema.names[:3], "path"])
+                first = last
+
+    return run
+
+
+def predict_spans(books: DataFrame, make_scorer: Callable[[], Callable], make_tokenizer=None, penalty: float = 4.0, content: int = 8190, stride: int = 5120, book: str = "doc_id", batched: bool = False, cells: int = CELLS) -> DataFrame:
     """Spans of books by a scorer: tokens, windows, scores (``make_scorer`` is called once in each task), paths, characters,
-    de-duplication. A scorer maps a window's ids to tokens x 3 scores."""
+    de-duplication. A scorer maps a window's ids to tokens x 3 scores, or with ``batched`` a list of windows to a list of such: as
+    many windows as have at most ``cells`` scores together, or a single longer one. Null texts have no windows."""
     from .dataset import regex_tokenizer, token_rows, tokenize, window_table
 
     bounded_batches(books.sparkSession)
-    tokens = tokenize(books, make_tokenizer or (lambda: regex_tokenizer), book)
+    tokens = stage(tokenize(books, make_tokenizer or (lambda: regex_tokenizer), book))
     cut = window_table(tokens.withColumn("n", F.size("ids")), "n", content, stride, book)
     ids = cut.join(tokens.select(book, "ids"), book).select(book, "window_index", "token_start", F.slice("ids", (F.col("token_start") + 1).cast("int"), (F.col("token_end") - F.col("token_start")).cast("int")).alias("ids"))
     kind = books.schema[book].dataType.simpleString()
-
-    def run(frames):
-        score = make_scorer()
-        for f in frames:
-            yield pd.DataFrame({book: f[book], "window_index": f["window_index"], "token_start": f["token_start"], "logits": [np.asarray(score(list(x)), np.float64).tolist() for x in f["ids"]]})
-
-    scored = ids.mapInPandas(run, f"{book} {kind}, window_index bigint, token_start bigint, logits array<array<double>>")
-    spans = spans_from_labels(viterbi_decode(scored, penalty)).select(book, (F.col("s") + F.col("token_start")).alias("s"), (F.col("e") + F.col("token_start")).alias("e"))
+    paths = ids.mapInArrow(_score_and_decode(make_scorer, batched, penalty, cells), f"`{book}` {kind}, window_index bigint, token_start bigint, path array<int>")
+    spans = spans_from_labels(paths).select(book, (F.col("s") + F.col("token_start")).alias("s"), (F.col("e") + F.col("token_start")).alias("e"))
     return dedupe_spans(token_to_char_spans(spans, token_rows(tokens, book), book), 0.5, book)

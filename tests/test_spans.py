@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.functions.profiles import TIBETAN
 from spanloom.operators import checks, clean, dataset, decode, groups, intervals, score
-from spanloom.operators.audit import exclusive_quantiles
+from spanloom.operators.quantile import exclusive_quantiles
 from spanloom.operators.spans import attach_text
 
 
