@@ -17,6 +17,29 @@ ORACLES: dict = {}
 query = collector(QUERIES, ORACLES)
 
 
+# every third book also lies in the flat layout, with another text, which the nested file must hide; every fifth only there
+@query("SELECT doc_id::VARCHAR AS book_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'flat ' ELSE '' END || coalesce(text, '') AS t FROM documents)")
+def books_round_trip(t):
+    path = fresh_path(t.spark)
+    books = t.texts().select(F.col("doc_id").alias("book_id"), "text")
+    io.write_books(books.filter("book_id % 5 <> 0"), path)
+    flat = books.filter("book_id % 3 = 0 OR book_id % 5 = 0").withColumn("text", F.concat(F.lit("flat "), F.coalesce("text", F.lit(""))))
+    io.write_books(flat, path, nested=False)
+    return io.read_books(t.spark, path).select("book_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# gold spans as a map, quotes as a list, in which they are told by their place; spans without length don't come back
+@query(sql("""WITH l AS (SELECT doc_id, 'Heading' AS layer, 'a' || seg_idx AS ann_id, s, CASE WHEN seg_idx % 7 = 0 THEN s ELSE e END AS e FROM gold
+UNION ALL SELECT doc_id, 'Quote', (row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1)::VARCHAR, s, e FROM other WHERE layer = 'quote')
+SELECT doc_id::VARCHAR AS book_id, layer, ann_id, s, e FROM l WHERE e > s""", "gold", "other"))
+def layers_round_trip(t):
+    path = fresh_path(t.spark)
+    gold = t.gold().select(F.col("doc_id").alias("book_id"), F.lit("Heading").alias("layer"), F.concat(F.lit("a"), F.col("seg_idx").cast("string")).alias("ann_id"), "s", F.when(F.col("seg_idx") % 7 == 0, F.col("s")).otherwise(F.col("e")).alias("e"))
+    io.write_layers(gold, path)
+    io.write_layers(t.other().filter("layer = 'quote'").select(F.col("doc_id").alias("book_id"), F.lit("Quote").alias("layer"), F.lit("").alias("ann_id"), "s", "e"), path, as_list=True)
+    return io.read_layers(t.spark, path)
+
+
 # spans come back in order, ends half-open again
 @query(sql("SELECT doc_id::VARCHAR AS book_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1 AS pred_ix, s, e FROM pred", "pred"))
 def prediction_round_trip(t):
