@@ -293,7 +293,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     kept = candidates.join(longer, ["lang", "w1", "w2", "w3"], "left").filter(F.col("longest").isNull() | (F.col("longest") < COVERED_PERCENT * F.col("a")))
     phrase = F.concat_ws(" ", "w1", "w2", F.when(F.col("w3") != "", F.col("w3")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("phrase", phrase).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    best = kept.withColumn("phrase", phrase).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
