@@ -16,9 +16,10 @@ Candidates are verified twice: parity bitmaps give a lower bound of the symmetri
 nearly all false pairs for a few bytes; for the rest, both texts meet, and their shingles are compared word by word.
 Only components are asked for, so a pair that is connected already is not verified: in each round every key has a
 leader, and each set meets the one leader with which it shares most keys (a star). Keys whose members are one
-component by then are done. In the last round all pairs left between components are verified; no candidate pair
-is ever dropped. Members of keys that still are large form clusters, which are cut into blocks by size and hash
-and compared by bitmaps block by block, each pair once instead of at every key.
+component by then are done. Of the keys that are left all members are compared by bitmaps, keys of equal members once; members of
+keys that still are large form clusters, which are cut into blocks by size and hash and compared block by block. The
+pairs that pass are verified in two rounds: first those of hubs, few for each member of a dense group, then all that
+are left between components. No candidate pair is ever dropped.
 
 Hashes decide nothing but candidates and equal sets: of 10**10 sets, two differing ones have equal 128-bit digests
 with a probability below 2**-61.
@@ -51,14 +52,18 @@ FREQUENT = 48
 MAX_FREQUENT = 1 << 20
 #: Below this percentage neighbours in both sets aren't certain: every token of the 1-prefix is indexed singly.
 COMBINED_PERCENT = 70
-#: Rounds of stars before the pairs that are left between components are verified.
-STAR_ROUNDS = 2
+#: Rounds of stars before the members of the keys that are left are compared by bitmaps: hubs first, then all pairs between components.
+STAR_ROUNDS = 1
 #: Postings of combinations are spread over so many parts of their key.
 SALTS = 64
 #: Keys of more members than that are handled in blocks of about so many members.
 LIGHT_MEMBERS, BLOCK = 64, 1024
 #: So many ids are broadcast to pick texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Pairs with hubs that a member keeps in the first round of bitmaps.
+HUBS = 4
+#: So many words of bitmaps (8 bytes each) are compared at once.
+PASSING_WORDS = 1 << 20
 #: Bits of a parity bitmap for each token.
 BITS = 2
 
@@ -383,35 +388,71 @@ def _by_size(bits: list[bytes]) -> dict[int, np.ndarray]:
     return {int(z): np.flatnonzero(size == z) for z in np.unique(size)}
 
 
-def _block_pairs(percent: int):
-    """Pairs of members of two lists (or of one) that are in different components and that sizes and bitmaps let pass. Sets
+def _passing(x: tuple, y: tuple, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two lists of members (or in one) of the pairs in different components that sizes and bitmaps let pass. Sets
     that can link have bitmaps of one size, or of one and its double."""
+    (_, nx, rx, bx), (_, ny, ry, by) = x, y
+    left, right = [], []
+    for (zx, ix), (zy, iy) in itertools.product(_by_size(bx).items(), _by_size(by).items()):
+        if max(zx, zy) > 2 * min(zx, zy) and percent > 50:
+            continue
+        both = nx[ix][:, None] + ny[iy]
+        most = both - 2 * -(-percent * both // (100 + percent))
+        ok = (np.abs(nx[ix][:, None] - ny[iy]) <= most) & (rx[ix][:, None] != ry[iy])
+        if same:
+            ok &= ix[:, None] < iy
+        i, j = np.nonzero(ok)
+        if not len(i):
+            continue
+        fx, fy = (_folded([z[k] for k in at], min(zx, zy)) for z, at in ((bx, ix), (by, iy)))
+        for at in range(0, len(i), step := max(1, PASSING_WORDS // fx.shape[1])):
+            p, q = i[at : at + step], j[at : at + step]
+            near = np.bitwise_count(fx[p] ^ fy[q]).sum(axis=1, dtype=np.int64) <= most[p, q]
+            left.append(ix[p[near]])
+            right.append(iy[q[near]])
+    return tuple(np.concatenate([np.empty(0, np.int64), *z]) for z in (left, right))
+
+
+def hubs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the pairs (u, v) to test first: members become hubs, those with the most pairs first, until each other member has a
+    pair with one; of its pairs with hubs it keeps the first HUBS. A dense group keeps a few pairs for each member, through
+    which it is connected as a rule; what isn't is left to the last round."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    order, n = np.argsort(at, kind="stable"), len(u)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(nodes)))))
+    keep, covered = np.zeros(n, bool), np.zeros(len(nodes), np.int64)
+    for h in np.argsort(-np.diff(ends), kind="stable"):
+        if not covered[h]:
+            pairs = order[ends[h] : ends[h + 1]] % n
+            other = at[pairs] + at[pairs + n] - h
+            fresh = covered[other] < HUBS
+            keep[pairs[fresh]] = True
+            covered[other[fresh]] += 1
+            covered[h] = HUBS
+    return keep
+
+
+def _block_pairs(percent: int, hubs_only: bool):
+    """Pairs of members of two lists (or of one) that may be similar; with ``hubs_only`` only those of hubs."""
 
     def run(batches):
         for b in batches:
             left, right = [], []
-            for (vx, nx, rx, bx), (vy, ny, ry, by), same in zip(_members(b.column(0)), _members(b.column(1)), b.column(2).to_pylist(), strict=True):
-                for (zx, ix), (zy, iy) in itertools.product(_by_size(bx).items(), _by_size(by).items()):
-                    if max(zx, zy) > 2 * min(zx, zy) and percent > 50:
-                        continue
-                    fx, fy = (_folded([z[i] for i in at], min(zx, zy)) for z, at in ((bx, ix), (by, iy)))
-                    for i, own in zip(ix, fx, strict=True):
-                        both = nx[i] + ny[iy]
-                        most = both - 2 * -(-percent * both // (100 + percent))
-                        ok = (np.abs(nx[i] - ny[iy]) <= most) & (ry[iy] != rx[i])
-                        if same:
-                            ok &= iy > i
-                        at = np.flatnonzero(ok)
-                        at = at[np.bitwise_count(fy[at] ^ own).sum(axis=1, dtype=np.int64) <= most[at]]
-                        left.append(np.minimum(vx[i], vy[iy[at]]))
-                        right.append(np.maximum(vx[i], vy[iy[at]]))
+            for x, y, same in zip(_members(b.column(0)), _members(b.column(1)), b.column(2).to_pylist(), strict=True):
+                i, j = _passing(x, y, same, percent)
+                u, v = x[0][i], y[0][j]
+                if hubs_only and len(u):
+                    keep = hubs(u, v)
+                    u, v = u[keep], v[keep]
+                left.append(np.minimum(u, v))
+                right.append(np.maximum(u, v))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     return run
 
 
-def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, stage) -> DataFrame:
+def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, hubs_only: bool, stage) -> DataFrame:
     """Candidate pairs of the members of ``heavy(key, v, n, root)``: keys that share members form clusters; the members of a
     cluster are dealt by size (bands, of which only neighbours can link) and hash into blocks, and blocks are compared."""
     least = heavy.groupBy("key").agg(F.min("v").alias("a"))
@@ -430,7 +471,7 @@ def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, stage) -> Data
     pairs = grid.join(blocks.withColumnRenamed("m", "x"), ["cluster", "band", "part"]).join(right, ["cluster", "band2", "part2"])
     # few and costly rows: dealt evenly, a handful for each batch
     pairs = pairs.select("x", "y", ((F.col("band") == F.col("band2")) & (F.col("part") == F.col("part2"))).alias("same")).repartition(F.xxhash64("cluster", "band", "band2", "part", "part2"))
-    return pairs.mapInArrow(_block_pairs(percent), "a bigint, b bigint")
+    return pairs.mapInArrow(_block_pairs(percent, hubs_only), "a bigint, b bigint")
 
 
 def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame | None:
@@ -444,7 +485,8 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
         by_key = by_key.withColumn("here", F.count("*").over(Window.partitionBy("key", "salt")))
         posts = stage(by_key.filter("place < 0 OR here > 1").drop("salt", "here"))
         bits, texts, root, edges, tested = None, None, None, None, None
-        for step in range(STAR_ROUNDS + 1):
+        # stars, then hubs among all members of the keys that are left, then all pairs that are left
+        for step in range(STAR_ROUNDS + 2):
             now = posts.withColumn("root", F.col("v")) if root is None else posts.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
             # keys with members in different components are all that is left
             open_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
@@ -464,6 +506,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
                 met = led.groupBy("v", F.col("lead.v").alias("a")).agg(F.count("*").alias("c"))
                 pairs = met.groupBy("v").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("v").alias("b"))
             else:
+                hubs_only = step == STAR_ROUNDS
                 light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
                 # keys of the same members are compared once, all members at once by their bitmaps: costly rows, dealt evenly
                 lists = light.groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("vs")).select("vs").distinct()
@@ -471,10 +514,10 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
                 told = now.select("v", "root").distinct().join(bits, "v")
                 told = lists.join(told, "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "list")
                 told = told.groupBy("list").agg(F.collect_list(F.struct("v", "n", "root", "bits")).alias("x"))
-                pairs = told.select("x", F.col("x").alias("y"), F.lit(True).alias("same")).mapInArrow(_block_pairs(percent), "a bigint, b bigint")
+                pairs = told.select("x", F.col("x").alias("y"), F.lit(True).alias("same")).mapInArrow(_block_pairs(percent, hubs_only), "a bigint, b bigint")
                 if not heavy.isEmpty():
-                    pairs = pairs.union(_heavy_pairs(heavy, bits, percent, stage))
-                pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+                    pairs = pairs.union(_heavy_pairs(heavy, bits, percent, hubs_only, stage))
+                pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
             pairs = stage(pairs)
             done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             tested = done if tested is None else tested.union(done)
