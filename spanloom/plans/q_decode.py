@@ -12,7 +12,7 @@ from ..operators import score
 from ..operators.tables import stage
 from .fixtures import Tables, collector, sql
 from .latin import LATIN, Latin
-from .q_score import CONTENT, IOU, STRIDE, WINDOWS, greedy_sql, prf_sql, window_rows
+from .q_score import CONTENT, DEDUPE, IOU, STRIDE, WINDOWS, greedy_sql, prf_sql, window_rows
 from .q_text import LABELS_SQL, snap_sql
 
 L = Latin(clean)
@@ -39,12 +39,19 @@ def scored(t: Tables):
 # scores by token, and the best path of each window as a running maximum over positions
 LOGITS = f"""{LABELS_SQL}, {WINDOWS}, lg AS MATERIALIZED (SELECT w.doc_id, window_index, (t0)::BIGINT AS t0, l.tok_ix - t0 AS k, t1 - t0 AS n, label, ((l.tok_ix * 7 + l.doc_id) % 5)::DOUBLE AS o, ((l.tok_ix * 3 + l.doc_id) % 4 + CASE WHEN label = 1 THEN 5 ELSE 0 END)::DOUBLE AS b,
   ((l.tok_ix * 11 + l.doc_id) % 4 + CASE WHEN label = 2 THEN 5 ELSE 0 END)::DOUBLE AS i FROM win w JOIN lab l ON l.doc_id = w.doc_id AND l.tok_ix >= t0 AND l.tok_ix < t1)"""
-VITERBI = f"""{LOGITS}, vt AS (SELECT doc_id, window_index, k, o AS so, b AS sb, -1e9::DOUBLE AS si, [0] AS po, [1] AS pb, [2] AS pi FROM lg WHERE k = 0
-  UNION ALL SELECT l.doc_id, l.window_index, l.k, greatest(so, sb - {PENALTY}, si - {PENALTY}) + o, greatest(so, sb - {PENALTY}, si - {PENALTY}) + b, greatest(so - 1e9, sb, si) + i,
-    list_append(CASE WHEN so >= sb - {PENALTY} AND so >= si - {PENALTY} THEN po WHEN sb >= si THEN pb ELSE pi END, 0), list_append(CASE WHEN so >= sb - {PENALTY} AND so >= si - {PENALTY} THEN po WHEN sb >= si THEN pb ELSE pi END, 1),
+
+
+def paths_sql(penalty: float, scores: str = "lg") -> str:
+    """CTE ``ve``: the best path of each window of the scores, as a running maximum over positions."""
+    return f"""vt AS (SELECT doc_id, window_index, k, o AS so, b AS sb, -1e9::DOUBLE AS si, [0] AS po, [1] AS pb, [2] AS pi FROM {scores} WHERE k = 0
+  UNION ALL SELECT l.doc_id, l.window_index, l.k, greatest(so, sb - {penalty}, si - {penalty}) + o, greatest(so, sb - {penalty}, si - {penalty}) + b, greatest(so - 1e9, sb, si) + i,
+    list_append(CASE WHEN so >= sb - {penalty} AND so >= si - {penalty} THEN po WHEN sb >= si THEN pb ELSE pi END, 0), list_append(CASE WHEN so >= sb - {penalty} AND so >= si - {penalty} THEN po WHEN sb >= si THEN pb ELSE pi END, 1),
     list_append(CASE WHEN so - 1e9 >= sb AND so - 1e9 >= si THEN po WHEN sb >= si THEN pb ELSE pi END, 2)
-  FROM vt JOIN lg l ON l.doc_id = vt.doc_id AND l.window_index = vt.window_index AND l.k = vt.k + 1),
-ve AS (SELECT vt.doc_id, vt.window_index, CASE WHEN so >= sb AND so >= si THEN po WHEN sb >= si THEN pb ELSE pi END AS path FROM vt JOIN (SELECT DISTINCT doc_id, window_index, n FROM lg) z ON z.doc_id = vt.doc_id AND z.window_index = vt.window_index AND vt.k = z.n - 1)"""
+  FROM vt JOIN {scores} l ON l.doc_id = vt.doc_id AND l.window_index = vt.window_index AND l.k = vt.k + 1),
+ve AS (SELECT vt.doc_id, vt.window_index, CASE WHEN so >= sb AND so >= si THEN po WHEN sb >= si THEN pb ELSE pi END AS path FROM vt JOIN (SELECT DISTINCT doc_id, window_index, n FROM {scores}) z ON z.doc_id = vt.doc_id AND z.window_index = vt.window_index AND vt.k = z.n - 1)"""
+
+
+VITERBI = f"{LOGITS}, {paths_sql(PENALTY)}"
 
 
 @query(sql(f"WITH {VITERBI} SELECT doc_id, window_index, array_to_string(path, '') AS path FROM ve", "gold", "tok", recursive=True))
@@ -87,7 +94,12 @@ def check_window_alignment(t):
     return V.check_window_alignment(lined(t), t.tok()).select("doc_id", "window_index", "char_start")
 
 
-@query()
+# the spans of windows in characters of their book; repeated ones go with the others that overlap
+BOOK_SPANS = f"""{VITERBI}, {"seqs AS (SELECT doc_id, window_index, generate_subscripts(path, 1) - 1 AS k, unnest(path) AS v FROM ve)"}, {SPANS},
+bc AS (SELECT x.doc_id, a.s, z.e FROM wsp x JOIN win w ON w.doc_id = x.doc_id AND w.window_index = x.window_index JOIN tok a ON a.doc_id = x.doc_id AND a.tok_ix = x.s + t0 JOIN tok z ON z.doc_id = x.doc_id AND z.tok_ix = x.e + t0 - 1), {DEDUPE.format("bc")}"""
+
+
+@query(sql(f"WITH {BOOK_SPANS} SELECT doc_id, s, e FROM dd WHERE keep", "gold", "tok", recursive=True))
 def dump_to_book_spans(t):
     spans = V.spans_from_labels(V.viterbi_decode(scored(t).select("doc_id", "window_index", "logits"), PENALTY)).select("doc_id", "window_index", "s", "e")
     return V.dump_to_book_spans(spans, lined(t), t.tok())
@@ -97,10 +109,13 @@ def dump_to_book_spans(t):
 WGOLD = """sg AS (SELECT doc_id, window_index, k, label AS v FROM lg), g0 AS (SELECT doc_id, window_index, k, v, lag(v) OVER w AS p FROM sg WINDOW w AS (PARTITION BY doc_id, window_index ORDER BY k)),
 g1 AS (SELECT *, sum(CASE WHEN v = 0 OR v = 1 OR coalesce(p, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, window_index ORDER BY k ROWS UNBOUNDED PRECEDING) AS r FROM g0),
 wgo AS MATERIALIZED (SELECT doc_id, window_index, min(k) AS s, max(k) + 1 AS e, row_number() OVER (PARTITION BY doc_id, window_index ORDER BY min(k)) AS gold_ix FROM g1 WHERE v > 0 GROUP BY doc_id, window_index, r)"""
-WINDOW_EVAL = f"""{VITERBI}, seqs AS (SELECT doc_id, window_index, generate_subscripts(path, 1) - 1 AS k, unnest(path) AS v FROM ve), {SPANS}, {WGOLD},
+EXPLODED = "seqs AS (SELECT doc_id, window_index, generate_subscripts(path, 1) - 1 AS k, unnest(path) AS v FROM ve)"
+# from ``seqs``, the labels of paths, to the counts ``wn``
+WINDOW_COUNTS = f"""{SPANS}, {WGOLD},
 wpr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, window_index ORDER BY s) AS pred_ix FROM wsp),
 wcd AS MATERIALIZED (SELECT g.doc_id, g.window_index, gold_ix, pred_ix, {IOU} AS iou FROM wgo g JOIN wpr p ON g.doc_id = p.doc_id AND g.window_index = p.window_index AND p.s < g.e AND g.s < p.e WHERE {IOU} >= 0.5), {greedy_sql("wcd", "doc_id, window_index")},
 wn AS (SELECT (SELECT count(*) FROM mt) AS tp, (SELECT count(*) FROM wpr) AS n_pred, (SELECT count(*) FROM wgo) AS n_gold)"""
+WINDOW_EVAL = f"{VITERBI}, {EXPLODED}, {WINDOW_COUNTS}"
 
 
 @query(sql(f"WITH {WINDOW_EVAL} SELECT {PENALTY}::DOUBLE AS penalty, tp, n_pred, n_gold, {prf_sql()} FROM wn", "gold", "tok", recursive=True))
@@ -109,9 +124,16 @@ def window_eval(t):
     return V.window_eval(w, V.viterbi_decode(w.select("doc_id", "window_index", "logits"), PENALTY))
 
 
-@query()
+PENALTIES = (0.0, 0.5, 1.0, 2.0, 3.0, 5.0)
+# the counts of each penalty, and of argmax, by a query of their own
+SWEEP = f"""{LOGITS}, {", ".join(f"p{i} AS (WITH RECURSIVE {paths_sql(p)}, {EXPLODED}, {WINDOW_COUNTS} SELECT {p}::DOUBLE AS penalty, * FROM wn)" for i, p in enumerate(PENALTIES))},
+am AS (WITH {ARGMAX.removeprefix(LOGITS + ", ")}, {WINDOW_COUNTS} SELECT {prf_sql()} FROM wn),
+sw AS (SELECT penalty, tp, n_pred, n_gold, {prf_sql()} FROM ({" UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(PENALTIES)))}))"""
+
+
+@query(sql(f"WITH {SWEEP} SELECT sw.*, am.f1 AS argmax_f1, round(sw.f1 - am.f1, 6) AS gain, row_number() OVER (ORDER BY sw.f1 DESC, penalty) = 1 AS best FROM sw, am", "gold", "tok", recursive=True))
 def penalty_sweep(t):
-    return V.penalty_sweep(stage(scored(t)), [0.0, 0.5, 1.0, 2.0, 3.0, 5.0])
+    return V.penalty_sweep(stage(scored(t)), list(PENALTIES))
 
 
 def pieces(t: Tables):
@@ -121,13 +143,31 @@ def pieces(t: Tables):
     return cut.select("doc_id", "window_index", F.transform(part, lambda x: x["piece"]).alias("pieces"))
 
 
-@query()
+def _free_sql(i: int, phrase: str) -> str:
+    """CTE ``o<i>``: the places of a phrase that meet none of the phrases before it."""
+    taken = " UNION ALL ".join(f"SELECT * FROM o{j}" for j in range(i))
+    rest = f" WHERE NOT EXISTS (SELECT 1 FROM ({taken}) x WHERE x.doc_id = y.doc_id AND x.window_index = y.window_index AND x.a < y.b AND y.a < x.b)" if i else ""
+    return f"o{i} AS MATERIALIZED (SELECT * FROM (SELECT doc_id, window_index, i - 1 AS a, i - 1 + {len(phrase)} AS b FROM px WHERE substring(t, i, {len(phrase)}) = '{phrase}') y{rest})"
+
+
+# none of the phrases overlaps itself, so that only those before it keep a place from it
+_PHRASES = sorted(LATIN.quote_closers, key=len, reverse=True)
+MASK = f"""{WINDOWS}, pw AS MATERIALIZED (SELECT w.doc_id, window_index, tok_ix - t0 AS k, s - min(s) OVER (PARTITION BY w.doc_id, window_index) AS a, piece FROM win w JOIN tok l ON l.doc_id = w.doc_id AND l.tok_ix >= t0 AND l.tok_ix < t1),
+pt AS (SELECT doc_id, window_index, string_agg(piece, '' ORDER BY k) AS t FROM pw GROUP BY 1, 2), px AS MATERIALIZED (SELECT doc_id, window_index, t, unnest(generate_series(1, length(t))) AS i FROM pt),
+{", ".join(_free_sql(i, c) for i, c in enumerate(_PHRASES))},
+pm AS MATERIALIZED (SELECT doc_id, window_index, k, EXISTS (SELECT 1 FROM ({" UNION ALL ".join(f"SELECT * FROM o{i}" for i in range(len(_PHRASES)))}) x WHERE x.doc_id = pw.doc_id AND x.window_index = pw.window_index AND x.a < pw.a + length(piece) AND pw.a < x.b) AS m FROM pw)"""
+
+
+@query(sql(f"WITH {MASK} SELECT doc_id, window_index, count(*) AS n, count_if(m)::BIGINT AS n_masked FROM pm GROUP BY 1, 2", "tok"))
 def particle_mask(t):
     df = V.particle_mask(pieces(t), LATIN.quote_closers)
     return df.select("doc_id", "window_index", F.size("mask").cast("long").alias("n"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("n_masked"))
 
 
-@query()
+BARRED = f"""{MASK}, {LOGITS.replace(f", {WINDOWS}", "")}, lb AS MATERIALIZED (SELECT lg.* REPLACE (CASE WHEN m THEN -1e9 ELSE b END AS b, CASE WHEN m THEN -1e9 ELSE i END AS i) FROM lg JOIN pm ON pm.doc_id = lg.doc_id AND pm.window_index = lg.window_index AND pm.k = lg.k)"""
+
+
+@query(sql(f"WITH {BARRED}, {paths_sql(PENALTY, 'lb')} SELECT doc_id, window_index, array_to_string(path, '') AS path FROM ve", "gold", "tok", recursive=True))
 def constrained_decode(t):
     w = scored(t).join(V.particle_mask(pieces(t), LATIN.quote_closers).select("doc_id", "window_index", "mask"), ["doc_id", "window_index"])
     df = V.constrained_decode(w.select("doc_id", "window_index", "logits", "mask"), PENALTY)
