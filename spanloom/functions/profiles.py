@@ -25,26 +25,21 @@ class Profile:
     quote_closers: tuple[str, ...]
 
 
-# Fixed values of the annotation scheme: Tibetan ordinals, particles, markers and patterns.
-_TENS = ("དང་པོ", "གཉིས་པ", "གསུམ་པ", "བཞི་པ", "ལྔ་པ", "དྲུག་པ", "བདུན་པ", "བརྒྱད་པ", "དགུ་པ", "བཅུ་པ")
-_TEENS = r"བཅུ་(?:གཅིག|གཉིས|གསུམ|བཞི|ལྔ|དྲུག|བདུན|བརྒྱད|དགུ)་པ|བཅོ་(?:ལྔ|བརྒྱད)་པ|ཉི་ཤུ་པ"
-_NUMBERED = r"^\s*(?:[\(\{\[]\s*[0-9༠-༩]+\s*[\)\}\]]|[0-9༠-༩]+\s*[༽\.)])"
-
-# Fixed values too, by field.
+# Fixed values of the annotation scheme, by field: Tibetan characters, ordinals, particles, markers and patterns.
 TIBETAN = Profile(
-    boundary="་༌།༎༏༐༑༔༺༻༼༽[]() \t\n\r\xa0",
+    boundary="་༌།༎༏༐༑༔༼༽༺༻[]() \t\n\r\xa0",
     syllable_sep=r"(?U)[་-༔\s]+",
     gap=r"(?U)^[\s་-༔༺-༽ ]*$",
     clause_seps="།༎༏༐༑༔",
     tsheg="་༌",
     shads="།༎",
     head_marks="༈",
-    ordinals=_TENS,
-    ordinal_start=rf"(?U)^[\s༈]*(?:[\(\{{\[]?[0-9༠-༩]+[\)\}}\]༽\.]?\s*)?(?:ད་ནི་|དེ་ནས་)?(?:{'|'.join(_TENS)}|{_TEENS})",
-    anchor=f"(?:{'|'.join(_TENS)})[^།]{{0,200}}?ནི",
+    ordinals=("དང་པོ", "གཉིས་པ", "གསུམ་པ", "བཞི་པ", "ལྔ་པ", "དྲུག་པ", "བདུན་པ", "བརྒྱད་པ", "དགུ་པ", "བཅུ་པ"),
+    ordinal_start=r"(?U)^[\s༈]*(?:[\(\{\[]?[0-9༠-༩]+[\)\}\]༽\.]?\s*)?(?:ད་ནི་|དེ་ནས་)?(?:དང་པོ|གཉིས་པ|གསུམ་པ|བཞི་པ|ལྔ་པ|དྲུག་པ|བདུན་པ|བརྒྱད་པ|དགུ་པ|བཅུ་པ|བཅུ་(?:གཅིག|གཉིས|གསུམ|བཞི|ལྔ|དྲུག|བདུན|བརྒྱད|དགུ)་པ|བཅོ་(?:ལྔ|བརྒྱད)་པ|ཉི་ཤུ་པ)",
+    anchor="(?:དང་པོ|གཉིས་པ|གསུམ་པ|བཞི་པ|ལྔ་པ|དྲུག་པ|བདུན་པ|བརྒྱད་པ|དགུ་པ|བཅུ་པ)[^།]{0,200}?ནི",
     particle="ནི",
     la_particles=("ལ", "ལའང"),
-    numbered="(?U)" + _NUMBERED,
+    numbered=r"(?U)^\s*(?:[\(\{\[]\s*[0-9༠-༩]+\s*[\)\}\]]|[0-9༠-༩]+\s*[༽\.)])",
     source_markers=("གཞུང་ལས", "རྒྱུད་ལས", "ལུང་ལས", "མདོ་ལས", "ལས།", "ནས།", "ལས་"),
     clause_closers=("ཞེས་པ", "ཅེས་པ", "ཞེས་", "ཅེས་", "གསུངས"),
     quote_closers=("ཞེས་པ་སྟེ", "ཞེས་པ་ནི", "ཞེས་གསུངས", "ཅེས་གསུངས", "ཞེས་བྱ་བ", "ཞེས་པའོ", "ཞེས་པ", "ཅེས་པ", "ཞེས་", "ཅེས་"),

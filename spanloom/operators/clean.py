@@ -152,6 +152,7 @@ def clean_totals(sidecar: DataFrame) -> DataFrame:
 
 
 def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """batch, verdict, n; a null batch is one like others, an empty table gives no rows."""
     return verdicts.groupBy("batch", "verdict").agg(F.count("*").alias("n"))
 
 

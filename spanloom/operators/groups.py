@@ -198,8 +198,9 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int,
 
 
 def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float]:
-    """Quantiles with linear interpolation between neighbours; none of an empty column."""
-    n = df.filter(F.col(column).isNotNull()).count()
+    """Quantiles with linear interpolation between neighbours; none of an empty column. The column is written once, as every step reads it."""
+    df = stage(df.select(column).filter(F.col(column).isNotNull()))
+    n = df.count()
     at = [(n - 1) * q for q in shares]
     found = order_statistics(df, column, [r for x in at for r in (int(x), min(int(x) + 1, n - 1))]) if n else {}
     return [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, n - 1)] - found[int(x)]) for x in at] if n else []
