@@ -15,10 +15,10 @@ CELLS = 1000
 
 
 def order_statistics(df: DataFrame, by: str, value: str, ranks: dict[str, Column], keep: Column | None = None) -> DataFrame:
-    """by, n (values that aren't null), and for each name in ``ranks`` the value at that rank (from 1), as a double. Ranks are columns
+    """by, n (values that are neither null nor NaN), and for each name in ``ranks`` the value at that rank (from 1), as a double. Ranks are columns
     over ``n``, the group's size; null ranks, and ranks out of 1..n, give null. A null group is one like others; a group without
     values isn't listed."""
-    counts = stage(df.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL").groupBy("_by", "x").agg(F.count("*").alias("c")))
+    counts = stage(df.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)").groupBy("_by", "x").agg(F.count("*").alias("c")))
     groups = stage(counts.groupBy("_by").agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
     names = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("r")) for k, r in ranks.items()]))
     wanted = groups.select("_by", "n", "lo", "hi", names.alias("w")).select("_by", "w.name", "w.r", "lo", "hi", F.lit(0).cast("long").alias("below"), "n")
@@ -27,8 +27,10 @@ def order_statistics(df: DataFrame, by: str, value: str, ranks: dict[str, Column
         found.append(todo.filter("lo = hi").select("_by", "name", F.col("lo").alias("v")))
         left = todo.filter("lo < hi")
         met = counts.withColumnRenamed("_by", "_g").join(left, F.col("_g").eqNullSafe(F.col("_by")) & F.col("x").between(F.col("lo"), F.col("hi"))).drop("_g")
-        # the ends of the range stay in range, whatever the division rounds to
-        cell = F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS)))
+        # the ends lie in the first and the last cell, so that every round narrows the range, infinite ends too
+        share = F.nanvl((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.5))
+        inner = F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(share * CELLS)))
+        cell = F.when(F.col("x") == F.col("lo"), 0).when(F.col("x") == F.col("hi"), CELLS - 1).otherwise(inner)
         cells = met.groupBy("_by", "name", "r", "below", cell.alias("cell")).agg(F.sum("c").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         upto = F.sum("c").over(Window.partitionBy("_by", "name").orderBy("cell")) + F.col("below")  # over CELLS rows at most
         holds = cells.withColumn("upto", upto).filter((F.col("upto") >= F.col("r")) & (F.col("upto") - F.col("c") < F.col("r")))

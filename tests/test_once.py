@@ -58,7 +58,7 @@ def test_texts_are_tokenized_once(spark, tmp_path):
 
 def test_order_statistics(spark, monkeypatch):
     rng = random.Random(6)
-    groups = {"a": [rng.random() * 10**rng.randint(-9, 9) for _ in range(700)], "b": [5.0] * 150, None: [float(rng.randint(0, 9)) for _ in range(101)], "one": [-3.5], "two": [1.0, 2.0], "none": [None]}
+    groups = {"a": [rng.random() * 10**rng.randint(-9, 9) for _ in range(700)], "b": [5.0] * 150, None: [float(rng.randint(0, 9)) for _ in range(101)], "one": [-3.5], "two": [1.0, 2.0], "none": [None], "far": [float("inf"), float("-inf"), 1.0, 2.0, 3.0, float("nan"), None]}
     df = spark.createDataFrame([(k, v) for k, own in groups.items() for v in own], "k string, v double")
     for cells in (1000, 3):
         monkeypatch.setattr(quantile, "CELLS", cells)
@@ -67,11 +67,12 @@ def test_order_statistics(spark, monkeypatch):
         for k, own in groups.items():
             if k == "none":
                 continue
+            own = [x for x in own if x == x and x is not None]
             cuts = statistics.quantiles(own, n=100) if len(own) > 100 else None
             for p in (1, 10, 50, 99):
                 assert got[k][f"p{p}"] is None if cuts is None else abs(got[k][f"p{p}"] - cuts[p - 1]) <= 1e-9 * max(1, abs(cuts[p - 1]))
         middle = {r.k: r["median"] for r in quantile.median(df, "k", "v").collect()}
-        assert middle == {k: statistics.median(own) for k, own in groups.items() if k != "none"}
+        assert middle == {k: statistics.median([x for x in own if x == x and x is not None]) for k, own in groups.items() if k != "none"}
     found = quantile.order_statistics(df, "k", "v", {"first": F.lit(1), "out": F.col("n") + 1})
-    assert {(r.k, r.first, r.out) for r in found.collect()} == {(k, min(own), None) for k, own in groups.items() if k != "none"}
+    assert {(r.k, r.first, r.out) for r in found.collect()} == {(k, min(x for x in own if x == x and x is not None), None) for k, own in groups.items() if k != "none"}
     assert quantile.median(df.limit(0), "k", "v").count() == 0 and quantile.exclusive_quantiles(df.limit(0), "k", "v", (10,)).count() == 0
