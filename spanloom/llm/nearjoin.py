@@ -433,25 +433,33 @@ def hubs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _block_pairs(percent: int, hubs_only: bool):
-    """Pairs of members of two lists (or of one) that may be similar; with ``hubs_only`` only those of hubs."""
+    """From rows (x, y, same, list): pairs of members of two lists (or of one) that may be similar. With ``hubs_only`` only those of hubs, and a
+    row (list, null) where others are left for the last round."""
 
     def run(batches):
         for b in batches:
-            left, right = [], []
-            for x, y, same in zip(_members(b.column(0)), _members(b.column(1)), b.column(2).to_pylist(), strict=True):
+            left, right, open_ = [], [], []
+            for x, y, same, number in zip(_members(b.column(0)), _members(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 i, j = _passing(x, y, same, percent)
                 u, v = x[0][i], y[0][j]
                 if hubs_only and len(u):
                     keep = hubs(u, v)
+                    if not keep.all():
+                        open_.append(number)
                     u, v = u[keep], v[keep]
                 left.append(np.minimum(u, v))
                 right.append(np.maximum(u, v))
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                columns = [pa.concat_arrays([pa.array(np.concatenate(left)), pa.array(open_, pa.int64())]), pa.concat_arrays([pa.array(np.concatenate(right)), pa.nulls(len(open_), pa.int64())])]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
     return run
 
 
+#: The number of all blocks of clusters among lists.
+HEAVY = -1
+
+
 def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, hubs_only: bool, stage) -> DataFrame:
     """Candidate pairs of the members of ``heavy(key, v, n, root)``: keys that share members form clusters; the members of a
     cluster are dealt by size (bands, of which only neighbours can link) and hash into blocks, and blocks are compared."""
@@ -470,7 +478,7 @@ def _heavy_pairs(heavy: DataFrame, bits: DataFrame, percent: int, hubs_only: boo
     right = blocks.select("cluster", F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("m").alias("y"))
     pairs = grid.join(blocks.withColumnRenamed("m", "x"), ["cluster", "band", "part"]).join(right, ["cluster", "band2", "part2"])
     # few and costly rows: dealt evenly, a handful for each batch
-    pairs = pairs.select("x", "y", ((F.col("band") == F.col("band2")) & (F.col("part") == F.col("part2"))).alias("same")).repartition(F.xxhash64("cluster", "band", "band2", "part", "part2"))
+    pairs = pairs.select("x", "y", ((F.col("band") == F.col("band2")) & (F.col("part") == F.col("part2"))).alias("same"), F.lit(HEAVY).cast("long").alias("list")).repartition(F.xxhash64("cluster", "band", "band2", "part", "part2"))
     return pairs.mapInArrow(_block_pairs(percent, hubs_only), "a bigint, b bigint")
 
 
@@ -484,14 +492,14 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
         by_key = by_key.repartition(F.col("key"), F.col("salt")).dropDuplicates(["key", "salt", "v"])
         by_key = by_key.withColumn("here", F.count("*").over(Window.partitionBy("key", "salt")))
         posts = stage(by_key.filter("place < 0 OR here > 1").drop("salt", "here"))
-        bits, texts, root, edges, tested = None, None, None, None, None
+        bits, texts, root, edges, tested, left_open = None, None, None, None, None, None
         # stars, then hubs among all members of the keys that are left, then all pairs that are left
         for step in range(STAR_ROUNDS + 2):
             now = posts.withColumn("root", F.col("v")) if root is None else posts.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
             # keys with members in different components are all that is left
             open_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
             now = stage(now.join(open_keys, "key"))
-            if now.isEmpty():
+            if now.isEmpty() or left_open is not None and left_open.isEmpty():
                 break
             posts = now.drop("root", "members")
             if bits is None:
@@ -509,15 +517,21 @@ def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p
                 hubs_only = step == STAR_ROUNDS
                 light, heavy = now.filter(F.col("members") <= LIGHT_MEMBERS), now.filter(F.col("members") > LIGHT_MEMBERS)
                 # keys of the same members are compared once, all members at once by their bitmaps: costly rows, dealt evenly
-                lists = light.groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("vs")).select("vs").distinct()
-                lists = stage(lists.withColumn("list", F.monotonically_increasing_id())).select("list", F.explode("vs").alias("v"))
+                if hubs_only:
+                    lists = light.groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("vs")).select("vs").distinct()
+                    lists = stage(lists.withColumn("list", F.monotonically_increasing_id())).select("list", F.explode("vs").alias("v"))
                 told = now.select("v", "root").distinct().join(bits, "v")
-                told = lists.join(told, "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "list")
+                # the last round compares only where the one before left pairs out
+                told = (lists if hubs_only else lists.join(left_open, "list", "left_semi")).join(told, "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "list")
                 told = told.groupBy("list").agg(F.collect_list(F.struct("v", "n", "root", "bits")).alias("x"))
-                pairs = told.select("x", F.col("x").alias("y"), F.lit(True).alias("same")).mapInArrow(_block_pairs(percent, hubs_only), "a bigint, b bigint")
-                if not heavy.isEmpty():
+                pairs = told.select("x", F.col("x").alias("y"), F.lit(True).alias("same"), "list").mapInArrow(_block_pairs(percent, hubs_only), "a bigint, b bigint")
+                if (hubs_only or not left_open.filter(F.col("list") == HEAVY).isEmpty()) and not heavy.isEmpty():
                     pairs = pairs.union(_heavy_pairs(heavy, bits, percent, hubs_only, stage))
-                pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+                if hubs_only:
+                    pairs = stage(pairs)
+                    left_open = stage(pairs.filter("b IS NULL").select(F.col("a").alias("list")).distinct())
+                pairs = pairs.filter("b IS NOT NULL").distinct()
+                pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
             pairs = stage(pairs)
             done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             tested = done if tested is None else tested.union(done)
