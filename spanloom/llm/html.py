@@ -155,7 +155,7 @@ def _close(stack: list[Node], name: str, barrier) -> None:
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold written text wherever they stand.
-WRITTEN = HEADINGS | frozenset("p section article main blockquote pre figure dl table hgroup center".split())
+WRITTEN = HEADINGS | frozenset("p section blockquote pre figure dl table hgroup center".split())
 #: Elements that are parts of a page.
 CHROME = frozenset("nav header footer aside form".split())
 
@@ -318,7 +318,8 @@ def _beside(node: Node, body: Node, above: dict[int, Node], taken: list[Node], n
     out: list[Node] = []
     for i, parent in enumerate(way[1:], 1):
         for k in parent.kids:
-            if isinstance(k, str) or k is way[i - 1] or id(k) in held or not k.chars or 2 * k.link_chars > k.chars:
+            # another article beside is no part of this one
+            if isinstance(k, str) or k is way[i - 1] or id(k) in held or not k.chars or 2 * k.link_chars > k.chars or k.tag in ("article", "main"):
                 continue
             if k.tag in WRITTEN or k.block and i <= within and (parent is not body or any(x.tag in WRITTEN for x in _ordered(k))):
                 # what is taken already lies inside it: the rest of it isn't
