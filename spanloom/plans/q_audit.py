@@ -128,11 +128,10 @@ PROFILE = """bp AS (SELECT b.doc_id, b.batch, count(*) AS n_spans, any_value(b.n
 SELECT bp.*, coalesce(q, false) AS has_quote, coalesce(o.c, 0)::BIGINT AS n_chapter, coalesce(split, '') AS split, coalesce(rp.c, 0)::BIGINT AS n_long_repeated FROM bp LEFT JOIN rp ON rp.doc_id = bp.doc_id LEFT JOIN o ON o.doc_id = bp.doc_id LEFT JOIN prior ON prior.doc_id = bp.doc_id""", "gold", "other", "books", "prior"))
 def book_profile(t):
     from ..operators import sharing
+    from .q_sharing import needles_held
 
-    H = Latin(sharing)
-
-    found = H.verbatim_matches(stage(H.needles(t.gold(), t.texts())), t.texts())
-    return A.book_profile(t.books(), t.gold(), t.other(), t.prior(), found.select("doc_id", "needle_id").distinct())
+    # one match a needle tells that it is repeated
+    return A.book_profile(t.books(), t.gold(), t.other(), t.prior(), Latin(sharing).one_match(*needles_held(t)))
 
 
 @query(sql(f"""WITH {PROFILE}, q AS (SELECT batch, count(*) AS n, list(n_spans ORDER BY n_spans) AS l, list(per_100k ORDER BY per_100k) AS l2, median(n_spans) AS m1, median(per_100k) AS m2, count_if(n_spans < 10) AS n_lt10, count_if(per_100k < 5) AS n_lt5 FROM bp GROUP BY batch)

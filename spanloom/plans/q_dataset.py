@@ -79,7 +79,8 @@ _IGNORE = "seg WHERE (doc_id * 31 + seg_idx * 7) % 4 IN (0, 2) AND seg_idx % 3 =
 @query(sql(f"WITH {LABELS_SQL}, ig AS (SELECT doc_id, s + 10 AS s, e + 10 AS e FROM {_IGNORE}) SELECT l.doc_id, l.tok_ix, CASE WHEN label <> 0 AND EXISTS (SELECT 1 FROM ig WHERE ig.doc_id = l.doc_id AND ig.s <= t.s AND t.s < ig.e) THEN -100 ELSE label END AS label FROM lab l JOIN tok t ON t.doc_id = l.doc_id AND t.tok_ix = l.tok_ix", "gold", "tok"))
 def mask_ignored(t):
     ignore = t.seg().filter("(doc_id * 31 + seg_idx * 7) % 4 IN (0, 2) AND seg_idx % 3 = 0").selectExpr("doc_id", "s + 10 AS s", "e + 10 AS e")
-    return D.mask_ignored(labelled(t), ignore).select("doc_id", "tok_ix", "label")
+    tokens = D.tokenize(D.with_spans(D.with_spans(t.texts(), t.gold()), ignore, name="ignore"), carry=("span_s", "span_e", "ignore_s", "ignore_e"))
+    return D.label_in_rows(tokens, ("doc_id",), "ignore").select("doc_id", F.posexplode("labels").alias("tok_ix", "label")).withColumn("tok_ix", F.col("tok_ix").cast("long"))
 
 
 @query(sql("SELECT t.doc_id, t.tok_ix FROM tok t WHERE EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = t.doc_id AND g.s <= t.s AND t.s < g.e) AND EXISTS (SELECT 1 FROM other o WHERE o.doc_id = t.doc_id AND o.s <= t.s AND t.s < o.e)", "gold", "other", "tok"))
@@ -102,11 +103,10 @@ PACKED = f"""{LABELS_SQL}, {WINDOWS}, pk AS (SELECT w.doc_id, window_index, any_
   FROM win w JOIN tok t ON t.doc_id = w.doc_id AND t.tok_ix >= t0 AND t.tok_ix < t1 JOIN lab l ON l.doc_id = t.doc_id AND l.tok_ix = t.tok_ix GROUP BY w.doc_id, window_index)"""
 
 
-def packed(t: Tables):
+def packed(t: Tables, books=None, carry: tuple[str, ...] = ()):
     """Windows of all books, from the default tokenizer."""
-    tokens = D.tokenize(t.texts())
-    labels = D.label_arrays(D.label_rows(D.token_rows(tokens), t.gold())).select("doc_id", "labels")
-    return D.pack_windows(tokens.join(labels, "doc_id"), CONTENT, STRIDE)
+    tokens = D.tokenize(D.with_spans(t.texts() if books is None else books, t.gold()), carry=(*carry, "span_s", "span_e"))
+    return D.pack_windows(D.label_in_rows(tokens, ("doc_id", *carry, "ids", "starts", "ends")), CONTENT, STRIDE, carry=carry)
 
 
 @query(sql(f"WITH {PACKED} SELECT doc_id, window_index::INT AS window_index, token_start::INT AS token_start, token_end::INT AS token_end, n_tokens_doc::INT AS n_tokens_doc, n_ids::BIGINT AS n_ids, n_mask, label_sum, n_b, char_start::INT AS char_start, char_end::INT AS char_end FROM pk", "gold", "tok"))
@@ -120,7 +120,8 @@ def pack_windows(t):
 
 
 def split_windows(t: Tables):
-    return packed(t).join(t.prior().select("doc_id", "split"), "doc_id")
+    """Windows of the books that have a split: those are chosen before they become windows."""
+    return packed(t, t.texts().join(t.prior().select("doc_id", "split"), "doc_id"), ("split",))
 
 
 COUNTS = f"{PACKED}, ps AS (SELECT pk.*, split FROM pk JOIN prior ON prior.doc_id = pk.doc_id), lc AS (SELECT split, unnest([0, 1, 2]) AS label, unnest([sum(n_o), sum(n_b), sum(n_i)])::BIGINT AS n FROM ps GROUP BY split)"

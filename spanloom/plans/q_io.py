@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dataset
-from ..operators.tables import fresh_path
+from ..operators.tables import fresh_path, stage
 from ..sources import io
 from .fixtures import collector, sql
 from .latin import Latin
@@ -90,7 +90,7 @@ def windows_round_trip(t):
 
 @query()
 def stats_report(t):
-    counts = D.label_counts(split_windows(t))
+    counts = stage(D.label_counts(split_windows(t)))  # a row for each split and label, read twice
     return io.stats_report(counts, D.class_weights(counts))
 
 
@@ -98,7 +98,6 @@ def stats_report(t):
 def split_report(t):
     from ..operators import groups as G
     from ..operators import sharing
-    from ..operators.tables import stage
     from .q_sharing import needles_held, weighted
 
     H = Latin(sharing)
