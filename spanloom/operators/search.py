@@ -22,8 +22,12 @@ from .tables import bounded_batches, stage
 
 #: Widths of keys, in characters.
 WIDTHS = (*range(1, 13), 16, 24, 32)
-#: So many windows (8 bytes each) are broadcast to the texts; more meet them by a shuffle.
+#: So many windows (8 bytes each) are broadcast to the texts. Of more, a bitmap goes there, which lets few others pass; what passes meets
+#: them by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
+#: Bits of that bitmap at most (64 MB); a window sets one for each of SHIFTS, and there are 10 bits a window up to 50 million of them.
+MAX_BITS = 1 << 29
+SHIFTS = (0, 17, 34)
 _BASE = 0x9E3779B97F4A7C55
 _FILTER_BITS = 1 << 22
 
@@ -76,10 +80,11 @@ def _string_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _scan(shared):
-    """(book, h, pos) of the wanted windows that start in a chunk; rows (book, chunk, piece, tail). Without a set, of all windows."""
+    """(book, h, pos) of the wanted windows that start in a chunk; rows (book, chunk, piece, tail). With a bitmap in place of the set, of all
+    windows that it lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, widths = shared.value
+        wanted, bitmap, widths = shared.value
         if wanted is not None:
             passing = np.zeros(_FILTER_BITS, bool)
             passing[wanted & (_FILTER_BITS - 1)] = True
@@ -96,7 +101,11 @@ def _scan(shared):
             for width in widths:
                 h = windows.hashes(width)
                 at = np.flatnonzero(starts[: len(h)] & (room[: len(h)] >= width) & (True if wanted is None else passing[h & (_FILTER_BITS - 1)]))
-                if wanted is not None:
+                if wanted is None:
+                    for shift in SHIFTS:
+                        bit = (h[at] >> shift) & (len(bitmap) * 64 - 1)
+                        at = at[(bitmap[bit >> 6] >> (bit & 63)) & 1 == 1]
+                else:
                     at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
                 if len(at):
                     pos = b.column(1).to_numpy()[row[at]].astype(np.int64) * CHUNK + place[at]
@@ -105,6 +114,18 @@ def _scan(shared):
     return run
 
 
+def _bitmap(wanted: DataFrame, n: int) -> np.ndarray:
+    """The bits that n windows (h) set, as words of 64; Spark sets them, and the driver gets a row for each word."""
+    bits = 64
+    while bits < min(10 * n, MAX_BITS):
+        bits *= 2
+    bit = F.explode(F.array(*[F.shiftright("h", s).bitwiseAND(bits - 1) for s in SHIFTS]))
+    words = wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("w")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("i").to_numpy()] = words.column("w").to_numpy()
+    return out
+
+
 def overlapping_chunks(texts: DataFrame, book: str, text: str) -> DataFrame:
     """(_cb, _ck, _piece, _tail): texts in pieces of CHUNK characters, each with the next ones that the widest window may need."""
     cut = f"(?s)(.{{1,{CHUNK}}})(?=(.{{0,{max(WIDTHS) - 1}}}))"
@@ -123,9 +144,10 @@ def holders(strings: DataFrame, texts: DataFrame, book: str = "doc_id", text: st
     wanted = stage(keys.select("w", "h").distinct())
     widths = sorted(r["w"] for r in wanted.select("w").distinct().collect())  # at most len(WIDTHS)
     kind = texts.schema[book].dataType.simpleString()
-    few = wanted.count() <= MAX_BROADCAST_KEYS
+    n = wanted.count()
+    few = n <= MAX_BROADCAST_KEYS
     told = np.sort(wanted.select("h").distinct().toArrow().column("h").to_numpy()) if few and widths else None
-    shared = spark.sparkContext.broadcast((told, widths))
+    shared = spark.sparkContext.broadcast((told, None if few else _bitmap(wanted, n), widths))
     hits = pieces.mapInArrow(_scan(shared), f"_b {kind}, h bigint, pos bigint")
     hits = stage(hits if few else hits.join(wanted.select("h").distinct(), "h", "left_semi"))
     often = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))

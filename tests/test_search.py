@@ -61,3 +61,28 @@ def test_one_scan_for_all_widths(spark):
     finally:
         search._scan = scan
     assert len(calls) == 1
+
+
+def test_few_other_windows_pass_the_bitmap(spark, monkeypatch):
+    """More windows than are broadcast: what leaves the scan to meet them is not all windows of the texts."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijkl") for _ in range(20_000)) for _ in range(4)]
+    rows = spark.createDataFrame([(t[i : i + 50],) for t in texts[:2] for i in range(0, 5000, 50)], "nd string")
+    books = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(search, "MAX_BROADCAST_KEYS", 0)
+    seen = []
+    scan = search._scan
+
+    def counted(shared):
+        run = scan(shared)
+
+        def both(batches):
+            for b in run(batches):
+                assert b.num_rows < 1000, "nearly all windows leave the scan"
+                yield b
+
+        seen.append(1)
+        return both
+
+    monkeypatch.setattr(search, "_scan", counted)
+    assert search.holders(rows, books).count() == 200 and seen
