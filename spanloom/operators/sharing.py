@@ -90,16 +90,21 @@ def link_books(shares: DataFrame, rule: str = "split") -> DataFrame:
     return _unordered(shares.filter(_linked(F.col("n_shared"), F.col("share"), rule)))
 
 
-def linking_shares(needle_rows: DataFrame, held_rows: DataFrame, rule: str = "split", book: str = "doc_id") -> DataFrame:
+def _owned(needle_rows: DataFrame, book: str) -> DataFrame:
+    """book, nd, _len, _n, _tot: each text of a book, how often and how much of it there is, and the length of all its texts."""
+    return needle_rows.groupBy(book, "nd").agg(F.sum("len").alias("_len"), F.count("*").alias("_n")).withColumn("_tot", F.sum("_len").over(Window.partitionBy(book)))
+
+
+def linking_shares(needle_rows: DataFrame, held_rows: DataFrame, rule: str = "split", book: str = "doc_id", owned: DataFrame | None = None) -> DataFrame:
     """The rows of pair_share that link by a rule, without the pairs that don't.
 
     A book's texts are put in order of their holders, most first. As long as all of them so far wouldn't link together, a pair
     that shares no other text isn't linked: such texts make no pairs (a common line links nobody). The others meet their
-    holders; what those pairs share of the common texts, of which each book has few or short ones, is added then."""
+    holders; what those pairs share of the common texts, of which each book has few or short ones, is added then. ``owned``: some of the rows
+    of _owned, where others aren't to count."""
     spread = held_rows.groupBy("nd").agg(F.count("*").alias("_df"), F.min("other").alias("_lo"), F.max("other").alias("_hi"))
     total = Window.partitionBy(book)
-    own = needle_rows.groupBy(book, "nd").agg(F.sum("len").alias("_len"), F.count("*").alias("_n")).withColumn("_tot", F.sum("_len").over(total))
-    own = own.join(spread, "nd").filter((F.col("_lo") != F.col(book)) | (F.col("_hi") != F.col(book)))
+    own = (_owned(needle_rows, book) if owned is None else owned).join(spread, "nd").filter((F.col("_lo") != F.col(book)) | (F.col("_hi") != F.col(book)))
     order = total.orderBy(F.desc("_df"), "nd").rowsBetween(Window.unboundedPreceding, 0)
     idle = ~_linked(F.sum("_n").over(order), F.sum("_len").over(order) / F.col("_tot"), rule)
     own = stage(own.select(F.col(book).alias("a"), "nd", "_len", "_n", "_tot", idle.alias("_idle")))
@@ -113,6 +118,19 @@ def linking_shares(needle_rows: DataFrame, held_rows: DataFrame, rule: str = "sp
     return rows.filter(_linked(F.col("n_shared"), F.col("share"), rule))
 
 
+def connecting_links(needle_rows: DataFrame, held_rows: DataFrame, rule: str = "split", book: str = "doc_id") -> DataFrame:
+    """a, b: pairs that connect the same books as the links of a rule do, without most of the links.
+
+    A text that alone links its owner (a line that fills a tenth of a book and stands there twice) links it to every book that holds the
+    text: all of those are connected, so each is paired with the least of them. All other links come from the texts that don't link alone."""
+    own = stage(_owned(needle_rows, book).withColumn("_alone", _linked(F.col("_n"), F.col("_len") / F.col("_tot"), rule)))
+    hubs = held_rows.join(own.filter("_alone").select("nd").distinct(), "nd", "left_semi")
+    least = hubs.groupBy("nd").agg(F.min("other").alias("a"))
+    stars = hubs.join(least, "nd").filter("a <> other").select("a", F.col("other").alias("b"))
+    rest = linking_shares(needle_rows, held_rows, rule, book, own.filter("NOT _alone").drop("_alone"))
+    return _unordered(stars.unionByName(rest.select("a", "b")))
+
+
 def boilerplate_links(shares: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Pairs that share a tenth of their text through a single needle, and aren't linked (``links``, or those of the shares)."""
     single = _unordered(shares.filter((F.col("share") >= LINK_SHARE) & (F.col("n_shared") < MIN_SHARED)))

@@ -31,7 +31,7 @@ LINKS = f"{SHARES}, lk AS MATERIALIZED (SELECT DISTINCT least(a, b) AS a, greate
 
 
 def rows(t: Tables):
-    return stage(H.needles(t.gold(), t.texts()))
+    return stage(H.needles(t.gold(), t.texts()).drop("syl"))
 
 
 def needles_held(t: Tables):
@@ -133,19 +133,24 @@ def links(t: Tables):
     return stage(linking(t))
 
 
+def connecting(t: Tables):
+    """What groups need of the links: pairs that connect the same books."""
+    return stage(H.connecting_links(*needles_held(t)))
+
+
 @query(sql(f"WITH {GROUPS} SELECT doc_id, group_id FROM gp", "gold", "prior", recursive=True))
 def connected_groups(t):
-    return G.connected_groups(t.books(), links(t), t.prior())
+    return G.connected_groups(t.books(), connecting(t), t.prior())
 
 
 @query(sql(f"WITH {GROUPS} SELECT group_id, split, n_splits FROM fx", "gold", "prior", recursive=True))
 def resolve_fixed_splits(t):
-    return G.resolve_fixed_splits(G.connected_groups(t.books(), links(t), t.prior()), t.prior())
+    return G.resolve_fixed_splits(G.connected_groups(t.books(), connecting(t), t.prior()), t.prior())
 
 
 @query(sql(f"WITH {GROUPS} SELECT gp.doc_id, p.split AS was, fx.split FROM gp JOIN prior p ON p.doc_id = gp.doc_id JOIN fx ON fx.group_id = gp.group_id WHERE p.split <> fx.split", "gold", "prior", recursive=True))
 def moved_books(t):
-    g = stage(G.connected_groups(t.books(), links(t), t.prior()))
+    g = stage(G.connected_groups(t.books(), connecting(t), t.prior()))
     return G.moved_books(g, G.resolve_fixed_splits(g, t.prior()), t.prior())
 
 
@@ -166,13 +171,13 @@ asg AS (SELECT group_id, split FROM fx UNION ALL SELECT group_id, split FROM pl
 
 
 def split_of(t: Tables):
-    return G.leak_aware_split(weighted(t), links(t), t.prior())
+    return G.leak_aware_split(weighted(t), connecting(t), t.prior())
 
 
 @query(sql(f"WITH {PLACE} SELECT group_id, split FROM pl WHERE k > 0", "gold", "prior", recursive=True))
 def assign_free_groups(t):
     prior = t.prior()
-    groups = stage(G.connected_groups(t.books(), links(t), prior))
+    groups = stage(G.connected_groups(t.books(), connecting(t), prior))
     sized = groups.join(weighted(t).select("doc_id", "weight"), "doc_id").groupBy("group_id").agg(F.sum("weight").alias("weight")).join(G.resolve_fixed_splits(groups, prior), "group_id", "left")
     sized = stage(sized)
     current = {r["split"]: r["w"] for r in sized.filter("split IS NOT NULL").groupBy("split").agg(F.sum("weight").alias("w")).collect()}

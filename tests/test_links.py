@@ -65,3 +65,21 @@ def test_link_sets_against_sets(spark):
     for holding in (None, sharing.holding_books(needles, holders)):
         got = [tuple(x) for x in groups.link_sets(links, found, splits, holding=holding).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_connecting_links_connect_the_same_books(spark, seed):
+    needles, holders = made(spark, seed)
+    books = spark.createDataFrame([(b,) for b in range(80)], "doc_id long")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    for rule in ("split", "audit"):
+        all_links = sharing.link_books(sharing.linking_shares(needles, holders, rule), rule)
+        assert rows(groups.connected_groups(books, sharing.connecting_links(needles, holders, rule))) == rows(groups.connected_groups(books, all_links))
+
+
+def test_a_line_that_links_alone_makes_a_star(spark):
+    """100 books hold a line, twice each: 4,950 links, that 99 pairs connect."""
+    needles = spark.createDataFrame([(b, k, "twice", 50) for b in range(100) for k in (0, 1)] + [(200, 0, "own", 50)], "doc_id long, needle_id long, nd string, len int")
+    holders = needles.selectExpr("nd", "doc_id AS other").distinct()
+    assert sharing.link_books(sharing.linking_shares(needles, holders)).count() == 4950
+    assert sorted(tuple(x) for x in sharing.connecting_links(needles, holders).collect()) == [(0, b) for b in range(1, 100)]
