@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import TIBETAN, Profile
-from .search import holders
+from .search import digest, held_keys, holders
 from .spans import attach_text
 from .tables import stage
 
@@ -32,18 +32,33 @@ def squeeze(text: Column, profile: Profile) -> Column:
 def verbatim_matches(needle_rows: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id", text: str = "text") -> DataFrame:
     """book, needle_id, other: the other books whose squeezed text holds a needle. Needles of one text are searched once. Its rows are
     as many as owners times holders of each text; ``links``, ``one_match`` and the like do without them."""
-    return expand(needle_rows, held(needle_rows, books, profile, book, text), book)
+    return expand(keyed(needle_rows), held(needle_rows, books, profile, book, text), book)
+
+
+def keyed(needle_rows: DataFrame) -> DataFrame:
+    """The needles with digests (16 bytes) in place of their texts: what ``held`` gives, and all that follows needs to tell them apart."""
+    return needle_rows.withColumn("nd", digest(F.col("nd")))
 
 
 def held(needle_rows: DataFrame, books: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id", text: str = "text") -> DataFrame:
-    """nd, other, each once: the books whose squeezed text holds a needle's text, its own ones too. It grows with texts and holders."""
-    return holders(needle_rows.select("nd"), books.select(book, squeeze(F.col(text), profile).alias("_t")), book, "_t")
+    """nd (the digest, as of ``keyed``), other, each once: the books whose squeezed text holds a needle's text, its own ones too. It grows
+    with texts and holders."""
+    return held_keys(needle_rows.select("nd"), books.select(book, squeeze(F.col(text), profile).alias("_t")), book, "_t").withColumnRenamed("key", "nd")
+
+
+#: Holders of a text that meet its owners in one task at most.
+PART = 4096
 
 
 def expand(needle_rows: DataFrame, held_rows: DataFrame, book: str = "doc_id") -> DataFrame:
     """verbatim_matches from ``held``: needles (a needle_id names one text of a book) are made distinct, not their matches, which
-    leave the join as they are."""
-    return needle_rows.select(book, "needle_id", "nd").distinct().join(held_rows, "nd").filter(F.col("other") != F.col(book)).select(book, "needle_id", "other")
+    leave the join as they are. Holders of a common text are dealt out in parts, each of which meets the owners: its matches, the
+    square of a group of copies, are made by many tasks."""
+    parts = held_rows.groupBy("nd").agg(F.ceil(F.count("*") / PART).alias("_parts")).filter("_parts > 1")
+    own = needle_rows.select(book, "needle_id", "nd").distinct().join(parts, "nd", "left")
+    own = own.withColumn("_part", F.explode(F.sequence(F.lit(0), (F.coalesce("_parts", F.lit(1)) - 1).cast("int")))).drop("_parts")
+    dealt = held_rows.join(parts, "nd", "left").withColumn("_part", F.pmod(F.xxhash64("other"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return own.join(dealt, ["nd", "_part"]).filter(F.col("other") != F.col(book)).select(book, "needle_id", "other")
 
 
 def one_match(needle_rows: DataFrame, held_rows: DataFrame, book: str = "doc_id") -> DataFrame:

@@ -35,9 +35,10 @@ def rows(t: Tables):
 
 
 def needles_held(t: Tables):
-    """The needles, and the books that hold their texts: matches of needles are expanded from them only where a query returns them."""
+    """The needles, with digests for their texts, and the books that hold them: matches are expanded from them only where a query
+    returns them."""
     n = rows(t)
-    return n, stage(H.held(n, t.texts()))
+    return H.keyed(n), stage(H.held(n, t.texts()))
 
 
 def linking(t: Tables, rule: str = "split"):

@@ -83,3 +83,11 @@ def test_a_line_that_links_alone_makes_a_star(spark):
     holders = needles.selectExpr("nd", "doc_id AS other").distinct()
     assert sharing.link_books(sharing.linking_shares(needles, holders)).count() == 4950
     assert sorted(tuple(x) for x in sharing.connecting_links(needles, holders).collect()) == [(0, b) for b in range(1, 100)]
+
+
+def test_matches_of_a_common_text_are_made_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharing, "PART", 10)
+    needles = spark.createDataFrame([(b, 0, "common", 50) for b in range(100)] + [(1, 1, "own", 50)], "doc_id long, needle_id long, nd string, len int")
+    holders = needles.selectExpr("nd", "doc_id AS other")
+    got = [tuple(x) for x in sharing.expand(needles, holders).collect()]
+    assert len(got) == 9900 and set(got) == {(a, 0, b) for a in range(100) for b in range(100) if a != b}

@@ -86,3 +86,11 @@ def test_few_other_windows_pass_the_bitmap(spark, monkeypatch):
 
     monkeypatch.setattr(search, "_scan", counted)
     assert search.holders(rows, books).count() == 200 and seen
+
+
+def test_strings_are_not_dealt_out_with_their_places(spark):
+    """Places and holders carry a digest of 16 bytes; the string itself meets them at the end."""
+    rows = spark.createDataFrame([("hello world, this is a long string that goes on",)], "nd string")
+    books = spark.createDataFrame([(1, "say: hello world, this is a long string that goes on and on")], "doc_id long, text string")
+    found = search.held_keys(rows, books)
+    assert found.columns == ["key", "other"] and len(found.first().key) == 16
