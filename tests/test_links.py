@@ -85,6 +85,32 @@ def test_a_line_that_links_alone_makes_a_star(spark):
     assert sorted(tuple(x) for x in sharing.connecting_links(needles, holders).collect()) == [(0, b) for b in range(1, 100)]
 
 
+@pytest.mark.parametrize("wide", [64, 2, 0])
+def test_linked_books_are_the_links_of_all_pairs(spark, monkeypatch, wide):
+    monkeypatch.setattr(sharing, "WIDE", wide)
+    monkeypatch.setattr(sharing, "PART", 7)
+    needles, holders = made(spark, 5 + wide)
+    splits = {b: "ab"[b % 2] for b in range(0, 80, 3)}
+    ends = spark.createDataFrame(list(splits.items()), "doc_id long, split string")
+    shares = sharing.shares_of(needles, holders)
+    for rule in ("split", "audit"):
+        want = {(x.a, x.b, splits.get(x.a), splits.get(x.b)) for x in sharing.link_books(shares, rule).collect()}
+        got = [tuple(x) for x in sharing.linked_books(needles, holders, rule, ends=ends).select("a", "b", "split_a", "split_b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_that_one_text_links_are_not_written_or_dealt_out(spark, monkeypatch):
+    """300 books hold a line, twice each: 44,850 links, of which none is in a staged table or goes through a shuffle."""
+    needles = spark.createDataFrame([(b, k, "twice", 50) for b in range(300) for k in (0, 1)], "doc_id long, needle_id long, nd string, len int")
+    holders = needles.selectExpr("nd", "doc_id AS other").distinct()
+    written = []
+    stage = sharing.stage
+    monkeypatch.setattr(sharing, "stage", lambda df: written.append(stage(df)) or written[-1])
+    for rule in ("split", "audit"):
+        assert sharing.linked_books(needles, holders, rule).count() == 44_850
+    assert max(df.count() for df in written) <= 300
+
+
 def test_matches_of_a_common_text_are_made_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sharing, "PART", 10)
     needles = spark.createDataFrame([(b, 0, "common", 50) for b in range(100)] + [(1, 1, "own", 50)], "doc_id long, needle_id long, nd string, len int")
