@@ -93,11 +93,11 @@ def threshold_sweep(gold: DataFrame, pred: DataFrame, thresholds=(0.5, 0.7, 0.9,
     return grid.join(tp, "thr", "left").fillna(0, ["tp"]).select("thr", "tp", "n_pred", "n_gold", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
-def _dedupe(frame: pd.DataFrame, thr: float) -> pd.DataFrame:
-    frame = frame.sort_values(["s", "e"])
+def kept_spans(starts: list[int], ends: list[int], thr: float) -> list[bool]:
+    """Which of the spans, in order of (s, e), have no IoU >= thr with one that is kept before."""
     kept: list[tuple[int, int]] = []
     keep = []
-    for s, e in zip(frame["s"], frame["e"], strict=True):
+    for s, e in zip(starts, ends, strict=True):
         ok = True
         kept = [x for x in kept if x[1] > s]
         for a, b in kept:
@@ -108,7 +108,12 @@ def _dedupe(frame: pd.DataFrame, thr: float) -> pd.DataFrame:
         keep.append(ok)
         if ok:
             kept.append((s, e))
-    return frame[keep]
+    return keep
+
+
+def _dedupe(frame: pd.DataFrame, thr: float) -> pd.DataFrame:
+    frame = frame.sort_values(["s", "e"])
+    return frame[kept_spans(frame["s"].tolist(), frame["e"].tolist(), thr)]
 
 
 def dedupe_spans(spans: DataFrame, thr: float = 0.5, book: str = "doc_id") -> DataFrame:
