@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import TIBETAN, Profile
 from .audit import heading_rates
+from .dataset import _row
 from .intervals import offset_segments, trim_overlaps
 from .sharing import anchors
 from .spans import attach_text
-from .tables import stage
+from .tables import bounded_batches, stage
 
 SWITCH_COST, REACH = 3.0, 50_000
 MIN_HEADING, MIN_GAIN, EXCLUDE_BELOW = 0.60, 0.20, 0.30
@@ -86,15 +88,23 @@ def choose_offsets(s: np.ndarray, e: np.ndarray, anchor_s: np.ndarray, anchor_e:
 
 
 def realign_offsets(spans: DataFrame, found: DataFrame, book: str = "doc_id") -> DataFrame:
-    """book, s, e, offset. ``found``: anchors (book, s, e). A task sees one book at a time: offsets and anchors, not texts."""
-    kind = spans.schema[book].dataType.simpleString()
-
-    def run(key, own: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["s", "e"])
-        off = choose_offsets(own["s"].to_numpy(), own["e"].to_numpy(), marks["s"].to_numpy(np.int64), marks["e"].to_numpy(np.int64)) if len(own) else []
-        return pd.DataFrame({book: own[book], "s": own["s"], "e": own["e"], "offset": off})
-
-    return spans.select(book, "s", "e").groupBy(book).cogroup(found.select(book, "s", "e").groupBy(book)).applyInPandas(run, f"{book} {kind}, s bigint, e bigint, offset bigint")
+    """book, s, e, offset. ``found``: anchors (book, s, e). A book's offsets and anchors, not texts, meet in a row, and many such rows go to Python
+    together: a call for each book would cost more than its work."""
+    bounded_batches(spans.sparkSession)
+    side = lambda df, own: df.select(book, F.struct(F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e")).alias("_x"), F.lit(own).alias("_own"))
+    met = side(spans, True).union(side(found, False)).groupBy(book).agg(F.array_sort(F.collect_list(F.when(F.col("_own"), F.col("_x")))).alias("_sp"), F.collect_list(F.when(~F.col("_own"), F.col("_x"))).alias("_an"))
+    arrays = [F.transform(c, lambda x: x[k]).alias(f"{c}{k}") for c in ("_sp", "_an") for k in ("s", "e")]  # noqa: B023
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [[np.empty(0, np.int64)] for _ in range(4)]
+            for i, (s, e, anchor_s, anchor_e) in enumerate(zip(*[_row(b.column(k)) for k in range(1, 5)], strict=True)):
+                for column, value in zip(columns, (np.full(len(s), i), s, e, choose_offsets(s, e, anchor_s, anchor_e)), strict=True):
+                    column.append(value)
+            at, *flat = [pa.array(np.concatenate(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *flat], [book, "s", "e", "offset"])
+
+    return met.filter(F.size("_sp") > 0).select(book, *arrays).mapInArrow(run, f"`{book}` {spans.schema[book].dataType.simpleString()}, s bigint, e bigint, offset bigint")
 
 
 def low_books(texts: DataFrame, profile: Profile = TIBETAN, book: str = "doc_id") -> DataFrame:
