@@ -69,3 +69,23 @@ def test_convert_labels_deals_out_no_tokens(spark, folder):
     want = whole.select("doc_id", F.size("labels").alias("n"), count("io", 1), count("bioe", 3))
     assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r) for r in want.collect())
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_report_is_on_the_split_that_is_made_and_keeps_its_lists(spark, tmp_path):
+    text = "The first long sentence that several books of this test have in common goes on and on. And the second one that they share is long too, as it has to be."
+    texts = [text if i % 4 == 1 else f"Book {i} has words of its own, number {i} of {i * 7}, and they go on until it ends after {i * 13} of them. " for i in range(40)]
+    docs = [(i, x, "en", f"src{i}", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    report = json.loads(registry.queries()["split_report"](spark, str(tmp_path)).first().report)
+    kept = {k: spark.read.parquet(report[k]["path"]) for k in ("straddle", "boilerplate_links", "conflicts", "moved", "excluded")}
+    assert {k: df.count() for k, df in kept.items()} == {k: report[k]["n"] for k in kept}
+    asked = lambda name: sorted(map(str, (tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())))
+    found = lambda name: sorted(map(str, (tuple(r) for r in kept[name].collect())))
+    for table, name in (("boilerplate_links", "boilerplate_links"), ("moved", "moved_books"), ("excluded", "excluded_books")):
+        assert found(table) == asked(name), table
+    assert sum(s["books"] for s in report["stats"]) == 40
+    groups = registry.queries()["connected_groups"](spark, str(tmp_path)).groupBy("group_id").count()
+    assert (report["n_groups"], report["n_multi_groups"]) == (groups.count(), groups.filter("count > 1").count())
+    # linked books stay together in the split that is made
+    assert report["n_links"] == registry.queries()["link_books"](spark, str(tmp_path)).count() and report["straddle"]["n"] == report["n_straddling"]
